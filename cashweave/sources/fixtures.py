@@ -87,3 +87,143 @@ def r1_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("production").alias("env"),
         payload.alias("payload"),
     )
+
+
+def ob1_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OB1: ``events`` of type view/click as account balance readings."""
+    e = table(spark, sf_dir, "events").filter(F.col("event_type").isin("view", "click"))
+    uid = F.col("user_id")
+    balances = F.struct(F.lit(None).cast("double").alias("available"),
+                        (F.floor(F.col("value") / 100) * 100).cast("double").alias("current"),
+                        F.lit(None).cast("double").alias("limit"),
+                        F.lit("USD").alias("iso_currency_code"),
+                        F.lit(None).cast("string").alias("unofficial_currency_code"))
+    account = F.struct(
+        F.concat(F.lit("a"), uid.cast("string")).alias("account_id"),
+        F.when(uid % 3 != 0, F.concat(F.lit("Acct "), uid.cast("string"))).alias("name"),
+        F.lit(None).cast("string").alias("official_name"),
+        F.lit("depository").alias("type"), F.lit("checking").alias("subtype"),
+        (uid + 1000).cast("string").alias("mask"),
+        balances.alias("balances"))
+    return e.select(F.col("event_id").cast("long").alias("observation_seq"),
+                    F.concat(F.lit("i"), (uid % 5).cast("string")).alias("item_id"),
+                    account.alias("account"), F.lit("sandbox").alias("env"))
+
+
+def it1_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IT1: ``supplier`` rows as connected items."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    env = F.when(F.col("s_nationkey") % 3 == 0, "sandbox").when(F.col("s_nationkey") % 3 == 1, "production") \
+        .otherwise("")
+    token_env = F.when(env != "", env).when(k % 2 == 0, "sandbox").otherwise("production")
+    active = F.when(F.col("s_acctbal") > 0, 1).otherwise(0)
+    return s.select(
+        F.concat(F.lit("i"), k.cast("string")).alias("item_id"),
+        F.concat(F.lit("access-"), token_env, F.lit("-")).alias("token_prefix"),
+        F.lit(True).alias("has_access_token"),
+        env.alias("env"),
+        F.concat(F.lit("ins_"), F.col("s_nationkey").cast("string")).alias("institution_id"),
+        F.col("s_name").alias("institution_name"),
+        F.when(k % 10 != 0, F.concat(F.lit("cursor-"), k.cast("string"))).alias("cursor"),
+        F.lit(FIXTURE_NOW).alias("created_at"),
+        F.lit(FIXTURE_NOW).alias("updated_at"),
+        active.cast("int").alias("active"),
+        F.when(active == 0, F.lit("2024-01-15T00:00:00Z")).alias("disconnected_at"),
+    )
+
+
+def it1_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saves of every supplier item again: new environment and institution name, no institution id."""
+    s = table(spark, sf_dir, "supplier")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    j = s.join(n, s.s_nationkey == n.n_nationkey, "left")
+    return j.select(F.concat(F.lit("i"), F.col("s_suppkey").cast("string")).alias("item_id"),
+                    F.lit("access-production-").alias("token_prefix"), F.lit("production").alias("env"),
+                    F.lit(None).cast("string").alias("institution_id"), F.col("n_name").alias("institution_name"))
+
+
+def sr1_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SR1: ``orders`` as closed sync runs (F ok, O error, P still running)."""
+    o = table(spark, sf_dir, "orders")
+    st = F.when(F.col("o_orderstatus") == "F", "ok").when(F.col("o_orderstatus") == "O", "error").otherwise("running")
+    ts = F.date_format(F.col("o_orderdate"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return o.select(
+        F.col("o_orderkey").cast("long").alias("sync_id"),
+        F.concat(F.lit("b"), F.col("o_orderkey").cast("string")).alias("batch_id"),
+        F.concat(F.lit("i"), (F.col("o_custkey") % 100).cast("string")).alias("item_id"),
+        ts.alias("started_at"), F.when(st != "running", ts).alias("finished_at"), st.alias("status"),
+        F.lit("sync").alias("mode"))
+
+
+def bf1_backfill_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Backfill status log from ``supplier``: a start row, then complete (balance > 1000) or error."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    final = F.when(F.col("s_acctbal") > 1000, "complete").otherwise("error")
+    rows = F.array(F.struct(F.lit(0).alias("phase"), F.lit("running").alias("status")),
+                   F.struct(F.lit(1).alias("phase"), final.alias("status")))
+    e = s.select(k, F.explode(rows).alias("r"))
+    return e.select(F.concat(F.lit("i"), k.cast("string")).alias("item_id"),
+                    (k * 2 + F.col("r.phase")).cast("long").alias("seq"), F.col("r.status").alias("status"))
+
+
+def lg1_legacy_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LG1: ``orders`` as legacy snapshot rows (P removed, O pending, raw JSON only on odd keys)."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    tid = F.concat(F.lit("t"), k.cast("string"))
+    acct = F.concat(F.lit("a"), F.col("o_custkey").cast("string"))
+    date = F.date_format(F.col("o_orderdate"), "yyyy-MM-dd")
+    merchant = F.concat(F.lit("M"), (F.col("o_custkey") % 20).cast("string"))
+    pending = F.col("o_orderstatus") == "O"
+    raw = F.to_json(F.struct(acct.alias("account_id"), F.col("o_totalprice").alias("amount"), date.alias("date"),
+                             F.lit("USD").alias("iso_currency_code"), merchant.alias("merchant_name"),
+                             F.col("o_orderpriority").alias("name"), pending.alias("pending"),
+                             F.lit("legacy_raw").alias("source"), tid.alias("transaction_id")))
+    return o.select(
+        k.cast("long").alias("legacy_rowid"), tid.alias("transaction_id"), acct.alias("account_id"),
+        F.concat(F.lit("i"), (F.col("o_custkey") % 100).cast("string")).alias("item_id"),
+        date.alias("date"), F.lit(None).cast("string").alias("authorized_date"),
+        F.col("o_orderpriority").alias("name"), merchant.alias("merchant_name"),
+        F.col("o_totalprice").alias("amount"), F.lit("USD").alias("iso_currency_code"),
+        F.lit(None).cast("string").alias("category_json"),
+        F.lit(None).cast("string").alias("personal_finance_category_json"),
+        pending.cast("int").alias("pending"), (F.col("o_orderstatus") == "P").cast("int").alias("removed"),
+        F.when(k % 2 == 1, raw).alias("raw_json"), F.lit(FIXTURE_NOW).alias("updated_at"))
+
+
+def lg1_legacy_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legacy accounts from ``customer``."""
+    c = table(spark, sf_dir, "customer")
+    return c.select(
+        F.col("c_custkey").cast("long").alias("legacy_rowid"),
+        F.concat(F.lit("a"), F.col("c_custkey").cast("string")).alias("account_id"),
+        F.concat(F.lit("i"), (F.col("c_custkey") % 100).cast("string")).alias("item_id"),
+        F.col("c_name").alias("name"), F.lit(None).cast("string").alias("official_name"),
+        F.lit("depository").alias("type"), F.lit(None).cast("string").alias("subtype"),
+        F.lit(None).cast("string").alias("mask"), F.col("c_acctbal").alias("current_balance"),
+        F.lit(None).cast("double").alias("available_balance"), F.lit("USD").alias("iso_currency_code"),
+        F.lit(None).cast("string").alias("updated_at"))
+
+
+# Fixed message texts of the ER1 fixture, picked by event_id % 6.
+ER1_MESSAGES = (
+    "PRODUCT_NOT_READY: transactions not ready",
+    "Rate limit exceeded: too many requests",
+    "Read timed out after 30s",
+    "Connection reset by peer",
+    "database is locked",
+    "unexpected failure for token access-sandbox-4f9a1c2b7d and key Zm9vYmFyYmF6cXV4cXV1eHF1dXhxdXV4cXV1eA",
+)
+
+
+def er1_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ER1: ``events`` of type error as failed calls (message, optional JSON body, exception type)."""
+    e = table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
+    msg = F.element_at(F.array(*[F.lit(m) for m in ER1_MESSAGES]), (F.col("event_id") % 6 + 1).cast("int"))
+    body = F.when(F.col("event_id") % 4 == 0,
+                  F.lit('{"error_code":"ITEM_LOGIN_REQUIRED","error_message":"the login details changed"}'))
+    typ = F.when(F.col("event_id") % 2 == 0, "ApiException").otherwise("RuntimeError")
+    return e.select(F.col("event_id").cast("long").alias("event_id"), msg.alias("message"), body.alias("body"),
+                    typ.alias("type_name"))
