@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cashweave.operators import audit, details, dimensions, observations, privacy_jobs, reports, state
 from cashweave.operators import ledger as ledger_ops
-from cashweave.operators import reports, state
+from cashweave.sources import legacy
 from cashweave.plans import oracle
 from cashweave.session import tune
 from cashweave.sources import fixtures
@@ -96,6 +97,164 @@ def q_top_merchants_inflow(spark, sf_dir):
     return reports.top_merchants(l1_active(spark, sf_dir), "inflow", 10, oracle.MONTHS_BACK, oracle.TODAY)
 
 
+def ob1_observations(spark, sf_dir):
+    return observations.append_account_observations(fixtures.ob1_readings(spark, sf_dir), now=fixtures.FIXTURE_NOW)
+
+
+def ob1_accounts(spark, sf_dir):
+    return state.account_latest_state(ob1_observations(spark, sf_dir))
+
+
+def q_observation_append(spark, sf_dir):
+    return ob1_observations(spark, sf_dir).select("observation_seq", "account_id", "item_id", "current_balance",
+                                                  "payload_hash", "observation_identity")
+
+
+def q_account_latest_state(spark, sf_dir):
+    return ob1_accounts(spark, sf_dir).select("account_id", "observation_seq", "name", "current_balance")
+
+
+def q_transaction_details(spark, sf_dir):
+    rows = details.list_transaction_details(l1_current(spark, sf_dir), ob1_accounts(spark, sf_dir), limit=500)
+    return rows.select("transaction_id", "date", F.col("amount").cast(MONEY).alias("amount"), "status",
+                       "direction", "account_label", "state_event_id")
+
+
+def q_search_transactions(spark, sf_dir):
+    rows = details.list_transaction_details(l1_current(spark, sf_dir), None, limit=None, search="n5",
+                                            include_removed=True)
+    return rows.select("transaction_id", "name", "merchant_name", "status", "state_event_id")
+
+
+def q_transaction_versions(spark, sf_dir):
+    v = details.transaction_versions(l1_ledger(spark, sf_dir))
+    return v.select("transaction_id", "event_id", "version_number", "event_type", "supersedes_event_id",
+                    F.col("amount").cast(MONEY).alias("amount"), "direction",
+                    F.variant_get(F.col("raw"), "$.transaction_id", "string").alias("raw_transaction_id"))
+
+
+def q_status_labels(spark, sf_dir):
+    cur = details.expand_json(l1_current(spark, sf_dir))
+    out = details.with_labels(cur)
+    return out.select("transaction_id", "status", "category_label", "direction")
+
+
+def q_diagnostics(spark, sf_dir):
+    led = l1_ledger(spark, sf_dir)
+    cur = state.current_state(state.latest_state(led))
+    obs = ob1_observations(spark, sf_dir)
+    return audit.diagnostics(led, cur, obs, state.account_latest_state(obs),
+                             fixtures.lg1_legacy_transactions(spark, sf_dir),
+                             fixtures.lg1_legacy_accounts(spark, sf_dir))
+
+
+def q_diagnostics_long(spark, sf_dir):
+    return audit.diagnostics_long(q_diagnostics(spark, sf_dir))
+
+
+def q_integrity_report(spark, sf_dir):
+    led = l1_ledger(spark, sf_dir)
+    accts = ob1_accounts(spark, sf_dir)
+    items = fixtures.it1_items(spark, sf_dir)
+    runs = fixtures.sr1_runs(spark, sf_dir)
+    inputs = {"items": items, "accounts": fixtures.lg1_legacy_accounts(spark, sf_dir),
+              "transactions": fixtures.lg1_legacy_transactions(spark, sf_dir), "transaction_events": led,
+              "account_observations": ob1_observations(spark, sf_dir), "sync_runs": runs,
+              "backfill_state": fixtures.bf1_backfill_log(spark, sf_dir)}
+    views = {"transaction_latest_state": None, "transaction_current_state": None,
+             "transaction_active_state": None, "account_latest_state": accts}
+    return audit.integrity_report(inputs, views, led, accts, items, runs)
+
+
+def q_verify_hash_chain(spark, sf_dir):
+    return audit.verify_hash_chain(l1_ledger(spark, sf_dir, chain=True))
+
+
+def q_content_hash_check(spark, sf_dir):
+    return audit.content_hash_check(l1_ledger(spark, sf_dir))
+
+
+def q_events_by_item(spark, sf_dir):
+    return audit.events_by_item(l1_ledger(spark, sf_dir))
+
+
+def q_append_only_audit(spark, sf_dir):
+    changes = fixtures.l1_changes(spark, sf_dir)
+    cut = changes.agg(F.max("arrival_seq")).first()[0] // 2
+    before = ledger_ops.append_events(changes.filter(F.col("arrival_seq") < cut), now=fixtures.FIXTURE_NOW)
+    new = ledger_ops.append_events(changes.filter(F.col("arrival_seq") >= cut), now=fixtures.FIXTURE_NOW,
+                                   ledger=before)
+    after = before.unionByName(new)
+    one_shot = ledger_ops.append_events(changes, now=fixtures.FIXTURE_NOW)
+    report = audit.append_only_audit(before, after)
+    diff = after.exceptAll(one_shot).agg(F.count(F.lit(1)).alias("differs_from_single_batch"))
+    sizes = audit.combine_one_row(before.agg(F.count(F.lit(1)).alias("before_rows")),
+                                  after.agg(F.count(F.lit(1)).alias("after_rows")))
+    return audit.combine_one_row(report.select("rows_changed_or_lost", "append_only"), diff, sizes)
+
+
+def q_backfill_complete(spark, sf_dir):
+    bf = dimensions.backfill_state(fixtures.bf1_backfill_log(spark, sf_dir))
+    return dimensions.backfill_complete(fixtures.it1_items(spark, sf_dir), bf)
+
+
+def q_backfill_state(spark, sf_dir):
+    return dimensions.backfill_state(fixtures.bf1_backfill_log(spark, sf_dir)).select("item_id", "status", "attempts")
+
+
+def q_connection_environment(spark, sf_dir):
+    items = fixtures.it1_items(spark, sf_dir)
+    env = dimensions.connection_environment(items, configured_env="production")
+    cnt = dimensions.connected_item_count(items, "production")
+    return audit.combine_one_row(env, cnt)
+
+
+def q_upsert_items(spark, sf_dir):
+    items = dimensions.upsert_items(fixtures.it1_items(spark, sf_dir), fixtures.it1_saves(spark, sf_dir), now="N")
+    return items.select("item_id", "env", "institution_id", "institution_name", "cursor", "active",
+                        "disconnected_at", "updated_at")
+
+
+def q_reconcile_environments(spark, sf_dir):
+    items = dimensions.reconcile_environments(fixtures.it1_items(spark, sf_dir), now="N")
+    return items.select("item_id", "env")
+
+
+def q_last_sync(spark, sf_dir):
+    runs = fixtures.sr1_runs(spark, sf_dir)
+    last = dimensions.last_sync_summary(runs).select("sync_id", "status", "finished_at")
+    at = dimensions.last_sync_at(runs)
+    return audit.combine_one_row(last, at)
+
+
+def q_redact_documents(spark, sf_dir):
+    return privacy_jobs.redact_documents(fixtures.table(spark, sf_dir, "documents"))
+
+
+def q_secret_scan(spark, sf_dir):
+    return privacy_jobs.secret_scan(fixtures.table(spark, sf_dir, "documents"))
+
+
+def q_fingerprint(spark, sf_dir):
+    items = fixtures.it1_items(spark, sf_dir).select("item_id", "cursor")
+    return privacy_jobs.fingerprint_column(items, "cursor")
+
+
+def q_classify_errors(spark, sf_dir):
+    return privacy_jobs.classify_errors(fixtures.er1_errors(spark, sf_dir))
+
+
+def q_legacy_import(spark, sf_dir):
+    ev = legacy.import_legacy_transactions(fixtures.lg1_legacy_transactions(spark, sf_dir), now=fixtures.FIXTURE_NOW)
+    return ev.select("arrival_seq", "transaction_id", "event_type", "supersedes_seq", "payload_hash",
+                     "event_identity", "pending", "txn_date", F.col("amount").cast(MONEY).alias("amount"))
+
+
+def q_legacy_accounts(spark, sf_dir):
+    obs = legacy.import_legacy_accounts(fixtures.lg1_legacy_accounts(spark, sf_dir), now=fixtures.FIXTURE_NOW)
+    return obs.select("observation_seq", "account_id", "payload_hash", "observation_identity", "observed_at")
+
+
 def _tuned(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         tune(spark)
@@ -124,4 +283,29 @@ def _registry() -> dict[str, Query]:
         "summarize_months": q_summarize_months,
         "top_merchants_outflow": q_top_merchants_outflow,
         "top_merchants_inflow": q_top_merchants_inflow,
+        "observation_append": q_observation_append,
+        "account_latest_state": q_account_latest_state,
+        "transaction_details": q_transaction_details,
+        "search_transactions": q_search_transactions,
+        "transaction_versions": q_transaction_versions,
+        "status_labels": q_status_labels,
+        "diagnostics": q_diagnostics,
+        "diagnostics_long": q_diagnostics_long,
+        "integrity_report": q_integrity_report,
+        "verify_hash_chain": q_verify_hash_chain,
+        "content_hash_check": q_content_hash_check,
+        "events_by_item": q_events_by_item,
+        "append_only_audit": q_append_only_audit,
+        "backfill_complete": q_backfill_complete,
+        "backfill_state": q_backfill_state,
+        "connection_environment": q_connection_environment,
+        "upsert_items": q_upsert_items,
+        "reconcile_environments": q_reconcile_environments,
+        "last_sync": q_last_sync,
+        "redact_documents": q_redact_documents,
+        "secret_scan": q_secret_scan,
+        "fingerprint": q_fingerprint,
+        "classify_errors": q_classify_errors,
+        "legacy_import": q_legacy_import,
+        "legacy_accounts": q_legacy_accounts,
     }
