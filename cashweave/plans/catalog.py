@@ -255,6 +255,49 @@ def q_legacy_accounts(spark, sf_dir):
     return obs.select("observation_seq", "account_id", "payload_hash", "observation_identity", "observed_at")
 
 
+def q_stream_ingest(spark, sf_dir):
+    """Pages of L1 landed as files in four arrival groups, ingested by the stream in four
+    micro-batches, then the last batch replayed; returns the stored ledger."""
+    import uuid
+
+    from cashweave.session import checkpoint_dir
+    from cashweave.streaming import ingest
+
+    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-ingest-{uuid.uuid4().hex}"
+    pages = fixtures.pg1_pages(spark, sf_dir)
+    top = pages.agg(F.max("page_seq")).first()[0]
+    groups = 4
+    for g in range(groups):
+        part = pages.filter(F.floor(F.col("page_seq") * groups / (top + 1)) == g)
+        part.coalesce(1).write.mode("append").json(f"{base}/pages")
+    q = ingest.start_ingest(spark, f"{base}/pages", f"{base}/ledger", f"{base}/chk", f"{base}/runs",
+                            max_files_per_trigger=1, now=fixtures.FIXTURE_NOW)
+    q.awaitTermination()
+    # Replay of the last micro-batch (as after a crash before its commit): it must replace itself.
+    last = spark.read.schema(pages.schema).json(f"{base}/pages").filter(
+        F.floor(F.col("page_seq") * groups / (top + 1)) == groups - 1)
+    ingest.LedgerWriter(f"{base}/ledger", f"{base}/runs", fixtures.FIXTURE_NOW)(last, groups - 1)
+    return spark.read.parquet(f"{base}/ledger").select("transaction_id", "event_type", "event_class",
+                                                       "payload_hash")
+
+
+def q_explode_pages(spark, sf_dir):
+    from cashweave.sources import pages as page_src
+
+    ch = page_src.explode_pages(fixtures.pg1_pages(spark, sf_dir))
+    return ch.select("item_id", "event_type", F.col("payload.transaction_id").alias("transaction_id"))
+
+
+def q_history_range(spark, sf_dir):
+    from cashweave.sources import pages as page_src
+
+    start = page_src.history_start(730, "2001-08-01")
+    snap = page_src.read_history_range(fixtures.r1_changes(spark, sf_dir), start, "2001-08-01")
+    snap = snap.withColumn("event_type", F.lit("historical_import"))
+    led = ledger_ops.append_events(snap, now=fixtures.FIXTURE_NOW, chain=False)
+    return led.select("transaction_id", "event_type", "txn_date", F.col("amount").cast(MONEY).alias("amount"))
+
+
 def _tuned(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         tune(spark)
@@ -308,4 +351,7 @@ def _registry() -> dict[str, Query]:
         "classify_errors": q_classify_errors,
         "legacy_import": q_legacy_import,
         "legacy_accounts": q_legacy_accounts,
+        "stream_ingest": q_stream_ingest,
+        "explode_pages": q_explode_pages,
+        "history_range": q_history_range,
     }

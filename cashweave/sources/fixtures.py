@@ -227,3 +227,29 @@ def er1_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     typ = F.when(F.col("event_id") % 2 == 0, "ApiException").otherwise("RuntimeError")
     return e.select(F.col("event_id").cast("long").alias("event_id"), msg.alias("message"), body.alias("body"),
                     typ.alias("type_name"))
+
+
+def pg1_pages(spark: SparkSession, sf_dir: str, block: int = 500) -> DataFrame:
+    """PG1: the L1 feed as change pages, one page per (block of ``block`` events, item).
+
+    ``historical_import`` rows ride in ``added`` (pages carry only the three lists).
+    """
+    ch = l1_changes(spark, sf_dir)
+    page_seq = (F.floor(F.col("arrival_seq") / block) * 8 +
+                F.substring(F.col("item_id"), 2, 8).cast("long")).cast("long")
+    ch = ch.withColumn("page_seq", page_seq)
+
+    def lst(types, removal=False):
+        val = F.struct(F.col("payload.transaction_id").alias("transaction_id"),
+                       F.col("payload.account_id").alias("account_id")) if removal else F.col("payload")
+        item = F.when(F.col("event_type").isin(*types), F.struct(F.col("arrival_seq").alias("s"), val.alias("v")))
+        return F.transform(F.array_sort(F.collect_list(item)), lambda x: x.getField("v"))
+
+    return ch.groupBy("page_seq", "item_id").agg(
+        lst(["added", "historical_import"]).alias("added"),
+        lst(["modified"]).alias("modified"),
+        lst(["removed"], removal=True).alias("removed"),
+        F.min("received_at").alias("received_at"),
+    ).select("item_id", "page_seq", F.lit("sync").alias("mode"), "added", "modified", "removed",
+             F.concat(F.lit("cursor-"), F.col("page_seq").cast("string")).alias("next_cursor"),
+             F.lit(True).alias("has_more"), "received_at", F.lit("sandbox").alias("env"))
