@@ -127,13 +127,14 @@ def collapse_repeats(events: DataFrame, tail: DataFrame | None = None,
     rows = rows.withColumn("_first", F.col("_prev").isNull()) \
         .withColumn("_local_dup", F.col("_prev").isNotNull() & (F.col("_prev") == ch))
 
-    # One row per (id, bucket): what the next bucket of the same id needs to know.
-    summary = rows.groupBy(key, "_b").agg(
-        F.min_by(ch, seq).alias("_first_ch"),
-        F.max_by(ch, seq).alias("_last_ch"),
-        F.min(seq).alias("_first_seq"),
-        F.max(F.when(~F.col("_first") & ~F.col("_local_dup"), seq)).alias("_last_local_kept"),
-    )
+    # One row per (id, bucket): what the next bucket of the same id needs to know. Taken from
+    # the same window operator (whole-group frame) on each group's first row: no extra aggregate.
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("_last_ch", F.last(ch).over(whole)) \
+        .withColumn("_last_local_kept",
+                    F.max(F.when(~F.col("_first") & ~F.col("_local_dup"), seq)).over(whole))
+    summary = rows.filter(F.col("_first")).select(
+        key, "_b", ch.alias("_first_ch"), "_last_ch", seq.alias("_first_seq"), "_last_local_kept")
     ws = Window.partitionBy(key).orderBy("_b")
     summary = summary.withColumn("_prev_last_ch", F.lag("_last_ch").over(ws))
     summary = summary.withColumn(
@@ -150,7 +151,8 @@ def collapse_repeats(events: DataFrame, tail: DataFrame | None = None,
     kept = joined.filter(F.when(F.col("_first"), F.col("_first_kept")).otherwise(~F.col("_local_dup")))
     kept = kept.withColumn("supersedes_seq", F.coalesce(F.lag(seq).over(w), F.col("_carry_kept")))
     out = kept.filter(~F.col("_tail"))
-    return out.drop("_tail", "_b", "_prev", "_first", "_local_dup", "_first_kept", "_carry_kept")
+    return out.drop("_tail", "_b", "_prev", "_first", "_local_dup", "_first_kept", "_carry_kept", "_last_ch",
+                    "_last_local_kept")
 
 
 def with_identity(kept: DataFrame) -> DataFrame:

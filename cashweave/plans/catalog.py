@@ -15,7 +15,7 @@ from cashweave.operators import audit, details, dimensions, observations, privac
 from cashweave.operators import ledger as ledger_ops
 from cashweave.sources import legacy
 from cashweave.plans import oracle
-from cashweave.session import tune
+from cashweave.session import checkpoint_dir, tune
 from cashweave.sources import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,8 +28,27 @@ def l1_ledger(spark: SparkSession, sf_dir: str, chain: bool = False) -> DataFram
     return ledger_ops.append_events(fixtures.l1_changes(spark, sf_dir), now=fixtures.FIXTURE_NOW, chain=chain)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared checkpoint folder and read it back.
+
+    Queries that read the ledger more than once (state views join it with its own links)
+    read it from a stored table, as a production report job reads the ingested ledger,
+    instead of rebuilding it per branch. Column pruning and filter pushdown apply to the read.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def l1_stored_ledger(spark: SparkSession, sf_dir: str, chain: bool = False) -> DataFrame:
+    return stored(l1_ledger(spark, sf_dir, chain), "l1-ledger")
+
+
 def l1_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.current_state(state.latest_state(l1_ledger(spark, sf_dir)))
+    return state.current_state(state.latest_state(l1_stored_ledger(spark, sf_dir)))
 
 
 def l1_active(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +56,8 @@ def l1_active(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r1_active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = ledger_ops.append_events(fixtures.r1_changes(spark, sf_dir), now=fixtures.FIXTURE_NOW, chain=False)
+    ledger = stored(ledger_ops.append_events(fixtures.r1_changes(spark, sf_dir), now=fixtures.FIXTURE_NOW,
+                                             chain=False), "r1-ledger")
     return state.active_state(state.current_state(state.latest_state(ledger)))
 
 
@@ -61,7 +81,7 @@ def q_event_identity(spark, sf_dir):
 
 
 def q_latest_state(spark, sf_dir):
-    return _state_cols(state.latest_state(l1_ledger(spark, sf_dir)))
+    return _state_cols(state.latest_state(l1_ledger(spark, sf_dir)))  # one read of the ledger: no table
 
 
 def q_current_state(spark, sf_dir):
@@ -140,7 +160,7 @@ def q_status_labels(spark, sf_dir):
 
 
 def q_diagnostics(spark, sf_dir):
-    led = l1_ledger(spark, sf_dir)
+    led = l1_stored_ledger(spark, sf_dir)
     cur = state.current_state(state.latest_state(led))
     obs = ob1_observations(spark, sf_dir)
     return audit.diagnostics(led, cur, obs, state.account_latest_state(obs),
@@ -153,7 +173,7 @@ def q_diagnostics_long(spark, sf_dir):
 
 
 def q_integrity_report(spark, sf_dir):
-    led = l1_ledger(spark, sf_dir)
+    led = l1_stored_ledger(spark, sf_dir)
     accts = ob1_accounts(spark, sf_dir)
     items = fixtures.it1_items(spark, sf_dir)
     runs = fixtures.sr1_runs(spark, sf_dir)
@@ -181,9 +201,11 @@ def q_events_by_item(spark, sf_dir):
 def q_append_only_audit(spark, sf_dir):
     changes = fixtures.l1_changes(spark, sf_dir)
     cut = changes.agg(F.max("arrival_seq")).first()[0] // 2
-    before = ledger_ops.append_events(changes.filter(F.col("arrival_seq") < cut), now=fixtures.FIXTURE_NOW)
-    new = ledger_ops.append_events(changes.filter(F.col("arrival_seq") >= cut), now=fixtures.FIXTURE_NOW,
-                                   ledger=before)
+    # Two appends, each written as the ingest job would write it; then the audit of the two versions.
+    before = stored(ledger_ops.append_events(changes.filter(F.col("arrival_seq") < cut), now=fixtures.FIXTURE_NOW),
+                    "audit-before")
+    new = stored(ledger_ops.append_events(changes.filter(F.col("arrival_seq") >= cut), now=fixtures.FIXTURE_NOW,
+                                          ledger=before), "audit-batch2")
     after = before.unionByName(new)
     one_shot = ledger_ops.append_events(changes, now=fixtures.FIXTURE_NOW)
     report = audit.append_only_audit(before, after)
