@@ -18,15 +18,16 @@ def redact_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
 
 def secret_scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Q16: rows holding token or key shaped strings, with a count per pattern."""
-    text = F.col(text_col)
-    cols = []
-    for i, pattern in enumerate(privacy.JAVA_TOKEN_PATTERNS, start=1):
-        cols.append(F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long").alias(f"pattern_{i}"))
-        text = F.regexp_replace(text, pattern, privacy.REDACTED)
-    out = df.select(F.col(id_col), *cols)
-    total = sum((F.col(f"pattern_{i}") for i in range(1, len(privacy.JAVA_TOKEN_PATTERNS) + 1)), F.lit(0))
-    return out.withColumn("findings", total.cast("long")).filter(F.col("findings") > 0)
+    """Q16: rows holding token or key shaped strings, with a count per pattern.
+
+    Pattern k's count is the growth in redaction markers between stage k-1 and stage k of
+    F19 (literal counts over the staged texts; each regex runs once per row).
+    """
+    stages = privacy.redaction_stages(F.col(text_col))
+    marks = [privacy.marker_count(s) for s in stages]
+    cols = [(marks[i] - marks[i - 1]).cast("long").alias(f"pattern_{i}") for i in range(1, len(stages))]
+    out = df.select(F.col(id_col), *cols, (marks[-1] - marks[0]).cast("long").alias("findings"))
+    return out.filter(F.col("findings") > 0)
 
 
 def fingerprint_column(df: DataFrame, col: str, out_col: str | None = None, length: int = 16) -> DataFrame:

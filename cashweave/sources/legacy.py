@@ -44,9 +44,9 @@ def import_legacy_transactions(legacy: DataFrame, now: str, ledger: DataFrame |
     if ledger is not None:
         done = ledger.filter(F.col("event_type") == "legacy_import").select("transaction_id")
         rows = rows.join(done, "transaction_id", "left_anti")
-    raw = privacy.canonical_open_json(F.col("raw_json"))
-    # Both paths go through the same exact canonicaliser, so text and hash follow one rule.
-    payload = F.coalesce(raw, privacy.canonical_open_json(legacy_payload(rows)))
+    # The surviving raw object, else the rebuilt payload; both through the same exact
+    # canonicaliser (one Arrow-batched Python pass), so text and hash follow one rule.
+    payload = privacy.canonical_open_json_or(F.col("raw_json"), legacy_payload(rows))
     removal = F.to_json(F.struct(F.lit(REMOVAL_SOURCE).alias("source"), F.col("transaction_id").alias("transaction_id")))
     phases = F.array(
         F.struct(F.lit(0).alias("phase"), F.lit("legacy_import").alias("event_type"), payload.alias("text")),
