@@ -11,10 +11,26 @@ from pyspark.sql import functions as F
 from cashweave.functions import hashing, privacy
 
 
+def _staged(df: DataFrame, text_col: str) -> tuple[DataFrame, list[str]]:
+    """Add one column per redaction stage. Each stage is referenced twice (marker count and next
+    stage), so Catalyst keeps it as its own projection: every regex runs once per row, and only
+    on rows where some token shape occurs (``_hit``); other rows pass through unchanged."""
+    names = ["_stage0"]
+    out = df.withColumn("_stage0", F.col(text_col)).withColumn("_hit", privacy.maybe_token(F.col(text_col)))
+    for i, pattern in enumerate(privacy.JAVA_TOKEN_PATTERNS, start=1):
+        prev = F.col(f"_stage{i - 1}")
+        out = out.withColumn(f"_stage{i}", F.when(F.col("_hit"), F.regexp_replace(prev, pattern, privacy.REDACTED))
+                             .otherwise(prev))
+        names.append(f"_stage{i}")
+    return out, names
+
+
 def redact_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """F19 over a text table: every token shape replaced, with the number of replacements."""
-    return df.select(F.col(id_col), privacy.redact_text(F.col(text_col)).alias("redacted_text"),
-                     privacy.token_count(F.col(text_col)).alias("redactions"))
+    staged, names = _staged(df.select(id_col, text_col), text_col)
+    last = F.col(names[-1])
+    n = privacy.marker_count(last) - privacy.marker_count(F.col(names[0]))
+    return staged.select(F.col(id_col), last.alias("redacted_text"), n.cast("long").alias("redactions"))
 
 
 def secret_scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -23,10 +39,12 @@ def secret_scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     Pattern k's count is the growth in redaction markers between stage k-1 and stage k of
     F19 (literal counts over the staged texts; each regex runs once per row).
     """
-    stages = privacy.redaction_stages(F.col(text_col))
-    marks = [privacy.marker_count(s) for s in stages]
-    cols = [(marks[i] - marks[i - 1]).cast("long").alias(f"pattern_{i}") for i in range(1, len(stages))]
-    out = df.select(F.col(id_col), *cols, (marks[-1] - marks[0]).cast("long").alias("findings"))
+    hits = df.select(id_col, text_col).filter(privacy.has_token(F.col(text_col)))
+    staged, names = _staged(hits, text_col)
+    marks = staged.select(F.col(id_col), *[privacy.marker_count(F.col(n)).alias(f"_m{i}") for i, n in enumerate(names)])
+    k = len(names) - 1
+    cols = [(F.col(f"_m{i}") - F.col(f"_m{i - 1}")).cast("long").alias(f"pattern_{i}") for i in range(1, k + 1)]
+    out = marks.select(F.col(id_col), *cols, (F.col(f"_m{k}") - F.col("_m0")).cast("long").alias("findings"))
     return out.filter(F.col("findings") > 0)
 
 
