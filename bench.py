@@ -40,8 +40,8 @@ def run_all(spark, sf_dir: str, times: dict | None) -> None:
     timed("ingest_ledger", lambda: ledger_ops.append_events(
         fixtures.l1_changes(spark, sf_dir), now=fixtures.FIXTURE_NOW, chain=True).write.parquet(path))
     led = spark.read.parquet(path)
-    cur = state.current_state(state.latest_state(led))
-    act = state.active_state(cur)
+    cur = state.current_state_from_ledger(led)
+    act = state.active_state(state.current_state_from_ledger(led, columns=state.REPORT_COLUMNS))
     timed("latest_state", lambda: force(state.latest_state(led)))
     timed("current_state", lambda: force(cur))
     timed("two_counts", lambda: (act.agg(F.count(F.lit(1))).collect(), led.agg(F.count(F.lit(1))).collect()))

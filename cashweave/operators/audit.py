@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cashweave import schemas
 from cashweave.functions import hashing
-from cashweave.operators.ledger import DEFAULT_BUCKET_WIDTH
+from cashweave.operators.ledger import DEFAULT_SEGMENT_WIDTH
 
 # Fixed values that must equal the reference's.
 REQUIRED_INPUTS = ("items", "accounts", "transactions", "sync_log", "transaction_events",
@@ -34,7 +34,7 @@ def combine_one_row(*frames: DataFrame) -> DataFrame:
 
 
 def verify_hash_chain(ledger: DataFrame, limit: int | None = None,
-                      segment_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+                      segment_width: int = DEFAULT_SEGMENT_WIDTH) -> DataFrame:
     """Q14: recompute every link; a row breaks when its hash differs from F6 of its fields or its
     stored ``prev_ledger_hash`` is not the hash of the row before it in its chain segment.
 

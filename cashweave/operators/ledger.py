@@ -19,6 +19,8 @@ from cashweave import schemas
 from cashweave.functions import hashing, privacy, scalars
 
 DEFAULT_BUCKET_WIDTH = 1 << 22
+# Rows per hash-chain segment: segments fold in parallel, one Python task each.
+DEFAULT_SEGMENT_WIDTH = 1 << 16
 
 _JSON_FIELDS = {
     "category": "category_json",
@@ -189,7 +191,7 @@ def _fold_chain(pdf):
                          "ledger_hash": hashes})
 
 
-def with_chain(rows: DataFrame, seeds: DataFrame | None = None, segment_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+def with_chain(rows: DataFrame, seeds: DataFrame | None = None, segment_width: int = DEFAULT_SEGMENT_WIDTH) -> DataFrame:
     """Tamper-evidence chain in bounded segments of arrival order.
 
     A hash chain is sequential by definition, so it is built per segment
@@ -219,7 +221,7 @@ def ledger_tail(ledger: DataFrame, batch: DataFrame) -> DataFrame:
     return newest.select("transaction_id", "t.arrival_seq", "t.event_class", "t.payload_hash")
 
 
-def chain_seeds(ledger: DataFrame, batch: DataFrame, segment_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+def chain_seeds(ledger: DataFrame, batch: DataFrame, segment_width: int = DEFAULT_SEGMENT_WIDTH) -> DataFrame:
     """Stored last hash of every chain segment the batch writes into."""
     seg = F.floor(F.col("arrival_seq") / F.lit(segment_width)).cast("long")
     segs = batch.select(seg.alias("segment")).distinct()
@@ -230,7 +232,8 @@ def chain_seeds(ledger: DataFrame, batch: DataFrame, segment_width: int = DEFAUL
 
 
 def append_events(changes: DataFrame, now: str, ledger: DataFrame | None = None, env: str | None = None,
-                  chain: bool = True, bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+                  chain: bool = True, bucket_width: int = DEFAULT_BUCKET_WIDTH,
+                  segment_width: int = DEFAULT_SEGMENT_WIDTH) -> DataFrame:
     """The ledger rows a batch of change rows appends (to be written with mode ``append``).
 
     ``ledger`` is the stored ledger (None for the first batch). Counts of inserted and
@@ -240,8 +243,8 @@ def append_events(changes: DataFrame, now: str, ledger: DataFrame | None = None,
     tail = ledger_tail(ledger, events) if ledger is not None else None
     kept = with_identity(collapse_repeats(events, tail, bucket_width))
     if chain:
-        seeds = chain_seeds(ledger, kept, bucket_width) if ledger is not None else None
-        kept = with_chain(kept, seeds, bucket_width)
+        seeds = chain_seeds(ledger, kept, segment_width) if ledger is not None else None
+        kept = with_chain(kept, seeds, segment_width)
     else:
         kept = kept.withColumn("prev_ledger_hash", F.lit(None).cast("string")) \
             .withColumn("ledger_hash", F.lit(None).cast("string"))

@@ -28,14 +28,22 @@ STATE_COLUMNS = (
     ("pending", "_pending_raw"),
 )
 LIGHT_COLUMNS = frozenset({"raw_json"})
+# What the cash-flow reports read (plus the always-present id, event id, pending and flags).
+REPORT_COLUMNS = ("date", "amount", "name", "merchant_name", "pending_transaction_id", "account_id")
 
 
-def latest_state(ledger: DataFrame, include_raw: bool = False) -> DataFrame:
+def latest_state(ledger: DataFrame, include_raw: bool = False, columns: tuple[str, ...] | None = None) -> DataFrame:
     """transaction_latest_state: newest state event per id, removal flag (P4), pending default (P5).
 
-    ``raw_json`` stays out of the carried struct unless asked for (column pruning).
+    The newest state travels as one struct through a ``max_by`` aggregate; Catalyst cannot prune
+    fields inside it, so ``columns`` (view names) limits it to what the caller reads, and the
+    Parquet scan then reads only those ledger columns. ``raw_json`` is left out unless asked for.
+    ``pending_transaction_id`` is always kept (supersession needs it).
     """
     cols = [(src, dst) for src, dst in STATE_COLUMNS if include_raw or src not in LIGHT_COLUMNS]
+    if columns is not None:
+        keep = set(columns) | {"pending_transaction_id", "_pending_raw"}
+        cols = [(src, dst) for src, dst in cols if dst in keep]
     is_state = F.col("event_class") == "state"
     carried = F.struct(F.col("arrival_seq").alias("state_event_id"),
                        *[F.col(src).alias(dst) for src, dst in cols])
@@ -55,20 +63,33 @@ def latest_state(ledger: DataFrame, include_raw: bool = False) -> DataFrame:
         F.coalesce(s.getField("_pending_raw"), F.lit(0)).cast("int").alias("pending"),
         removed.cast("int").alias("removed"),
     )
-    if not include_raw:
+    if not include_raw and columns is None:
         out = out.withColumn("raw_json", F.lit(None).cast("string"))
     return out
 
 
-def current_state(latest: DataFrame) -> DataFrame:
-    """transaction_current_state: ``superseded`` = linked by a live (not removed) row."""
-    links = latest.filter(F.col("pending_transaction_id").isNotNull() & (F.col("removed") == 0)) \
+def current_state(latest: DataFrame, link_source: DataFrame | None = None) -> DataFrame:
+    """transaction_current_state: ``superseded`` = linked by a live (not removed) row.
+
+    ``link_source`` is a latest state with at least ``pending_transaction_id`` and ``removed``
+    (default: ``latest`` itself); a narrow one keeps the link branch's scan to four columns.
+    The link side is distinct per target id, so no key in it is hot.
+    """
+    links = (link_source if link_source is not None else latest).filter(F.col("pending_transaction_id").isNotNull() & (F.col("removed") == 0)) \
         .select(F.col("pending_transaction_id").alias("transaction_id")).distinct() \
         .withColumn("_linked", F.lit(1))
     out = latest.join(links, "transaction_id", "left")
     return out.withColumn("superseded", F.coalesce(F.col("_linked"), F.lit(0)).cast("int")).drop("_linked")
 
 
+def current_state_from_ledger(ledger: DataFrame, columns: tuple[str, ...] | None = None,
+                              include_raw: bool = False) -> DataFrame:
+    """Current state straight from a stored ledger: the wide branch carries ``columns``, the
+    link branch reads only id, event id, class and link."""
+    latest = latest_state(ledger, include_raw=include_raw, columns=columns)
+    return current_state(latest, latest_state(ledger, columns=("pending_transaction_id",)))
+
+
 def active_state(current: DataFrame) -> DataFrame:
     """transaction_active_state: removed = 0 and superseded = 0."""
     return current.filter((F.col("removed") == 0) & (F.col("superseded") == 0))

@@ -47,18 +47,18 @@ def l1_stored_ledger(spark: SparkSession, sf_dir: str, chain: bool = False) -> D
     return stored(l1_ledger(spark, sf_dir, chain), "l1-ledger")
 
 
-def l1_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.current_state(state.latest_state(l1_stored_ledger(spark, sf_dir)))
+def l1_current(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] | None = None) -> DataFrame:
+    return state.current_state_from_ledger(l1_stored_ledger(spark, sf_dir), columns=columns)
 
 
-def l1_active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.active_state(l1_current(spark, sf_dir))
+def l1_active(spark: SparkSession, sf_dir: str, columns: tuple[str, ...] | None = state.REPORT_COLUMNS) -> DataFrame:
+    return state.active_state(l1_current(spark, sf_dir, columns))
 
 
 def r1_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = stored(ledger_ops.append_events(fixtures.r1_changes(spark, sf_dir), now=fixtures.FIXTURE_NOW,
                                              chain=False), "r1-ledger")
-    return state.active_state(state.current_state(state.latest_state(ledger)))
+    return state.active_state(state.current_state_from_ledger(ledger, columns=state.REPORT_COLUMNS))
 
 
 def _state_cols(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -89,7 +89,7 @@ def q_current_state(spark, sf_dir):
 
 
 def q_active_state(spark, sf_dir):
-    return _state_cols(l1_active(spark, sf_dir), ("superseded",))
+    return _state_cols(l1_active(spark, sf_dir, None), ("superseded",))
 
 
 def q_monthly_cashflow(spark, sf_dir):
