@@ -152,3 +152,40 @@ def backfill_complete(items: DataFrame, backfill: DataFrame) -> DataFrame:
     d = done.agg(F.count(F.lit(1)).alias("done"))
     both = a.unionByName(d, allowMissingColumns=True).agg(F.max("items").alias("items"), F.max("done").alias("done"))
     return both.select("items", "done", ((F.col("items") > 0) & (F.col("done") >= F.col("items"))).alias("backfill_complete"))
+
+
+def plan_backfills(items: DataFrame, backfill: DataFrame, today, days: int = 730) -> DataFrame:
+    """T7s: active items without a completed backfill, with the history range to request.
+
+    Runs before the sync of those items, once per item; it never touches the cursor.
+    """
+    from cashweave.sources.pages import history_start
+
+    done = backfill.filter(F.col("status") == "complete").select("item_id")
+    todo = items.filter(F.col("active") == 1).select("item_id").join(done, "item_id", "left_anti")
+    start = history_start(days, today)
+    return todo.select("item_id", F.lit(start.isoformat()).alias("start_date"),
+                       F.lit(str(today)[:10]).alias("end_date"))
+
+
+def health_summary(items: DataFrame, ledger: DataFrame, active: DataFrame, runs: DataFrame,
+                   configured_env: str) -> DataFrame:
+    """One row of counts and state flags; the active count is forced to 0 when
+    the stored connection belongs to another environment."""
+    from cashweave.operators.audit import combine_one_row
+
+    env = connection_environment(items, configured_env)
+    frames = [
+        env,
+        connected_item_count(items, configured_env),
+        active.agg(F.count(F.lit(1)).alias("_active")),
+        ledger.agg(F.count(F.lit(1)).alias("transaction_event_count")),
+        last_sync_at(runs),
+    ]
+    out = combine_one_row(*frames)
+    reset = F.coalesce(F.col("connection_requires_reset"), F.lit(False))
+    return out.select(
+        F.lit(configured_env).alias("env"), "connected_items",
+        F.when(reset, F.lit(0).cast("long")).otherwise(F.col("_active")).alias("transaction_count"),
+        "transaction_event_count", "last_sync_at", "connection_environment",
+        reset.alias("connection_requires_reset"))

@@ -257,3 +257,8 @@ def insert_if_absent(rows: DataFrame, stored: DataFrame, identity_col: str) -> D
     first = rows.groupBy(identity_col).agg(F.min_by(F.struct(*rows.columns), F.col(order_col)).alias("r")) \
         .select("r.*")
     return first.join(stored.select(identity_col), identity_col, "left_anti")
+
+
+def append_history(changes: DataFrame, now: str, ledger: DataFrame | None = None, **kw) -> DataFrame:
+    """A date-range backfill appended as ``historical_import`` events (same rules as S5)."""
+    return append_events(changes.withColumn("event_type", F.lit("historical_import")), now, ledger, **kw)

@@ -73,3 +73,13 @@ def credential_key_audit(df: DataFrame, json_col: str = "raw_json", id_col: str
     banned = F.array(*[F.lit(n) for n in sorted(privacy.CREDENTIAL_FIELD_NAMES)])
     hits = F.array_intersect(norm, banned)
     return df.select(F.col(id_col), hits.alias("credential_keys")).filter(F.size("credential_keys") > 0)
+
+
+def credential_key_summary(df: DataFrame, json_col: str = "raw_json") -> DataFrame:
+    """Q17 as one row: rows checked, rows holding a credential key, and the verdict."""
+    keys = F.regexp_extract_all(F.col(json_col), F.lit(_KEY), 1)
+    norm = F.transform(keys, lambda k: privacy.normalized_field_name_col(k))
+    banned = F.array(*[F.lit(n) for n in sorted(privacy.CREDENTIAL_FIELD_NAMES)])
+    hit = F.size(F.array_intersect(norm, banned)) > 0
+    return df.agg(F.count(F.lit(1)).alias("rows_checked"), F.count_if(hit).alias("rows_with_credential_keys")) \
+        .withColumn("ok", F.col("rows_with_credential_keys") == 0)

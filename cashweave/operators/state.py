@@ -101,3 +101,19 @@ def account_latest_state(observations: DataFrame) -> DataFrame:
     agg = observations.groupBy("account_id").agg(
         F.max_by(F.struct(*fields), F.col("observation_seq")).alias("o"))
     return agg.select("account_id", *[F.col("o").getField(c).alias(c) for c in fields])
+
+
+def refresh_latest_state(previous: DataFrame, ledger: DataFrame, batch: DataFrame,
+                         include_raw: bool = False, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """T9s: latest state after a batch, recomputing only the ids the batch touched.
+
+    ``previous`` is the stored latest state, ``ledger`` the ledger including the batch, ``batch``
+    the batch's ledger rows. Untouched ids keep their stored row (anti join); touched ids are
+    re-aggregated from their ledger rows only (semi join). Supersession is derived on read by
+    :func:`current_state`, so link targets need no separate refresh (trap T18).
+    """
+    touched = batch.select("transaction_id").distinct()
+    kept = previous.join(touched, "transaction_id", "left_anti")
+    fresh = latest_state(ledger.join(touched, "transaction_id", "left_semi"), include_raw=include_raw,
+                         columns=columns)
+    return kept.unionByName(fresh.select(*previous.columns))

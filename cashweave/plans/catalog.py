@@ -320,6 +320,41 @@ def q_history_range(spark, sf_dir):
     return led.select("transaction_id", "event_type", "txn_date", F.col("amount").cast(MONEY).alias("amount"))
 
 
+def q_health_summary(spark, sf_dir):
+    led = l1_stored_ledger(spark, sf_dir)
+    act = state.active_state(state.current_state_from_ledger(led, columns=state.REPORT_COLUMNS))
+    return dimensions.health_summary(fixtures.it1_items(spark, sf_dir), led, act, fixtures.sr1_runs(spark, sf_dir),
+                                     configured_env="production")
+
+
+def q_backfill_plan(spark, sf_dir):
+    bf = dimensions.backfill_state(fixtures.bf1_backfill_log(spark, sf_dir))
+    return dimensions.plan_backfills(fixtures.it1_items(spark, sf_dir), bf, today=oracle.TODAY)
+
+
+def q_credential_key_audit(spark, sf_dir):
+    return privacy_jobs.credential_key_summary(l1_ledger(spark, sf_dir))
+
+
+def q_monthly_bars(spark, sf_dir):
+    months = reports.monthly_cashflow(l1_active(spark, sf_dir), months_back=oracle.MONTHS_BACK, today=oracle.TODAY)
+    bars = reports.with_bar_widths(months, "net", "bar_pct")
+    return bars.select("month", "net", F.round("bar_pct", 4).alias("bar_pct"))
+
+
+def q_latest_state_refresh(spark, sf_dir):
+    """Latest state kept up to date batch by batch equals the latest state of the whole ledger."""
+    changes = fixtures.l1_changes(spark, sf_dir)
+    cut = changes.agg(F.max("arrival_seq")).first()[0] // 2
+    first = stored(ledger_ops.append_events(changes.filter(F.col("arrival_seq") < cut), now=fixtures.FIXTURE_NOW,
+                                            chain=False), "refresh-b1")
+    previous = stored(state.latest_state(first), "refresh-latest1")
+    batch = stored(ledger_ops.append_events(changes.filter(F.col("arrival_seq") >= cut), now=fixtures.FIXTURE_NOW,
+                                            ledger=first, chain=False), "refresh-b2")
+    refreshed = state.refresh_latest_state(previous, first.unionByName(batch), batch)
+    return _state_cols(refreshed)
+
+
 def _tuned(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         tune(spark)
@@ -376,4 +411,9 @@ def _registry() -> dict[str, Query]:
         "stream_ingest": q_stream_ingest,
         "explode_pages": q_explode_pages,
         "history_range": q_history_range,
+        "health_summary": q_health_summary,
+        "backfill_plan": q_backfill_plan,
+        "credential_key_audit": q_credential_key_audit,
+        "monthly_bars": q_monthly_bars,
+        "latest_state_refresh": q_latest_state_refresh,
     }
