@@ -222,13 +222,22 @@ def ledger_tail(ledger: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def chain_seeds(ledger: DataFrame, batch: DataFrame, segment_width: int = DEFAULT_SEGMENT_WIDTH) -> DataFrame:
-    """Stored last hash of every chain segment the batch writes into."""
+    """Stored last hash of every chain segment the batch writes into.
+
+    The batch's arrival range (two numbers) bounds the stored rows read: a literal range filter on
+    ``arrival_seq`` that Parquet min/max statistics prune, instead of a scan of the whole ledger.
+    """
     seg = F.floor(F.col("arrival_seq") / F.lit(segment_width)).cast("long")
+    lo, hi = batch.agg(F.min("arrival_seq"), F.max("arrival_seq")).first()
+    if lo is None:
+        return ledger.sparkSession.createDataFrame([], "segment long, ledger_hash string")
+    seg_lo = (lo // segment_width) * segment_width
+    seg_hi = (hi // segment_width + 1) * segment_width
+    stored = ledger.filter((F.col("arrival_seq") >= seg_lo) & (F.col("arrival_seq") < seg_hi) &
+                           F.col("ledger_hash").isNotNull()).select(seg.alias("segment"), "arrival_seq", "ledger_hash")
     segs = batch.select(seg.alias("segment")).distinct()
-    stored = ledger.filter(F.col("ledger_hash").isNotNull()).select(seg.alias("segment"), "arrival_seq", "ledger_hash")
-    last = stored.join(segs, "segment", "left_semi").groupBy("segment").agg(
+    return stored.join(segs, "segment", "left_semi").groupBy("segment").agg(
         F.max_by("ledger_hash", "arrival_seq").alias("ledger_hash"))
-    return last
 
 
 def append_events(changes: DataFrame, now: str, ledger: DataFrame | None = None, env: str | None = None,

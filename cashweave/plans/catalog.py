@@ -303,6 +303,26 @@ def q_stream_ingest(spark, sf_dir):
                                                        "payload_hash")
 
 
+def q_stream_ingest_stateful(spark, sf_dir):
+    """The same landed pages through the state-store ingest (keyed dedup state per id)."""
+    import uuid
+
+    from cashweave.session import checkpoint_dir
+    from cashweave.streaming import stateful
+
+    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-stateful-{uuid.uuid4().hex}"
+    pages = fixtures.pg1_pages(spark, sf_dir)
+    top = pages.agg(F.max("page_seq")).first()[0]
+    for g in range(4):
+        pages.filter(F.floor(F.col("page_seq") * 4 / (top + 1)) == g).coalesce(1) \
+            .write.mode("append").json(f"{base}/pages")
+    q = stateful.start_stateful_ingest(spark, f"{base}/pages", f"{base}/ledger", f"{base}/chk",
+                                       now=fixtures.FIXTURE_NOW, max_files_per_trigger=1)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/ledger").select("transaction_id", "event_type", "event_class",
+                                                       "payload_hash")
+
+
 def q_explode_pages(spark, sf_dir):
     from cashweave.sources import pages as page_src
 
@@ -410,6 +430,7 @@ def _registry() -> dict[str, Query]:
         "legacy_accounts": q_legacy_accounts,
         "stream_ingest": q_stream_ingest,
         "explode_pages": q_explode_pages,
+        "stream_ingest_stateful": q_stream_ingest_stateful,
         "history_range": q_history_range,
         "health_summary": q_health_summary,
         "backfill_plan": q_backfill_plan,
