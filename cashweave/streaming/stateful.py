@@ -87,9 +87,17 @@ def collapse_stream(pages: DataFrame, now: str) -> DataFrame:
         _collapse_with_state, out_schema, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def start_stateful_ingest(spark: SparkSession, pages_path: str, ledger_path: str, checkpoint: str, now: str,
-                          max_files_per_trigger: int | None = None, available_now: bool = True, chain: bool = True):
+                          max_files_per_trigger: int | None = None, available_now: bool = True, chain: bool = True,
+                          state_provider: str | None = ROCKSDB_PROVIDER):
+    """Start the state-store ingest. Per-id state grows with the number of ids and never expires,
+    so it lives in RocksDB on executor disk (not the JVM heap) unless another provider is given."""
     tune(spark)
+    if state_provider:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", state_provider)
     pages = page_src.read_change_pages(spark, pages_path, max_files_per_trigger)
     writer = collapse_stream(pages, now).writeStream.outputMode("append") \
         .foreachBatch(StatefulLedgerSink(ledger_path, now, chain)).option("checkpointLocation", checkpoint)
