@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cashweave.functions import hashing, privacy
+from cashweave.functions import hashing, privacy, scalars
 
 
 def _staged(df: DataFrame, text_col: str) -> tuple[DataFrame, list[str]]:
@@ -60,6 +60,7 @@ def classify_errors(errors: DataFrame, debug: bool = False) -> DataFrame:
         *[c for c in errors.columns if c not in ("message", "body", "type_name")],
         privacy.classify_error(F.col("message"), F.col("body"), F.col("type_name")).alias("error_class"),
         privacy.safe_error_message(F.col("message"), F.col("body"), debug).alias("safe_message"),
+        scalars.is_not_ready(F.get_json_object(F.col("body"), "$.error_code"), F.col("message")).alias("retryable"),
     )
 
 

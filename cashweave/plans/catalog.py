@@ -352,6 +352,43 @@ def q_backfill_plan(spark, sf_dir):
     return dimensions.plan_backfills(fixtures.it1_items(spark, sf_dir), bf, today=oracle.TODAY)
 
 
+def q_verify_hash_chain_tampered(spark, sf_dir):
+    """Two edits after the fact: the newest row's payload hash, and the oldest row's stored link
+    hash (which also breaks the next row's link)."""
+    led = l1_stored_ledger(spark, sf_dir, chain=True)
+    bounds = led.agg(F.min("arrival_seq").alias("lo"), F.max("arrival_seq").alias("hi")).first()
+    bad = led.withColumn("payload_hash", F.when(F.col("arrival_seq") == bounds.hi, F.lit("0" * 64))
+                         .otherwise(F.col("payload_hash"))) \
+        .withColumn("ledger_hash", F.when(F.col("arrival_seq") == bounds.lo, F.lit("f" * 64))
+                    .otherwise(F.col("ledger_hash")))
+    return audit.verify_hash_chain(bad)
+
+
+def q_transaction_history(spark, sf_dir):
+    h = details.transaction_history(l1_ledger(spark, sf_dir))
+    return h.select("event_id", "event_type", "event_class", "supersedes_event_id", "transaction_id", "txn_date",
+                    F.col("amount").cast(MONEY).alias("amount"), "pending", "payload_hash")
+
+
+def q_sync_runs_view(spark, sf_dir):
+    runs = fixtures.sr1_run_events(spark, sf_dir)
+    return dimensions.sync_runs_view(runs).select("sync_id", "item_id", "status", "mode", "started_at", "finished_at")
+
+
+def q_disconnect_all(spark, sf_dir):
+    items = dimensions.disconnect_all(fixtures.it1_items(spark, sf_dir), now="N")
+    return items.select("item_id", "active", "has_access_token", "token_prefix", "disconnected_at", "updated_at")
+
+
+def q_scrubbed_errors(spark, sf_dir):
+    from cashweave.functions import privacy
+
+    e = fixtures.er1_errors(spark, sf_dir)
+    frame = e.select("event_id", F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("transaction_id"),
+                     "message", "type_name")
+    return privacy.scrub_frame(frame)
+
+
 def q_credential_key_audit(spark, sf_dir):
     return privacy_jobs.credential_key_summary(l1_ledger(spark, sf_dir))
 
@@ -435,6 +472,11 @@ def _registry() -> dict[str, Query]:
         "health_summary": q_health_summary,
         "backfill_plan": q_backfill_plan,
         "credential_key_audit": q_credential_key_audit,
+        "verify_hash_chain_tampered": q_verify_hash_chain_tampered,
+        "transaction_history": q_transaction_history,
+        "sync_runs_view": q_sync_runs_view,
+        "disconnect_all": q_disconnect_all,
+        "scrubbed_errors": q_scrubbed_errors,
         "monthly_bars": q_monthly_bars,
         "latest_state_refresh": q_latest_state_refresh,
     }

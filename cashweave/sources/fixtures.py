@@ -253,3 +253,20 @@ def pg1_pages(spark: SparkSession, sf_dir: str, block: int = 500) -> DataFrame:
     ).select("item_id", "page_seq", F.lit("sync").alias("mode"), "added", "modified", "removed",
              F.concat(F.lit("cursor-"), F.col("page_seq").cast("string")).alias("next_cursor"),
              F.lit(True).alias("has_more"), "received_at", F.lit("sandbox").alias("env"))
+
+
+def sr1_run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SR1 as run events: an opening row (running, mode sync) and, for finished runs, a closing
+    row whose mode is left empty for failed runs (the view keeps the opening mode)."""
+    runs = sr1_runs(spark, sf_dir)
+    opening = F.struct(F.lit(0).alias("phase"), F.lit("running").alias("status"), F.lit("sync").alias("mode"),
+                       F.lit(None).cast("string").alias("finished_at"))
+    closing = F.struct(F.lit(1).alias("phase"), F.col("status").alias("status"),
+                       F.when(F.col("status") == "ok", F.lit("sync")).alias("mode"),
+                       F.col("finished_at").alias("finished_at"))
+    ev = runs.select("sync_id", "batch_id", "item_id", "started_at",
+                     F.explode(F.when(F.col("status") == "running", F.array(opening))
+                               .otherwise(F.array(opening, closing))).alias("e"))
+    return ev.select("sync_id", (F.col("sync_id") * 2 + F.col("e.phase")).cast("long").alias("event_seq"),
+                     "batch_id", "item_id", "started_at", F.col("e.finished_at").alias("finished_at"),
+                     F.col("e.status").alias("status"), F.col("e.mode").alias("mode"))
