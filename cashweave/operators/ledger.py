@@ -109,7 +109,7 @@ def prepare_events(changes: DataFrame, now: str, env: str | None = None) -> Data
 
 
 def collapse_repeats(events: DataFrame, tail: DataFrame | None = None,
-                     bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+                     bucket_width: int = DEFAULT_BUCKET_WIDTH, keep_bucket: bool = False) -> DataFrame:
     """W1 + W2: keep an event unless it repeats the previous event of its id (same class and hash).
 
     Adds ``supersedes_seq`` (the previous *kept* event of the id, any class). ``tail`` holds the
@@ -153,8 +153,11 @@ def collapse_repeats(events: DataFrame, tail: DataFrame | None = None,
     kept = joined.filter(F.when(F.col("_first"), F.col("_first_kept")).otherwise(~F.col("_local_dup")))
     kept = kept.withColumn("supersedes_seq", F.coalesce(F.lag(seq).over(w), F.col("_carry_kept")))
     out = kept.filter(~F.col("_tail"))
-    return out.drop("_tail", "_b", "_prev", "_first", "_local_dup", "_first_kept", "_carry_kept", "_last_ch",
-                    "_last_local_kept")
+    out = out.drop("_tail", "_prev", "_first", "_local_dup", "_first_kept", "_carry_kept", "_last_ch",
+                   "_last_local_kept")
+    # ``_b`` names the partitioning the rows already have; keeping it lets a later join on
+    # (transaction_id, _b, ...) move only the other side.
+    return out if keep_bucket else out.drop("_b")
 
 
 def with_identity(kept: DataFrame) -> DataFrame:
@@ -164,7 +167,7 @@ def with_identity(kept: DataFrame) -> DataFrame:
         F.col("supersedes_seq")))
 
 
-_CHAIN_SCHEMA = "arrival_seq long, prev_ledger_hash string, ledger_hash string"
+_CHAIN_SCHEMA = "arrival_seq long, transaction_id string, _b long, prev_ledger_hash string, ledger_hash string"
 
 
 def _fold_chain(pdf):
@@ -175,20 +178,23 @@ def _fold_chain(pdf):
 
     pdf = pdf.sort_values("arrival_seq")
     prev = None
-    seqs, prevs, hashes = [], [], []
-    for seq, identity, digest, inserted_at, seed in zip(pdf["arrival_seq"], pdf["event_identity"],
-                                                        pdf["payload_hash"], pdf["inserted_at"], pdf["_seed"]):
+    keep, prevs, hashes = [], [], []
+    for identity, digest, inserted_at, seed in zip(pdf["event_identity"], pdf["payload_hash"], pdf["inserted_at"],
+                                                   pdf["_seed"]):
         if seed:
             prev = identity  # seed rows carry the stored hash in the identity slot
+            keep.append(False)
             continue
         parts = "|".join(["" if prev is None else prev, identity, digest, "" if inserted_at is None else inserted_at])
         h = hashlib.sha256(parts.encode("utf-8")).hexdigest()
-        seqs.append(seq)
+        keep.append(True)
         prevs.append(prev)
         hashes.append(h)
         prev = h
-    return pd.DataFrame({"arrival_seq": pd.Series(seqs, dtype="int64"), "prev_ledger_hash": prevs,
-                         "ledger_hash": hashes})
+    out = pdf.loc[keep, ["arrival_seq", "transaction_id", "_b"]].reset_index(drop=True)
+    out["prev_ledger_hash"] = pd.Series(prevs, dtype=object)
+    out["ledger_hash"] = pd.Series(hashes, dtype=object)
+    return out
 
 
 def with_chain(rows: DataFrame, seeds: DataFrame | None = None, segment_width: int = DEFAULT_SEGMENT_WIDTH) -> DataFrame:
@@ -200,15 +206,22 @@ def with_chain(rows: DataFrame, seeds: DataFrame | None = None, segment_width: i
     ``segment, ledger_hash``) or from nothing. Only narrow columns travel to Python.
     """
     seg = F.floor(F.col("arrival_seq") / F.lit(segment_width)).cast("long")
-    narrow = rows.select("arrival_seq", seg.alias("_segment"), "event_identity", "payload_hash",
-                         "inserted_at", F.lit(False).alias("_seed"))
+    colocated = "_b" in rows.columns
+    b = F.col("_b") if colocated else F.lit(None).cast("long")
+    narrow = rows.select("arrival_seq", "transaction_id", b.alias("_b"), seg.alias("_segment"), "event_identity",
+                         "payload_hash", "inserted_at", F.lit(False).alias("_seed"))
     if seeds is not None:
-        s = seeds.select(F.lit(-1).cast("long").alias("arrival_seq"), F.col("segment").alias("_segment"),
+        s = seeds.select(F.lit(-1).cast("long").alias("arrival_seq"), F.lit(None).cast("string").alias("transaction_id"),
+                         F.lit(None).cast("long").alias("_b"), F.col("segment").alias("_segment"),
                          F.col("ledger_hash").alias("event_identity"), F.lit("").alias("payload_hash"),
                          F.lit(None).cast("string").alias("inserted_at"), F.lit(True).alias("_seed"))
         narrow = narrow.unionByName(s)
     chained = narrow.groupBy("_segment").applyInPandas(_fold_chain, _CHAIN_SCHEMA)
-    return rows.join(chained, "arrival_seq", "inner")
+    if colocated:
+        # Join on the keys the wide rows are already partitioned by (plus arrival_seq): only the
+        # narrow chain side is shuffled; the wide ledger rows stay where the collapse put them.
+        return rows.join(chained, ["transaction_id", "_b", "arrival_seq"], "inner")
+    return rows.join(chained.drop("transaction_id", "_b"), "arrival_seq", "inner")
 
 
 def ledger_tail(ledger: DataFrame, batch: DataFrame) -> DataFrame:
@@ -250,7 +263,7 @@ def append_events(changes: DataFrame, now: str, ledger: DataFrame | None = None,
     """
     events = prepare_events(changes, now, env)
     tail = ledger_tail(ledger, events) if ledger is not None else None
-    kept = with_identity(collapse_repeats(events, tail, bucket_width))
+    kept = with_identity(collapse_repeats(events, tail, bucket_width, keep_bucket=chain))
     if chain:
         seeds = chain_seeds(ledger, kept, segment_width) if ledger is not None else None
         kept = with_chain(kept, seeds, segment_width)

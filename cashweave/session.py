@@ -21,11 +21,14 @@ DEFAULT_CONF = {
     # constraint inference grows combinatorially on such plans (minutes, or heap exhaustion,
     # in the optimizer) while adding no useful filter here.
     "spark.sql.constraintPropagation.enabled": "false",
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 # SQL settings the jobs need, applied to a caller's session at runtime.
 RUNTIME_CONF = {
     "spark.sql.constraintPropagation.enabled": "false",
+    # Let a join on (a, b, c) reuse a side already hash-partitioned on (a, b).
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
