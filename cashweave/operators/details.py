@@ -167,3 +167,8 @@ def list_transactions(active: DataFrame, months_back: int | None = None, today=N
     if limit is not None and limit > 0:
         rows = rows.orderBy(*newest_first(rows)).limit(limit)
     return expand_json(rows)
+
+
+def list_accounts(accounts_latest: DataFrame) -> DataFrame:
+    """Accounts with type and subtype, by account id."""
+    return accounts_latest.select("account_id", "type", "subtype").orderBy("account_id")

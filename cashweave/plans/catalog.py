@@ -389,6 +389,17 @@ def q_scrubbed_errors(spark, sf_dir):
     return privacy.scrub_frame(frame)
 
 
+def q_list_accounts(spark, sf_dir):
+    return details.list_accounts(ob1_accounts(spark, sf_dir))
+
+
+def q_list_transactions(spark, sf_dir):
+    rows = details.list_transactions(l1_active(spark, sf_dir, None), months_back=oracle.MONTHS_BACK,
+                                     today=oracle.TODAY)
+    return rows.select("transaction_id", "date", F.col("amount").cast(MONEY).alias("amount"), "direction",
+                       "pending", "account_id", F.size("category").alias("category_count"))
+
+
 def q_credential_key_audit(spark, sf_dir):
     return privacy_jobs.credential_key_summary(l1_ledger(spark, sf_dir))
 
@@ -477,6 +488,8 @@ def _registry() -> dict[str, Query]:
         "sync_runs_view": q_sync_runs_view,
         "disconnect_all": q_disconnect_all,
         "scrubbed_errors": q_scrubbed_errors,
+        "list_accounts": q_list_accounts,
+        "list_transactions": q_list_transactions,
         "monthly_bars": q_monthly_bars,
         "latest_state_refresh": q_latest_state_refresh,
     }
