@@ -400,6 +400,18 @@ def q_list_transactions(spark, sf_dir):
                        "pending", "account_id", F.size("category").alias("category_count"))
 
 
+def q_page_counters(spark, sf_dir):
+    from cashweave.sources import pages as page_src
+
+    return page_src.page_counters(fixtures.pg1_pages(spark, sf_dir))
+
+
+def q_advance_cursor(spark, sf_dir):
+    pages = fixtures.pg1_pages(spark, sf_dir).select("item_id", F.col("page_seq").alias("seq"), "mode", "next_cursor")
+    items = dimensions.advance_cursor(fixtures.it1_items(spark, sf_dir), pages, now="N")
+    return items.select("item_id", "cursor", "updated_at")
+
+
 def q_credential_key_audit(spark, sf_dir):
     return privacy_jobs.credential_key_summary(l1_ledger(spark, sf_dir))
 
@@ -490,6 +502,8 @@ def _registry() -> dict[str, Query]:
         "scrubbed_errors": q_scrubbed_errors,
         "list_accounts": q_list_accounts,
         "list_transactions": q_list_transactions,
+        "page_counters": q_page_counters,
+        "advance_cursor": q_advance_cursor,
         "monthly_bars": q_monthly_bars,
         "latest_state_refresh": q_latest_state_refresh,
     }
