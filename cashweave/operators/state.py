@@ -103,17 +103,27 @@ def account_latest_state(observations: DataFrame) -> DataFrame:
     return agg.select("account_id", *[F.col("o").getField(c).alias(c) for c in fields])
 
 
-def refresh_latest_state(previous: DataFrame, ledger: DataFrame, batch: DataFrame,
-                         include_raw: bool = False, columns: tuple[str, ...] | None = None) -> DataFrame:
-    """T9s: latest state after a batch, recomputing only the ids the batch touched.
-
-    ``previous`` is the stored latest state, ``ledger`` the ledger including the batch, ``batch``
-    the batch's ledger rows. Untouched ids keep their stored row (anti join); touched ids are
-    re-aggregated from their ledger rows only (semi join). Supersession is derived on read by
-    :func:`current_state`, so link targets need no separate refresh (trap T18).
+def refresh_latest_state(previous: DataFrame, batch: DataFrame, include_raw: bool = False,
+                         columns: tuple[str, ...] | None = None) -> DataFrame:
+    """T9s: latest state after appending ``batch`` (ledger rows newer than everything stored).
+
+    Only the stored latest rows and the batch are read, never the ledger: for an id the batch
+    touches, the batch's newest state event (if it has one) replaces the stored one and the newest
+    removal is the later of the two. Untouched ids keep their stored row. Supersession is derived
+    on read by :func:`current_state`, so link targets need no separate refresh (trap T18).
     """
-    touched = batch.select("transaction_id").distinct()
+    fresh = latest_state(batch, include_raw=include_raw, columns=columns).alias("b")
+    touched = fresh.select("transaction_id")
     kept = previous.join(touched, "transaction_id", "left_anti")
-    fresh = latest_state(ledger.join(touched, "transaction_id", "left_semi"), include_raw=include_raw,
-                         columns=columns)
-    return kept.unionByName(fresh.select(*previous.columns))
+    old = previous.join(touched, "transaction_id", "left_semi").alias("p")
+    j = fresh.join(old, "transaction_id", "left")
+    has_new = F.col("b.state_event_id").isNotNull()
+    state_cols = [c for c in previous.columns if c not in ("transaction_id", "removal_event_id", "removed")]
+    picked = [F.when(has_new, F.col(f"b.{c}")).otherwise(F.col(f"p.{c}")).alias(c) for c in state_cols]
+    removal = F.greatest(F.col("b.removal_event_id"), F.col("p.removal_event_id"))
+    merged = j.select("transaction_id", removal.alias("removal_event_id"), *picked)
+    removed = F.when(F.col("removal_event_id").isNotNull() &
+                     (F.col("state_event_id").isNull() | (F.col("removal_event_id") > F.col("state_event_id"))),
+                     1).otherwise(0).cast("int")
+    merged = merged.withColumn("removed", removed)
+    return kept.unionByName(merged.select(*previous.columns))

@@ -431,7 +431,7 @@ def q_latest_state_refresh(spark, sf_dir):
     previous = stored(state.latest_state(first), "refresh-latest1")
     batch = stored(ledger_ops.append_events(changes.filter(F.col("arrival_seq") >= cut), now=fixtures.FIXTURE_NOW,
                                             ledger=first, chain=False), "refresh-b2")
-    refreshed = state.refresh_latest_state(previous, first.unionByName(batch), batch)
+    refreshed = state.refresh_latest_state(previous, batch)
     return _state_cols(refreshed)
 
 
