@@ -47,11 +47,6 @@ def month_floor_minus(today: _dt.date, k: int) -> Column:
     return F.add_months(F.trunc(F.lit(today), "month"), -k)
 
 
-def money(c: Column, scale: int = 2) -> Column:
-    """Amounts are summed as decimals so totals do not depend on row order (trap T1)."""
-    return c.cast(f"decimal(18,{scale})")
-
-
 def event_class(event_type: Column) -> Column:
     """``removed`` for removals, ``state`` for everything else (unknown types included)."""
     return F.when(event_type == "removed", F.lit("removed")).otherwise(F.lit("state"))

@@ -273,11 +273,13 @@ def append_events(changes: DataFrame, now: str, ledger: DataFrame | None = None,
     return kept.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.LEDGER.fields])
 
 
-def insert_if_absent(rows: DataFrame, stored: DataFrame, identity_col: str) -> DataFrame:
-    """ON CONFLICT(identity) DO NOTHING, set-based: first row per identity, minus stored ones."""
-    order_col = "arrival_seq" if "arrival_seq" in rows.columns else "observation_seq"
+def insert_if_absent(rows: DataFrame, stored: DataFrame | None, identity_col: str, order_col: str) -> DataFrame:
+    """ON CONFLICT(identity) DO NOTHING, set-based: the first row (by ``order_col``) of each
+    identity, minus identities already stored. Partial aggregation absorbs many copies of one row."""
     first = rows.groupBy(identity_col).agg(F.min_by(F.struct(*rows.columns), F.col(order_col)).alias("r")) \
         .select("r.*")
+    if stored is None:
+        return first
     return first.join(stored.select(identity_col), identity_col, "left_anti")
 
 

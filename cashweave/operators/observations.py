@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from cashweave import schemas
 from cashweave.functions import hashing, privacy
+from cashweave.operators.ledger import insert_if_absent
 
 SOURCE = "accounts_balance_get"
 
@@ -84,9 +85,5 @@ def append_account_observations(readings: DataFrame, now: str, stored: DataFrame
     rows = rows.withColumn("payload_hash", hashing.payload_hash(F.col("raw_json")))
     rows = rows.withColumn("observation_identity", hashing.observation_identity(
         F.col("item_id"), F.col("account_id"), F.col("payload_hash")))
-    first = rows.groupBy("observation_identity").agg(
-        F.min_by(F.struct(*[c for c in rows.columns if c != "observation_identity"]),
-                 F.col("observation_seq")).alias("r")).select("observation_identity", "r.*")
-    if stored is not None:
-        first = first.join(stored.select("observation_identity"), "observation_identity", "left_anti")
+    first = insert_if_absent(rows, stored, "observation_identity", "observation_seq")
     return first.select(*[F.col(f.name).cast(f.dataType) for f in schemas.OBSERVATION.fields])

@@ -37,7 +37,9 @@ def secret_scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
     """Q16: rows holding token or key shaped strings, with a count per pattern.
 
     Pattern k's count is the growth in redaction markers between stage k-1 and stage k of
-    F19 (literal counts over the staged texts; each regex runs once per row).
+    F19 (literal counts over the staged texts). Texts failing the cheap necessary condition run
+    one boundary-anchored pattern and nothing else; candidates run each token pattern once as a
+    match test and, if they hold a token, once as the staged replacement.
     """
     hits = df.select(id_col, text_col).filter(privacy.has_token(F.col(text_col)))
     staged, names = _staged(hits, text_col)

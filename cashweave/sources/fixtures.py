@@ -14,7 +14,6 @@ from cashweave import schemas
 
 # Fixed clock values of the fixtures.
 FIXTURE_NOW = "2024-02-01T00:00:00Z"
-FIXTURE_TODAY = "2024-06-15"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

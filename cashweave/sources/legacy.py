@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from cashweave import schemas
 from cashweave.functions import hashing, privacy
+from cashweave.operators.ledger import insert_if_absent
 
 REMOVAL_SOURCE = "legacy_removed_flag"
 
@@ -101,6 +102,5 @@ def import_legacy_accounts(accounts: DataFrame, now: str, stored: DataFrame | No
         F.lit("legacy_import").alias("source"), payload.alias("raw_json"), digest.alias("payload_hash"),
         F.coalesce(F.col("updated_at"), F.lit(now)).alias("observed_at"), F.lit(None).cast("string").alias("env"),
         F.lit(schemas.APP_VERSION).alias("app_version"))
-    if stored is not None:
-        out = out.join(stored.select("observation_identity"), "observation_identity", "left_anti")
+    out = insert_if_absent(out, stored, "observation_identity", "observation_seq")
     return out.select(*[F.col(f.name).cast(f.dataType) for f in schemas.OBSERVATION.fields])
