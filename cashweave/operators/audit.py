@@ -84,6 +84,7 @@ def diagnostics(ledger: DataFrame, current: DataFrame, observations: DataFrame,
         F.count_if(et == "legacy_import").alias("legacy_import_event_count"),
         F.count_if(et == "historical_import").alias("historical_import_event_count"),
         F.count_if(F.col("raw_json").isNotNull() & (F.col("raw_json") != "")).alias("events_with_raw_json"),
+        F.max("schema_version").alias("schema_version"),
     )
     active = (F.col("removed") == 0) & (F.col("superseded") == 0)
     st = current.agg(
@@ -107,8 +108,6 @@ def diagnostics(ledger: DataFrame, current: DataFrame, observations: DataFrame,
     for c in ("legacy_transaction_rows", "legacy_account_rows"):
         if c not in out.columns:
             out = out.withColumn(c, F.lit(0).cast("long"))
-    version = ledger.agg(F.max("schema_version").alias("schema_version"))
-    out = combine_one_row(out, version)
     return out.withColumn("expected_schema_version", F.lit(schemas.SCHEMA_VERSION)) \
         .withColumn("app_version", F.lit(schemas.APP_VERSION))
 
@@ -149,18 +148,21 @@ def integrity_report(inputs: dict[str, DataFrame], views: dict[str, DataFrame],
         one.select(*_check("required_views_exist", F.lit(not missing_views), F.lit(", ".join(missing_views)))),
         one.select(*_check("required_columns_exist", F.lit(not missing_cols), F.lit(", ".join(missing_cols)))),
     ]
-    ident = ledger.agg(F.count(F.lit(1)).alias("t"), F.count_distinct("event_identity").alias("d"))
-    checks.append(ident.select(*_check(
+    # One pass over the ledger for every ledger-level check.
+    led = ledger.agg(
+        F.count(F.lit(1)).alias("t"), F.count_distinct("event_identity").alias("d"),
+        F.count_distinct("transaction_id").alias("s"),
+        F.count_if(F.col("account_id").isNull() &
+                   F.get_json_object(F.col("raw_json"), "$.account_id").isNotNull()).alias("n"),
+        F.max("schema_version").alias("v"))
+    checks.append(led.select(*_check(
         "no_duplicate_event_identities", F.col("t") == F.col("d"),
         F.concat(F.col("t").cast("string"), F.lit(" events, "), F.col("d").cast("string"), F.lit(" identities")))))
-    cover = ledger.agg(F.count(F.lit(1)).alias("e"), F.count_distinct("transaction_id").alias("s"))
-    checks.append(cover.select(*_check(
-        "event_count_covers_state", F.col("e") >= F.col("s"),
-        F.concat(F.col("e").cast("string"), F.lit(" events, "), F.col("s").cast("string"), F.lit(" transactions")))))
-    orphan = ledger.agg(F.count_if(F.col("account_id").isNull() &
-                                   F.get_json_object(F.col("raw_json"), "$.account_id").isNotNull()).alias("n"))
-    checks.append(orphan.select(*_check("events_keep_account_id", F.col("n") == 0,
-                                        F.concat(F.col("n").cast("string"), F.lit(" missing")))))
+    checks.append(led.select(*_check(
+        "event_count_covers_state", F.col("t") >= F.col("s"),
+        F.concat(F.col("t").cast("string"), F.lit(" events, "), F.col("s").cast("string"), F.lit(" transactions")))))
+    checks.append(led.select(*_check("events_keep_account_id", F.col("n") == 0,
+                                     F.concat(F.col("n").cast("string"), F.lit(" missing")))))
     untraceable = account_latest.filter(F.col("item_id").isNotNull()) \
         .join(items.select("item_id"), "item_id", "left_anti").agg(F.count(F.lit(1)).alias("n"))
     checks.append(untraceable.select(*_check("accounts_trace_to_item", F.col("n") == 0,
@@ -173,8 +175,7 @@ def integrity_report(inputs: dict[str, DataFrame], views: dict[str, DataFrame],
     last = runs.agg(F.max_by("status", "sync_id").alias("s"), F.count(F.lit(1)).alias("n"))
     checks.append(last.select(*_check("last_sync_succeeded", (F.col("n") == 0) | (F.col("s") == "ok"),
                                       F.when(F.col("n") == 0, F.lit("no syncs yet")).otherwise(F.col("s")))))
-    ver = ledger.agg(F.max("schema_version").alias("v"))
-    checks.append(ver.select(*_check("migration_version_current",
+    checks.append(led.select(*_check("migration_version_current",
                                      F.coalesce(F.col("v"), F.lit(0)) == F.lit(schema_version),
                                      F.concat(F.lit("v"), F.coalesce(F.col("v"), F.lit(0)).cast("string")))))
     out = checks[0]
