@@ -37,8 +37,8 @@ def run_all(spark, sf_dir: str, times: dict | None) -> None:
         df.write.format("noop").mode("overwrite").save()
 
     path = f"{checkpoint_dir(spark).rstrip('/')}/bench/ledger-{uuid.uuid4().hex}"
-    timed("ingest_ledger", lambda: ledger_ops.append_events(
-        fixtures.l1_changes(spark, sf_dir), now=fixtures.FIXTURE_NOW, chain=True).write.parquet(path))
+    timed("ingest_ledger", lambda: ledger_ops.write_events(
+        fixtures.l1_changes(spark, sf_dir), now=fixtures.FIXTURE_NOW, path=path, chain=True))
     led = spark.read.parquet(path)
     cur = state.current_state_from_ledger(led)
     act = state.active_state(state.current_state_from_ledger(led, columns=state.REPORT_COLUMNS))

@@ -273,6 +273,43 @@ def append_events(changes: DataFrame, now: str, ledger: DataFrame | None = None,
     return kept.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.LEDGER.fields])
 
 
+def finish_and_write(kept: DataFrame, path: str, ledger: DataFrame | None = None, chain: bool = True,
+                     segment_width: int = DEFAULT_SEGMENT_WIDTH, partition: tuple[str, int] | None = None,
+                     mode: str = "append") -> None:
+    """Identity, chain and write for a batch of kept rows (from :func:`collapse_repeats` with
+    ``keep_bucket=True``).
+
+    Not persisted on purpose: a cached relation loses the collapse partitioning, so the chain
+    join would shuffle the wide rows a second time. Re-deriving the narrow chain inputs (CPU)
+    is cheaper at scale than moving the whole batch again (disk and network).
+    """
+    rows = with_identity(kept)
+    if chain:
+        seeds = chain_seeds(ledger, rows, segment_width) if ledger is not None else None
+        out = with_chain(rows, seeds, segment_width)
+    else:
+        out = rows.withColumn("prev_ledger_hash", F.lit(None).cast("string")) \
+            .withColumn("ledger_hash", F.lit(None).cast("string"))
+    out = out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.LEDGER.fields])
+    if partition is not None:
+        name, value = partition
+        out.withColumn(name, F.lit(value).cast("long")).write.mode(mode).partitionBy(name).parquet(path)
+    else:
+        out.write.mode(mode).parquet(path)
+
+
+def write_events(changes: DataFrame, now: str, path: str, ledger: DataFrame | None = None, env: str | None = None,
+                 chain: bool = True, bucket_width: int = DEFAULT_BUCKET_WIDTH,
+                 segment_width: int = DEFAULT_SEGMENT_WIDTH, partition: tuple[str, int] | None = None,
+                 mode: str = "append") -> None:
+    """S5 as a write job: the rows of :func:`append_events` written to ``path`` (optionally into
+    one partition, e.g. the ingest batch, replaced on replay with ``mode="overwrite"``)."""
+    events = prepare_events(changes, now, env)
+    tail = ledger_tail(ledger, events) if ledger is not None else None
+    kept = collapse_repeats(events, tail, bucket_width, keep_bucket=True)
+    finish_and_write(kept, path, ledger, chain, segment_width, partition, mode)
+
+
 def insert_if_absent(rows: DataFrame, stored: DataFrame | None, identity_col: str, order_col: str) -> DataFrame:
     """ON CONFLICT(identity) DO NOTHING, set-based: the first row (by ``order_col``) of each
     identity, minus identities already stored. Partial aggregation absorbs many copies of one row."""

@@ -64,19 +64,11 @@ class StatefulLedgerSink:
         spark = kept.sparkSession
         tune(spark)
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        rows = ledger_ops.with_identity(kept)
-        if self.chain:
-            stored = read_table(spark, self.ledger_path)
-            if stored is not None:
-                stored = stored.filter(F.col("ingest_batch") < batch_id)
-            seeds = ledger_ops.chain_seeds(stored, rows, self.segment_width) if stored is not None else None
-            rows = ledger_ops.with_chain(rows, seeds, self.segment_width)
-        else:
-            rows = rows.withColumn("prev_ledger_hash", F.lit(None).cast("string")) \
-                .withColumn("ledger_hash", F.lit(None).cast("string"))
-        out = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.LEDGER.fields])
-        out.withColumn("ingest_batch", F.lit(batch_id).cast("long")) \
-            .write.mode("overwrite").partitionBy("ingest_batch").parquet(self.ledger_path)
+        stored = read_table(spark, self.ledger_path) if self.chain else None
+        if stored is not None:
+            stored = stored.filter(F.col("ingest_batch") < batch_id)
+        ledger_ops.finish_and_write(kept, self.ledger_path, stored, self.chain, self.segment_width,
+                                    partition=("ingest_batch", batch_id), mode="overwrite")
 
 
 def collapse_stream(pages: DataFrame, now: str) -> DataFrame:
