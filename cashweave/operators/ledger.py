@@ -221,7 +221,9 @@ def with_chain(rows: DataFrame, seeds: DataFrame | None = None, segment_width: i
         # Join on the keys the wide rows are already partitioned by (plus arrival_seq): only the
         # narrow chain side is shuffled; the wide ledger rows stay where the collapse put them.
         return rows.join(chained, ["transaction_id", "_b", "arrival_seq"], "inner")
-    return rows.join(chained.drop("transaction_id", "_b"), "arrival_seq", "inner")
+    # Without a bucket column (rows from the state-store ingest, already partitioned by id) the
+    # id still leads the join keys, so that partitioning is reused as well.
+    return rows.join(chained.drop("_b"), ["transaction_id", "arrival_seq"], "inner")
 
 
 def ledger_tail(ledger: DataFrame, batch: DataFrame) -> DataFrame:
@@ -293,7 +295,8 @@ def finish_and_write(kept: DataFrame, path: str, ledger: DataFrame | None = None
     # Files clustered by (transaction_id, arrival_seq): point lookups of one id prune row groups
     # by min/max. The rows already arrive in (transaction_id, _b, arrival_seq) order from the
     # collapse, and _b is monotone in arrival_seq, so this adds no sort to the plan.
-    out = out.sortWithinPartitions("transaction_id", "_b", "arrival_seq")
+    order = ["transaction_id", "_b", "arrival_seq"] if "_b" in out.columns else ["transaction_id", "arrival_seq"]
+    out = out.sortWithinPartitions(*order)
     out = out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.LEDGER.fields])
     if partition is not None:
         name, value = partition
