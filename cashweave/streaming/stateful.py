@@ -26,27 +26,36 @@ STATE_SCHEMA = "seq long, klass string, hash string"
 
 
 def _collapse_with_state(key, pdfs, state):
-    """W1/W2 for one id in one micro-batch: compare each event with the newest one seen."""
+    """W1/W2 for one id in one micro-batch, vectorised.
+
+    Each event is compared with the raw event before it (the stored newest event for the first):
+    a dropped event equals its predecessor, so this is the sequential "newest event" rule. The
+    supersedes link of a kept event is the last kept event before it, forward-filled.
+    """
+    import numpy as np
     import pandas as pd
 
     frames = list(pdfs)
     pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
-    pdf = pdf.sort_values("arrival_seq", kind="stable")
+    pdf = pdf.sort_values("arrival_seq", kind="stable").reset_index(drop=True)
     if state.exists:
         prev_seq, prev_class, prev_hash = state.get
     else:
         prev_seq, prev_class, prev_hash = None, None, None
-    keep, sup = [], []
-    for seq, klass, digest in zip(pdf["arrival_seq"], pdf["event_class"], pdf["payload_hash"]):
-        if prev_class is not None and klass == prev_class and digest == prev_hash:
-            keep.append(False)
-            continue
-        keep.append(True)
-        sup.append(prev_seq)
-        prev_seq, prev_class, prev_hash = int(seq), klass, digest
+    klass = pdf["event_class"].to_numpy(dtype=object)
+    digest = pdf["payload_hash"].to_numpy(dtype=object)
+    seq = pdf["arrival_seq"].to_numpy(dtype="int64")
+    before_class = np.concatenate([np.array([prev_class], dtype=object), klass[:-1]])
+    before_hash = np.concatenate([np.array([prev_hash], dtype=object), digest[:-1]])
+    keep = ~((before_class == klass) & (before_hash == digest))
+    kept_seq = pd.Series(np.where(keep, seq, np.nan))
+    first = np.nan if prev_seq is None else float(prev_seq)
+    supersedes = pd.concat([pd.Series([first]), kept_seq.iloc[:-1]], ignore_index=True).ffill()
     out = pdf[keep].copy()
-    out["supersedes_seq"] = pd.array(sup, dtype="Int64")
-    state.update((prev_seq, prev_class, prev_hash))
+    out["supersedes_seq"] = pd.array(supersedes[keep].to_numpy(), dtype="Float64").astype("Int64")
+    if keep.any():  # always true for an id without stored state: its first event is new
+        last = int(np.flatnonzero(keep)[-1])
+        state.update((int(seq[last]), klass[last], digest[last]))
     yield out
 
 
