@@ -352,6 +352,11 @@ def q_backfill_plan(spark, sf_dir):
     return dimensions.plan_backfills(fixtures.it1_items(spark, sf_dir), bf, today=oracle.TODAY)
 
 
+def q_ledger_chain(spark, sf_dir):
+    """Every ledger row's chain link and hash (segments of 65,536 arrival positions)."""
+    return l1_ledger(spark, sf_dir, chain=True).select("arrival_seq", "prev_ledger_hash", "ledger_hash")
+
+
 def q_verify_hash_chain_tampered(spark, sf_dir):
     """Two edits after the fact: the newest row's payload hash, and the oldest row's stored link
     hash (which also breaks the next row's link)."""
@@ -496,6 +501,7 @@ def _registry() -> dict[str, Query]:
         "backfill_plan": q_backfill_plan,
         "credential_key_audit": q_credential_key_audit,
         "verify_hash_chain_tampered": q_verify_hash_chain_tampered,
+        "ledger_chain": q_ledger_chain,
         "transaction_history": q_transaction_history,
         "sync_runs_view": q_sync_runs_view,
         "disconnect_all": q_disconnect_all,
