@@ -38,9 +38,11 @@ def verify_hash_chain(ledger: DataFrame, limit: int | None = None,
     """Q14: recompute every link; a row breaks when its hash differs from F6 of its fields or its
     stored ``prev_ledger_hash`` is not the hash of the row before it in its chain segment.
 
-    Rows without a hash are not checked and leave "previous" empty for the next row. The first
-    row with no predecessor in the checked set has no link test. ``limit`` checks only the newest
-    ``limit`` events (the reference's bounded mode); ``None`` checks all, in parallel by segment.
+    Rows without a hash are not checked and leave "previous" empty for the next row. In a full
+    check a row with no predecessor in its segment must start the chain (empty previous hash), so
+    deleting a segment's first row is caught too. ``limit`` checks only the newest ``limit``
+    events (the reference's bounded mode, where the first checked row has no link test); ``None``
+    checks all, in parallel by segment.
     """
     rows = ledger.select("arrival_seq", "event_identity", "payload_hash", "inserted_at", "prev_ledger_hash",
                          "ledger_hash")
@@ -54,8 +56,12 @@ def verify_hash_chain(ledger: DataFrame, limit: int | None = None,
     expected = hashing.ledger_hash(F.col("prev_ledger_hash"), F.col("event_identity"), F.col("payload_hash"),
                                    F.col("inserted_at"))
     checked = F.col("ledger_hash").isNotNull()
-    broken = checked & ((expected != F.col("ledger_hash")) |
-                        (F.col("_has_pred") & ~F.col("prev_ledger_hash").eqNullSafe(F.col("_previous"))))
+    link_ok = F.when(F.col("_has_pred"), F.col("prev_ledger_hash").eqNullSafe(F.col("_previous")))
+    if not limit:
+        link_ok = link_ok.otherwise(F.col("prev_ledger_hash").isNull())
+    else:
+        link_ok = link_ok.otherwise(F.lit(True))
+    broken = checked & ((expected != F.col("ledger_hash")) | ~link_ok)
     stats = rows.agg(F.count_if(checked).alias("events_checked"), F.count_if(broken).alias("break_count"),
                      F.min(F.when(broken, F.col("arrival_seq"))).alias("first_break_seq"))
     total = ledger.agg(F.count(F.lit(1)).alias("total_events"))
@@ -112,6 +118,7 @@ def diagnostics(ledger: DataFrame, current: DataFrame, observations: DataFrame,
         .withColumn("app_version", F.lit(schemas.APP_VERSION))
 
 
+# The counter keys in the reference's display order.
 DIAGNOSTIC_KEYS = (
     "total_transaction_events", "distinct_transaction_ids", "active_transactions", "pending_transactions",
     "removed_transactions", "superseded_pending_transactions", "modified_event_count", "removed_event_count",
