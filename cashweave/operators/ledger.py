@@ -275,6 +275,21 @@ def append_events(changes: DataFrame, now: str, ledger: DataFrame | None = None,
     return kept.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.LEDGER.fields])
 
 
+def segment_manifest(ledger: DataFrame, segment_width: int = DEFAULT_SEGMENT_WIDTH) -> DataFrame:
+    """One row per chain segment: first and last position, row count, last hash.
+
+    Written next to the ledger at ingest; comparing it with a recomputed one (see
+    ``audit.verify_manifest``) reveals a segment deleted as a whole, which no link inside the
+    remaining segments can show. One aggregation, partial per map task; no sequential fold.
+    """
+    seg = F.floor(F.col("arrival_seq") / F.lit(segment_width)).cast("long")
+    m = ledger.filter(F.col("ledger_hash").isNotNull()).groupBy(seg.alias("segment")).agg(
+        F.min("arrival_seq").alias("first_seq"), F.max("arrival_seq").alias("last_seq"),
+        F.count(F.lit(1)).alias("rows"), F.max_by("ledger_hash", "arrival_seq").alias("last_hash"))
+    return m.withColumn("manifest_hash", hashing.sha256_parts(F.col("segment"), F.col("first_seq"),
+                                                               F.col("last_seq"), F.col("rows"), F.col("last_hash")))
+
+
 def finish_and_write(kept: DataFrame, path: str, ledger: DataFrame | None = None, chain: bool = True,
                      segment_width: int = DEFAULT_SEGMENT_WIDTH, partition: tuple[str, int] | None = None,
                      mode: str = "append") -> None:
@@ -303,6 +318,30 @@ def finish_and_write(kept: DataFrame, path: str, ledger: DataFrame | None = None
         out.withColumn(name, F.lit(value).cast("long")).write.mode(mode).partitionBy(name).parquet(path)
     else:
         out.write.mode(mode).parquet(path)
+    if chain:
+        # The manifest of the segments this write touched, from the written rows' narrow columns.
+        from pyspark.sql.utils import AnalysisException
+
+        spark = kept.sparkSession
+        try:
+            written = spark.read.parquet(path)
+        except AnalysisException:  # nothing was ever written (empty first batch)
+            return
+        if partition is not None:
+            written = written.filter(F.col(partition[0]) == partition[1])
+        lo, hi = written.agg(F.min("arrival_seq"), F.max("arrival_seq")).first()
+        if lo is None:
+            return
+        seg_lo = (lo // segment_width) * segment_width
+        seg_hi = (hi // segment_width + 1) * segment_width
+        # Whole segments as stored now (a batch may continue a segment of an earlier one).
+        touched = spark.read.parquet(path).filter((F.col("arrival_seq") >= seg_lo) & (F.col("arrival_seq") < seg_hi))
+        manifest = segment_manifest(touched.join(
+            written.select(F.floor(F.col("arrival_seq") / F.lit(segment_width)).cast("long").alias("_s")).distinct(),
+            F.floor(F.col("arrival_seq") / F.lit(segment_width)).cast("long") == F.col("_s"), "left_semi"),
+            segment_width)
+        manifest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("segment").parquet(path.rstrip("/") + "_manifest")
 
 
 def write_events(changes: DataFrame, now: str, path: str, ledger: DataFrame | None = None, env: str | None = None,

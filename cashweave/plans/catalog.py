@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from cashweave.operators import audit, details, dimensions, observations, privacy_jobs, reports, state
 from cashweave.operators import ledger as ledger_ops
-from cashweave.sources import legacy
 from cashweave.plans import oracle
 from cashweave.session import checkpoint_dir, tune
-from cashweave.sources import fixtures
+from cashweave.sources import fixtures, legacy
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -352,6 +351,16 @@ def q_backfill_plan(spark, sf_dir):
     return dimensions.plan_backfills(fixtures.it1_items(spark, sf_dir), bf, today=oracle.TODAY)
 
 
+def q_verify_chain_manifest(spark, sf_dir):
+    """L1 written by the ingest job (ledger plus segment manifest), then the manifest check."""
+    import uuid
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/l1-written-{uuid.uuid4().hex}"
+    ledger_ops.write_events(fixtures.l1_changes(spark, sf_dir), now=fixtures.FIXTURE_NOW, path=path)
+    led = spark.read.parquet(path)
+    return audit.verify_manifest(led, spark.read.parquet(path + "_manifest"))
+
+
 def q_ledger_chain(spark, sf_dir):
     """Every ledger row's chain link and hash (segments of 65,536 arrival positions)."""
     return l1_ledger(spark, sf_dir, chain=True).select("arrival_seq", "prev_ledger_hash", "ledger_hash")
@@ -502,6 +511,7 @@ def _registry() -> dict[str, Query]:
         "credential_key_audit": q_credential_key_audit,
         "verify_hash_chain_tampered": q_verify_hash_chain_tampered,
         "ledger_chain": q_ledger_chain,
+        "verify_chain_manifest": q_verify_chain_manifest,
         "transaction_history": q_transaction_history,
         "sync_runs_view": q_sync_runs_view,
         "disconnect_all": q_disconnect_all,
