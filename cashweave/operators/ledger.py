@@ -327,19 +327,23 @@ def finish_and_write(kept: DataFrame, path: str, ledger: DataFrame | None = None
             written = spark.read.parquet(path)
         except AnalysisException:  # nothing was ever written (empty first batch)
             return
-        if partition is not None:
+        if partition is None:
+            # An unpartitioned table is summarised whole.
+            manifest = segment_manifest(written, segment_width)
+        else:
             written = written.filter(F.col(partition[0]) == partition[1])
-        lo, hi = written.agg(F.min("arrival_seq"), F.max("arrival_seq")).first()
-        if lo is None:
-            return
-        seg_lo = (lo // segment_width) * segment_width
-        seg_hi = (hi // segment_width + 1) * segment_width
-        # Whole segments as stored now (a batch may continue a segment of an earlier one).
-        touched = spark.read.parquet(path).filter((F.col("arrival_seq") >= seg_lo) & (F.col("arrival_seq") < seg_hi))
-        manifest = segment_manifest(touched.join(
-            written.select(F.floor(F.col("arrival_seq") / F.lit(segment_width)).cast("long").alias("_s")).distinct(),
-            F.floor(F.col("arrival_seq") / F.lit(segment_width)).cast("long") == F.col("_s"), "left_semi"),
-            segment_width)
+            lo, hi = written.agg(F.min("arrival_seq"), F.max("arrival_seq")).first()
+            if lo is None:
+                return
+            seg_lo = (lo // segment_width) * segment_width
+            seg_hi = (hi // segment_width + 1) * segment_width
+            # Whole segments as stored now (a batch may continue a segment of an earlier one),
+            # read with a literal arrival range that Parquet statistics prune.
+            touched = spark.read.parquet(path).filter((F.col("arrival_seq") >= seg_lo) &
+                                                      (F.col("arrival_seq") < seg_hi))
+            seg = F.floor(F.col("arrival_seq") / F.lit(segment_width)).cast("long")
+            manifest = segment_manifest(touched.join(written.select(seg.alias("_s")).distinct(),
+                                                     seg == F.col("_s"), "left_semi"), segment_width)
         manifest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
             .partitionBy("segment").parquet(path.rstrip("/") + "_manifest")
 
