@@ -236,14 +236,23 @@ def ledger_tail(ledger: DataFrame, batch: DataFrame) -> DataFrame:
     return newest.select("transaction_id", "t.arrival_seq", "t.event_class", "t.payload_hash")
 
 
-def chain_seeds(ledger: DataFrame, batch: DataFrame, segment_width: int = DEFAULT_SEGMENT_WIDTH) -> DataFrame:
+def arrival_bounds(df: DataFrame) -> tuple[int | None, int | None]:
+    """Smallest and largest ``arrival_seq`` (two scalars; only that column is read)."""
+    lo, hi = df.agg(F.min("arrival_seq"), F.max("arrival_seq")).first()
+    return lo, hi
+
+
+def chain_seeds(ledger: DataFrame, batch: DataFrame, segment_width: int = DEFAULT_SEGMENT_WIDTH,
+                bounds: tuple[int | None, int | None] | None = None) -> DataFrame:
     """Stored last hash of every chain segment the batch writes into.
 
     The batch's arrival range (two numbers) bounds the stored rows read: a literal range filter on
     ``arrival_seq`` that Parquet min/max statistics prune, instead of a scan of the whole ledger.
+    Pass ``bounds`` taken from the raw events (a superset range) so the kept rows are not computed
+    once more just for two numbers.
     """
     seg = F.floor(F.col("arrival_seq") / F.lit(segment_width)).cast("long")
-    lo, hi = batch.agg(F.min("arrival_seq"), F.max("arrival_seq")).first()
+    lo, hi = bounds if bounds is not None else arrival_bounds(batch)
     if lo is None:
         return ledger.sparkSession.createDataFrame([], "segment long, ledger_hash string")
     seg_lo = (lo // segment_width) * segment_width
@@ -267,7 +276,7 @@ def append_events(changes: DataFrame, now: str, ledger: DataFrame | None = None,
     tail = ledger_tail(ledger, events) if ledger is not None else None
     kept = with_identity(collapse_repeats(events, tail, bucket_width, keep_bucket=chain))
     if chain:
-        seeds = chain_seeds(ledger, kept, segment_width) if ledger is not None else None
+        seeds = chain_seeds(ledger, kept, segment_width, arrival_bounds(events)) if ledger is not None else None
         kept = with_chain(kept, seeds, segment_width)
     else:
         kept = kept.withColumn("prev_ledger_hash", F.lit(None).cast("string")) \
@@ -292,7 +301,7 @@ def segment_manifest(ledger: DataFrame, segment_width: int = DEFAULT_SEGMENT_WID
 
 def finish_and_write(kept: DataFrame, path: str, ledger: DataFrame | None = None, chain: bool = True,
                      segment_width: int = DEFAULT_SEGMENT_WIDTH, partition: tuple[str, int] | None = None,
-                     mode: str = "append") -> None:
+                     mode: str = "append", bounds: tuple[int | None, int | None] | None = None) -> None:
     """Identity, chain and write for a batch of kept rows (from :func:`collapse_repeats` with
     ``keep_bucket=True``).
 
@@ -302,7 +311,7 @@ def finish_and_write(kept: DataFrame, path: str, ledger: DataFrame | None = None
     """
     rows = with_identity(kept)
     if chain:
-        seeds = chain_seeds(ledger, rows, segment_width) if ledger is not None else None
+        seeds = chain_seeds(ledger, rows, segment_width, bounds) if ledger is not None else None
         out = with_chain(rows, seeds, segment_width)
     else:
         out = rows.withColumn("prev_ledger_hash", F.lit(None).cast("string")) \
@@ -357,7 +366,8 @@ def write_events(changes: DataFrame, now: str, path: str, ledger: DataFrame | No
     events = prepare_events(changes, now, env)
     tail = ledger_tail(ledger, events) if ledger is not None else None
     kept = collapse_repeats(events, tail, bucket_width, keep_bucket=True)
-    finish_and_write(kept, path, ledger, chain, segment_width, partition, mode)
+    bounds = arrival_bounds(events) if (chain and ledger is not None) else None
+    finish_and_write(kept, path, ledger, chain, segment_width, partition, mode, bounds)
 
 
 def insert_if_absent(rows: DataFrame, stored: DataFrame | None, identity_col: str, order_col: str) -> DataFrame:

@@ -73,11 +73,20 @@ class StatefulLedgerSink:
         spark = kept.sparkSession
         tune(spark)
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        stored = read_table(spark, self.ledger_path) if self.chain else None
-        if stored is not None:
-            stored = stored.filter(F.col("ingest_batch") < batch_id)
-        ledger_ops.finish_and_write(kept, self.ledger_path, stored, self.chain, self.segment_width,
-                                    partition=("ingest_batch", batch_id), mode="overwrite")
+        # Every action on a foreachBatch frame re-runs the micro-batch, state-store step included;
+        # persist it once (bounded by the trigger size) and release it after the write.
+        from pyspark import StorageLevel
+
+        kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            stored = read_table(spark, self.ledger_path) if self.chain else None
+            if stored is not None:
+                stored = stored.filter(F.col("ingest_batch") < batch_id)
+            bounds = ledger_ops.arrival_bounds(kept) if stored is not None else None
+            ledger_ops.finish_and_write(kept, self.ledger_path, stored, self.chain, self.segment_width,
+                                        partition=("ingest_batch", batch_id), mode="overwrite", bounds=bounds)
+        finally:
+            kept.unpersist()
 
 
 def collapse_stream(pages: DataFrame, now: str) -> DataFrame:
