@@ -44,11 +44,13 @@ def _field(payload: Column, ptype: T.StructType, name: str, dtype: T.DataType) -
     return F.lit(None).cast(dtype)
 
 
-def prepare_events(changes: DataFrame, now: str, env: str | None = None) -> DataFrame:
+def prepare_events(changes: DataFrame, now: str | None, env: str | None = None) -> DataFrame:
     """P2 + F21 + F1/F2 + P1: change rows -> typed ledger rows without link, identity or chain.
 
     ``changes`` carries ``arrival_seq, item_id, event_type, payload`` (a struct) and optionally
-    ``batch_id, cursor_fingerprint, received_at, env``.
+    ``batch_id, cursor_fingerprint, received_at, env``. ``now`` (ISO text) stamps ``inserted_at``;
+    ``None`` uses ``current_timestamp()``, which a streaming query fixes per micro-batch from its
+    offset log, so a replayed batch gets the same stamp.
     """
     ptype_raw = changes.schema["payload"].dataType
     stripped = privacy.strip_secrets(F.col("payload"), ptype_raw)
@@ -94,7 +96,8 @@ def prepare_events(changes: DataFrame, now: str, env: str | None = None) -> Data
         .otherwise(F.when(pending.cast("boolean"), 1).otherwise(0)),
         "raw_json": canonical,
         "received_at": opt("received_at", F.lit(None).cast("string")),
-        "inserted_at": F.lit(now),
+        "inserted_at": F.lit(now) if now is not None else F.date_format(F.current_timestamp(),
+                                                                          "yyyy-MM-dd'T'HH:mm:ss'Z'"),
         "env": opt("env", F.lit(env).cast("string")),
         "app_version": F.lit(schemas.APP_VERSION),
         "schema_version": F.lit(schemas.SCHEMA_VERSION),

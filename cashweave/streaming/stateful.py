@@ -62,7 +62,7 @@ def _collapse_with_state(key, pdfs, state):
 class StatefulLedgerSink:
     """``foreachBatch`` after the stateful collapse: identity, chain, write the batch partition."""
 
-    def __init__(self, ledger_path: str, now: str, chain: bool = True,
+    def __init__(self, ledger_path: str, now: str | None = None, chain: bool = True,
                  segment_width: int = ledger_ops.DEFAULT_SEGMENT_WIDTH):
         self.ledger_path = ledger_path
         self.now = now
@@ -89,7 +89,7 @@ class StatefulLedgerSink:
             kept.unpersist()
 
 
-def collapse_stream(pages: DataFrame, now: str) -> DataFrame:
+def collapse_stream(pages: DataFrame, now: str | None = None) -> DataFrame:
     """Streaming DataFrame of kept ledger rows (without identity and chain)."""
     events = ledger_ops.prepare_events(page_src.explode_pages(pages, batch_id=None), now)
     out_schema = T.StructType(events.schema.fields + [T.StructField("supersedes_seq", T.LongType(), True)])
@@ -100,7 +100,8 @@ def collapse_stream(pages: DataFrame, now: str) -> DataFrame:
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def start_stateful_ingest(spark: SparkSession, pages_path: str, ledger_path: str, checkpoint: str, now: str,
+def start_stateful_ingest(spark: SparkSession, pages_path: str, ledger_path: str, checkpoint: str,
+                          now: str | None = None,
                           max_files_per_trigger: int | None = None, available_now: bool = True, chain: bool = True,
                           state_provider: str | None = ROCKSDB_PROVIDER):
     """Start the state-store ingest. Per-id state grows with the number of ids and never expires,
