@@ -37,13 +37,15 @@ def run_all(spark, sf_dir: str, times: dict | None) -> None:
         df.write.format("noop").mode("overwrite").save()
 
     path = f"{checkpoint_dir(spark).rstrip('/')}/bench/ledger-{uuid.uuid4().hex}"
-    timed("ingest_ledger", lambda: ledger_ops.write_events(
+    # collapse_repeats: the whole ingest job (project, hash, collapse, link, identity, chain, write).
+    timed("collapse_repeats", lambda: ledger_ops.write_events(
         fixtures.l1_changes(spark, sf_dir), now=fixtures.FIXTURE_NOW, path=path, chain=True))
     led = spark.read.parquet(path)
     cur = state.current_state_from_ledger(led)
     act = state.active_state(state.current_state_from_ledger(led, columns=state.REPORT_COLUMNS))
     timed("latest_state", lambda: force(state.latest_state(led)))
     timed("current_state", lambda: force(cur))
+    timed("active_state", lambda: force(act))
     timed("two_counts", lambda: (act.agg(F.count(F.lit(1))).collect(), led.agg(F.count(F.lit(1))).collect()))
     timed("monthly_cashflow", lambda: force(reports.monthly_cashflow(act, 12, TODAY)))
     timed("summarize_months", lambda: force(reports.summarize_months(reports.monthly_cashflow(act, 12, TODAY))))
