@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cashweave import schemas
 from cashweave.functions import hashing
 from cashweave.operators.ledger import DEFAULT_SEGMENT_WIDTH
+from cashweave.operators.windows import seq_range
 
 # Fixed values that must equal the reference's.
 REQUIRED_INPUTS = ("items", "accounts", "transactions", "sync_log", "transaction_events",
@@ -48,7 +49,7 @@ def verify_hash_chain(ledger: DataFrame, limit: int | None = None,
                          "ledger_hash")
     if limit:
         rows = rows.orderBy(F.col("arrival_seq").desc()).limit(limit)
-    seg = F.floor(F.col("arrival_seq") / F.lit(segment_width)).cast("long")
+    seg = seq_range("arrival_seq", segment_width)
     w = Window.partitionBy("_segment").orderBy("arrival_seq")
     rows = rows.withColumn("_segment", seg) \
         .withColumn("_previous", F.lag("ledger_hash").over(w)) \

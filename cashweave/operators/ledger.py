@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from cashweave import schemas
 from cashweave.functions import hashing, privacy, scalars
+from cashweave.operators.windows import seq_range
 
 DEFAULT_BUCKET_WIDTH = 1 << 22
 # Rows per hash-chain segment: segments fold in parallel, one Python task each.
@@ -126,7 +127,7 @@ def collapse_repeats(events: DataFrame, tail: DataFrame | None = None,
     if tail is not None:
         t = tail.select(key, "arrival_seq", "event_class", "payload_hash").withColumn("_tail", F.lit(True))
         rows = rows.unionByName(t, allowMissingColumns=True)
-    rows = rows.withColumn("_b", F.floor(seq / F.lit(bucket_width)).cast("long"))
+    rows = rows.withColumn("_b", seq_range("arrival_seq", bucket_width))
     w = Window.partitionBy(key, "_b").orderBy("arrival_seq")
     rows = rows.withColumn("_prev", F.lag(ch).over(w))
     rows = rows.withColumn("_first", F.col("_prev").isNull()) \
@@ -208,7 +209,7 @@ def with_chain(rows: DataFrame, seeds: DataFrame | None = None, segment_width: i
     first link of a segment starts from the segment's stored last hash (``seeds``:
     ``segment, ledger_hash``) or from nothing. Only narrow columns travel to Python.
     """
-    seg = F.floor(F.col("arrival_seq") / F.lit(segment_width)).cast("long")
+    seg = seq_range("arrival_seq", segment_width)
     colocated = "_b" in rows.columns
     b = F.col("_b") if colocated else F.lit(None).cast("long")
     narrow = rows.select("arrival_seq", "transaction_id", b.alias("_b"), seg.alias("_segment"), "event_identity",
@@ -254,7 +255,7 @@ def chain_seeds(ledger: DataFrame, batch: DataFrame, segment_width: int = DEFAUL
     Pass ``bounds`` taken from the raw events (a superset range) so the kept rows are not computed
     once more just for two numbers.
     """
-    seg = F.floor(F.col("arrival_seq") / F.lit(segment_width)).cast("long")
+    seg = seq_range("arrival_seq", segment_width)
     lo, hi = bounds if bounds is not None else arrival_bounds(batch)
     if lo is None:
         return ledger.sparkSession.createDataFrame([], "segment long, ledger_hash string")
@@ -294,7 +295,7 @@ def segment_manifest(ledger: DataFrame, segment_width: int = DEFAULT_SEGMENT_WID
     ``audit.verify_manifest``) reveals a segment deleted as a whole, which no link inside the
     remaining segments can show. One aggregation, partial per map task; no sequential fold.
     """
-    seg = F.floor(F.col("arrival_seq") / F.lit(segment_width)).cast("long")
+    seg = seq_range("arrival_seq", segment_width)
     m = ledger.filter(F.col("ledger_hash").isNotNull()).groupBy(seg.alias("segment")).agg(
         F.min("arrival_seq").alias("first_seq"), F.max("arrival_seq").alias("last_seq"),
         F.count(F.lit(1)).alias("rows"), F.max_by("ledger_hash", "arrival_seq").alias("last_hash"))
@@ -353,7 +354,7 @@ def finish_and_write(kept: DataFrame, path: str, ledger: DataFrame | None = None
             # read with a literal arrival range that Parquet statistics prune.
             touched = spark.read.parquet(path).filter((F.col("arrival_seq") >= seg_lo) &
                                                       (F.col("arrival_seq") < seg_hi))
-            seg = F.floor(F.col("arrival_seq") / F.lit(segment_width)).cast("long")
+            seg = seq_range("arrival_seq", segment_width)
             manifest = segment_manifest(touched.join(written.select(seg.alias("_s")).distinct(),
                                                      seg == F.col("_s"), "left_semi"), segment_width)
         manifest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \

@@ -8,16 +8,21 @@ one-row-per-range summary. No range holds more than ``width`` rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_WIDTH = 1 << 22
 
 
+def seq_range(col_name: str, width: int) -> Column:
+    """``col div width`` as exact integer division (no double rounding for large packed values)."""
+    return F.expr(f"`{col_name}` div {int(width)}").cast("long")
+
+
 def salted_row_number(df: DataFrame, key: str, order_col: str, out_col: str = "row_number",
                       width: int = DEFAULT_WIDTH) -> DataFrame:
     """``row_number() over (partition by key order by order_col)`` without a hot-key task."""
-    b = F.floor(F.col(order_col) / F.lit(width)).cast("long")
+    b = seq_range(order_col, width)
     rows = df.withColumn("_rb", b)
     local = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(key, "_rb").orderBy(order_col)))
     counts = rows.groupBy(key, "_rb").agg(F.count(F.lit(1)).alias("_n"))
@@ -31,7 +36,7 @@ def salted_row_number(df: DataFrame, key: str, order_col: str, out_col: str = "r
 def salted_lag(df: DataFrame, key: str, order_col: str, value_col: str, out_col: str,
                width: int = DEFAULT_WIDTH) -> DataFrame:
     """``lag(value_col) over (partition by key order by order_col)`` without a hot-key task."""
-    b = F.floor(F.col(order_col) / F.lit(width)).cast("long")
+    b = seq_range(order_col, width)
     rows = df.withColumn("_rb", b)
     local = rows.withColumn("_lag", F.lag(value_col).over(Window.partitionBy(key, "_rb").orderBy(order_col))) \
         .withColumn("_has_prev", F.lag(order_col).over(Window.partitionBy(key, "_rb").orderBy(order_col)).isNotNull())
