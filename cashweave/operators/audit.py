@@ -1,7 +1,7 @@
 """Audit jobs: hash-chain verification, diagnostics, integrity checks, append-only check.
 
 Each counter set is one aggregation pass per input table; one-row results are combined by
-``unionByName`` + ``max`` (no joins, no driver round trips).
+``unionByName`` + ``max`` (no join and no driver round trip to combine them).
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
 """Privacy jobs over whole tables.
 
-All regex work runs in the JVM (``regexp_replace``/``regexp_count``) over whole texts.
+All regex work runs in the JVM (``rlike``, ``regexp_replace``, ``regexp_extract_all``) over
+whole texts; counts come from literal marker counts.
 """
 
 from __future__ import annotations
