@@ -19,12 +19,12 @@ from cashweave.operators.privacy_jobs import redact_documents, secret_scan
 from cashweave.operators.reports import monthly_cashflow, summarize_months, top_merchants
 from cashweave.operators.state import (active_state, current_state, current_state_from_ledger, latest_state,
                                        refresh_latest_state)
-from cashweave.session import build_session, checkpoint_dir, tune
+from cashweave.session import build_session, checkpoint_dir, tune, tuned
 
 __all__ = [
     "active_state", "append_account_observations", "append_events", "append_history", "build_session",
     "checkpoint_dir", "current_state", "current_state_from_ledger", "diagnostics", "integrity_report",
     "latest_state", "list_transaction_details", "monthly_cashflow", "redact_documents", "refresh_latest_state",
-    "secret_scan", "summarize_months", "top_merchants", "transaction_versions", "tune", "verify_hash_chain",
+    "secret_scan", "summarize_months", "top_merchants", "transaction_versions", "tune", "tuned", "verify_hash_chain",
     "write_events",
 ]

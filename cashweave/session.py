@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 
@@ -42,6 +43,25 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextlib.contextmanager
+def tuned(spark: SparkSession):
+    """:func:`tune` for the duration of a block, then the caller's previous values come back.
+
+    Settings are read when a query is planned, so the block must contain the actions (writes,
+    collects), not only the DataFrame definitions.
+    """
+    previous = {key: spark.conf.get(key, None) for key in RUNTIME_CONF}
+    tune(spark)
+    try:
+        yield spark
+    finally:
+        for key, value in previous.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app_name: str = "cashweave",
                   extra: dict[str, str] | None = None) -> SparkSession:
     """Local/test session. On a cluster, the platform's own session is passed in instead."""
