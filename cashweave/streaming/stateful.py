@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from cashweave import schemas
 from cashweave.operators import ledger as ledger_ops
 from cashweave.session import tune
 from cashweave.sources import pages as page_src
