@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cashweave.llm import byte_bpe, token_store
+from cashweave.llm import byte_bpe, mixing, quality_rules, secret_scan, token_store
 from cashweave.llm.common import scratch, table
 
 #: Folder of the public tokenizers' files.
@@ -19,6 +19,14 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     token_store.write_store(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", path, END_ID)
@@ -30,9 +38,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", pattern()))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.per_document(mixing.mix(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
-    return {"op5_token_store": op5_token_store, "op8_byte_bpe": op8_byte_bpe}
+    return {f.__name__: f for f in (op2_quality_rules, op3_secret_scan, op5_token_store, op8_byte_bpe, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": quality_rules.ORACLE_SQL, "op3_secret_scan": secret_scan.ORACLE_SQL}
