@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cashweave.llm import byte_bpe, mixing, quality_rules, secret_scan, token_store
+from cashweave.llm import byte_bpe, mixing, pii, quality_rules, secret_scan, token_store, warc
 from cashweave.llm.common import scratch, table
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
 #: id that ends a document in the token store.
 END_ID = 2
+#: Key of the surrogates in these queries over synthetic data; a real corpus needs a secret one.
+PII_KEY = b"synthetic corpus"
 
 
 def pattern() -> str:
@@ -33,6 +35,13 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(spark, path)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    index = warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_records(index, path, payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_bpe.digests(byte_bpe.encode(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", pattern()))
@@ -42,8 +51,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.per_document(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op3_secret_scan, op5_token_store, op8_byte_bpe, op9_mixing)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_secret_scan, op5_token_store, op6_warc, op8_byte_bpe, op9_mixing,
+                                   op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

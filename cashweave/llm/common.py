@@ -83,7 +83,7 @@ def write_once(path: str, name: str):
     """An output stream for a new file ``name`` in folder ``path``."""
     where, base = filesystem(path)
     where.create_dir(base, recursive=True)
-    return where.open_output_stream(f"{base}/{name}")
+    return where.open_output_stream(f"{base}/{name}", compression=None)
 
 
 def read_ranges(path: str, spans: list[tuple[int, int]]):
@@ -97,5 +97,33 @@ def read_ranges(path: str, spans: list[tuple[int, int]]):
 
 def read_all(path: str) -> io.BytesIO:
     where, base = filesystem(path)
-    with where.open_input_stream(base) as f:
+    with where.open_input_stream(base, compression=None) as f:
         return io.BytesIO(f.read())
+
+
+class Cache:
+    """Two generations of at most ``size`` entries and a batch's own: entries in use move to the young
+    one, and a full young one takes the place of the old."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def lacking(self, keys: set) -> set:
+        """The keys without an entry; all others are in ``young`` now."""
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        new = keys - self.young.keys()
+        if self.old:
+            old, young, rest = self.old, self.young, set()
+            for key in new:
+                value = old.get(key)
+                if value is None:
+                    rest.add(key)
+                else:
+                    young[key] = value
+            return rest
+        return new
+
+    def drop(self, keys) -> None:
+        for key in keys:
+            del self.young[key]

@@ -1,0 +1,341 @@
+"""Personal data replaced by keyed surrogates of the same type and format.
+
+Detected entities (e-mail addresses, phone, card and identity numbers, IBANs, IP addresses, person
+names) get surrogates computed from a secret key and the entity alone, so one entity has one
+surrogate in the whole corpus. Numbers and addresses go through a keyed permutation of all
+strings of their shape, which keeps letters letters and digits digits, and validity (check digits)
+as it was. Given names are permuted within their gender and script, family names become invented
+ones of the same script; a name's parts are mapped one by one, so "Ms Lind" and "Karin Lind" still
+agree. A corpus-wide check finds entities that share a surrogate or keep their own value and moves all
+but the most frequent one on to the next draw.
+"""
+
+from __future__ import annotations
+
+import functools
+import hashlib
+import hmac
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cashweave.llm.common import pick, stored
+
+#: Redrawn surrogates up to this many are handed to every task; beyond it they are joined.
+BROADCAST_ROWS = 20_000
+MAX_DRAWS = 50
+TYPES = ("email", "iban", "ip6", "ip", "ssn", "phone", "card", "given", "family")
+
+# Given names by script and gender, and the syllables of invented family names: our own choice.
+GIVEN = {
+    ("latin", "m"): ["James", "John", "Robert", "Michael", "William", "Richard", "Thomas", "Peter", "Hans", "Klaus",
+                     "Wolfgang", "Pierre", "Jacques", "Michel", "Carlos", "Miguel", "Javier", "Andrew"],
+    ("latin", "f"): ["Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Karin", "Ursula",
+                     "Sabine", "Monika", "Nathalie", "Isabelle", "Camille", "Carmen", "Dolores", "Paula", "Margaret"],
+    ("cyrillic", "m"): ["Иван", "Дмитрий", "Сергей", "Андрей", "Николай", "Павел"],
+    ("cyrillic", "f"): ["Анна", "Ольга", "Елена", "Мария", "Наталья", "Светлана"],
+    ("greek", "m"): ["Γιώργος", "Δημήτρης", "Νίκος", "Κώστας"],
+    ("greek", "f"): ["Μαρία", "Ελένη", "Κατερίνα", "Σοφία"],
+}
+SYLLABLES = {
+    "latin": [c + v for c in "bdfgklmnprstv" for v in ("a", "e", "i", "o", "u", "an", "er", "on")],
+    "cyrillic": [c + v for c in "бвгдклмнпрст" for v in ("а", "е", "и", "о", "ов", "ин")],
+    "greek": [c + v for c in "βγδκλμνπρστ" for v in ("α", "ε", "ι", "ο", "ου")],
+}
+TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Mme", "Mlle", "Monsieur", "Madame", "Señor",
+          "Señora", "Sra", "Srta", "господин", "госпожа", "κύριος", "κυρία")
+
+_GENDER = {name: key for key, names in GIVEN.items() for name in names}
+_CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω][A-Za-zÀ-ÖØ-öø-ÿА-Яа-яЁёΑ-Ωά-ώ'’-]{1,30}"
+NAME = re.compile(rf"(?:(?<!\w)(?:{'|'.join(TITLES)})\.?\x20(?P<titled>{_CAP}(?:\x20{_CAP})?))"
+                  rf"|(?:(?<!\w)(?P<full>(?:{'|'.join(_GENDER)})\x20{_CAP}))(?!\w)")
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+MARKED = re.compile("|".join((
+    r"(?P<email>(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z]))",
+    r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w))",
+    r"(?P<ip6>(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:]))",
+    rf"(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d))",
+    r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
+    r"(?P<phone>(?<![\w+])(?:\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d{2,4}(?:[\x20.-]\d{2,4}){1,4}"
+    r"|\(\d{3}\)\x20?\d{3}[-.\x20]\d{4}|\d{3}([-.\x20])\d{3}\7\d{4})(?!\w))",
+    r"(?P<card>(?<![\w.-])[3-6]\d{3}(?:[\x20-]?\d{4}){3}(?:\d{1,3})?(?![\w-]))",
+    r"(?P<card15>(?<![\w.-])3[47]\d{2}[\x20-]?\d{6}[\x20-]?\d{5}(?![\w-]))")))
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def iban_check(iban: str) -> int:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def script_of(word: str) -> str:
+    first = next((c for c in word if c.isalpha()), "a")
+    return "cyrillic" if "Ѐ" <= first <= "ӿ" else "greek" if "Ͱ" <= first <= "Ͽ" else "latin"
+
+
+def find(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, type, canonical) of the entities of a text, in order, not overlapping."""
+    out = []
+    if "@" in text or any(d in text for d in "0123456789"):
+        for m in MARKED.finditer(text):
+            kind = "card" if m.lastgroup == "card15" else m.lastgroup
+            got = m.group()
+            if kind == "iban":
+                value = got.replace(" ", "")
+                if not 15 <= len(value) <= 34 or iban_check(value) != 1:
+                    continue
+            elif kind in ("card", "ssn", "phone"):
+                value = "".join(c for c in got if c.isdigit())
+                if kind == "phone" and not 7 <= len(value) <= 15:
+                    continue
+            else:
+                value = got.lower() if kind in ("email", "ip6") else got
+            out.append((m.start(), m.end(), kind, value))
+    if any(t in text for t in TITLES) or any(g in text for g in _GENDER):
+        taken = [(a, b) for a, b, *_ in out]
+        for m in NAME.finditer(text):
+            group = "titled" if m.group("titled") else "full"
+            at = m.start(group)
+            parts = m.group(group).split(" ")
+            if group == "titled" and len(parts) == 2 and parts[0] not in _GENDER and not parts[1][0].isupper():
+                parts = parts[:1]
+            for k, part in enumerate(parts):
+                kind = "given" if k == 0 and len(parts) == 2 and part in _GENDER else "family"
+                span = (at, at + len(part))
+                if not any(a < span[1] and span[0] < b for a, b in taken):
+                    out.append((*span, kind, part if kind == "given" else part.lower()))
+                at += len(part) + 1
+        out.sort()
+    return out
+
+
+class Surrogates:
+    """Keyed surrogates: ``of(type, canonical, draw)`` depends on nothing else."""
+
+    def __init__(self, key: bytes):
+        self.key = key
+        self.of = functools.lru_cache(maxsize=200_000)(self._of)
+
+    def _number(self, *parts) -> int:
+        return int.from_bytes(hmac.new(self.key, "\x1f".join(map(str, parts)).encode(), hashlib.sha256).digest(), "big")
+
+    def permute(self, values: list[int], sizes: list[int], tweak: str) -> list[int]:
+        """A keyed permutation of all digit lists with these radices: an unbalanced Feistel network."""
+        if len(values) == 1:
+            return [(values[0] + 1 + self._number(tweak) % max(1, sizes[0] - 1)) % sizes[0]]
+        half = len(values) // 2
+
+        def join(v, r):
+            n = 0
+            for a, b in zip(v, r, strict=True):
+                n = n * b + a
+            return n
+
+        left, right = join(values[:half], sizes[:half]), join(values[half:], sizes[half:])
+        a = b = 1
+        for r in sizes[:half]:
+            a *= r
+        for r in sizes[half:]:
+            b *= r
+        for turn in range(10):
+            if turn % 2:
+                right = (right + self._number(tweak, turn, left)) % b
+            else:
+                left = (left + self._number(tweak, turn, right)) % a
+        out = []
+        for n, radices in ((left, sizes[:half]), (right, sizes[half:])):
+            part = []
+            for r in reversed(radices):
+                n, d = divmod(n, r)
+                part.append(d)
+            out += reversed(part)
+        return out
+
+    def shaped(self, text: str, tweak: str, keep: set[int] = frozenset()) -> str:
+        """Permute the ASCII letters and digits of ``text`` among strings of its shape; ``keep`` stays."""
+        at, values, sizes, first = [], [], [], []
+        for i, c in enumerate(text):
+            base = "0" if "0" <= c <= "9" else "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else ""
+            if base and i not in keep:
+                at.append(i)
+                first.append(ord(base))
+                sizes.append(10 if base == "0" else 26)
+                values.append(ord(c) - ord(base))
+        if not at:
+            return text
+        out = list(text)
+        fixed = "".join(c if i in keep or not c.isalnum() else "#" for i, c in enumerate(text))
+        for i, b, v in zip(at, first, self.permute(values, sizes, f"{tweak}|{fixed}|{sizes}"), strict=True):
+            out[i] = chr(b + v)
+        return "".join(out)
+
+    def _of(self, kind: str, value: str, draw: int) -> str:
+        tweak = f"{kind}|{draw}"
+        if kind == "email":
+            return self.shaped(value, tweak, set(range(value.rindex("."), len(value))))
+        if kind == "ip":
+            return ".".join(map(str, self.permute([int(x) for x in value.split(".")], [256] * 4, tweak)))
+        if kind == "ip6":
+            value = ":".join(x.zfill(4) for x in value.split(":"))
+            digits = self.permute([int(c, 16) for c in value if c != ":"], [16] * 32, tweak)
+            text = "".join(f"{d:x}" for d in digits)
+            return ":".join(text[i:i + 4] for i in range(0, 32, 4))
+        if kind == "iban":
+            body = self.shaped(value[4:], tweak + value[:2])
+            return f"{value[:2]}{98 - iban_check(value[:2] + '00' + body):02d}{body}"
+        if kind == "card":
+            if luhn(value):
+                body = self.shaped(value[:-1], tweak, {0})
+                return next(body + c for c in "0123456789" if luhn(body + c))
+            out = self.shaped(value, tweak, {0})
+            while luhn(out):  # walk on within the numbers that fail the check as the original does
+                out = self.shaped(out, tweak, {0})
+            return out
+        if kind == "phone":
+            return self.shaped(value, tweak, set(range(max(0, len(value) - 10))))
+        if kind == "given":
+            names = GIVEN[_GENDER[value]]
+            order = sorted(names, key=lambda n: self._number("given", draw, n))
+            return order[(order.index(value) + 1) % len(order)]
+        if kind == "family":
+            script = script_of(value)
+            parts = SYLLABLES[script]
+            n = self._number(tweak, value)
+            word = ""
+            for _ in range(min(5, max(2, round(len(value) / 2.5))) + draw // 3):
+                n, k = divmod(n, len(parts))
+                word += parts[k]
+            return word
+        return self.shaped(value, tweak)
+
+    @staticmethod
+    def fit(kind: str, original: str, surrogate: str) -> str:
+        """A surrogate in the punctuation and case of one occurrence."""
+        if kind in ("ip", "ip6", "given"):
+            return surrogate
+        if kind == "family":
+            return surrogate.upper() if original.isupper() and len(original) > 2 else surrogate.capitalize()
+        source = iter(c for c in surrogate if c.isalnum())
+        out = []
+        for c in original:
+            if c.isalnum():
+                s = next(source)
+                c = s.upper() if c.isupper() else s
+            out.append(c)
+        return "".join(out)
+
+
+@functools.lru_cache(maxsize=4)
+def surrogates(key: bytes) -> Surrogates:
+    return Surrogates(key)
+
+
+ENTITY = T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])
+
+
+def entities(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text_hash, kind, value): the distinct entities of each text."""
+    rows = pick(docs, key, text).filter(F.col(text).isNotNull()).select(
+        key, F.xxhash64(text).alias("text_hash"), text)
+    schema = T.StructType([rows.schema[0], rows.schema[1], *ENTITY.fields])
+
+    def run(batches):
+        for batch in batches:
+            at, kinds, values = [], [], []
+            for i, t in enumerate(batch.column(2).to_pylist()):
+                for kind, value in dict.fromkeys((k, v) for _, _, k, v in find(t)):
+                    at.append(i)
+                    kinds.append(kind)
+                    values.append(value)
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(
+                kinds, pa.string()), pa.array(values, pa.string())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def draw_surrogates(found: DataFrame, secret: bytes) -> DataFrame:
+    """(kind, value, n, draw): the draw at which every entity has a surrogate of its own.
+
+    Within a kind no two entities share a surrogate and none keeps its value; in a clash the most
+    frequent entity stays and the others take the next draw. Each round moves only the narrow entity
+    table, pre-aggregated; a draw of 0 for all, the usual end, takes one round.
+    """
+    every = stored(found.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "draw", F.lit(0)), "pii-entities")
+    schema = T.StructType([*every.schema.fields, T.StructField("surrogate", T.StringType())])
+
+    def run(batches):
+        own = surrogates(secret)
+        for batch in batches:
+            got = [own.of(k, v, d) for k, v, d in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.string())], names=schema.names)
+
+    for _ in range(MAX_DRAWS):
+        drawn = stored(every.mapInArrow(run, schema), "pii-drawn")
+        keepers = drawn.filter("surrogate <> value").groupBy("kind", "surrogate").agg(
+            F.max(F.struct("n", "value"))["value"].alias("keeper"))
+        judged = drawn.join(keepers, ["kind", "surrogate"], "left").withColumn(
+            "moves", ~F.col("value").eqNullSafe(F.col("keeper")))
+        if judged.filter("moves").isEmpty():
+            return drawn.drop("surrogate")
+        every = stored(judged.select("kind", "value", "n", (F.col("draw") + F.col("moves").cast("int")).alias("draw")),
+                       "pii-entities")
+    raise ValueError(f"entities still share surrogates after {MAX_DRAWS} draws")
+
+
+def replace(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "text",
+            broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` with all its columns and rows, the personal data in ``text`` replaced, and ``pii_counts``
+    (a map of entity kind to occurrences).
+
+    One entity has one surrogate in all rows, other entities have others. NULL and empty texts stay as they
+    are; repeated rows are replaced alike; an empty table gives an empty result; a column of the input
+    named pii_counts is kept and the counts come last. Texts are read twice and not shuffled, unless
+    more than ``broadcast_rows`` entities needed another draw: then the texts that hold one are
+    joined with their draws.
+    """
+    found = stored(entities(docs, key, text), "pii-found")
+    moved = draw_surrogates(found, secret).filter("draw > 0")
+    names = docs.columns
+    at_key, at_text = names.index(key), names.index(text)
+    rows = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    fixed: dict[tuple[str, str], int] = {}
+    if moved.count() <= broadcast_rows:
+        fixed = {(r["kind"], r["value"]): r["draw"] for r in moved.collect()}
+        rows = rows.withColumn("_draws", F.lit(None).cast("array<struct<kind:string,value:string,draw:int>>"))
+    else:
+        per_text = found.join(moved, ["kind", "value"]).groupBy(F.col(key).alias("k"), "text_hash").agg(
+            F.collect_set(F.struct("kind", "value", "draw")).alias("_draws"))
+        rows = rows.withColumn("_hash", F.xxhash64(f"_{at_text}"))
+        rows = rows.join(per_text, F.col(f"_{at_key}").eqNullSafe(F.col("k")) & (
+            F.col("_hash") == F.col("text_hash")), "left").drop("_hash", "k", "text_hash")
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("_n", T.MapType(T.StringType(), T.IntegerType()))])
+
+    def run(batches):
+        own = surrogates(secret)
+        for batch in batches:
+            texts, counts = [], []
+            for t, draws in zip(batch.column(at_text).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+                drawn = {(d["kind"], d["value"]): d["draw"] for d in draws} if draws else fixed
+                parts, end, n = [], 0, {}
+                for a, b, kind, value in find(t) if t else ():
+                    parts += [t[end:a], own.fit(kind, t[a:b], own.of(kind, value, drawn.get((kind, value), 0)))]
+                    end, n[kind] = b, n.get(kind, 0) + 1
+                texts.append("".join(parts) + t[end:] if parts else t)
+                counts.append(list(n.items()))
+            columns = batch.columns[:-1]
+            columns[at_text] = pa.array(texts, pa.string())
+            columns.append(pa.array(counts, pa.map_(pa.string(), pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return rows.mapInArrow(run, schema).toDF(*names, "pii_counts")
