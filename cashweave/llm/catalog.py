@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cashweave.llm import byte_bpe, mixing, pii, quality_rules, secret_scan, token_store, warc
+from cashweave.llm import byte_bpe, mixing, near_dup, pii, quality_rules, secret_scan, token_store, warc
 from cashweave.llm.common import scratch, table
 
 #: Folder of the public tokenizers' files.
@@ -29,6 +29,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     token_store.write_store(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", path, END_ID)
@@ -56,7 +60,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op3_secret_scan, op5_token_store, op6_warc, op8_byte_bpe, op9_mixing,
+    return {f.__name__: f for f in (op2_quality_rules, op3_secret_scan, op4_near_dup, op5_token_store, op6_warc, op8_byte_bpe, op9_mixing,
                                    op10_pii)}
 
 
