@@ -1,30 +1,35 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-The merge loop of a pre-token keeps one bucket per merge rank; a bucket holds the positions of
-the linked list whose pair has that rank. A three-level bitmap over the ranks gives the lowest
-non-empty bucket with three find-first-set steps, so a pre-token of n bytes costs O(n log n)
-however long it is. Entries whose pair has changed since they were queued are skipped.
+The merge loop keeps one bucket per merge rank; a bucket holds the positions of a linked list of
+tokens whose pair has that rank. A two-level bitmap over the ranks (256-bit words) gives the lowest
+non-empty bucket with two find-first-set steps, so n bytes cost O(n log n) however long a pre-token
+is. Entries whose pair has changed since they were queued are skipped. Pre-tokens never merge with each
+other, so all unseen ones of a batch share one list and one queue.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cashweave.llm.common import pick
+from cashweave.llm.common import Cache, pick
 
 # White_Space of Unicode, which the rank files' pattern means by \s.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Cached words and pre-tokens of a Python worker; beyond it the cache starts anew.
-CACHE_ENTRIES = 300_000
+#: Entries of a Python worker's caches (a generation) of chunks and of pre-tokens.
+CACHED_CHUNKS, CACHED_PIECES = 200_000, 400_000
 #: Longer pieces are not cached.
 CACHE_LENGTH = 64
+#: Documents encoded together.
+BATCH = 512
+# ASCII marks that are a pre-token of their own between letters and a space or the end.
+MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -33,47 +38,43 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions by merge rank; ``first()`` is the lowest rank that holds any."""
+    """Positions by merge rank; ``first()`` is the lowest rank that holds any, or -1."""
+
+    BITS = [1 << k for k in range(256)]
 
     def __init__(self, size: int):
-        self.bottom = [0] * (size // 64 + 1)
-        self.middle = [0] * (size // 4096 + 1)
+        self.words = [0] * (size // 256 + 1)
         self.top = 0
         self.buckets: dict[int, list[int]] = {}
 
+    def put(self, rank: int, positions: list[int]) -> None:
+        """Queue positions under a rank whose bucket is empty."""
+        self.buckets[rank] = positions
+        word = rank >> 8
+        self.words[word] |= self.BITS[rank & 255]
+        self.top |= 1 << word
+
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        word, group = rank >> 6, rank >> 12
-        self.bottom[word] |= 1 << (rank & 63)
-        self.middle[group] |= 1 << (word & 63)
-        self.top |= 1 << group
+        if bucket is None:
+            self.put(rank, [position])
+        else:
+            bucket.append(position)
 
     def first(self) -> int:
         if not self.top:
             return -1
-        group = (self.top & -self.top).bit_length() - 1
-        bits = self.middle[group]
-        word = (group << 6) + (bits & -bits).bit_length() - 1
-        bits = self.bottom[word]
-        return (word << 6) + (bits & -bits).bit_length() - 1
-
-    def pop(self, rank: int) -> int:
-        """The leftmost position of a non-empty bucket."""
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            word, group = rank >> 6, rank >> 12
-            self.bottom[word] &= ~(1 << (rank & 63))
-            if not self.bottom[word]:
-                self.middle[group] &= ~(1 << (word & 63))
-                if not self.middle[group]:
-                    self.top &= ~(1 << group)
-        return position
+        word = (self.top & -self.top).bit_length() - 1
+        bits = self.words[word]
+        return (word << 8) + (bits & -bits).bit_length() - 1
+
+    def take(self, rank: int) -> list[int]:
+        """Empty a bucket; its positions from left to right."""
+        word = rank >> 8
+        self.words[word] ^= self.BITS[rank & 255]
+        if not self.words[word]:
+            self.top ^= 1 << word
+        return sorted(self.buckets.pop(rank))
 
 
 class Codec:
@@ -86,89 +87,138 @@ class Codec:
         self.vocab = [b""] * (max(ranks.values(), default=0) + 1)
         for token, rank in ranks.items():
             self.vocab[rank] = token
+        self.pairs = np.full(1 << 16, -1, np.int32)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.pairs[token[0] << 8 | token[1]] = rank
+        self.single = np.array([ranks.get(bytes([b]), 0) for b in range(256)], np.uint32)
         pattern = pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
         self.split = regex.compile(pattern).findall
-        self.space = regex.compile(f"[{WHITE}]").match
+        white = regex.compile(f"[{WHITE}]")
+        self.white = frozenset(c for c in map(chr, range(0x3001)) if white.match(c))
         self.queue = RankQueue(len(self.vocab))
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token: always the lowest rank first, the leftmost of equal ones."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        n, queue, get = len(piece), self.queue, ranks.get
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        current = [-1] * n
-        for i in range(n - 1):
-            rank = get(piece[i:i + 2])
-            if rank is not None:
-                current[i] = rank
-                queue.push(rank, i)
-        while (rank := queue.first()) >= 0:
-            i = queue.pop(rank)
-            if current[i] != rank:
-                continue  # stale: the pair at i is another one by now
-            gone = after[i]
-            end = after[gone]
-            after[i], current[gone] = end, -1
-            if end < n:
-                before[end] = i
-                new = get(piece[i:after[end]])
+        self.chunks, self.pieces = Cache(CACHED_CHUNKS), Cache(CACHED_PIECES)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token: always the lowest rank first, the leftmost of equal ones."""
+        out: list[bytes | None] = [None] * len(pieces)
+        parts = []
+        for k, piece in enumerate(pieces):
+            whole = self.ranks.get(piece)
+            if whole is None:
+                parts.append(k)
             else:
-                new = None
-            current[i] = -1 if new is None else new
-            if new is not None:
-                queue.push(new, i)
-            left = before[i]
-            if left >= 0:
-                new = get(piece[left:end])
-                current[left] = -1 if new is None else new
-                if new is not None:
-                    queue.push(new, left)
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i:after[i]]])
-            i = after[i]
+                out[k] = whole.to_bytes(4, "little")
+        if not parts:
+            return out
+        # One list for all; each pre-token is followed by a position that holds no token.
+        data = b"\0".join([pieces[k] for k in parts]) + b"\0"
+        raw = np.frombuffer(data, np.uint8)
+        n = len(raw)
+        ends = np.cumsum([len(pieces[k]) + 1 for k in parts]) - 1
+        gap = np.zeros(n, bool)
+        gap[ends] = True
+        first = self.pairs[raw[:-1].astype(np.int32) << 8 | raw[1:]]
+        first[gap[:-1] | gap[1:]] = -1
+        after = np.arange(1, n + 1)
+        after[gap] = -1
+        before = np.arange(-1, n - 1)
+        before[1:][gap[:-1]] = -1
+        current, after, before = [*first.tolist(), -1], after.tolist(), before.tolist()
+        token, dead = self.single[raw].tolist(), bytearray(gap.tobytes())
+        queue, get = self.queue, self.ranks.get
+        order = np.argsort(first, kind="stable")
+        order = order[np.searchsorted(first[order], 0):]
+        starts = np.flatnonzero(np.diff(first[order], prepend=-1))
+        for rank, group in () if not len(order) else zip(first[order[starts]].tolist(), np.split(order, starts[1:]), strict=True):
+            queue.put(rank, group.tolist())
+        buckets, push, put = queue.buckets, queue.push, queue.put
+        while (rank := queue.first()) >= 0:
+            waiting = queue.take(rank)
+            for at, i in enumerate(waiting):
+                if current[i] != rank:
+                    continue  # stale: the pair at i is another one by now
+                gone = after[i]
+                end = after[gone]
+                after[i], before[end] = end, i
+                token[i], current[gone], dead[gone] = rank, -1, 1
+                lower, stop = False, after[end]
+                new = get(data[i:stop]) if stop >= 0 else None
+                if new is None:
+                    current[i] = -1
+                else:
+                    current[i] = new
+                    lower = new < rank
+                    if new in buckets:
+                        buckets[new].append(i)
+                    else:
+                        put(new, [i])
+                left = before[i]
+                if left >= 0:
+                    new = get(data[left:end])
+                    if new is None:
+                        current[left] = -1
+                    else:
+                        current[left] = new
+                        lower |= new < rank
+                        if new in buckets:
+                            buckets[new].append(left)
+                        else:
+                            put(new, [left])
+                if lower:  # a lower rank has come up: it goes first, the rest of this bucket waits
+                    for later in waiting[at + 1:]:
+                        push(rank, later)
+                    break
+        alive = np.frombuffer(dead, np.uint8) == 0
+        ids = np.array(token, "<u4")[alive].tobytes()
+        cuts = [0, *(4 * np.cumsum(alive)[ends]).tolist()]
+        for k, a, b in zip(parts, cuts[:-1], cuts[1:], strict=True):
+            out[k] = ids[a:b]
         return out
 
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            got = b"".join(i.to_bytes(4, "little") for i in self.merge(piece.encode("utf-8", "replace")))
-            if len(piece) <= CACHE_LENGTH:
-                if len(self.pieces) >= CACHE_ENTRIES:
-                    self.pieces.clear()
-                self.pieces[piece] = got
-        return got
-
-    def _chunk(self, chunk: str) -> bytes:
-        got = b"".join(map(self._piece, self.split(chunk)))
-        if len(chunk) <= CACHE_LENGTH:
-            if len(self.chunks) >= CACHE_ENTRIES:
-                self.chunks.clear()
-            self.chunks[chunk] = got
-        return got
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text. A space before a non-space always starts a pre-token of every listed
-        pattern, so the text is cut there and repeated chunks come from a cache."""
-        if not text:
-            return b""
-        parts = text.split(" ")
-        chunks, space = parts[:1], self.space
+    def _cut(self, text: str) -> list[str]:
+        """Cut a text before every space that a non-space follows: such a space always starts a
+        pre-token of the listed patterns, so chunks can be encoded apart."""
+        parts, white = text.split(" "), self.white
+        chunks = parts[:1]
         for part in parts[1:]:
-            if part and not space(part):
+            if part and part[0] not in white:
                 chunks.append(" " + part)
             else:
                 chunks[-1] += " " + part
-        known = self.chunks
-        got = list(map(known.get, chunks))
-        if None in got:
-            got = [self._chunk(c) if g is None else g for c, g in zip(chunks, got, strict=True)]
-        return b"".join(got)
+        return chunks
+
+    def _learn(self, unseen: set[str]) -> None:
+        """Ids of chunks. Most are letters, or letters and one mark: their pre-tokens need no pattern."""
+        cuts = {}
+        for chunk in unseen:
+            if not chunk:
+                cuts[chunk] = ()
+                continue
+            body = chunk[1:] if chunk[0] == " " else chunk
+            if body.isalpha():
+                cuts[chunk] = (chunk,)
+            elif body[-1:] in MARKS and body[:-1].isalpha():
+                cuts[chunk] = (chunk[:-1], body[-1])
+            else:
+                cuts[chunk] = self.split(chunk)
+        new = list(self.pieces.lacking(set().union(*cuts.values())))
+        known, chunks = self.pieces.young, self.chunks.young
+        known.update(zip(new, self.merge([p.encode("utf-8", "replace") for p in new]), strict=True))
+        for chunk, pieces in cuts.items():
+            chunks[chunk] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
+        self.pieces.drop([p for p in new if len(p) > CACHE_LENGTH])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts. Repeated chunks come from a cache that holds short ones."""
+        split = [self._cut(t) if t else [] for t in texts]
+        unseen = self.chunks.lacking(set().union(*split))
+        if unseen:
+            self._learn(unseen)
+        known = self.chunks.young
+        out = [b"".join(map(known.__getitem__, s)) for s in split]
+        self.chunks.drop([c for c in unseen if len(c) > CACHE_LENGTH])
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocab.__getitem__, memoryview(ids).cast("I")))
@@ -198,9 +248,9 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
     def run(batches):
         own = codec(ranks, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [own.encode(t or "") for t in part.column(1).to_pylist()]
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                ids = own.encode([t or "" for t in part.column(1).to_pylist()])
                 columns = [part.column(0), pa.array(ids, pa.binary())]
                 if decode:
                     columns.append(pa.array([own.decode(i) for i in ids], pa.binary()))
