@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cashweave.llm import byte_bpe, mixing, near_dup, pii, quality_rules, secret_scan, token_store, warc
+from cashweave.llm import byte_bpe, embed_dup, mixing, near_dup, pii, quality_rules, secret_scan, token_store, warc
 from cashweave.llm.common import scratch, table
 
 #: Folder of the public tokenizers' files.
@@ -46,6 +46,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dup.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_bpe.digests(byte_bpe.encode(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", pattern()))
@@ -60,7 +64,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op3_secret_scan, op4_near_dup, op5_token_store, op6_warc, op8_byte_bpe, op9_mixing,
+    return {f.__name__: f for f in (op2_quality_rules, op3_secret_scan, op4_near_dup, op5_token_store, op6_warc, op7_embedding_dup, op8_byte_bpe, op9_mixing,
                                    op10_pii)}
 
 
