@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cashweave.llm import byte_bpe, embed_dup, mixing, near_dup, pii, quality_rules, secret_scan, token_store, warc
+from cashweave.llm import byte_bpe, embed_dup, mixing, near_dup, pii, quality_model, quality_rules, secret_scan, token_store, warc
 from cashweave.llm.common import scratch, table
 
 #: Folder of the public tokenizers' files.
@@ -21,6 +21,10 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -64,7 +68,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op3_secret_scan, op4_near_dup, op5_token_store, op6_warc, op7_embedding_dup, op8_byte_bpe, op9_mixing,
+    return {f.__name__: f for f in (op1_quality_model, op2_quality_rules, op3_secret_scan, op4_near_dup, op5_token_store, op6_warc, op7_embedding_dup, op8_byte_bpe, op9_mixing,
                                    op10_pii)}
 
 
