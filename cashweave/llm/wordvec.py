@@ -38,11 +38,17 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hash of every word ``[^\\x20\\x09-\\x0D]+``, number of words of each text); NULL is empty."""
+    return located(texts)[:2]
+
+
+def located(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`word_hashes`, the UTF-8 bytes of the texts, and each word's first and last byte in them."""
     texts = texts.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     n = int(offsets[-1] - offsets[0])
     if not n:
-        return np.zeros(0, U64), np.zeros(len(texts), np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, U64), np.zeros(len(texts), np.int64), np.zeros(0, np.uint8), none, none
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
     starts_of_texts = offsets[:-1] - offsets[0]
     solid = ~_SPACE[data]
@@ -59,7 +65,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     sums = np.cumsum(_VALUES[data] * up[:n])
     before = np.where(start > 0, sums[start - 1], U64(0))
     hashes = mix((sums[end] - before) * down[start])
-    return hashes, np.diff(np.searchsorted(start, np.append(starts_of_texts, n)))
+    return hashes, np.diff(np.searchsorted(start, np.append(starts_of_texts, n))), data, start, end
 
 
 def shingles(texts: pa.Array, width: int) -> list[np.ndarray]:
