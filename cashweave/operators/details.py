@@ -56,10 +56,11 @@ def _validate_limit(limit: int | None) -> None:
 
 
 def list_transaction_details(current: DataFrame, accounts_latest: DataFrame | None = None,
-                             months_back: int | None = None, today=None, limit: int | None = 500,
+                             months_back: int | None = None, today=None, limit: int | None = None,
                              account_id: str | None = None, search: str | None = None,
                              include_removed: bool = False) -> DataFrame:
-    """Detail rows of the current state, newest first, each id once at its latest version.
+    """Detail rows of the current state, newest first, each id once at its latest version; all of them unless
+    ``limit`` (1 to 2000) asks for the newest.
 
     ``include_removed`` also lists removed and superseded rows (P11); ``search`` matches
     ``%text%`` in name, merchant or original description, ASCII case folded, with ``%`` and
@@ -130,10 +131,10 @@ VERSION_COLUMNS = (
 
 def transaction_versions(ledger: DataFrame, transaction_id: str | None = None,
                          width: int = DEFAULT_WIDTH) -> DataFrame:
-    """Every stored version, oldest first, numbered from 1, JSON expanded.
+    """Every stored version, numbered from 1 for the oldest, JSON expanded.
 
-    With ``transaction_id`` this is a point scan (pushed to the Parquet reader); without it the
-    history of every id is produced at once (one shuffle by id).
+    With ``transaction_id`` this is a point scan (pushed to the Parquet reader), oldest version first; without
+    it the history of every id is produced at once, in no order: ``version_number`` tells it.
     """
     rows = ledger
     if transaction_id is not None:
@@ -142,14 +143,15 @@ def transaction_versions(ledger: DataFrame, transaction_id: str | None = None,
     rows = expand_json(rows)
     rows = rows.withColumn("raw", F.try_parse_json(F.nullif(F.col("raw_json"), F.lit("")))).drop("raw_json")
     if transaction_id is not None:
-        return rows.withColumn("version_number",
-                               F.row_number().over(Window.partitionBy("transaction_id").orderBy("event_id")))
+        return rows.withColumn("version_number", F.row_number().over(
+            Window.partitionBy("transaction_id").orderBy("event_id"))).orderBy("event_id")
     return salted_row_number(rows, "transaction_id", "event_id", "version_number", width)
 
 
 def transaction_history(ledger: DataFrame, transaction_id: str | None = None) -> DataFrame:
-    """Short version rows, oldest first."""
-    rows = ledger if transaction_id is None else ledger.filter(F.col("transaction_id") == transaction_id)
+    """Short version rows; of one id oldest first, of all ids in no order (``event_id`` tells it)."""
+    rows = ledger if transaction_id is None else ledger.filter(
+        F.col("transaction_id") == transaction_id).orderBy("arrival_seq")
     return rows.select(F.col("arrival_seq").alias("event_id"), "event_type", "event_class",
                        F.col("supersedes_seq").alias("supersedes_event_id"), "transaction_id", "txn_date", "amount",
                        "name", "merchant_name", "pending", "payload_hash", "inserted_at")

@@ -333,12 +333,11 @@ def finish_and_write(kept: DataFrame, path: str, ledger: DataFrame | None = None
         out.write.mode(mode).parquet(path)
     if chain:
         # The manifest of the segments this write touched, from the written rows' narrow columns.
-        from pyspark.sql.utils import AnalysisException
+        from cashweave.streaming.ingest import read_table
 
         spark = kept.sparkSession
-        try:
-            written = spark.read.parquet(path)
-        except AnalysisException:  # nothing was ever written (empty first batch)
+        written = read_table(spark, path)
+        if written is None:  # an empty first batch
             return
         if partition is None:
             # An unpartitioned table is summarised whole.

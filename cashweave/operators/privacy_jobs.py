@@ -35,19 +35,23 @@ def redact_documents(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
 
 def secret_scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Q16: rows holding token or key shaped strings, with a count per pattern.
+    """Q16: rows holding token shapes or private-key block headers, with a count per pattern.
 
     Pattern k's count is the growth in redaction markers between stage k-1 and stage k of
     F19 (literal counts over the staged texts). Texts failing the cheap necessary condition run
     one boundary-anchored pattern and nothing else; candidates run each token pattern once as a
     match test and, if they hold a token, once as the staged replacement.
     """
-    hits = df.select(id_col, text_col).filter(privacy.has_token(F.col(text_col)))
-    staged, names = _staged(hits, text_col)
-    marks = staged.select(F.col(id_col), *[privacy.marker_count(F.col(n)).alias(f"_m{i}") for i, n in enumerate(names)])
+    key_block = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(privacy.KEY_BLOCK_PATTERN)).cast("long")
+    hits = df.select(id_col, text_col).filter(
+        privacy.has_token(F.col(text_col)) | F.coalesce(F.col(text_col).contains("PRIVATE KEY"), F.lit(False)))
+    staged, names = _staged(hits.withColumn("_blocks", key_block), text_col)
+    marks = staged.select(F.col(id_col), "_blocks", *[privacy.marker_count(F.col(n)).alias(f"_m{i}") for i, n in enumerate(names)])
     k = len(names) - 1
     cols = [(F.col(f"_m{i}") - F.col(f"_m{i - 1}")).cast("long").alias(f"pattern_{i}") for i in range(1, k + 1)]
-    out = marks.select(F.col(id_col), *cols, (F.col(f"_m{k}") - F.col("_m0")).cast("long").alias("findings"))
+    blocks = F.col("_blocks").alias(f"pattern_{k + 1}")
+    out = marks.select(F.col(id_col), *cols, blocks, (F.col(f"_m{k}") - F.col("_m0") + F.col("_blocks")).cast("long")
+                       .alias("findings"))
     return out.filter(F.col("findings") > 0)
 
 

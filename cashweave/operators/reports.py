@@ -1,6 +1,7 @@
 """Cash-flow reports over current state.
 
-Amounts are summed as ``DECIMAL(18,2)`` so totals are exact and independent of row order.
+Amounts are summed as ``DECIMAL(38,10)`` so totals are exact and independent of row order, and
+rounded once, to the report's scale, when the sum is complete.
 Every report is one partial+final hash aggregation on a small key (month or label);
 the month spine is a ``sequence`` of at most a few hundred months per group.
 """
@@ -14,7 +15,17 @@ from pyspark.sql import functions as F
 
 from cashweave.functions import scalars
 
-MONEY = "decimal(18,2)"
+# Type of a single amount and of its sums: 28 digits before the point, 10 after it.
+EXACT = "decimal(38,10)"
+
+
+def money(scale: int = 2) -> str:
+    """Type of a reported total."""
+    return f"decimal(38,{scale})"
+
+
+def _total(c, scale: int):
+    return F.round(F.coalesce(F.sum(c).cast(EXACT), F.lit(0).cast(EXACT)), scale).cast(money(scale))
 
 
 def _as_date(today) -> _dt.date:
@@ -40,9 +51,11 @@ def report_rows(df: DataFrame) -> DataFrame:
 
 
 def monthly_cashflow(active: DataFrame, months_back: int | None = None, today=None,
-                     by: tuple[str, ...] = ()) -> DataFrame:
+                     by: tuple[str, ...] = (), scale: int = 2) -> DataFrame:
     """A1: inflow, outflow, net and row count per month, with every month of the range present.
 
+    Totals are exact sums rounded half up to ``scale`` places.
+
     With ``months_back`` the range is the n months ending at ``today``'s month (later-dated rows
     are not shown); without it, the first to the last month seen (per ``by`` group when given).
     """
@@ -53,11 +66,11 @@ def monthly_cashflow(active: DataFrame, months_back: int | None = None, today=No
     if months_back is not None and months_back > 0:
         first = scalars.month_floor_minus(_as_date(today), months_back - 1)
         rows = rows.filter(F.col("_d") >= first)
-    amount = F.coalesce(F.col("amount"), F.lit(0)).cast(MONEY)
+    amount, nothing = F.coalesce(F.col("amount"), F.lit(0)).cast(EXACT), F.lit(0).cast(EXACT)
     keys = [F.col(c) for c in by]
     totals = rows.groupBy(*keys, F.trunc("_d", "month").alias("_m")).agg(
-        F.sum(F.when(amount < 0, -amount).otherwise(F.lit(0).cast(MONEY))).cast(MONEY).alias("inflow"),
-        F.sum(F.when(amount > 0, amount).otherwise(F.lit(0).cast(MONEY))).cast(MONEY).alias("outflow"),
+        _total(F.when(amount < 0, -amount).otherwise(nothing), scale).alias("inflow"),
+        _total(F.when(amount > 0, amount).otherwise(nothing), scale).alias("outflow"),
         F.count(F.lit(1)).alias("transaction_count"),
     )
     if months_back is not None and months_back > 0:
@@ -73,7 +86,7 @@ def monthly_cashflow(active: DataFrame, months_back: int | None = None, today=No
         bounds = totals.groupBy(*keys).agg(F.min("_m").alias("_lo"), F.max("_m").alias("_hi"))
         spine = bounds.select(*keys, F.explode(F.sequence("_lo", "_hi", F.expr("interval 1 month"))).alias("_m"))
     filled = spine.join(totals, [*by, "_m"], "left")
-    zero = F.lit(0).cast(MONEY)
+    zero = F.lit(0).cast(money(scale))
     inflow = F.coalesce(F.col("inflow"), zero)
     outflow = F.coalesce(F.col("outflow"), zero)
     return filled.select(
@@ -81,22 +94,22 @@ def monthly_cashflow(active: DataFrame, months_back: int | None = None, today=No
         scalars.month_key(F.col("_m")).alias("month"),
         inflow.alias("inflow"),
         outflow.alias("outflow"),
-        (inflow - outflow).cast(MONEY).alias("net"),
+        (inflow - outflow).cast(money(scale)).alias("net"),
         F.coalesce(F.col("transaction_count"), F.lit(0)).cast("long").alias("transaction_count"),
     )
 
 
-def summarize_months(months: DataFrame) -> DataFrame:
+def summarize_months(months: DataFrame, scale: int = 2) -> DataFrame:
     """A2: totals of the (rounded) months, net, and averages over the month count (at least 1)."""
     agg = months.agg(
-        F.coalesce(F.sum("inflow"), F.lit(0)).cast(MONEY).alias("total_inflow"),
-        F.coalesce(F.sum("outflow"), F.lit(0)).cast(MONEY).alias("total_outflow"),
+        F.coalesce(F.sum("inflow"), F.lit(0)).cast(money(scale)).alias("total_inflow"),
+        F.coalesce(F.sum("outflow"), F.lit(0)).cast(money(scale)).alias("total_outflow"),
         F.greatest(F.count(F.lit(1)), F.lit(1)).alias("_n"),
     )
-    net = (F.col("total_inflow") - F.col("total_outflow")).cast(MONEY)
+    net = (F.col("total_inflow") - F.col("total_outflow")).cast(money(scale))
 
     def avg(c):
-        return F.round(c.cast("decimal(38,6)") / F.col("_n"), 2).cast(MONEY)
+        return F.round(c.cast("decimal(38,8)") / F.col("_n"), scale).cast(money(scale))
 
     return agg.select(
         "total_inflow", "total_outflow", net.alias("net"),
@@ -107,7 +120,7 @@ def summarize_months(months: DataFrame) -> DataFrame:
 
 
 def top_merchants(active: DataFrame, direction: str = "outflow", limit: int = 10,
-                  months_back: int | None = None, today=None) -> DataFrame:
+                  months_back: int | None = None, today=None, scale: int = 2) -> DataFrame:
     """A3/O3: total |amount| and count per merchant label, largest first, top ``limit``.
 
     Equal totals keep the order in which labels first appear in the newest-first listing
@@ -122,7 +135,7 @@ def top_merchants(active: DataFrame, direction: str = "outflow", limit: int = 10
         rows = rows.filter(d == direction)
     label = scalars.merchant_label(F.col("merchant_name"), F.col("name"))
     per = rows.groupBy(label.alias("merchant")).agg(
-        F.sum(F.abs(amount.cast(MONEY))).cast(MONEY).alias("amount"),
+        _total(F.abs(amount.cast(EXACT)), scale).alias("amount"),
         F.count(F.lit(1)).alias("transaction_count"),
         F.max(F.struct(F.col("date").isNotNull().alias("has_date"), F.col("date"),
                        F.col("state_event_id"))).alias("_first_seen"),
@@ -136,5 +149,6 @@ def top_merchants(active: DataFrame, direction: str = "outflow", limit: int = 10
 def with_bar_widths(report: DataFrame, value_col: str, out_col: str = "bar_pct", zero_floor: float = 2.0,
                     floor: float = 8.0) -> DataFrame:
     """Bar widths relative to the report's largest absolute value (report-sized input)."""
-    mx = F.max(F.abs(F.col(value_col))).over(Window.partitionBy())
-    return report.withColumn(out_col, scalars.share_of_max(F.col(value_col), mx, zero_floor, floor))
+    top = report.agg(F.max(F.abs(F.col(value_col))).alias("_mx"))  # one row, broadcast
+    joined = report.join(F.broadcast(top))
+    return joined.withColumn(out_col, scalars.share_of_max(F.col(value_col), F.col("_mx"), zero_floor, floor)).drop("_mx")

@@ -19,7 +19,7 @@ from cashweave.sources import fixtures, legacy
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MONEY = "decimal(18,2)"
+MONEY = "decimal(38,2)"
 
 
 def l1_ledger(spark: SparkSession, sf_dir: str, chain: bool = False) -> DataFrame:

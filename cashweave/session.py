@@ -80,13 +80,15 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app_nam
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session leaves it unset (local tests) is a folder of our own chosen and
-    registered, so lineage cuts always land where every executor can read them.
+    Only a local session may leave it unset (tests): a folder of our own is chosen and registered
+    then. On a cluster that is an error, as executors do not see each other's local folders.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="cashweave-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(configured)

@@ -47,11 +47,11 @@ def _collapse_with_state(key, pdfs, state):
     before_class = np.concatenate([np.array([prev_class], dtype=object), klass[:-1]])
     before_hash = np.concatenate([np.array([prev_hash], dtype=object), digest[:-1]])
     keep = ~((before_class == klass) & (before_hash == digest))
-    kept_seq = pd.Series(np.where(keep, seq, np.nan))
-    first = np.nan if prev_seq is None else float(prev_seq)
-    supersedes = pd.concat([pd.Series([first]), kept_seq.iloc[:-1]], ignore_index=True).ffill()
+    # 64-bit integers with a mask all the way: a float would round sequence numbers above 2^53.
+    last_kept = pd.array(np.concatenate([[prev_seq or 0], seq[:-1]]).astype("int64"), dtype="Int64")
+    last_kept[np.concatenate([[prev_seq is None], ~keep[:-1]])] = pd.NA
     out = pdf[keep].copy()
-    out["supersedes_seq"] = pd.array(supersedes[keep].to_numpy(), dtype="Float64").astype("Int64")
+    out["supersedes_seq"] = pd.Series(last_kept).ffill()[keep].array
     if keep.any():  # always true for an id without stored state: its first event is new
         last = int(np.flatnonzero(keep)[-1])
         state.update((int(seq[last]), klass[last], digest[last]))
