@@ -61,7 +61,10 @@ def verify_hash_chain(ledger: DataFrame, limit: int | None = None,
     if not limit:
         link_ok = link_ok.otherwise(F.col("prev_ledger_hash").isNull())
     else:
-        link_ok = link_ok.otherwise(F.lit(True))
+        # Only the first checked row may follow one that is not read; other segments' heads start their chain.
+        first = F.min("arrival_seq").over(Window.partitionBy())  # at most ``limit`` rows
+        rows = rows.withColumn("_first", F.col("arrival_seq") == first)
+        link_ok = link_ok.otherwise(F.col("_first") | F.col("prev_ledger_hash").isNull())
     broken = checked & ((expected != F.col("ledger_hash")) | ~link_ok)
     stats = rows.agg(F.count_if(checked).alias("events_checked"), F.count_if(broken).alias("break_count"),
                      F.min(F.when(broken, F.col("arrival_seq"))).alias("first_break_seq"))
@@ -73,21 +76,6 @@ def verify_hash_chain(ledger: DataFrame, limit: int | None = None,
         "first_break_seq")
 
 
-def verify_manifest(ledger: DataFrame, manifest: DataFrame, segment_width: int = DEFAULT_SEGMENT_WIDTH) -> DataFrame:
-    """Compare the stored segment manifest with one recomputed from the ledger (full outer join
-    on the segment): a segment missing on either side, or with another count, range or last hash,
-    is a mismatch. Together with :func:`verify_hash_chain` this also catches whole-segment deletion."""
-    from cashweave.operators.ledger import segment_manifest
-
-    now = segment_manifest(ledger, segment_width).alias("n")
-    was = manifest.select("segment", "manifest_hash").alias("w")
-    j = now.join(was, F.col("n.segment") == F.col("w.segment"), "full_outer")
-    bad = ~F.col("n.manifest_hash").eqNullSafe(F.col("w.manifest_hash"))
-    return j.agg(F.count(F.lit(1)).alias("segments"), F.count_if(bad).alias("segments_mismatched"),
-                 F.min(F.when(bad, F.coalesce(F.col("n.segment"), F.col("w.segment")))).alias("first_bad_segment")) \
-        .withColumn("ok", F.col("segments_mismatched") == 0)
-
-
 def content_hash_check(ledger: DataFrame) -> DataFrame:
     """Q15: stored canonical JSON still hashes to the stored payload hash."""
     bad = ledger.agg(F.count_if(F.sha2(F.col("raw_json"), 256) != F.col("payload_hash")).alias("n"))

@@ -17,7 +17,9 @@ from pyspark.sql import types as T
 
 from cashweave import schemas
 from cashweave.functions import hashing, privacy, scalars
+from cashweave.operators import roots
 from cashweave.operators.windows import seq_range
+from cashweave.tables import read_table
 
 DEFAULT_BUCKET_WIDTH = 1 << 22
 # Rows per hash-chain segment: segments fold in parallel, one Python task each.
@@ -288,21 +290,6 @@ def append_events(changes: DataFrame, now: str, ledger: DataFrame | None = None,
     return kept.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.LEDGER.fields])
 
 
-def segment_manifest(ledger: DataFrame, segment_width: int = DEFAULT_SEGMENT_WIDTH) -> DataFrame:
-    """One row per chain segment: first and last position, row count, last hash.
-
-    Written next to the ledger at ingest; comparing it with a recomputed one (see
-    ``audit.verify_manifest``) reveals a segment deleted as a whole, which no link inside the
-    remaining segments can show. One aggregation, partial per map task; no sequential fold.
-    """
-    seg = seq_range("arrival_seq", segment_width)
-    m = ledger.filter(F.col("ledger_hash").isNotNull()).groupBy(seg.alias("segment")).agg(
-        F.min("arrival_seq").alias("first_seq"), F.max("arrival_seq").alias("last_seq"),
-        F.count(F.lit(1)).alias("rows"), F.max_by("ledger_hash", "arrival_seq").alias("last_hash"))
-    return m.withColumn("manifest_hash", hashing.sha256_parts(F.col("segment"), F.col("first_seq"),
-                                                               F.col("last_seq"), F.col("rows"), F.col("last_hash")))
-
-
 def finish_and_write(kept: DataFrame, path: str, ledger: DataFrame | None = None, chain: bool = True,
                      segment_width: int = DEFAULT_SEGMENT_WIDTH, partition: tuple[str, int] | None = None,
                      mode: str = "append", bounds: tuple[int | None, int | None] | None = None) -> None:
@@ -326,38 +313,30 @@ def finish_and_write(kept: DataFrame, path: str, ledger: DataFrame | None = None
     order = ["transaction_id", "_b", "arrival_seq"] if "_b" in out.columns else ["transaction_id", "arrival_seq"]
     out = out.sortWithinPartitions(*order)
     out = out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.LEDGER.fields])
+    spark = kept.sparkSession
+    if chain:
+        known = read_table(spark, path.rstrip("/") + "_roots")
+        root_seq, root = roots.newest_root(known, partition[1] if partition else None)
+        # Without a partition of its own an append is told apart by its positions: all above the stored ones.
+        above = roots.read_entries(spark, path).agg(F.max("last_seq")).first()[0] if known is not None else None
+        if partition is None and above is not None and bounds is not None and bounds[0] is not None and bounds[0] <= above:
+            raise ValueError("an append must follow the stored positions, or have a partition of its own")
     if partition is not None:
         name, value = partition
         out.withColumn(name, F.lit(value).cast("long")).write.mode(mode).partitionBy(name).parquet(path)
     else:
         out.write.mode(mode).parquet(path)
-    if chain:
-        # The manifest of the segments this write touched, from the written rows' narrow columns.
-        from cashweave.streaming.ingest import read_table
-
-        spark = kept.sparkSession
-        written = read_table(spark, path)
-        if written is None:  # an empty first batch
-            return
-        if partition is None:
-            # An unpartitioned table is summarised whole.
-            manifest = segment_manifest(written, segment_width)
-        else:
-            written = written.filter(F.col(partition[0]) == partition[1])
-            lo, hi = written.agg(F.min("arrival_seq"), F.max("arrival_seq")).first()
-            if lo is None:
-                return
-            seg_lo = (lo // segment_width) * segment_width
-            seg_hi = (hi // segment_width + 1) * segment_width
-            # Whole segments as stored now (a batch may continue a segment of an earlier one),
-            # read with a literal arrival range that Parquet statistics prune.
-            touched = spark.read.parquet(path).filter((F.col("arrival_seq") >= seg_lo) &
-                                                      (F.col("arrival_seq") < seg_hi))
-            seg = seq_range("arrival_seq", segment_width)
-            manifest = segment_manifest(touched.join(written.select(seg.alias("_s")).distinct(),
-                                                     seg == F.col("_s"), "left_semi"), segment_width)
-        manifest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy("segment").parquet(path.rstrip("/") + "_manifest")
+    if not chain:
+        return
+    written = read_table(spark, path)
+    if written is None:  # an empty first batch
+        return
+    if partition is not None:
+        written = written.filter(F.col(partition[0]) == partition[1])
+    elif above is not None:
+        written = written.filter(F.col("arrival_seq") > above)  # pruned by Parquet statistics
+    narrow = written.filter(F.col("ledger_hash").isNotNull()).select("arrival_seq", "ledger_hash")
+    roots.append_root(spark, path, narrow, partition[1] if partition else root_seq + 1, segment_width, root)
 
 
 def write_events(changes: DataFrame, now: str, path: str, ledger: DataFrame | None = None, env: str | None = None,

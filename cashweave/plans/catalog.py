@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cashweave.operators import audit, details, dimensions, observations, privacy_jobs, reports, state
+from cashweave.operators import audit, details, dimensions, observations, privacy_jobs, reports, roots, state
 from cashweave.operators import ledger as ledger_ops
 from cashweave.plans import oracle
 from cashweave.session import checkpoint_dir, tune
@@ -351,14 +351,42 @@ def q_backfill_plan(spark, sf_dir):
     return dimensions.plan_backfills(fixtures.it1_items(spark, sf_dir), bf, today=oracle.TODAY)
 
 
-def q_verify_chain_manifest(spark, sf_dir):
-    """L1 written by the ingest job (ledger plus segment manifest), then the manifest check."""
+def _written_ledger(spark, sf_dir, segment_width):
+    """L1 appended by the ingest job in two batches; returns (path, ledger)."""
     import uuid
 
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/l1-written-{uuid.uuid4().hex}"
-    ledger_ops.write_events(fixtures.l1_changes(spark, sf_dir), now=fixtures.FIXTURE_NOW, path=path)
-    led = spark.read.parquet(path)
-    return audit.verify_manifest(led, spark.read.parquet(path + "_manifest"))
+    changes = fixtures.l1_changes(spark, sf_dir)
+    cut = changes.agg(F.max("arrival_seq")).first()[0] // 2
+    first = changes.filter(F.col("arrival_seq") <= cut)
+    ledger_ops.write_events(first, now=fixtures.FIXTURE_NOW, path=path, segment_width=segment_width)
+    ledger_ops.write_events(changes.filter(F.col("arrival_seq") > cut), now=fixtures.FIXTURE_NOW, path=path,
+                            ledger=spark.read.parquet(path), segment_width=segment_width)
+    return path, spark.read.parquet(path), cut
+
+
+def q_verify_chain_manifest(spark, sf_dir):
+    """L1 written by the ingest job in two appends, then the check of entries and roots."""
+    path, led, _ = _written_ledger(spark, sf_dir, ledger_ops.DEFAULT_SEGMENT_WIDTH)
+    return roots.verify_roots(led, roots.read_entries(spark, path), roots.read_roots(spark, path),
+                              ledger_ops.DEFAULT_SEGMENT_WIDTH)
+
+
+def q_chain_deletions(spark, sf_dir):
+    """Rows deleted between appends and after them: head and tail of the first append, one segment, one page."""
+    width = oracle.CHAIN_WIDTH
+    path, led, cut = _written_ledger(spark, sf_dir, width)
+    entries, known = roots.read_entries(spark, path), roots.read_roots(spark, path)
+    seq = F.col("arrival_seq")
+    ends = led.filter(seq <= cut).agg(F.min(seq).alias("lo"), F.max(seq).alias("hi")).first()
+    cases = {"nothing": F.lit(False), "head": seq == ends.lo, "tail": seq == ends.hi,
+             "segment": F.expr(f"arrival_seq div {width}") == 1, "page": seq.between(100, 299)}
+    out = None
+    for name, gone in cases.items():
+        got = roots.verify_roots(led.filter(~gone), entries, known, width).select(
+            F.lit(name).alias("deleted"), "ok", "segments_mismatched", "rows_uncovered", "roots_broken")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 def q_ledger_chain(spark, sf_dir):
@@ -512,6 +540,7 @@ def _registry() -> dict[str, Query]:
         "verify_hash_chain_tampered": q_verify_hash_chain_tampered,
         "ledger_chain": q_ledger_chain,
         "verify_chain_manifest": q_verify_chain_manifest,
+        "chain_deletions": q_chain_deletions,
         "transaction_history": q_transaction_history,
         "sync_runs_view": q_sync_runs_view,
         "disconnect_all": q_disconnect_all,

@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from cashweave.operators import ledger as ledger_ops
 from cashweave.session import tune
 from cashweave.sources import pages as page_src
-from cashweave.streaming.ingest import read_table
+from cashweave.tables import read_table
 
 STATE_SCHEMA = "seq long, klass string, hash string"
 
