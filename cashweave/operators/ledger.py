@@ -51,7 +51,9 @@ def prepare_events(changes: DataFrame, now: str | None, env: str | None = None)
     """P2 + F21 + F1/F2 + P1: change rows -> typed ledger rows without link, identity or chain.
 
     ``changes`` carries ``arrival_seq, item_id, event_type, payload`` (a struct) and optionally
-    ``batch_id, cursor_fingerprint, received_at, env``. ``now`` (ISO text) stamps ``inserted_at``;
+    ``batch_id, cursor_fingerprint, received_at, env`` and ``payload_json``: the payload's whole JSON text. With
+    the text, ``raw_json``, the hash and the nested columns come from it, so fields the struct does not
+    list are kept and a change in one is a new version; without it they come from the struct. ``now`` (ISO text) stamps ``inserted_at``;
     ``None`` uses ``current_timestamp()``, which a streaming query fixes per micro-batch from its
     offset log, so a replayed batch gets the same stamp.
     """
@@ -59,6 +61,9 @@ def prepare_events(changes: DataFrame, now: str | None, env: str | None = None)
     stripped = privacy.strip_secrets(F.col("payload"), ptype_raw)
     ptype = privacy.stripped_type(ptype_raw)
     df = changes.withColumn("payload", stripped)
+    is_open = "payload_json" in changes.columns
+    if is_open:
+        df = df.withColumn("_open", privacy.canonical_open_json(F.col("payload_json")))
     p = F.col("payload")
 
     def opt(name: str, default: Column) -> Column:
@@ -71,6 +76,8 @@ def prepare_events(changes: DataFrame, now: str | None, env: str | None = None)
     removal_struct = F.struct(*[p.getField(f).alias(f) for f in removal_fields])
     canonical = F.when(klass == "removed", hashing.canonical_json(removal_struct, removal_type)) \
         .otherwise(hashing.canonical_json(p, ptype))
+    if is_open:
+        canonical = F.coalesce(F.col("_open"), canonical)
 
     def text(name: str) -> Column:
         return _field(p, ptype, name, T.StringType()).cast("string")
@@ -79,7 +86,10 @@ def prepare_events(changes: DataFrame, now: str | None, env: str | None = None)
         if name not in ptype.fieldNames():
             return F.lit(None).cast("string")
         c = p.getField(name)
-        return F.when(c.isNotNull(), hashing.canonical_json(c, ptype[name].dataType))
+        typed = F.when(c.isNotNull(), hashing.canonical_json(c, ptype[name].dataType))
+        if not is_open:
+            return typed
+        return F.when(F.col("_open").isNotNull(), F.get_json_object("_open", f"$.{name}")).otherwise(typed)
 
     pending = _field(p, ptype, "pending", T.BooleanType())
     cols = {

@@ -276,57 +276,135 @@ def q_legacy_accounts(spark, sf_dir):
     return obs.select("observation_seq", "account_id", "payload_hash", "observation_identity", "observed_at")
 
 
-def q_stream_ingest(spark, sf_dir):
-    """Pages of L1 landed as files in four arrival groups, ingested by the stream in four
-    micro-batches, then the last batch replayed; returns the stored ledger."""
+_STREAMED = ("arrival_seq", "transaction_id", "event_type", "event_class", "payload_hash", "supersedes_seq",
+             "event_identity", "location_json")
+
+
+def _streamed(spark, sf_dir, name, start):
+    """Open pages landed in two groups; after each, ``start(base)`` drains what is new and stops."""
     import uuid
 
-    from cashweave.session import checkpoint_dir
+    base = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    pages = stored(fixtures.open_pages(spark, sf_dir), f"{name}-pages")
+    low, top = pages.agg(F.min("page_seq"), F.max("page_seq")).first()
+    for g in range(2):
+        group = F.floor((F.col("page_seq") - low) * 2 / (top - low + 1)) == g
+        pages.filter(group).select("value").write.mode("append").text(f"{base}/pages")
+        start(base).awaitTermination()
+    return base
+
+
+def q_stream_ingest(spark, sf_dir):
+    """Landed pages through the stream in two runs; the last micro-batch is replayed and replaces itself."""
+    from cashweave import schemas
     from cashweave.streaming import ingest
 
-    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-ingest-{uuid.uuid4().hex}"
-    pages = fixtures.pg1_pages(spark, sf_dir)
-    top = pages.agg(F.max("page_seq")).first()[0]
-    groups = 4
-    for g in range(groups):
-        part = pages.filter(F.floor(F.col("page_seq") * groups / (top + 1)) == g)
-        part.coalesce(1).write.mode("append").json(f"{base}/pages")
-    q = ingest.start_ingest(spark, f"{base}/pages", f"{base}/ledger", f"{base}/chk", f"{base}/runs",
-                            max_files_per_trigger=1, now=fixtures.FIXTURE_NOW)
-    q.awaitTermination()
-    # Replay of the last micro-batch (as after a crash before its commit): it must replace itself.
-    last = spark.read.schema(pages.schema).json(f"{base}/pages").filter(
-        F.floor(F.col("page_seq") * groups / (top + 1)) == groups - 1)
-    ingest.LedgerWriter(f"{base}/ledger", f"{base}/runs", fixtures.FIXTURE_NOW)(last, groups - 1)
-    return spark.read.parquet(f"{base}/ledger").select("transaction_id", "event_type", "event_class",
-                                                       "payload_hash")
+    base = _streamed(spark, sf_dir, "stream-ingest", lambda b: ingest.start_ingest(
+        spark, f"{b}/pages", f"{b}/ledger", f"{b}/chk", f"{b}/runs", now=fixtures.FIXTURE_NOW))
+    pages = spark.read.schema(schemas.CHANGE_PAGE).json(f"{base}/pages")
+    low, top = pages.agg(F.min("page_seq"), F.max("page_seq")).first()
+    last = pages.filter(F.floor((F.col("page_seq") - low) * 2 / (top - low + 1)) == 1)
+    ingest.LedgerWriter(f"{base}/ledger", f"{base}/runs", fixtures.FIXTURE_NOW)(last, 1)
+    return spark.read.parquet(f"{base}/ledger").select(*_STREAMED)
 
 
-def q_stream_ingest_stateful(spark, sf_dir):
-    """The same landed pages through the state-store ingest (keyed dedup state per id)."""
+def q_sync_totals(spark, sf_dir):
+    """A12 over the run log that the stream wrote."""
+    from cashweave.streaming import ingest
+
+    base = _streamed(spark, sf_dir, "stream-totals", lambda b: ingest.start_ingest(
+        spark, f"{b}/pages", f"{b}/ledger", f"{b}/chk", f"{b}/runs", now=fixtures.FIXTURE_NOW))
+    return ingest.sync_totals(spark.read.parquet(f"{base}/runs"))
+
+
+def q_ingest_runs(spark, sf_dir):
+    """The run log as the ingest wrote it, with a failed run at its end, through the run view (M6, T6s, O6)."""
+    from cashweave import schemas
+    from cashweave.streaming import ingest
+
+    base = _streamed(spark, sf_dir, "stream-runs", lambda b: ingest.start_ingest(
+        spark, f"{b}/pages", f"{b}/ledger", f"{b}/chk", f"{b}/runs", now=fixtures.FIXTURE_NOW))
+    bad = spark.read.schema(schemas.CHANGE_PAGE).json(f"{base}/pages").withColumn(
+        "next_cursor", F.when(F.col("page_seq") >= 0, F.raise_error(F.lit("connection lost")).cast("string")))
+    try:
+        ingest.LedgerWriter(f"{base}/ledger", f"{base}/runs", fixtures.FIXTURE_NOW)(bad, 2)
+    except Exception as error:
+        if "connection lost" not in str(error):
+            raise
+    runs = dimensions.sync_runs_view(spark.read.parquet(f"{base}/runs").drop("ingest_batch", "phase"))
+    return runs.select("batch_id", "item_id", "status", "mode", "error_class", "page_count", "inserted_event_count",
+                       F.col("starting_cursor_fingerprint").isNotNull().alias("continues"))
+
+
+def q_backfill_job(spark, sf_dir):
+    """R1's orders as history of the active items, run twice: what each run imported and completed."""
     import uuid
 
-    from cashweave.session import checkpoint_dir
+    from cashweave.streaming import backfill
+
+    base = f"{checkpoint_dir(spark).rstrip('/')}/backfill-{uuid.uuid4().hex}"
+    items, history = fixtures.it1_items(spark, sf_dir), fixtures.r1_changes(spark, sf_dir)
+    for n in (1, 2):
+        backfill.run_backfill(spark, items, history, f"{base}/ledger", f"{base}/status", f"run {n}", "2001-08-01")
+    log = backfill.read_status(spark, f"{base}/status")
+    return log.groupBy(F.col("at").alias("run"), "status").agg(
+        F.count(F.lit(1)).alias("items"), F.coalesce(F.sum("inserted_event_count"), F.lit(0)).alias("events"))
+
+
+def q_stream_ingest_stateful(spark, sf_dir):
+    """The same landed pages through the state-store ingest (keyed dedup state per id)."""
     from cashweave.streaming import stateful
 
-    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-stateful-{uuid.uuid4().hex}"
-    pages = fixtures.pg1_pages(spark, sf_dir)
-    top = pages.agg(F.max("page_seq")).first()[0]
-    for g in range(4):
-        pages.filter(F.floor(F.col("page_seq") * 4 / (top + 1)) == g).coalesce(1) \
-            .write.mode("append").json(f"{base}/pages")
-    q = stateful.start_stateful_ingest(spark, f"{base}/pages", f"{base}/ledger", f"{base}/chk",
-                                       now=fixtures.FIXTURE_NOW, max_files_per_trigger=1)
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/ledger").select("transaction_id", "event_type", "event_class",
-                                                       "payload_hash")
+    base = _streamed(spark, sf_dir, "stream-stateful", lambda b: stateful.start_stateful_ingest(
+        spark, f"{b}/pages", f"{b}/ledger", f"{b}/chk", now=fixtures.FIXTURE_NOW))
+    return spark.read.parquet(f"{base}/ledger").select(*_STREAMED)
+
+
+def _open_ledger(spark, sf_dir):
+    """Open pages appended as one batch."""
+    from cashweave import schemas
+    from cashweave.sources import pages as page_src
+
+    lines = fixtures.open_pages(spark, sf_dir).select(F.from_json("value", schemas.CHANGE_PAGE).alias("p")).select("p.*")
+    return stored(ledger_ops.append_events(page_src.explode_pages(lines), now=fixtures.FIXTURE_NOW, chain=False), "open-ledger")
+
+
+def q_open_payload(spark, sf_dir):
+    """Payloads kept whole: unlisted fields in raw_json and its hash, credentials stripped, empty ids left out."""
+    return _open_ledger(spark, sf_dir).select("arrival_seq", "transaction_id", "event_type", "raw_json", "payload_hash",
+                                              "txn_datetime", "supersedes_seq")
+
+
+def q_detail_labels(spark, sf_dir):
+    """Labels of the newest versions (P18, P22-P26) from nested fields that are really there."""
+    current = state.current_state_from_ledger(_open_ledger(spark, sf_dir))
+    rows = details.with_labels(details.list_transaction_details(current, None, include_removed=True))
+    return rows.select("transaction_id", "category_label", "location_label", "counterparty_names")
+
+
+def q_point_scan(spark, sf_dir):
+    """All versions of the id with the most events, numbered from the oldest."""
+    led = l1_stored_ledger(spark, sf_dir)
+    top = led.groupBy("transaction_id").count().orderBy(F.desc("count"), "transaction_id").first()["transaction_id"]
+    return details.transaction_versions(led, top).select("event_id", "version_number", "event_type")
+
+
+def q_account_transactions(spark, sf_dir):
+    """The listing of one account."""
+    rows = details.list_transaction_details(l1_current(spark, sf_dir), None, account_id="a1", include_removed=True)
+    return rows.select("transaction_id", "date", F.col("amount").cast(MONEY).alias("amount"))
+
+
+def q_active_items(spark, sf_dir):
+    """P27."""
+    return dimensions.active_items(fixtures.it1_items(spark, sf_dir)).select("item_id", "env", "has_access_token")
 
 
 def q_explode_pages(spark, sf_dir):
     from cashweave.sources import pages as page_src
 
     ch = page_src.explode_pages(fixtures.pg1_pages(spark, sf_dir))
-    return ch.select("item_id", "event_type", F.col("payload.transaction_id").alias("transaction_id"))
+    return ch.select("arrival_seq", "item_id", "event_type", F.col("payload.transaction_id").alias("transaction_id"))
 
 
 def q_history_range(spark, sf_dir):
@@ -532,6 +610,14 @@ def _registry() -> dict[str, Query]:
         "legacy_accounts": q_legacy_accounts,
         "stream_ingest": q_stream_ingest,
         "explode_pages": q_explode_pages,
+        "open_payload": q_open_payload,
+        "detail_labels": q_detail_labels,
+        "point_scan": q_point_scan,
+        "account_transactions": q_account_transactions,
+        "active_items": q_active_items,
+        "sync_totals": q_sync_totals,
+        "ingest_runs": q_ingest_runs,
+        "backfill_job": q_backfill_job,
         "stream_ingest_stateful": q_stream_ingest_stateful,
         "history_range": q_history_range,
         "health_summary": q_health_summary,

@@ -1,7 +1,7 @@
 """Explicit schemas: change-feed payloads, the event ledger, observations and dimensions.
 
-No schema inference anywhere: payloads are typed structs, the canonical JSON of the
-payload (``raw_json``) keeps every field for later reads.
+No schema inference anywhere. Landed pages hold payloads as JSON text: typed columns are read from it, and
+its canonical form (``raw_json``) keeps every field, listed here or not, for later reads and for the hash.
 """
 
 from __future__ import annotations
@@ -47,17 +47,11 @@ BALANCES = _struct(("available", D), ("current", D), ("limit", D), ("iso_currenc
 ACCOUNT_PAYLOAD = _struct(("account_id", S), ("name", S), ("official_name", S), ("type", S), ("subtype", S),
                           ("mask", S), ("balances", BALANCES))
 
-# One landed change page (S1): the unit of atomic commit.
+# One landed change page (S1): the unit of atomic commit. An array of strings makes the JSON reader keep each
+# payload object as its whole text, with fields it was never told of.
 CHANGE_PAGE = _struct(
-    ("item_id", S), ("page_seq", L), ("mode", S),
-    ("added", T.ArrayType(TRANSACTION_PAYLOAD)), ("modified", T.ArrayType(TRANSACTION_PAYLOAD)),
-    ("removed", T.ArrayType(REMOVAL_PAYLOAD)), ("next_cursor", S), ("has_more", B),
-)
-
-# Flattened change rows: input of the ledger append.
-CHANGE_ROW = _struct(
-    ("arrival_seq", L), ("item_id", S), ("event_type", S), ("batch_id", S), ("cursor_fingerprint", S),
-    ("received_at", S), ("env", S), ("payload", TRANSACTION_PAYLOAD),
+    ("item_id", S), ("page_seq", L), ("mode", S), ("added", T.ArrayType(S)), ("modified", T.ArrayType(S)),
+    ("removed", T.ArrayType(S)), ("next_cursor", S), ("has_more", B),
 )
 
 # Event ledger columns in order (the reference's 46, with our names for the key and order).

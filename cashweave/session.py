@@ -77,6 +77,24 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app_nam
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters where it is not installed on every node.
+
+    Python stages (the chain fold, open JSON, the state store) import it on the workers. Called once a
+    session; a second call does nothing.
+    """
+    import pathlib
+    import shutil
+
+    context = spark.sparkContext
+    if getattr(context, "_cashweave_shipped", False):
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="cashweave-ship-")  # on the driver; Spark copies the archive from it
+    context.addPyFile(shutil.make_archive(f"{folder}/cashweave", "zip", package.parent, package.name))
+    context._cashweave_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 

@@ -269,3 +269,43 @@ def sr1_run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("sync_id", (F.col("sync_id") * 2 + F.col("e.phase")).cast("long").alias("event_seq"),
                      "batch_id", "item_id", "started_at", F.col("e.finished_at").alias("finished_at"),
                      F.col("e.status").alias("status"), F.col("e.mode").alias("mode"))
+
+
+def open_pages(spark: SparkSession, sf_dir: str, block: int = 500) -> DataFrame:
+    """Change pages as JSON lines (page_seq, value), with fields no schema lists and credentials inside.
+
+    State payloads carry ``x_source``, ``x_step`` (0 or 1, so that it alone may change), an unlisted key in
+    ``location``, and credential keys at two depths; every 97th event has an empty transaction id. Page
+    numbers start above 2**31.
+    """
+    ch = l1_changes(spark, sf_dir)
+    seq, p = F.col("arrival_seq"), F.col("payload")
+    uid = F.substring("payload.account_id", 2, 20).cast("long")
+    tid = F.when(seq % 97 == 0, F.lit("")).otherwise(p["transaction_id"]).alias("transaction_id")
+    state = F.struct(
+        tid, p["account_id"].alias("account_id"), p["pending_transaction_id"].alias("pending_transaction_id"),
+        p["amount"].alias("amount"), p["date"].alias("date"), p["name"].alias("name"),
+        p["merchant_name"].alias("merchant_name"), p["pending"].alias("pending"),
+        F.when(uid % 2 == 0, F.lit("2024-01-01T00:00:00Z")).alias("datetime"),
+        F.array(F.lit("Food"), F.concat(F.lit("K"), (uid % 3).cast("string"))).alias("category"),
+        F.array(F.struct(F.concat(F.lit("Shop "), (uid % 5).cast("string")).alias("name"), F.lit("k").alias("api_key")))
+        .alias("counterparties"),
+        F.struct(F.concat(F.lit("p"), (uid % 4).cast("string")).alias("plus_code"),
+                 F.concat(F.lit("C"), (uid % 7).cast("string")).alias("city")).alias("location"),
+        F.concat(F.lit("f"), (uid % 3).cast("string")).alias("x_source"), (seq % 2).alias("x_step"),
+        F.lit("access-sandbox-0123456789").alias("access_token"))
+    gone = F.struct(tid, p["account_id"].alias("account_id"), F.concat(F.lit("r"), (uid % 2).cast("string")).alias("x_reason"))
+    text = F.when(F.col("event_type") == "removed", F.to_json(gone)).otherwise(F.to_json(state))
+    page = F.lit(3_000_000_000) + F.floor(seq / block) * 8 + F.substring("item_id", 2, 8).cast("long")
+
+    def listed(*types):
+        item = F.when(F.col("event_type").isin(*types), F.struct(seq.alias("s"), text.alias("v")))
+        return F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]), ",")
+
+    grouped = ch.withColumn("page_seq", page).groupBy("page_seq", "item_id").agg(
+        listed("added", "historical_import").alias("a"), listed("modified").alias("m"), listed("removed").alias("r"))
+    value = F.concat(F.lit('{"item_id":"'), F.col("item_id"), F.lit('","page_seq":'), F.col("page_seq").cast("string"),
+                     F.lit(',"mode":"sync","added":['), F.col("a"), F.lit('],"modified":['), F.col("m"),
+                     F.lit('],"removed":['), F.col("r"), F.lit('],"next_cursor":"cursor-'), F.col("page_seq").cast("string"),
+                     F.lit('","has_more":true}'))
+    return grouped.select("page_seq", value.alias("value"))

@@ -19,6 +19,8 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from cashweave.operators import ledger as ledger_ops
 from cashweave.session import tune
 from cashweave.sources import pages as page_src
+from cashweave.streaming.ingest import _utc_now, inserted_by_item
+from cashweave.streaming.runlog import RunLog
 from cashweave.tables import read_table
 
 STATE_SCHEMA = "seq long, klass string, hash string"
@@ -62,8 +64,9 @@ class StatefulLedgerSink:
     """``foreachBatch`` after the stateful collapse: identity, chain, write the batch partition."""
 
     def __init__(self, ledger_path: str, now: str | None = None, chain: bool = True,
-                 segment_width: int = ledger_ops.DEFAULT_SEGMENT_WIDTH):
+                 segment_width: int = ledger_ops.DEFAULT_SEGMENT_WIDTH, runs_path: str | None = None):
         self.ledger_path = ledger_path
+        self.runs_path = runs_path
         self.now = now
         self.chain = chain
         self.segment_width = segment_width
@@ -77,13 +80,23 @@ class StatefulLedgerSink:
         from pyspark import StorageLevel
 
         kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
+        log = RunLog(spark, self.runs_path) if self.runs_path else None
+        now = self.now or _utc_now()
         try:
+            if log:  # only kept rows get here: runs of items whose rows all repeat are not listed
+                log.open(kept.select("item_id"), batch_id, now)
             stored = read_table(spark, self.ledger_path) if self.chain else None
             if stored is not None:
                 stored = stored.filter(F.col("ingest_batch") < batch_id)
             bounds = ledger_ops.arrival_bounds(kept) if stored is not None else None
             ledger_ops.finish_and_write(kept, self.ledger_path, stored, self.chain, self.segment_width,
                                         partition=("ingest_batch", batch_id), mode="overwrite", bounds=bounds)
+            if log:
+                log.close(inserted_by_item(spark, self.ledger_path, batch_id), batch_id, now)
+        except Exception as exc:
+            if log:
+                log.fail(batch_id, now, exc)
+            raise
         finally:
             kept.unpersist()
 
@@ -102,7 +115,7 @@ ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateS
 def start_stateful_ingest(spark: SparkSession, pages_path: str, ledger_path: str, checkpoint: str,
                           now: str | None = None,
                           max_files_per_trigger: int | None = None, available_now: bool = True, chain: bool = True,
-                          state_provider: str | None = ROCKSDB_PROVIDER):
+                          state_provider: str | None = ROCKSDB_PROVIDER, runs_path: str | None = None):
     """Start the state-store ingest. Per-id state grows with the number of ids and never expires,
     so it lives in RocksDB on executor disk (not the JVM heap) unless another provider is given."""
     tune(spark)
@@ -110,7 +123,7 @@ def start_stateful_ingest(spark: SparkSession, pages_path: str, ledger_path: str
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", state_provider)
     pages = page_src.read_change_pages(spark, pages_path, max_files_per_trigger)
     writer = collapse_stream(pages, now).writeStream.outputMode("append") \
-        .foreachBatch(StatefulLedgerSink(ledger_path, now, chain)).option("checkpointLocation", checkpoint)
+        .foreachBatch(StatefulLedgerSink(ledger_path, now, chain, runs_path=runs_path)).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
