@@ -20,6 +20,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from cashweave.operators import audit, details, observations, privacy_jobs, reports, state  # noqa: E402
 from cashweave.operators import ledger as ledger_ops  # noqa: E402
+from cashweave.plans import catalog  # noqa: E402
 from cashweave.session import build_session, checkpoint_dir  # noqa: E402
 from cashweave.sources import fixtures, legacy  # noqa: E402
 
@@ -55,6 +56,18 @@ def run_all(spark, sf_dir: str, times: dict | None) -> None:
                                                                                   search="n5", include_removed=True)))
     timed("transaction_versions", lambda: force(details.transaction_versions(led)))
     obs = observations.append_account_observations(fixtures.ob1_readings(spark, sf_dir), now=fixtures.FIXTURE_NOW)
+    cut = fixtures.l1_changes(spark, sf_dir).agg(F.max("arrival_seq")).first()[0] // 2
+    half = f"{checkpoint_dir(spark).rstrip('/')}/bench/half-{uuid.uuid4().hex}"
+    changes = fixtures.l1_changes(spark, sf_dir)
+    ledger_ops.write_events(changes.filter(F.col("arrival_seq") <= cut), now=fixtures.FIXTURE_NOW, path=half, chain=True)
+    timed("append_to_existing", lambda: ledger_ops.write_events(
+        changes.filter(F.col("arrival_seq") > cut), now=fixtures.FIXTURE_NOW, path=half, chain=True,
+        ledger=spark.read.parquet(half)))
+    hot = changes.withColumn("payload", F.col("payload").withField("transaction_id", F.when(
+        F.col("arrival_seq") % 3 == 0, F.lit("hot")).otherwise(F.col("payload.transaction_id"))))
+    timed("hot_id", lambda: force(ledger_ops.append_events(hot, now=fixtures.FIXTURE_NOW, chain=False)))
+    for name in ("integrity_report", "append_only_audit", "stream_ingest", "stream_ingest_stateful"):
+        timed(name, lambda: force(catalog.queries()[name](spark, sf_dir)))  # noqa: B023
     timed("observation_append", lambda: force(obs))
     timed("diagnostics", lambda: force(audit.diagnostics(led, cur, obs, state.account_latest_state(obs))))
     timed("verify_hash_chain", lambda: force(audit.verify_hash_chain(led)))

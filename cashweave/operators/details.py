@@ -140,12 +140,14 @@ def transaction_versions(ledger: DataFrame, transaction_id: str | None = None,
     if transaction_id is not None:
         rows = rows.filter(F.col("transaction_id") == transaction_id)
     rows = rows.select(*[F.col(s).alias(d) for s, d in VERSION_COLUMNS])
-    rows = expand_json(rows)
-    rows = rows.withColumn("raw", F.try_parse_json(F.nullif(F.col("raw_json"), F.lit("")))).drop("raw_json")
     if transaction_id is not None:
-        return rows.withColumn("version_number", F.row_number().over(
+        rows = rows.withColumn("version_number", F.row_number().over(
             Window.partitionBy("transaction_id").orderBy("event_id"))).orderBy("event_id")
-    return salted_row_number(rows, "transaction_id", "event_id", "version_number", width)
+    else:
+        rows = salted_row_number(rows, "transaction_id", "event_id", "version_number", width)
+    # Parsed after the shuffle, which moves the compact JSON texts.
+    rows = expand_json(rows)
+    return rows.withColumn("raw", F.try_parse_json(F.nullif(F.col("raw_json"), F.lit("")))).drop("raw_json")
 
 
 def transaction_history(ledger: DataFrame, transaction_id: str | None = None) -> DataFrame:

@@ -31,7 +31,8 @@ def legacy_payload(df: DataFrame):
                     "primary string, detailed string, confidence_level string").alias("personal_finance_category"),
         F.col("transaction_id").alias("transaction_id"),
     )
-    return F.to_json(rebuilt)  # default options drop NULL fields
+    dtype = df.select(rebuilt.alias("p")).schema["p"].dataType
+    return F.to_json(hashing.canonical_value(rebuilt, dtype))  # default options drop NULL fields
 
 
 def import_legacy_transactions(legacy: DataFrame, now: str, ledger: DataFrame | None = None,
@@ -45,9 +46,9 @@ def import_legacy_transactions(legacy: DataFrame, now: str, ledger: DataFrame |
     if ledger is not None:
         done = ledger.filter(F.col("event_type") == "legacy_import").select("transaction_id")
         rows = rows.join(done, "transaction_id", "left_anti")
-    # The surviving raw object, else the rebuilt payload; both through the same exact
-    # canonicaliser (one Arrow-batched Python pass), so text and hash follow one rule.
-    payload = privacy.canonical_open_json_or(F.col("raw_json"), legacy_payload(rows))
+    # The surviving raw object through the exact canonicaliser (Arrow-batched Python, which sees nothing but
+    # such objects), else the payload rebuilt from typed columns, in canonical form by built-ins.
+    payload = F.coalesce(privacy.canonical_open_json(F.col("raw_json")), legacy_payload(rows))
     removal = F.to_json(F.struct(F.lit(REMOVAL_SOURCE).alias("source"), F.col("transaction_id").alias("transaction_id")))
     phases = F.array(
         F.struct(F.lit(0).alias("phase"), F.lit("legacy_import").alias("event_type"), payload.alias("text")),
@@ -89,7 +90,9 @@ def import_legacy_accounts(accounts: DataFrame, now: str, stored: DataFrame | No
     """Legacy ``accounts`` rows as observations; ``observed_at`` is ``updated_at`` or ``now``."""
     rows = accounts.filter(F.coalesce(F.col("account_id"), F.lit("")) != "")
     data_cols = [c for c in accounts.columns if c != "legacy_rowid"]
-    payload = privacy.canonical_open_json(F.to_json(F.struct(*[F.col(c) for c in sorted(data_cols)])), strip=False)
+    whole = F.struct(*[F.col(c) for c in sorted(data_cols)])
+    dtype = rows.select(whole.alias("p")).schema["p"].dataType
+    payload = F.to_json(hashing.canonical_value(whole, dtype))  # typed columns: built-ins, NULL fields dropped
     digest = hashing.payload_hash(payload)
     out = rows.select(
         F.col("legacy_rowid").alias("observation_seq"),
