@@ -6,8 +6,9 @@ with probability c - floor(c). Pairs of fractional documents exchange probabilit
 joint expected words stay the same, until one of the two is settled at 0 or 1; the choice of
 direction is random and leaves every document's expectation unchanged. Groups of bounded size
 settle all their documents but one; these residuals meet in the groups of the next level, up to
-one group a source, whose last residual goes to the nearer end. So a source's words miss its target
-by half of one document at most.
+one group a source, whose last residual goes to the nearer end. What that leaves over is made up, as far as
+it goes, by turning settled documents of the last group, the largest that fit first. So a source's words
+miss its target by half of one document at most, as a rule by far less.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ WEIGHTS = (1, 2, 3)
 CAP = 3
 SEED = 20240607
 #: Documents a group of the first level is expected to hold at most, and children of a later group.
-GROUP_BITS, TREE_BITS = 8, 6
+GROUP_BITS, TREE_BITS = 10, 6
 EPS = 1e-9
 
 
@@ -88,6 +89,21 @@ def _settle(items: Column, level: int) -> Column:
     return F.aggregate(items, start, step)
 
 
+def _made_up(done: Column, missing: Column) -> Column:
+    """``done`` with some x turned so that ``missing`` words (below zero: words too many) come nearer to none."""
+    ordered = F.sort_array(F.transform(done, lambda d: F.struct(
+        (-(d["unit"]["size"] * d["unit"]["n"]).cast("double")).alias("o"), d["unit"].alias("unit"), d["x"].alias("x"))))
+
+    def step(acc, d):
+        gain = F.when(d["x"] == 0, -d["o"]).otherwise(d["o"])  # words that turning it would add
+        turn = F.abs(acc["left"] - gain) < F.abs(acc["left"])
+        x = F.when(turn, 1 - d["x"]).otherwise(d["x"])
+        return F.struct(F.when(turn, acc["left"] - gain).otherwise(acc["left"]).alias("left"),
+                        F.concat(acc["done"], F.array(F.struct(d["unit"].alias("unit"), x.alias("x")))).alias("done"))
+
+    return F.aggregate(ordered, F.struct(missing.alias("left"), F.filter(done, lambda d: F.lit(False)).alias("done")), step)["done"]
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
         cap: int = CAP) -> DataFrame:
     """Copies of every document in the mix.
@@ -121,14 +137,18 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         node = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
         grouped = open_rows.groupBy("source", node.alias("node")).agg(
             F.sort_array(F.collect_list(F.struct("h", "unit", "mass", "p"))).alias("items"))
-        folded = stored(grouped.select("source", _settle(F.col("items"), level).alias("f")).select(
-            "source", "f.rest", "f.done"), "mix-level")
+        folded = grouped.select("source", _settle(F.col("items"), level).alias("f")).select("source", "f.rest", "f.done")
+        if not bits:
+            rest = F.col("rest")
+            missing = rest["mass"] * (rest["p"] - F.when(rest["p"] >= 0.5, 1.0).otherwise(0.0))
+            folded = folded.withColumn("done", F.when(rest.isNotNull(), _made_up(F.col("done"), missing)).otherwise(F.col("done")))
+        folded = stored(folded, "mix-level")
         parts.append(folded.select(F.explode("done").alias("d")).select(
             *[f"d.unit.{c}" for c in columns], (F.col("d.unit.sure") + F.col("d.x")).alias("copies")))
         open_rows = folded.filter("rest IS NOT NULL").select("source", "rest.h", "rest.unit", "rest.mass", "rest.p")
         if not bits:
             break
-        bits, level = max(0, bits - TREE_BITS), level + 1
+        bits, level = (bits - 1) // TREE_BITS * TREE_BITS, level + 1  # the last group has the most children
     parts.append(open_rows.select(*[f"unit.{c}" for c in columns], (
         F.col("unit.sure") + (F.col("p") >= 0.5).cast("int")).alias("copies")))
     out = parts[0]
