@@ -26,15 +26,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cashweave.llm.common import pick, read_all, read_ranges, write_once
+from cashweave.llm import wordvec
+from cashweave.llm.common import Cache, pick, read_all, read_ranges, write_once
 
 MAGIC = b"EFTOK001"
 #: Every so many ones of the high bits have their position stored.
 SAMPLE = 128
-#: Cached words of a Python worker; beyond it the cache starts anew.
-CACHE_ENTRIES = 600_000
-#: Documents encoded together.
-BATCH = 64
+#: Slots of a Python worker's word table (a power of 2), and cached parts of words (a generation).
+TABLE_BITS, CACHED_PARTS = 21, 400_000
+#: Parts handed to the tokenizer as one text.
+TOGETHER = 500
+#: Longer words are not cached.
+CACHE_LENGTH = 64
+# Starts the strings of the special tokens.
+SPECIAL = b"<|"
 #: Bytes of ids read at once.
 READ_BYTES = 8 << 20
 # ASCII marks that always stand apart from letters before them (no apostrophe: 's and the like).
@@ -104,56 +109,141 @@ class EliasFano:
                    np.frombuffer(f.read(8 * samples), "<u8"))
 
 
+class WordTable:
+    """Ids of words by the words' 64-bit hashes: an open-addressing table probed for whole batches."""
+
+    def __init__(self, kind: np.dtype, bits: int = TABLE_BITS):
+        self.mask, self.limit = np.uint64((1 << bits) - 1), int(0.6 * (1 << bits))
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.start, self.count = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int32)
+        self.pool, self.used, self.words = np.zeros(1 << 20, kind), 0, 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each hash, or -1."""
+        out, todo = np.full(len(hashes), -1, np.int64), np.arange(len(hashes))
+        at = hashes & self.mask
+        while len(todo):
+            key = self.keys[at]
+            hit = key == hashes[todo]
+            out[todo[hit]] = at[hit]
+            go = ~hit & (key != 0)
+            todo, at = todo[go], (at[go] + np.uint64(1)) & self.mask
+        return out
+
+    def add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+        """Store new, distinct hashes. A table that is full starts anew, larger if a batch asks for it."""
+        if len(hashes) > self.limit:
+            self.__init__(self.pool.dtype, max(1, (2 * len(hashes)).bit_length()))
+        if self.words + len(hashes) > self.limit:
+            self.keys[:] = 0
+            self.used = self.words = 0
+        data = np.frombuffer(b"".join(ids), self.pool.dtype)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.pool.dtype.itemsize
+        while self.used + len(data) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.used:self.used + len(data)] = data
+        starts = self.used + np.cumsum(sizes) - sizes
+        self.used, self.words = self.used + len(data), self.words + len(hashes)
+        todo, at = np.arange(len(hashes)), hashes & self.mask
+        while len(todo):
+            slots, first = np.unique(at, return_index=True)
+            first = first[self.keys[slots] == 0]
+            self.keys[at[first]] = hashes[todo[first]]
+            self.start[at[first]], self.count[at[first]] = starts[todo[first]], sizes[todo[first]]
+            left = np.ones(len(todo), bool)
+            left[first] = False
+            todo, at = todo[left], (at[left] + np.uint64(1)) & self.mask
+
+
 class WordEncoder:
     """Ids of whole texts for a tokenizer that drops white space between its pre-tokens.
 
-    Its normaliser and pre-tokenizer never look across white space, so a text's ids are those of
-    its words side by side; each distinct word goes to the tokenizers library once. A word of
-    letters and trailing marks is two pre-tokens, which are looked up apart.
+    Its normaliser and pre-tokenizer never look across white space and fold case, so a text's ids are those of
+    its words side by side; the tokenizers library sees each distinct word once, and a table by word hashes
+    gives the ids of a whole batch. A word of letters and trailing marks is two pre-tokens, which are looked
+    up apart. Texts that may hold the string of a special token go to the library whole.
     """
 
     def __init__(self, path: str):
-        import re
+        import os
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65_536 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        # Unicode White_Space; str.split() also cuts at four separators that are not in it.
-        self.slow = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+").findall
-
-    def words(self, text: str) -> list[str]:
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            return self.slow(text)
-        return text.split()
-
-    @staticmethod
-    def cut(word: str) -> tuple[str, str]:
-        """(letters, trailing marks), or (word, "") where the word is not of that form."""
-        core = word.rstrip(MARKS)
-        if core and len(core) < len(word) and core.isalpha() and max(core) < "\u0250" and core[-1] != "\u0130":
-            return core, word[len(core):]
-        return word, ""
-
-    def learn(self, unseen: set[str]) -> None:
-        if len(self.known) + len(unseen) > CACHE_ENTRIES:
-            self.known.clear()
-            self.parts.clear()
-        cuts = [(w, *self.cut(w)) for w in unseen]
-        new = list({p for _, a, b in cuts for p in (a, b) if p and p not in self.parts})
-        for p, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[p] = np.array(got.ids, self.type).tobytes()
-        for w, a, b in cuts:
-            self.known[w] = self.parts[a] + self.parts[b] if b else self.parts[a]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
-        unseen = set().union(*split)
-        if not unseen <= self.known.keys():
-            self.learn(unseen if len(self.known) + len(unseen) > CACHE_ENTRIES else unseen - self.known.keys())
-        return [b"".join(map(self.known.__getitem__, w)) for w in split]
+        self.table, self.parts = WordTable(self.type), Cache(CACHED_PARTS)
+        vocab = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a pre-token
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def plain(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only: one pre-token each, so many go through the tokenizer as one text."""
+        out = []
+        for at in range(0, len(words), TOGETHER):
+            part = words[at:at + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.type)
+            raw, size = ids.tobytes(), self.type.itemsize
+            cuts = [0, *((np.flatnonzero(self.closes[ids]) + 1) * size).tolist()]
+            if len(cuts) == len(part) + 1:
+                out += [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            else:
+                out += self.mixed(part)
+        return out
+
+    def mixed(self, words: list[str]) -> list[bytes]:
+        return [np.array(got.ids, self.type).tobytes()
+                for got in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words. A word of letters and marks after them is cut where its pre-tokens are."""
+        cuts, letters, other = [], set(), set()
+        for w in words:
+            core = w.rstrip(MARKS)
+            if core and core.isalpha() and max(core) < "\u0250" and core[-1] != "\u0130":
+                letters.add(core)
+                tail = w[len(core):]
+                if tail:
+                    other.add(tail)
+            else:
+                core, tail = w, ""
+                other.add(w)
+            cuts.append((core, tail))
+        parts = self.parts
+        new = parts.lacking(letters | other)
+        for group, how in ((list(new & letters), self.plain), (list(new - letters), self.mixed)):
+            parts.young.update(zip(group, how(group), strict=True))
+        got = parts.young
+        out = [got[core] + got[tail] if tail else got[core] for core, tail in cuts]
+        parts.drop([p for p in new if len(p) > CACHE_LENGTH])
+        return out
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the texts one after the other, each with ``end_id`` after it, ids of each text)."""
+        hashes, counts, data, start, end = wordvec.located(texts)
+        if SPECIAL in data.tobytes():
+            found = [np.array([*self.tokenizer.encode(t or "", add_special_tokens=False).ids, end_id], self.type)
+                     for t in texts.to_pylist()]
+            return np.concatenate(found), np.array(list(map(len, found)))
+        table = self.table
+        slots = table.find(hashes)
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            if table.words + len(missing) > table.limit:  # all of the batch's words must be in it at once
+                missing = np.arange(len(hashes))
+                table.keys[:] = 0
+                table.used = table.words = 0
+            new, first = np.unique(hashes[missing], return_index=True)
+            raw = data.tobytes()
+            words = [raw[a:b + 1].decode() for a, b in zip(start[missing[first]].tolist(), end[missing[first]].tolist(),
+                                                           strict=True)]
+            table.add(new, self.learn(words))
+            slots[missing] = table.find(hashes[missing])
+        sizes, firsts = table.count[slots].astype(np.int64), table.start[slots]
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        cuts = before[np.concatenate([[0], np.cumsum(counts)])]
+        ids = table.pool[np.repeat(firsts - before[:-1], sizes) + np.arange(before[-1])]
+        return np.insert(ids, cuts[1:], end_id), np.diff(cuts) + 1
 
 
 @functools.lru_cache(maxsize=2)
@@ -170,9 +260,6 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int, key: st
     empty table writes a manifest without rows. Other columns are ignored. One range shuffle of the
     texts; ids never cross the network.
     """
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     spark = docs.sparkSession
     rows = pick(docs, key, text).select(F.col(key).cast("long").alias(key), text)
     rows = rows.repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(
@@ -180,28 +267,26 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int, key: st
 
     def run(batches):
         own, name = encoder(tokenizer), f"shard-{uuid.uuid4().hex}"
-        end = np.array([end_id], own.type).tobytes()
         ends, keys, total, out = [], [], 0, None
         for batch in batches:
             if out is None and batch.num_rows:
                 out = write_once(path, f"{name}.ids")
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                keys.append(part.column(0))
-                for ids in own.encode([t or "" for t in part.column(1).to_pylist()]):
-                    out.write(ids + end)
-                    total += len(ids) // own.type.itemsize + 1
-                    ends.append(total)
+            for at, n in wordvec.pieces(batch.column(1)):
+                ids, sizes = own.encode(batch.column(1).slice(at, n), end_id)
+                out.write(ids.tobytes())
+                keys.append(batch.column(0).slice(at, n))
+                ends.append(total + np.cumsum(sizes))
+                total += len(ids)
         if out is None:
             return
         out.close()
         found = pa.chunked_array(keys)
         with write_once(path, f"{name}.ef") as f:
-            f.write(EliasFano.of(np.array(ends)).dump())
+            f.write(EliasFano.of(np.concatenate(ends)).dump())
             f.write(np.packbits(found.is_valid().to_numpy(), bitorder="little").tobytes())
             f.write(found.fill_null(0).to_numpy().astype("<i8").tobytes())
         part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_pylist([{"part": part, "name": name, "n_docs": len(ends), "n_tokens": total,
+        yield pa.RecordBatch.from_pylist([{"part": part, "name": name, "n_docs": len(found), "n_tokens": total,
                                            "width": own.type.itemsize}], pa.schema([
             ("part", pa.int64()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()),
             ("width", pa.int32())]))
