@@ -27,7 +27,7 @@ CACHED_CHUNKS, CACHED_PIECES = 200_000, 400_000
 #: Longer pieces are not cached.
 CACHE_LENGTH = 64
 #: Documents encoded together.
-BATCH = 512
+BATCH = 256
 # ASCII marks that are a pre-token of their own between letters and a space or the end.
 MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'")
 

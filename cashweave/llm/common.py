@@ -101,6 +101,13 @@ def read_all(path: str) -> io.BytesIO:
         return io.BytesIO(f.read())
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches cut to ``rows`` rows, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class Cache:
     """Two generations of at most ``size`` entries and a batch's own: entries in use move to the young
     one, and a full young one takes the place of the old."""

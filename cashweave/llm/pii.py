@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cashweave.llm.common import pick, stored
+from cashweave.llm.common import pick, slices, stored
 
 #: Redrawn surrogates up to this many are handed to every task; beyond it they are joined.
 BROADCAST_ROWS = 20_000
@@ -123,7 +123,7 @@ class Surrogates:
 
     def __init__(self, key: bytes):
         self.key = key
-        self.of = functools.lru_cache(maxsize=200_000)(self._of)
+        self.of = functools.lru_cache(maxsize=50_000)(self._of)
 
     def _number(self, *parts) -> int:
         return int.from_bytes(hmac.new(self.key, "\x1f".join(map(str, parts)).encode(), hashlib.sha256).digest(), "big")
@@ -249,7 +249,7 @@ def entities(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     schema = T.StructType([rows.schema[0], rows.schema[1], *ENTITY.fields])
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             at, kinds, values = [], [], []
             for i, t in enumerate(batch.column(2).to_pylist()):
                 for kind, value in dict.fromkeys((k, v) for _, _, k, v in find(t)):
@@ -323,7 +323,7 @@ def replace(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "te
 
     def run(batches):
         own = surrogates(secret)
-        for batch in batches:
+        for batch in slices(batches):
             texts, counts = [], []
             for t, draws in zip(batch.column(at_text).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 drawn = {(d["kind"], d["value"]): d["draw"] for d in draws} if draws else fixed
