@@ -149,6 +149,5 @@ def top_merchants(active: DataFrame, direction: str = "outflow", limit: int = 10
 def with_bar_widths(report: DataFrame, value_col: str, out_col: str = "bar_pct", zero_floor: float = 2.0,
                     floor: float = 8.0) -> DataFrame:
     """Bar widths relative to the report's largest absolute value (report-sized input)."""
-    top = report.agg(F.max(F.abs(F.col(value_col))).alias("_mx"))  # one row, broadcast
-    joined = report.join(F.broadcast(top))
-    return joined.withColumn(out_col, scalars.share_of_max(F.col(value_col), F.col("_mx"), zero_floor, floor)).drop("_mx")
+    mx = report.agg(F.max(F.abs(F.col(value_col)))).scalar()
+    return report.withColumn(out_col, scalars.share_of_max(F.col(value_col), mx, zero_floor, floor))

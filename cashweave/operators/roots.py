@@ -110,5 +110,7 @@ def verify_roots(ledger: DataFrame, entries: DataFrame, roots: DataFrame, segmen
     broken = ~(F.col("digest").eqNullSafe(F.col("_digest")) & F.col("prev_root").eqNullSafe(F.col("_before"))
                & F.col("root").eqNullSafe(hashing.sha256_parts(F.col("prev_root"), F.col("digest"))))
     chain = checked.agg(F.count(F.lit(1)).alias("roots"), F.count_if(broken).alias("roots_broken"))
-    return segments.join(F.broadcast(chain)).withColumn("ok", (F.col("segments_mismatched") == 0) & (
+    both = segments.unionByName(chain, allowMissingColumns=True)
+    both = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    return both.withColumn("ok", (F.col("segments_mismatched") == 0) & (
         F.col("rows_uncovered") == 0) & (F.col("roots_broken") == 0))
