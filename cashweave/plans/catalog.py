@@ -412,11 +412,21 @@ def q_history_range(spark, sf_dir):
 
     start = page_src.history_start(730, "2001-08-01")
     snap = page_src.read_history_range(fixtures.r1_changes(spark, sf_dir), start, "2001-08-01")
-    snap = snap.withColumn("event_type", F.lit("historical_import"))
-    led = ledger_ops.append_events(snap, now=fixtures.FIXTURE_NOW, chain=False)
+    led = ledger_ops.append_history(snap, now=fixtures.FIXTURE_NOW, chain=False)
     return led.select("transaction_id", "event_type", "txn_date", F.col("amount").cast(MONEY).alias("amount"))
 
 
+def q_report_delivery(spark, sf_dir):
+    """The monthly report written and read back."""
+    import uuid
+
+    from cashweave.sources import pages as page_src
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/reports/monthly-{uuid.uuid4().hex}"
+    page_src.write_report(q_monthly_cashflow(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
 def q_health_summary(spark, sf_dir):
     led = l1_stored_ledger(spark, sf_dir)
     act = state.active_state(state.current_state_from_ledger(led, columns=state.REPORT_COLUMNS))
@@ -620,6 +630,7 @@ def _registry() -> dict[str, Query]:
         "backfill_job": q_backfill_job,
         "stream_ingest_stateful": q_stream_ingest_stateful,
         "history_range": q_history_range,
+        "report_delivery": q_report_delivery,
         "health_summary": q_health_summary,
         "backfill_plan": q_backfill_plan,
         "credential_key_audit": q_credential_key_audit,
