@@ -4,7 +4,8 @@ Detected entities (e-mail addresses, phone, card and identity numbers, IBANs, IP
 names) get surrogates computed from a secret key and the entity alone, so one entity has one
 surrogate in the whole corpus. Numbers and addresses go through a keyed permutation of all
 strings of their shape, which keeps letters letters and digits digits, and validity (check digits)
-as it was. Given names are permuted within their gender and script, family names become invented
+as it was, and maps no string to itself; digits of any script are read as numbers and written back in
+their own script. Given names are permuted within their gender and script, family names become invented
 ones of the same script; a name's parts are mapped one by one, so "Ms Lind" and "Karin Lind" still
 agree. A corpus-wide check finds entities that share a surrogate or keep their own value and moves all
 but the most frequent one on to the next draw.
@@ -16,6 +17,7 @@ import functools
 import hashlib
 import hmac
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -65,6 +67,21 @@ MARKED = re.compile("|".join((
     r"(?P<card15>(?<![\w.-])3[47]\d{2}[\x20-]?\d{6}[\x20-]?\d{5}(?![\w-]))")))
 
 
+_MARK = re.compile(r"[@\d]")
+_OTHER_DIGIT = re.compile(r"[^\D0-9]")
+
+
+def zero(c: str) -> int:
+    """Code point of the zero in the script of a decimal digit; -1 for other characters."""
+    d = unicodedata.decimal(c, -1)
+    return ord(c) - d if d >= 0 else -1
+
+
+def plain(text: str) -> str:
+    """``text`` with the decimal digits of all scripts as ASCII digits."""
+    return text if text.isascii() else _OTHER_DIGIT.sub(lambda m: str(unicodedata.decimal(m[0])), text)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -85,8 +102,8 @@ def script_of(word: str) -> str:
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical) of the entities of a text, in order, not overlapping."""
     out = []
-    if "@" in text or any(d in text for d in "0123456789"):
-        for m in MARKED.finditer(text):
+    if _MARK.search(text):
+        for m in MARKED.finditer(plain(text)):
             kind = "card" if m.lastgroup == "card15" else m.lastgroup
             got = m.group()
             if kind == "iban":
@@ -129,7 +146,11 @@ class Surrogates:
         return int.from_bytes(hmac.new(self.key, "\x1f".join(map(str, parts)).encode(), hashlib.sha256).digest(), "big")
 
     def permute(self, values: list[int], sizes: list[int], tweak: str) -> list[int]:
-        """A keyed permutation of all digit lists with these radices: an unbalanced Feistel network."""
+        """A keyed permutation without fixed points of all digit lists with these radices.
+
+        An unbalanced Feistel network, a step to the next of all lists, and the network backwards: one
+        cycle through all lists, so a list never keeps its value, however few there are.
+        """
         if len(values) == 1:
             return [(values[0] + 1 + self._number(tweak) % max(1, sizes[0] - 1)) % sizes[0]]
         half = len(values) // 2
@@ -151,6 +172,12 @@ class Surrogates:
                 right = (right + self._number(tweak, turn, left)) % b
             else:
                 left = (left + self._number(tweak, turn, right)) % a
+        left, right = divmod((left * b + right + 1) % (a * b), b)
+        for turn in reversed(range(10)):
+            if turn % 2:
+                right = (right - self._number(tweak, turn, left)) % b
+            else:
+                left = (left - self._number(tweak, turn, right)) % a
         out = []
         for n, radices in ((left, sizes[:half]), (right, sizes[half:])):
             part = []
@@ -161,15 +188,16 @@ class Surrogates:
         return out
 
     def shaped(self, text: str, tweak: str, keep: set[int] = frozenset()) -> str:
-        """Permute the ASCII letters and digits of ``text`` among strings of its shape; ``keep`` stays."""
+        """Permute the ASCII letters and all decimal digits of ``text``, each digit within its script, among
+        strings of its shape; ``keep`` stays."""
         at, values, sizes, first = [], [], [], []
         for i, c in enumerate(text):
-            base = "0" if "0" <= c <= "9" else "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else ""
-            if base and i not in keep:
+            base = ord("a") if "a" <= c <= "z" else ord("A") if "A" <= c <= "Z" else zero(c)
+            if base >= 0 and i not in keep:
                 at.append(i)
-                first.append(ord(base))
-                sizes.append(10 if base == "0" else 26)
-                values.append(ord(c) - ord(base))
+                first.append(base)
+                sizes.append(26 if c.isascii() and c.isalpha() else 10)
+                values.append(ord(c) - base)
         if not at:
             return text
         out = list(text)
@@ -181,7 +209,9 @@ class Surrogates:
     def _of(self, kind: str, value: str, draw: int) -> str:
         tweak = f"{kind}|{draw}"
         if kind == "email":
-            return self.shaped(value, tweak, set(range(value.rindex("."), len(value))))
+            end = value.rindex(".")
+            keep = range(end, len(value)) if any(c.isalnum() for c in value[:end]) else ()
+            return self.shaped(value, tweak, set(keep))  # the last label moves where nothing else can
         if kind == "ip":
             return ".".join(map(str, self.permute([int(x) for x in value.split(".")], [256] * 4, tweak)))
         if kind == "ip6":
@@ -211,7 +241,9 @@ class Surrogates:
             parts = SYLLABLES[script]
             n = self._number(tweak, value)
             word = ""
-            for _ in range(min(5, max(2, round(len(value) / 2.5))) + draw // 3):
+            size = min(5, max(2, round(len(value) / 2.5))) + draw // 3
+            while size > 0 or (n and draw >= MAX_DRAWS - 2):  # the last draws spell out the whole number
+                size -= 1
                 n, k = divmod(n, len(parts))
                 word += parts[k]
             return word
@@ -220,7 +252,10 @@ class Surrogates:
     @staticmethod
     def fit(kind: str, original: str, surrogate: str) -> str:
         """A surrogate in the punctuation and case of one occurrence."""
-        if kind in ("ip", "ip6", "given"):
+        if kind == "ip":
+            base = max(map(zero, original))
+            return "".join(chr(base + int(c)) if c.isdigit() else c for c in surrogate)
+        if kind in ("ip6", "given"):
             return surrogate
         if kind == "family":
             return surrogate.upper() if original.isupper() and len(original) > 2 else surrogate.capitalize()
@@ -229,7 +264,7 @@ class Surrogates:
         for c in original:
             if c.isalnum():
                 s = next(source)
-                c = s.upper() if c.isupper() else s
+                c = s.upper() if c.isupper() else chr(zero(c) + int(s)) if s.isdigit() and not c.isascii() else s
             out.append(c)
         return "".join(out)
 
@@ -267,8 +302,10 @@ def draw_surrogates(found: DataFrame, secret: bytes) -> DataFrame:
     """(kind, value, n, draw): the draw at which every entity has a surrogate of its own.
 
     Within a kind no two entities share a surrogate and none keeps its value; in a clash the most
-    frequent entity stays and the others take the next draw. Each round moves only the narrow entity
-    table, pre-aggregated; a draw of 0 for all, the usual end, takes one round.
+    frequent entity stays and the others take the next draw. Numbers, addresses and given names are permuted
+    without fixed points and do not clash at draw 0; invented family names can, and grow with the draw up to
+    the whole keyed hash. Each round moves only the narrow entity table, pre-aggregated; a draw of 0 for
+    all, the usual end, takes one round.
     """
     every = stored(found.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "draw", F.lit(0)), "pii-entities")
