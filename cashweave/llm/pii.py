@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 
@@ -33,14 +34,85 @@ TYPES = ("email", "iban", "ip6", "ip", "ssn", "phone", "card", "given", "family"
 
 # Given names by script and gender, and the syllables of invented family names: our own choice.
 GIVEN = {
-    ("latin", "m"): ["James", "John", "Robert", "Michael", "William", "Richard", "Thomas", "Peter", "Hans", "Klaus",
-                     "Wolfgang", "Pierre", "Jacques", "Michel", "Carlos", "Miguel", "Javier", "Andrew"],
-    ("latin", "f"): ["Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Karin", "Ursula",
-                     "Sabine", "Monika", "Nathalie", "Isabelle", "Camille", "Carmen", "Dolores", "Paula", "Margaret"],
-    ("cyrillic", "m"): ["Иван", "Дмитрий", "Сергей", "Андрей", "Николай", "Павел"],
-    ("cyrillic", "f"): ["Анна", "Ольга", "Елена", "Мария", "Наталья", "Светлана"],
-    ("greek", "m"): ["Γιώργος", "Δημήτρης", "Νίκος", "Κώστας"],
-    ("greek", "f"): ["Μαρία", "Ελένη", "Κατερίνα", "Σοφία"],
+    ("latin", "m"): (
+        "James John Robert Michael William Richard Thomas Peter Hans Klaus Wolfgang Pierre Jacques Michel Carlos "
+        "Miguel Javier Andrew Aaron Abdul Abraham Adam Adrian Ahmed Alan Albert Alejandro Alex Alexander Alfred Ali "
+        "Alfonso Alfredo Alberto Allan Allen Alvaro Anders Andre Andreas Andrzej Angelo Angus Anthony Anton Antonio "
+        "Armando Arnold Arthur Arturo Axel Barry Bart Benedict Benjamin Bernard Bernd Björn Boris Brad Bradley "
+        "Brandon Brendan Brent Brett Brian Bruce Bruno Bryan Callum Cameron Carl Carlo Cedric Charles Chris "
+        "Christopher Christoph Christophe Claude Clifford Clive Colin Connor Conor Cornelius Craig Curtis Cyril "
+        "Damian Damien Daniel Daniele Darren David Dean Dennis Derek Detlef Diego Dieter Dietmar Dirk Dmitri Dominic "
+        "Dominik Donald Douglas Duncan Dustin Dylan Eamon Eberhard Edgar Eduardo Edmund Edward Edwin Elias Elijah "
+        "Emanuel Emil Emilio Emmanuel Enrique Enzo Eric Erich Erik Ernest Ernesto Ernst Ethan Etienne Eugene Evan "
+        "Fabian Fabio Federico Felipe Felix Fernando Filip Florian Francesco Francisco Franco François Franz Fred "
+        "Frederic Frederick Fredrik Friedrich Fritz Gabriel Gareth Gary Gavin Geoffrey George Georg Georges Gerald "
+        "Gerard Gerardo Gerhard Gert Gilbert Gilles Giorgio Giovanni Giulio Giuseppe Glenn Gonzalo Gordon Graham Greg "
+        "Gregor Gregory Guido Guillaume Guillermo Günter Gustav Gustavo Guy Hamish Hannes Harald Harold Harry Hassan "
+        "Hector Heinrich Heinz Helmut Hendrik Henri Henrik Henry Herbert Hermann Horst Howard Hubert Hugh Hugo "
+        "Hussein Ian Ibrahim Ignacio Igor Isaac Ivan Jack Jacob Jaime Jakob Jamal Jan Jarek Jason Jean Jeff Jeffrey "
+        "Jens Jeremy Jerome Jerry Jesse Jesus Jim Jimmy Joachim Joaquin Jochen Joe Joel Johan Johann Johannes Jonas "
+        "Jonathan Jorge Jose José Josef Joseph Joshua Juan Julian Julien Julio Jürgen Justin Kai Karl Karsten Keith "
+        "Kenneth Kenny Kevin Kurt Kyle Lachlan Lars Laurent Lawrence Leo Leon Leonard Leonardo Leroy Leslie Lewis "
+        "Liam Logan Lorenzo Louis Luc Luca Lucas Luigi Luis Lukas Luke Magnus Malcolm Manfred Manuel Marc Marcel "
+        "Marcin Marco Marcos Marcus Mario Marius Mark Markus Martin Mason Massimo Mateo Mathias Matteo Matthew "
+        "Matthias Maurice Maurizio Mauro Max Maximilian Mehmet Michal Mike Mikael Mitchell Mohamed Mohammad Mohammed "
+        "Muhammad Nathan Nathaniel Neil Nelson Nicholas Nicolas Niels Nigel Nikolai Nils Noah Norbert Norman Olaf Ole "
+        "Oleg Oliver Olivier Omar Oscar Oskar Otto Owen Pablo Paolo Pascal Patrick Paul Pavel Pawel Pedro Per Phil "
+        "Philip Philipp Philippe Phillip Pietro Piotr Rafael Raimund Rainer Ralf Ralph Ramon Randall Randy Raphael "
+        "Raul Raymond Reginald Reinhard Rene Ricardo Riccardo Rick Ricky Robin Roberto Rodney Rodrigo Roger Roland "
+        "Rolf Roman Ronald Ronnie Rory Ross Roy Rudolf Rupert Russell Ryan Salvatore Sam Samuel Sanjay Santiago Scott "
+        "Sean Sebastian Sébastien Serge Sergei Sergio Seth Shane Shaun Shawn Siegfried Simon Stanley Stefan Stefano "
+        "Stephan Stéphane Stephen Steve Steven Stewart Stuart Sven Ted Terence Terrence Terry Theo Theodore Thierry "
+        "Thorsten Tim Timothy Tobias Todd Tom Tomas Tomasz Tommy Tony Torsten Travis Trevor Tristan Tyler Udo Uwe "
+        "Victor Vincent Vincenzo Vladimir Volker Walter Warren Wayne Werner Wilhelm Willem Wojciech Xavier Yann "
+        "Yannick Yusuf Yves Zachary").split(),
+    ("latin", "f"): (
+        "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Karin Ursula Sabine Monika Nathalie Isabelle Camille "
+        "Carmen Dolores Paula Margaret Abigail Adele Adriana Agnes Agnieszka Aisha Alejandra Alessandra Alexandra "
+        "Alice Alicia Alison Allison Alyssa Amanda Amelia Amélie Amy Ana Andrea Angela Angelica Angelina Anita Anja "
+        "Anke Ann Anna Anne Annette Annie Antje Antonia Ariana Ashley Astrid Audrey Aurélie Ava Barbra Beatrice "
+        "Beatriz Becky Bella Bernadette Beth Bethany Betty Beverly Bianca Birgit Bonnie Brenda Bridget Brigitte "
+        "Britta Brittany Brooke Carina Carla Carlotta Carol Carole Carolina Caroline Carolyn Catherine Cathy Cecilia "
+        "Cécile Céline Chantal Charlotte Chelsea Cheryl Chiara Chloe Chloé Christa Christina Christine Cindy Claire "
+        "Clara Clarissa Claudia Colette Colleen Connie Constance Cornelia Cristina Cynthia Dagmar Daniela Danielle "
+        "Daphne Darlene Deborah Debra Denise Diana Diane Donna Dora Doris Dorothea Dorothy Edith Eileen Elaine "
+        "Eleanor Elena Eleonora Elisa Elisabeth Elise Elke Ella Ellen Élodie Eloise Elsa Elsie Emilia Emily Emma "
+        "Erica Erika Erin Esther Ethel Eugenia Eva Evelyn Fatima Federica Felicia Felicity Fiona Franca Frances "
+        "Francesca Franziska Françoise Frieda Gabriela Gabriele Gabriella Gabrielle Gail Gemma Geneviève Geraldine "
+        "Gertrud Gillian Gina Gisela Giulia Gloria Greta Gretchen Gudrun Gwen Hannah Harriet Hazel Heather Heidi "
+        "Heike Helen Helena Helene Hélène Helga Henrietta Hilary Hilda Holly Ida Ilse Imogen Ines Inge Ingrid Irene "
+        "Iris Irina Irma Isabel Isabella Isla Jacqueline Jana Jane Janet Janice Janine Jasmine Jeanette Jeanne Jenna "
+        "Jennie Jenny Jessica Jill Joan Joanna Joanne Jocelyn Johanna Josephine Joyce Juana Judith Judy Julia Juliana "
+        "Julie Juliet Jutta Kate Katarzyna Katharina Katherine Kathleen Kathryn Kathy Katia Katie Katja Katrin Kayla "
+        "Kelly Kerstin Kim Kimberly Kirsten Klara Kristen Kristin Kristina Lara Laura Lauren Laurie Lena Leonie "
+        "Leticia Lilian Lillian Lily Lisa Liv Lois Loretta Lorraine Louise Lucia Lucie Lucy Luisa Lydia Lynn "
+        "Madeleine Madison Magdalena Małgorzata Manuela Marcia Margarita Margot Marguerite Maria María Mariana "
+        "Marianne Marie Marina Marion Marisa Marjorie Marlene Marta Martha Martina Martine Matilda Maureen Maxine "
+        "Megan Melanie Melinda Melissa Mercedes Meredith Mia Michaela Michele Michelle Mildred Miranda Miriam Molly "
+        "Monica Monique Muriel Nadia Nadine Nancy Naomi Natalia Natalie Natasha Nicole Nina Noémie Nora Norma Olga "
+        "Olivia Pamela Paola Patrizia Patty Paulina Pauline Peggy Penelope Petra Phoebe Phyllis Pilar Priscilla "
+        "Rachel Raquel Rebecca Regina Renate Renée Rhonda Rita Roberta Rocio Rosa Rosalie Rosalind Rosario Rosemary "
+        "Rosie Roxanne Ruth Sabrina Sally Samantha Sandra Sara Sarah Sharon Sheila Shirley Silke Silvia Simone Sofia "
+        "Sonia Sonja Sophia Sophie Stacey Stacy Stefanie Stella Stephanie Susana Susanna Susanne Suzanne Svetlana "
+        "Sylvia Sylvie Tamara Tania Tanya Tara Tatiana Teresa Teresita Tessa Theresa Tiffany Tina Tracey Tracy Ulrike "
+        "Ursel Ute Valentina Valeria Valerie Vanessa Vera Veronica Veronika Véronique Vicky Victoria Viktoria Vivian "
+        "Viviane Wanda Wendy Wilhelmina Winifred Xenia Yolanda Yvette Yvonne Zoe Zoë").split(),
+    ("cyrillic", "m"): (
+        "Иван Дмитрий Сергей Андрей Николай Павел Александр Алексей Анатолий Антон Артём Борис Вадим Валерий Василий "
+        "Виктор Виталий Владимир Вячеслав Геннадий Георгий Григорий Даниил Денис Евгений Егор Игорь Илья Кирилл "
+        "Константин Леонид Максим Михаил Никита Олег Пётр Роман Руслан Семён Станислав Степан Тимофей Фёдор Юрий "
+        "Ярослав").split(),
+    ("cyrillic", "f"): (
+        "Анна Ольга Елена Мария Наталья Светлана Александра Алина Алиса Алла Анастасия Валентина Валерия Вера "
+        "Вероника Виктория Галина Дарья Евгения Екатерина Жанна Зинаида Инна Ирина Кристина Ксения Лариса Людмила "
+        "Маргарита Марина Надежда Нина Оксана Полина Раиса Софья Тамара Татьяна Юлия Яна").split(),
+    ("greek", "m"): (
+        "Γιώργος Δημήτρης Νίκος Κώστας Αλέξανδρος Ανδρέας Αντώνης Βασίλης Γεώργιος Γρηγόρης Δημήτριος Ηλίας Θανάσης "
+        "Ιωάννης Κωνσταντίνος Λευτέρης Μανώλης Μιχάλης Νικόλαος Παναγιώτης Παύλος Πέτρος Σπύρος Στέλιος Σωτήρης "
+        "Χρήστος Γιάννης").split(),
+    ("greek", "f"): (
+        "Μαρία Ελένη Κατερίνα Σοφία Αγγελική Αικατερίνη Αλεξάνδρα Αναστασία Άννα Βασιλική Γεωργία Δέσποινα Δήμητρα "
+        "Ειρήνη Ευαγγελία Ζωή Ιωάννα Κωνσταντίνα Παναγιώτα Παρασκευή Χριστίνα Χρυσούλα").split(),
 }
 SYLLABLES = {
     "latin": [c + v for c in "bdfgklmnprstv" for v in ("a", "e", "i", "o", "u", "an", "er", "on")],
@@ -51,15 +123,23 @@ TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Mme", "Mlle"
           "Señora", "Sra", "Srta", "господин", "госпожа", "κύριος", "κυρία")
 
 _GENDER = {name: key for key, names in GIVEN.items() for name in names}
-_CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω][A-Za-zÀ-ÖØ-öø-ÿА-Яа-яЁёΑ-Ωά-ώ'’-]{1,30}"
+_CAP = r"[A-ZÀ-ÖØ-ÞĀ-ŽА-ЯЁΆΈ-ΏΑ-Ω][A-Za-zÀ-ÖØ-öø-žА-Яа-яЁёΆΈ-ώ'’-]{1,30}"
 NAME = re.compile(rf"(?:(?<!\w)(?:{'|'.join(TITLES)})\.?\x20(?P<titled>{_CAP}(?:\x20{_CAP})?))"
                   rf"|(?:(?<!\w)(?P<full>(?:{'|'.join(_GENDER)})\x20{_CAP}))(?!\w)")
+# Where a title or a given name starts: by first letter, so that a text is skipped at the speed of a character set.
+_STARTS = {}
+for _word in (*TITLES, *_GENDER):
+    _STARTS.setdefault(_word[0], []).append(_word[1:])
+START = re.compile("|".join(rf"{c}(?<!\w{c})(?:{'|'.join(rest)})(?=\.?\x20)" for c, rest in _STARTS.items()))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_HEX = r"[0-9A-Fa-f]{1,4}"
+_V4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 MARKED = re.compile("|".join((
     r"(?P<email>(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z]))",
     r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w))",
-    r"(?P<ip6>(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:]))",
-    rf"(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d))",
+    rf"(?P<ip6>(?<!\w)(?<![0-9A-Fa-f:]:)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{6}}{_V4}"
+    rf"|(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:(?:{_HEX}:){{0,5}}{_V4}|{_HEX}(?::{_HEX}){{0,6}})?)(?!\w|:[\w:]|\.\d))",
+    rf"(?P<ip>(?<![\w.]){_V4}(?!\w|\.\d))",
     r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
     r"(?P<phone>(?<![\w+])(?:\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d{2,4}(?:[\x20.-]\d{2,4}){1,4}"
     r"|\(\d{3}\)\x20?\d{3}[-.\x20]\d{4}|\d{3}([-.\x20])\d{3}\7\d{4})(?!\w))",
@@ -67,7 +147,7 @@ MARKED = re.compile("|".join((
     r"(?P<card15>(?<![\w.-])3[47]\d{2}[\x20-]?\d{6}[\x20-]?\d{5}(?![\w-]))")))
 
 
-_MARK = re.compile(r"[@\d]")
+_MARK = re.compile(r"[@\d]|::")
 _OTHER_DIGIT = re.compile(r"[^\D0-9]")
 
 
@@ -94,6 +174,46 @@ def iban_check(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+# Lengths of the IBANs of the countries that have them.
+IBAN_LENGTH = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 "
+    "FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 "
+    "LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 "
+    "RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30").split()}
+
+
+def iban_in(got: str) -> tuple[str, int] | None:
+    """(IBAN, characters of ``got`` it takes): up to a space of ``got`` or to its end, the country's length first.
+
+    Of a country without a listed length the longest one that passes the check."""
+    known = IBAN_LENGTH.get(got[:2])
+    ends = [*(i for i, c in enumerate(got) if c == " "), len(got)][::-1]
+    values = [(got[:end].replace(" ", ""), end) for end in ends]
+    if known:
+        values = [x for x in values if len(x[0]) == known] + values[:1]
+    return next(((v, end) for v, end in values if 15 <= len(v) <= 34 and iban_check(v) == 1), None)
+
+
+def ip6_in(got: str) -> str | None:
+    """The address as eight groups of four digits; None where no host can have it.
+
+    Compressed spellings also occur in source code (``[::2]``, ``a::b``), so these count only within the space
+    that is assigned at all, with a dotted quad, or as the loopback address.
+    """
+    try:
+        address = ipaddress.IPv6Address(got)
+    except ValueError:
+        return None
+    if "::" in got and "." not in got and address.is_reserved and not (
+            address.is_loopback or address.ipv4_mapped or address in _NAT64):
+        return None
+    text = f"{int(address):032x}"
+    return ":".join(text[i:i + 4] for i in range(0, 32, 4))
+
+
+_NAT64 = ipaddress.IPv6Network("64:ff9b::/96")
+
+
 def script_of(word: str) -> str:
     first = next((c for c in word if c.isalpha()), "a")
     return "cyrillic" if "Ѐ" <= first <= "ӿ" else "greek" if "Ͱ" <= first <= "Ͽ" else "latin"
@@ -103,34 +223,45 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical) of the entities of a text, in order, not overlapping."""
     out = []
     if _MARK.search(text):
-        for m in MARKED.finditer(plain(text)):
+        flat, at = plain(text), 0
+        while m := MARKED.search(flat, at):
             kind = "card" if m.lastgroup == "card15" else m.lastgroup
-            got = m.group()
+            got, end = m.group(), m.end()
             if kind == "iban":
-                value = got.replace(" ", "")
-                if not 15 <= len(value) <= 34 or iban_check(value) != 1:
-                    continue
+                value, used = iban_in(got) or (None, 0)
+                end = m.start() + used
+            elif kind == "ip6":
+                value = ip6_in(got)
             elif kind in ("card", "ssn", "phone"):
                 value = "".join(c for c in got if c.isdigit())
                 if kind == "phone" and not 7 <= len(value) <= 15:
-                    continue
+                    value = None
             else:
-                value = got.lower() if kind in ("email", "ip6") else got
-            out.append((m.start(), m.end(), kind, value))
-    if any(t in text for t in TITLES) or any(g in text for g in _GENDER):
-        taken = [(a, b) for a, b, *_ in out]
-        for m in NAME.finditer(text):
-            group = "titled" if m.group("titled") else "full"
-            at = m.start(group)
-            parts = m.group(group).split(" ")
-            if group == "titled" and len(parts) == 2 and parts[0] not in _GENDER and not parts[1][0].isupper():
-                parts = parts[:1]
-            for k, part in enumerate(parts):
-                kind = "given" if k == 0 and len(parts) == 2 and part in _GENDER else "family"
-                span = (at, at + len(part))
-                if not any(a < span[1] and span[0] < b for a, b in taken):
-                    out.append((*span, kind, part if kind == "given" else part.lower()))
-                at += len(part) + 1
+                value = got.lower() if kind == "email" else got
+            if value is None:  # what a failed match took may hold another entity
+                at = m.start() + 1
+                continue
+            out.append((m.start(), end, kind, value))
+            at = end
+    at, taken = 0, list(out)
+    while start := START.search(text, at):
+        m = NAME.match(text, start.start())
+        if not m:
+            at = start.end()
+            continue
+        group = "titled" if m.group("titled") else "full"
+        at = m.start(group)
+        parts = m.group(group).split(" ")
+        if group == "titled" and len(parts) == 2 and parts[0] not in _GENDER and not parts[1][0].isupper():
+            parts = parts[:1]
+        for k, part in enumerate(parts):
+            kind = "given" if k == 0 and len(parts) == 2 and part in _GENDER else "family"
+            span = (at, at + len(part))
+            if not any(a < span[1] and span[0] < b for a, b, *_ in taken):
+                out.append((*span, kind, part if kind == "given" else part.lower()))
+            at += len(part) + 1
+        at = m.end()
+    if len(out) > len(taken):
         out.sort()
     return out
 
@@ -141,6 +272,7 @@ class Surrogates:
     def __init__(self, key: bytes):
         self.key = key
         self.of = functools.lru_cache(maxsize=50_000)(self._of)
+        self.cycle = functools.lru_cache(maxsize=64)(self._cycle)
 
     def _number(self, *parts) -> int:
         return int.from_bytes(hmac.new(self.key, "\x1f".join(map(str, parts)).encode(), hashlib.sha256).digest(), "big")
@@ -206,6 +338,11 @@ class Surrogates:
             out[i] = chr(b + v)
         return "".join(out)
 
+    def _cycle(self, group: tuple[str, str], draw: int) -> dict[str, str]:
+        """Each given name of a script and gender with the one that takes its place."""
+        order = sorted(GIVEN[group], key=lambda n: self._number("given", draw, n))
+        return dict(zip(order, order[1:] + order[:1], strict=True))
+
     def _of(self, kind: str, value: str, draw: int) -> str:
         tweak = f"{kind}|{draw}"
         if kind == "email":
@@ -215,7 +352,6 @@ class Surrogates:
         if kind == "ip":
             return ".".join(map(str, self.permute([int(x) for x in value.split(".")], [256] * 4, tweak)))
         if kind == "ip6":
-            value = ":".join(x.zfill(4) for x in value.split(":"))
             digits = self.permute([int(c, 16) for c in value if c != ":"], [16] * 32, tweak)
             text = "".join(f"{d:x}" for d in digits)
             return ":".join(text[i:i + 4] for i in range(0, 32, 4))
@@ -233,9 +369,7 @@ class Surrogates:
         if kind == "phone":
             return self.shaped(value, tweak, set(range(max(0, len(value) - 10))))
         if kind == "given":
-            names = GIVEN[_GENDER[value]]
-            order = sorted(names, key=lambda n: self._number("given", draw, n))
-            return order[(order.index(value) + 1) % len(order)]
+            return self.cycle(_GENDER[value], draw)[value]
         if kind == "family":
             script = script_of(value)
             parts = SYLLABLES[script]
