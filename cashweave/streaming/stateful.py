@@ -1,8 +1,12 @@
 """Stateful streaming ingest: keyed dedup state in the state store (T2s, T3s, T4s, T15).
 
 ``readStream`` pages -> flatten (arrival = source ``page_seq``, phase, position) -> project and
-hash -> ``groupBy(transaction_id).applyInPandasWithState`` holding, per id, only the newest
-event's ``(seq, class, hash)`` -> ``foreachBatch`` (identity, chain, partition overwrite).
+hash. The events themselves go straight to ``foreachBatch``; beside them, each id and range of pages
+is cut to the three events or fewer that decide where its last run of equal events starts, and
+``groupBy(transaction_id).applyInPandasWithState`` folds those into, per id, only the newest
+event's ``(seq, class, hash)`` and hands on what it held before. ``foreachBatch`` collapses the
+events after that with the salted windows of the batch path (identity, chain, partition overwrite),
+so no task and no frame holds all events of an id.
 
 Each micro-batch touches only the state of its own ids (no ledger scan); the state store is
 versioned with the checkpoint, so a replayed batch sees exactly the state it saw the first time.
@@ -17,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from cashweave.operators import ledger as ledger_ops
+from cashweave.operators.windows import seq_range
 from cashweave.session import tune
 from cashweave.sources import pages as page_src
 from cashweave.streaming.ingest import _utc_now, inserted_by_item
@@ -24,10 +29,16 @@ from cashweave.streaming.runlog import RunLog
 from cashweave.tables import read_table
 
 STATE_SCHEMA = "seq long, klass string, hash string"
+#: Arrival positions of a range: 256 pages, whose events of one id are one group.
+RANGE_WIDTH = 1 << 30
+#: Added to the stored position of an id, which so comes before every event of a batch.
+BEFORE = -(1 << 63)
+_NARROW = T.StructType([T.StructField("transaction_id", T.StringType()), T.StructField("arrival_seq", T.LongType()),
+                        T.StructField("event_class", T.StringType()), T.StructField("payload_hash", T.StringType())])
 
 
 def _collapse_with_state(key, pdfs, state):
-    """W1/W2 for one id in one micro-batch, vectorised.
+    """W1/W2 for a bounded number of events of one id, vectorised.
 
     Each event is compared with the raw event before it (the stored newest event for the first):
     a dropped event equals its predecessor, so this is the sequential "newest event" rule. The
@@ -60,26 +71,56 @@ def _collapse_with_state(key, pdfs, state):
     yield out
 
 
+def _ends(pdf):
+    """The events of one id and range that decide its newest kept event, whatever came before the range.
+
+    The first event, the start of the last run of equal events, and the one before it: folded in order they
+    leave the state that all events of the range leave.
+    """
+    if len(pdf) < 3:  # most groups
+        return pdf
+    pdf = pdf.sort_values("arrival_seq", kind="stable").reset_index(drop=True)
+    same = (pdf["event_class"] == pdf["event_class"].shift()) & (pdf["payload_hash"] == pdf["payload_hash"].shift())
+    start = int((~same).to_numpy().nonzero()[0][-1])
+    return pdf.iloc[sorted({0, max(start - 1, 0), start})]
+
+
+def _remember(key, pdfs, state):
+    """The newest kept event of an id before the batch, as a row; the state becomes the newest one after it."""
+    import pandas as pd
+
+    before = [(key[0], state.get[0] + BEFORE, *state.get[1:])] if state.exists else []
+    for _ in _collapse_with_state(key, pdfs, state):
+        pass
+    yield pd.DataFrame(before, columns=_NARROW.names)
+
+
 class StatefulLedgerSink:
-    """``foreachBatch`` after the stateful collapse: identity, chain, write the batch partition."""
+    """``foreachBatch`` after the state step: collapse, identity, chain, write the batch partition."""
 
     def __init__(self, ledger_path: str, now: str | None = None, chain: bool = True,
-                 segment_width: int = ledger_ops.DEFAULT_SEGMENT_WIDTH, runs_path: str | None = None):
+                 segment_width: int = ledger_ops.DEFAULT_SEGMENT_WIDTH, runs_path: str | None = None,
+                 bucket_width: int = RANGE_WIDTH):
+        self.bucket_width = bucket_width
         self.ledger_path = ledger_path
         self.runs_path = runs_path
         self.now = now
         self.chain = chain
         self.segment_width = segment_width
 
-    def __call__(self, kept: DataFrame, batch_id: int) -> None:
-        spark = kept.sparkSession
+    def __call__(self, rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
         tune(spark)
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         # Every action on a foreachBatch frame re-runs the micro-batch, state-store step included;
-        # persist it once (bounded by the trigger size) and release it after the write.
+        # persist it once (it spills to disk) and release it after the write.
         from pyspark import StorageLevel
 
-        kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        events = rows.filter(~F.col("_before")).drop("_before")
+        kept = ledger_ops.collapse_repeats(events, rows.filter("_before"), self.bucket_width, keep_bucket=True)
+        link = F.col("supersedes_seq")
+        kept = kept.withColumn("supersedes_seq", F.when(link < 0, link - F.lit(BEFORE)).otherwise(link))
         log = RunLog(spark, self.runs_path) if self.runs_path else None
         now = self.now or _utc_now()
         try:
@@ -88,7 +129,7 @@ class StatefulLedgerSink:
             stored = read_table(spark, self.ledger_path) if self.chain else None
             if stored is not None:
                 stored = stored.filter(F.col("ingest_batch") < batch_id)
-            bounds = ledger_ops.arrival_bounds(kept) if stored is not None else None
+            bounds = ledger_ops.arrival_bounds(events) if stored is not None else None
             ledger_ops.finish_and_write(kept, self.ledger_path, stored, self.chain, self.segment_width,
                                         partition=("ingest_batch", batch_id), mode="overwrite", bounds=bounds)
             if log:
@@ -98,15 +139,18 @@ class StatefulLedgerSink:
                 log.fail(batch_id, now, exc)
             raise
         finally:
-            kept.unpersist()
+            rows.unpersist()
 
 
-def collapse_stream(pages: DataFrame, now: str | None = None) -> DataFrame:
-    """Streaming DataFrame of kept ledger rows (without identity and chain)."""
+def events_with_state(pages: DataFrame, now: str | None = None, range_width: int = RANGE_WIDTH) -> DataFrame:
+    """Streaming DataFrame of all events, and of the newest kept event before the batch of each of its ids that
+    has one (``_before``, its position moved by BEFORE)."""
     events = ledger_ops.prepare_events(page_src.explode_pages(pages, batch_id=None), now)
-    out_schema = T.StructType(events.schema.fields + [T.StructField("supersedes_seq", T.LongType(), True)])
-    return events.groupBy("transaction_id").applyInPandasWithState(
-        _collapse_with_state, out_schema, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    narrow = events.select(*_NARROW.names).groupBy("transaction_id", seq_range("arrival_seq", range_width))
+    before = narrow.applyInPandas(_ends, _NARROW).groupBy("transaction_id").applyInPandasWithState(
+        _remember, _NARROW, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    return events.withColumn("_before", F.lit(False)).unionByName(
+        before.withColumn("_before", F.lit(True)), allowMissingColumns=True)
 
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -122,7 +166,7 @@ def start_stateful_ingest(spark: SparkSession, pages_path: str, ledger_path: str
     if state_provider:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", state_provider)
     pages = page_src.read_change_pages(spark, pages_path, max_files_per_trigger)
-    writer = collapse_stream(pages, now).writeStream.outputMode("append") \
+    writer = events_with_state(pages, now).writeStream.outputMode("append") \
         .foreachBatch(StatefulLedgerSink(ledger_path, now, chain, runs_path=runs_path)).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
