@@ -30,6 +30,8 @@ BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 #: Base of the registers' scale: fine enough that registers agree by chance in 1 of 2,000 cases.
 BASE = 1.001
+#: Added to all registers: log_b of the largest x a 64-bit hash gives (45) is 3,809, so small sets do not clip at 0.
+OFFSET = 3_840
 #: Standard errors that an estimate may lie below the threshold.
 SLACK = 5.0
 #: Classes compared at once: sketches of a bucket, sets of a cluster.
@@ -43,8 +45,8 @@ _ADD = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
 def registers(hashes: np.ndarray) -> np.ndarray:
     """SetSketch registers of a non-empty set of 64-bit hashes.
 
-    Register i is floor(1 - log_b(x)) of the smallest x = -log(u) over the set, u uniform for each element,
-    cut to 16 bits.
+    Register i is OFFSET + floor(1 - log_b(x)) of the smallest x = -log(u) over the set, u uniform for each
+    element, cut to 16 bits.
     """
     smallest = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 1024):
@@ -52,7 +54,7 @@ def registers(hashes: np.ndarray) -> np.ndarray:
         h ^= h >> np.uint64(32)
         np.minimum(smallest, (h * np.uint64(0xD6E8FEB86659FD93)).min(0), out=smallest)
     x = -np.log1p(-(smallest.astype(np.float64) + 0.5) * 2.0 ** -64)
-    return np.clip(np.floor(1 - np.log(x) / math.log(BASE)), 0, 65_535).astype("<u2")
+    return np.clip(np.floor(OFFSET + 1 - np.log(x) / math.log(BASE)), 0, 65_535).astype("<u2")
 
 
 def similarity(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
