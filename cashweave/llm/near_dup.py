@@ -166,8 +166,9 @@ def clusters(classes: DataFrame, limit: Threshold) -> DataFrame:
     bands are compared once. Buckets above BUCKET_ROWS are compared chunk by chunk. A bucket gives
     one star for each of its clusters, not its pairs.
     """
-    banded = classes.select("rep", "regs")
-    schema = T.StructType([T.StructField("rep", T.LongType()), T.StructField("band", T.IntegerType()),
+    banded = classes.select("rep", "regs", "c1")
+    schema = T.StructType([T.StructField("rep", T.LongType()), T.StructField("c1", T.LongType()),
+                           T.StructField("band", T.IntegerType()),
                            T.StructField("value", T.LongType())])
 
     def bands(batches):
@@ -176,18 +177,19 @@ def clusters(classes: DataFrame, limit: Threshold) -> DataFrame:
                 part = batch.slice(at, 4096)
                 values = _matrix(part.column(1)).view("<i8")
                 n = len(values)
+                each = pa.array(np.repeat(np.arange(n), BANDS))
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0).take(pa.array(np.repeat(np.arange(n), BANDS))),
+                    part.column(0).take(each), part.column(2).take(each),
                     pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), pa.array(values.ravel())], names=schema.names)
 
     rows = banded.mapInArrow(bands, schema)
-    mark = F.sum(F.xxhash64("rep").cast("decimal(38,0)"))
+    mark = F.sum(F.xxhash64("rep", "c1").cast("decimal(38,0)"))
     buckets = rows.groupBy("band", "value").agg(F.count(F.lit(1)).alias("rows"), mark.alias("mark"), F.min("rep").alias(
         "least")).filter("rows > 1")
     buckets = stored(buckets.groupBy("rows", "mark", "least").agg(F.min(F.struct("band", "value")).alias("x")).select(
         "x.band", "x.value", "rows"), "buckets")
-    members = rows.join(buckets, ["band", "value"]).join(classes.select("rep", "n", "regs"), "rep")
-    members = blocks(members, "rows", "rep", BUCKET_ROWS).select(
+    members = rows.join(buckets, ["band", "value"]).join(classes.select("rep", "c1", "n", "regs"), ["rep", "c1"])
+    members = blocks(members, "rows", "c1", BUCKET_ROWS).select(
         "band", "value", "left", "right", "side", "rep", "n", "regs")
     members = members.repartition("band", "value", "left", "right").sortWithinPartitions(
         "band", "value", "left", "right")
@@ -207,18 +209,40 @@ def clusters(classes: DataFrame, limit: Threshold) -> DataFrame:
     return components(members.mapInArrow(compare, _EDGE), "a", "b")
 
 
+def named(texts: DataFrame, width: int) -> DataFrame:
+    """(_id, text) with the size and the two sums of each text's set: _n, _1, _2."""
+    schema = T.StructType([*texts.schema.fields, *(T.StructField(c, T.LongType()) for c in ("_n", "_1", "_2"))])
+
+    def run(batches):
+        for batch in batches:
+            for at, n in wordvec.pieces(batch.column(1)):
+                part = batch.slice(at, n)
+                sets = wordvec.shingles(part.column(1), width)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(s) for s in sets], pa.int64()), *names(sets)],
+                                                 names=schema.names)
+
+    return texts.mapInArrow(run, schema)
+
+
 def verified(docs: DataFrame, classes: DataFrame, clustered: DataFrame, key: str, text: str, width: int,
-             limit: Threshold) -> DataFrame:
+             limit: Threshold, repeated: bool) -> DataFrame:
     """Edges (a, b) that span the components of linked classes, each confirmed on full sets.
 
     Only texts of clusters travel, once to their cluster and once for each chunk pair of a cluster above CLUSTER_ROWS.
     A group verifies likelier pairs first and none whose ends are joined already; of the others none is skipped.
     """
-    sizes = clustered.groupBy("component").agg(F.count(F.lit(1)).alias("rows"))
-    nodes = clustered.join(sizes, "component").join(classes, clustered["node"] == classes["rep"]).select(
-        F.col("rep"), "component", "rows", "n", "c1", "c2", "regs")
+    nodes = clustered.join(classes, clustered["node"] == classes["rep"]).select(
+        F.col("rep"), "component", "n", "c1", "c2", "regs")
+    sizes = nodes.groupBy("component").agg(F.count(F.lit(1)).alias("rows"))
+    nodes = nodes.join(sizes, "component")
     texts = pick(docs, key, text).select(F.col(key).cast("long").alias("_id"), F.col(text).alias("text"))
-    members = blocks(texts.join(nodes, F.col("_id") == F.col("rep")), "rows", "rep", CLUSTER_ROWS).select(
+    if repeated:  # one text for each class, named by its set: an id may stand on many rows and for many classes
+        held = texts.join(clustered.select("node"), F.col("_id") == F.col("node"), "left_semi")
+        held = named(held, width).groupBy("_id", "_n", "_1", "_2").agg(F.first("text").alias("text"))
+        on = [F.col("_id") == F.col("rep"), F.col("_n") == F.col("n"), F.col("_1") == F.col("c1"), F.col("_2") == F.col("c2")]
+    else:
+        held, on = texts, F.col("_id") == F.col("rep")
+    members = blocks(held.join(nodes, on), "rows", "c1", CLUSTER_ROWS).select(
         "component", "left", "right", "side", "rep", "n", "c1", "c2", "regs", "text")
     members = members.repartition("component", "left", "right").sortWithinPartitions("component", "left", "right", "rep")
 
@@ -260,11 +284,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     sketched = stored(sketch(docs, key, text, width).withColumn(key, F.col(key).cast("long")), "sketches")
     classes = stored(sketched.filter((F.col("n") > 0) & F.col(key).isNotNull()).groupBy("c1", "c2", "n").agg(
         F.min(key).alias("rep"), F.first("regs").alias("regs")), "classes")
-    linked = components(verified(docs, classes, clusters(classes, limit), key, text, width, limit), "a", "b")
-    named = classes.select("c1", "c2", "n", "rep").join(linked, F.col("rep") == F.col("node"), "left").select(
+    ids = sketched.filter((F.col("n") > 0) & F.col(key).isNotNull()).groupBy(key).count()
+    repeated = not ids.filter("count > 1").isEmpty()
+    linked = components(verified(docs, classes, clusters(classes, limit), key, text, width, limit, repeated), "a", "b")
+    sets = classes.select("c1", "c2", "n", "rep").join(linked, F.col("rep") == F.col("node"), "left").select(
         F.col("c1").alias("_1"), F.col("c2").alias("_2"), F.col("n").alias("_n"),
         F.coalesce("component", "rep").alias("_c"))
-    found = sketched.drop("regs").join(named, (F.col("c1") == F.col("_1")) & (F.col("c2") == F.col("_2")) & (
+    found = sketched.drop("regs").join(sets, (F.col("c1") == F.col("_1")) & (F.col("c2") == F.col("_2")) & (
         F.col("n") == F.col("_n")) & F.col(key).isNotNull(), "left")
     component = F.coalesce("_c", key)
     return found.select(key, F.col("n").alias("n_shingles"), component.alias("component_id"),
@@ -274,14 +300,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with all its columns, but only one row of each group of near duplicates.
 
-    Rows that repeat a key are one document, so one of them stays; rows without a key all stay.
+    Rows that repeat a key are documents of their own here: different texts of one key all stay unless they are
+    near duplicates, and the row of the smallest key of a group stays. Of rows with one key and no words
+    one stays; rows without a key all stay.
     """
     columns = docs.columns
     keys = pick(docs, key).filter(F.col(key).isNotNull())
-    at = f"_{columns.index(key)}"
-    gone = near_duplicates(docs, key, text, **options).filter("NOT kept").select(F.col(key).alias("_gone")).distinct()
+    at, words = f"_{columns.index(key)}", f"_{columns.index(text)}"
     rows = docs.toDF(*[f"_{i}" for i in range(len(columns))])
-    rows = rows.join(gone, F.col(at).cast("long") == F.col("_gone"), "left_anti")
-    if keys.count() > keys.distinct().count():
-        rows = rows.filter(F.col(at).isNotNull()).dropDuplicates([at]).unionByName(rows.filter(F.col(at).isNull()))
-    return rows.toDF(*columns)
+    if keys.count() == keys.distinct().count():
+        gone = near_duplicates(docs, key, text, **options).filter("NOT kept").select(F.col(key).alias("_gone")).distinct()
+        return rows.join(gone, F.col(at).cast("long") == F.col("_gone"), "left_anti").toDF(*columns)
+    # Row numbers in the keys' order; rows of one key are spread over the ranges at random, then stored.
+    own = stored(rows.filter(F.col(at).isNotNull()).withColumn("_spread", F.rand(3)).repartitionByRange(at, "_spread")
+                 .sortWithinPartitions(at).drop("_spread").withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = stored(near_duplicates(own, "_row", words, **options), "numbered-near")
+    blank = own.select("_row", at).join(found.filter("n_shingles = 0").select("_row"), "_row")
+    stay = found.filter("kept AND n_shingles > 0").select("_row").unionByName(
+        blank.groupBy(at).agg(F.min("_row").alias("_row")).select("_row"))
+    kept = own.join(stay, "_row", "left_semi").drop("_row")
+    return kept.unionByName(rows.filter(F.col(at).isNull())).toDF(*columns)
