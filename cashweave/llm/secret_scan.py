@@ -4,7 +4,8 @@ Each rule's regular expression is turned into a Boolean trigram query: a disjunc
 conjunctions that every match must satisfy. The index maps a trigram to the ids of the texts that
 hold it, cut into blocks of bounded size; the postings of a conjunction are intersected, and only
 the candidates are verified with the expression itself. A rule without mandatory trigrams scans
-every text. Letters are folded to lower case in the index, so one index serves all rules.
+every text. Letters are folded to lower case in the index, so one index serves all rules of a scan; it holds
+the trigrams that these rules ask for and no others, and is built for each scan.
 """
 
 from __future__ import annotations
