@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cashweave.llm import byte_bpe, embed_dup, mixing, near_dup, pii, quality_model, quality_rules, secret_scan, token_store, warc
+from cashweave.llm import (
+    byte_bpe, divergence, embed_dup, language_id, mixing, near_dup, pii, quality_model, quality_rules, secret_scan, spelling,
+    token_store, warc)
 from cashweave.llm.common import scratch, table
 
 #: Folder of the public tokenizers' files.
@@ -67,10 +69,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.classify(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_model, op2_quality_rules, op3_secret_scan, op4_near_dup, op5_token_store, op6_warc, op7_embedding_dup, op8_byte_bpe, op9_mixing,
-                                   op10_pii)}
+    return {f.__name__: f for f in (
+        op1_quality_model, op2_quality_rules, op3_secret_scan, op4_near_dup, op5_token_store, op6_warc, op7_embedding_dup,
+        op8_byte_bpe, op9_mixing, op10_pii, op11_language_id, op12_source_divergence, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.ORACLE_SQL, "op3_secret_scan": secret_scan.ORACLE_SQL}
+    return {"op2_quality_rules": quality_rules.ORACLE_SQL, "op3_secret_scan": secret_scan.ORACLE_SQL,
+            "op12_source_divergence": divergence.ORACLE_SQL}
