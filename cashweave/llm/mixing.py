@@ -9,6 +9,9 @@ settle all their documents but one; these residuals meet in the groups of the ne
 one group a source, whose last residual goes to the nearer end. What that leaves over is made up, as far as
 it goes, by turning settled documents of the last group, the largest that fit first. So a source's words
 miss its target by half of one document at most, as a rule by far less.
+
+Equal rows (of one key, source and size) share a due share, not a fate: of n rows with a fraction p, floor(n p) take one
+more copy at once and a single row goes into the pairing with what is left of n p.
 """
 
 from __future__ import annotations
@@ -92,7 +95,7 @@ def _settle(items: Column, level: int) -> Column:
 def _made_up(done: Column, missing: Column) -> Column:
     """``done`` with some x turned so that ``missing`` words (below zero: words too many) come nearer to none."""
     ordered = F.sort_array(F.transform(done, lambda d: F.struct(
-        (-(d["unit"]["size"] * d["unit"]["n"]).cast("double")).alias("o"), d["unit"].alias("unit"), d["x"].alias("x"))))
+        (-d["unit"]["size"].cast("double")).alias("o"), d["unit"].alias("unit"), d["x"].alias("x"))))
 
     def step(acc, d):
         gain = F.when(d["x"] == 0, -d["o"]).otherwise(d["o"])  # words that turning it would add
@@ -104,16 +107,8 @@ def _made_up(done: Column, missing: Column) -> Column:
     return F.aggregate(ordered, F.struct(missing.alias("left"), F.filter(done, lambda d: F.lit(False)).alias("done")), step)["done"]
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
-        cap: int = CAP) -> DataFrame:
-    """Copies of every document in the mix.
-
-    Returns one row for each unit, the rows of equal key, source and size: ``key``, source, size
-    (words), n (such rows, which share one decision), source_size, target and copies (0 .. cap). NULL
-    and empty texts have size 0 and are settled by themselves; a source without words has target 0
-    and no copies; a NULL source is a source. An empty table gives an empty result; other columns are
-    ignored. Only key, source and size are shuffled. Draws are hashes of the keys, so reruns agree.
-    """
+def _units(docs: DataFrame, key: str, text: str, source: str, weights, cap: int) -> DataFrame:
+    """One row for each unit, the n rows of equal key, source and size: each is taken ``sure`` times, ``up`` of them once more."""
     rows = pick(docs, key, source, text).select(
         F.struct(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     units = stored(rows.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-units")
@@ -121,16 +116,16 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     due = units.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
     due = (due.withColumn("_c", ratio).withColumn("sure", F.floor(F.col("_c") + EPS).cast("int"))
-           .withColumn("p", F.greatest(F.col("_c") - F.col("sure"), F.lit(0.0))).drop("_c")
+           .withColumn("_p", F.col("n") * F.greatest(F.col("_c") - F.col("sure"), F.lit(0.0)))
+           .withColumn("up", F.floor(F.col("_p") + EPS).cast("long"))
+           .withColumn("p", F.greatest(F.col("_p") - F.col("up"), F.lit(0.0))).drop("_c", "_p")
            .withColumn("h", F.xxhash64(F.lit(SEED), "key", "source", "size")))
-    columns = ["key", "source", "size", "n", "source_size", "target"]
+    columns = ["key", "source", "size", "n", "source_size", "target", "sure"]
     settled = (F.col("p") < EPS) | (F.col("size") == 0)
-    alone = due.filter(settled).select(*columns, (F.col("sure") + F.when(
-        F.col("p") > _uniform(F.lit(-1), F.col("h")), 1).otherwise(0)).alias("copies"))
+    alone = due.filter(settled).select(*columns, (F.col("up") + F.when(
+        F.col("p") > _uniform(F.lit(-1), F.col("h")), 1).otherwise(0)).alias("up"))
 
-    open_rows = due.filter(~settled).select(
-        "source", "h", F.struct(*columns, "sure").alias("unit"),
-        (F.col("size") * F.col("n")).cast("double").alias("mass"), "p")
+    open_rows = due.filter(~settled).select("source", "h", F.struct(*columns, "up").alias("unit"), F.col("size").cast("double").alias("mass"), "p")
     bits = max(0, math.ceil(math.log2(max(1, units.count()))) - GROUP_BITS)
     parts, level = [alone], 0
     while True:
@@ -144,17 +139,34 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
             folded = folded.withColumn("done", F.when(rest.isNotNull(), _made_up(F.col("done"), missing)).otherwise(F.col("done")))
         folded = stored(folded, "mix-level")
         parts.append(folded.select(F.explode("done").alias("d")).select(
-            *[f"d.unit.{c}" for c in columns], (F.col("d.unit.sure") + F.col("d.x")).alias("copies")))
+            *[f"d.unit.{c}" for c in columns], (F.col("d.unit.up") + F.col("d.x")).alias("up")))
         open_rows = folded.filter("rest IS NOT NULL").select("source", "rest.h", "rest.unit", "rest.mass", "rest.p")
         if not bits:
             break
         bits, level = (bits - 1) // TREE_BITS * TREE_BITS, level + 1  # the last group has the most children
-    parts.append(open_rows.select(*[f"unit.{c}" for c in columns], (
-        F.col("unit.sure") + (F.col("p") >= 0.5).cast("int")).alias("copies")))
+    parts.append(open_rows.select(*[f"unit.{c}" for c in columns], (F.col("unit.up") + (F.col("p") >= 0.5).cast("int")).alias("up")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.select(F.col(f"key.{key}").alias(key), *columns[1:], "copies")
+    return out.withColumn("key", F.col(f"key.{key}"))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
+        cap: int = CAP) -> DataFrame:
+    """Copies of every document in the mix.
+
+    Rows of equal key, source and size form a unit; its result is one row, or two where some of its rows are
+    taken once more than the others: ``key``, source, size (words), n (so many of its rows), source_size, target
+    and copies (0 .. cap). So many equal rows come as near to a target as different ones. NULL
+    and empty texts have size 0 and are settled by themselves; a source without words has target 0
+    and no copies; a NULL source is a source. An empty table gives an empty result; other columns are
+    ignored; only the number of words of very long texts moves on. Only key, source and size are shuffled. Draws
+    are hashes of the keys, so reruns agree.
+    """
+    parts = F.array(F.struct(F.col("up").alias("n"), (F.col("sure") + 1).alias("copies")),
+                    F.struct((F.col("n") - F.col("up")).alias("n"), F.col("sure").alias("copies")))
+    rows = _units(docs, key, text, source, weights, cap).withColumn("part", F.explode(F.filter(parts, lambda x: x["n"] > 0)))
+    return rows.select(F.col("key").alias(key), "source", "size", "part.n", "source_size", "target", "part.copies")
 
 
 def per_document(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -165,14 +177,32 @@ def per_document(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def take(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: every row of ``docs`` as many times as :func:`mix` says, with its own columns."""
+    """The mix itself: every row of ``docs`` as many times as :func:`mix` says, with its own columns.
+
+    Where units have several rows, these are numbered to tell which are taken once more: first within
+    the unit's rows of one input partition, then by the counts of earlier partitions, so that no unit meets in one task.
+    """
     names = docs.columns
     rows = docs.toDF(*[f"_{i}" for i in range(len(names))])
     at = {c: f"_{names.index(c)}" for c in (key, text, source)}
-    mixed = mix(docs, key, text, source).filter("copies > 0").select(
-        F.col(key).alias("k"), F.col("source").alias("s"), F.col("size").alias("z"), "copies")
+    units = stored(_units(docs, key, text, source, WEIGHTS, CAP).filter("sure + up > 0").select(
+        F.col("key").alias("k"), F.col("source").alias("s"), F.col("size").alias("z"), "n", "sure", "up"), "mix-copies")
     rows = rows.withColumn("_size", word_count(F.col(at[text])))
-    joined = rows.join(mixed, F.col(at[key]).eqNullSafe(F.col("k")) & F.col(at[source]).eqNullSafe(F.col("s"))
-                       & (F.col("_size") == F.col("z")))
-    copied = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    repeated = not units.filter("n > 1").isEmpty()
+    if repeated:
+        rows = rows.withColumn("_part", F.spark_partition_id())
+    same = F.col(at[key]).eqNullSafe(F.col("k")) & F.col(at[source]).eqNullSafe(F.col("s")) & (F.col("_size") == F.col("z"))
+    joined = rows.join(units.filter("n = 1"), same).withColumn("_copies", F.col("sure") + F.col("up"))
+    if repeated:
+        unit = ["k", "s", "z"]
+        several = rows.join(units.filter("n > 1"), same).withColumn("_rank", F.row_number().over(
+            Window.partitionBy(*unit, "_part").orderBy(F.xxhash64(at[text]))))
+        sizes = several.groupBy(*unit, "_part").agg(F.count(F.lit(1)).alias("_m"))
+        before = sizes.select(*[F.col(c).alias(f"_{c}") for c in unit], F.col("_part").alias("_p"), F.coalesce(F.sum("_m").over(
+            Window.partitionBy(*unit).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        several = several.join(before, F.col("k").eqNullSafe(F.col("_k")) & F.col("s").eqNullSafe(F.col("_s"))
+                               & (F.col("z") == F.col("_z")) & (F.col("_part") == F.col("_p")))
+        several = several.withColumn("_copies", F.col("sure") + (F.col("_before") + F.col("_rank") <= F.col("up")).cast("int"))
+        joined = joined.unionByName(several.select(*joined.columns))
+    copied = joined.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return copied.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)])
