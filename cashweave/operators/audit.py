@@ -6,11 +6,14 @@ Each counter set is one aggregation pass per input table; one-row results are co
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cashweave import schemas
 from cashweave.functions import hashing
+from cashweave.operators import merkle, roots
 from cashweave.operators.ledger import DEFAULT_SEGMENT_WIDTH
 from cashweave.operators.windows import seq_range
 
@@ -213,6 +216,24 @@ def append_only_audit(before: DataFrame, after: DataFrame, key: str = "arrival_s
         .withColumn("append_only", F.col("rows_changed_or_lost") == 0)
 
 
+def compare_versions(spark: SparkSession, before: str, after: str) -> DataFrame:
+    """U6 by trees, one row: what the ledger at ``after`` does to the one at ``before``, each as its appends recorded it.
+
+    Roots are compared first: an append whose tree is the same in both is not looked into. Below the others only
+    segments that differ are read (see ``merkle.difference``); rows are never read. That the trees still bear out
+    the rows is what ``merkle.damage`` checks.
+    """
+    def tops(path):
+        return roots.read_roots(spark, path).select("root_seq", "first_seq", "tree")
+
+    a, b = tops(before), tops(after)
+    same = a.join(b, ["root_seq", "first_seq", "tree"], "left_semi").select("root_seq")
+    found = merkle.difference(*[merkle.read_nodes(spark, p).join(same, "root_seq", "left_anti") for p in (before, after)])
+    counts = found.agg(*[F.count_if(F.col("finding") == f).alias(f"rows_{f}") for f in merkle.FINDINGS])
+    out = combine_one_row(counts, same.agg(F.count(F.lit(1)).alias("appends_equal")))
+    return out.withColumn("append_only", reduce(lambda x, y: x & y, [F.col(f"rows_{f}") == 0 for f in merkle.FINDINGS if f != "added"]))
+
+
 def events_by_item(ledger: DataFrame) -> DataFrame:
     """A15."""
     return ledger.groupBy("item_id").agg(F.count(F.lit(1)).alias("event_count"))

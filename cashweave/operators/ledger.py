@@ -300,37 +300,75 @@ def append_events(changes: DataFrame, now: str, ledger: DataFrame | None = None,
     return kept.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.LEDGER.fields])
 
 
+def absent(rows: DataFrame, stored: DataFrame, identity_col: str = "event_identity") -> DataFrame:
+    """``rows`` whose identity ``stored`` does not hold (ON CONFLICT(identity) DO NOTHING)."""
+    return rows.join(stored.select(identity_col), identity_col, "left_anti")
+
+
+class RepeatedAppend(ValueError):
+    """An append whose positions do not fit what is stored: neither new, nor the one that did not finish."""
+
+
+def _within(rows: DataFrame, bounds: tuple[int, int]) -> DataFrame:
+    """Stored rows of an arrival range: two literals that Parquet statistics prune by."""
+    return rows.filter(F.col("arrival_seq").between(*bounds))
+
+
 def finish_and_write(kept: DataFrame, path: str, ledger: DataFrame | None = None, chain: bool = True,
                      segment_width: int = DEFAULT_SEGMENT_WIDTH, partition: tuple[str, int] | None = None,
                      mode: str = "append", bounds: tuple[int | None, int | None] | None = None) -> None:
     """Identity, chain and write for a batch of kept rows (from :func:`collapse_repeats` with
-    ``keep_bucket=True``).
+    ``keep_bucket=True``), then tree, entries and root, which commits the append.
 
-    Not persisted on purpose: a cached relation loses the collapse partitioning, so the chain
+    A repeated append adds nothing twice. A partition of its own is replaced. Otherwise rows of the batch's arrival
+    range that are stored already are left out by identity; rows behind the last committed position are those of an
+    attempt that did not finish, and the append takes them over. ``bounds`` is the arrival range of the raw
+    events. Not persisted on purpose: a cached relation loses the collapse partitioning, so the chain
     join would shuffle the wide rows a second time. Re-deriving the narrow chain inputs (CPU)
     is cheaper at scale than moving the whole batch again (disk and network).
     """
+    spark = kept.sparkSession
     rows = with_identity(kept)
+    root_seq, end = roots.committed_end(spark, path) if chain else (-1, None)
+    pending = None
+    here = None if _replaces(partition, mode) else read_table(spark, path)
+    if here is not None:
+        bounds = bounds or arrival_bounds(kept)
+        if bounds[0] is None:
+            return  # an empty batch
+        last = -1 if end is None else end
+        found = _within(here, bounds)
+        if chain:
+            pending = _unfinished(here, end, bounds)
+            found = found.filter(F.col("arrival_seq") <= last)
+            if bounds[0] <= last:
+                rows = absent(rows, found)
+                lowest = rows.agg(F.min("arrival_seq")).first()[0]
+                if lowest is None and pending is None:
+                    return  # all of it is stored and committed
+                if lowest is not None and lowest <= last:
+                    raise RepeatedAppend("an append must follow the stored positions, or have a partition of its own")
+            # What the chain continues: committed rows, or those of a ledger that has no roots yet.
+            ledger = here.filter(F.col("arrival_seq") <= last if end is not None else ~F.col("arrival_seq").between(*bounds))
+        elif not found.isEmpty():
+            rows = absent(rows, found)
     if chain:
         seeds = chain_seeds(ledger, rows, segment_width, bounds) if ledger is not None else None
         out = with_chain(rows, seeds, segment_width)
     else:
         out = rows.withColumn("prev_ledger_hash", F.lit(None).cast("string")) \
             .withColumn("ledger_hash", F.lit(None).cast("string"))
+    if pending is not None:
+        # Not the join's own partitioning: the repeat of a failed append may shuffle its rows again.
+        if not absent(pending, rows).isEmpty():
+            raise RepeatedAppend("rows of another append that did not finish are stored: repeat that one first")
+        out = absent(out, pending)
     # Files clustered by (transaction_id, arrival_seq): point lookups of one id prune row groups
     # by min/max. The rows already arrive in (transaction_id, _b, arrival_seq) order from the
     # collapse, and _b is monotone in arrival_seq, so this adds no sort to the plan.
     order = ["transaction_id", "_b", "arrival_seq"] if "_b" in out.columns else ["transaction_id", "arrival_seq"]
     out = out.sortWithinPartitions(*order)
     out = out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.LEDGER.fields])
-    spark = kept.sparkSession
-    if chain:
-        known = read_table(spark, path.rstrip("/") + "_roots")
-        root_seq, root = roots.newest_root(known, partition[1] if partition else None)
-        # Without a partition of its own an append is told apart by its positions: all above the stored ones.
-        above = roots.read_entries(spark, path).agg(F.max("last_seq")).first()[0] if known is not None else None
-        if partition is None and above is not None and bounds is not None and bounds[0] is not None and bounds[0] <= above:
-            raise ValueError("an append must follow the stored positions, or have a partition of its own")
     if partition is not None:
         name, value = partition
         out.withColumn(name, F.lit(value).cast("long")).write.mode(mode).partitionBy(name).parquet(path)
@@ -343,10 +381,30 @@ def finish_and_write(kept: DataFrame, path: str, ledger: DataFrame | None = None
         return
     if partition is not None:
         written = written.filter(F.col(partition[0]) == partition[1])
-    elif above is not None:
-        written = written.filter(F.col("arrival_seq") > above)  # pruned by Parquet statistics
-    narrow = written.filter(F.col("ledger_hash").isNotNull()).select("arrival_seq", "ledger_hash")
-    roots.append_root(spark, path, narrow, partition[1] if partition else root_seq + 1, segment_width, root)
+    elif end is not None:
+        written = written.filter(F.col("arrival_seq") > end)  # pruned by Parquet statistics
+    narrow = written.filter(F.col("ledger_hash").isNotNull()).select(
+        "arrival_seq", "event_identity", "payload_hash", "inserted_at", "ledger_hash")
+    roots.append_root(spark, path, narrow, partition[1] if partition else root_seq + 1, segment_width)
+
+
+def _replaces(partition: tuple[str, int] | None, mode: str) -> bool:
+    """Does the append take the place of an earlier attempt, which then needs no other care?"""
+    return partition is not None and mode == "overwrite"
+
+
+def _unfinished(here: DataFrame, end: int | None, bounds: tuple[int, int]) -> DataFrame | None:
+    """Stored rows behind the last committed position ``end``: an attempt that did not finish.
+
+    They must lie in this append's range. In a ledger without any root only rows of this range are taken for such.
+    """
+    rows = _within(here, bounds) if end is None else here.filter(F.col("arrival_seq") > end)
+    low, high = arrival_bounds(rows)
+    if low is None:
+        return None
+    if low < bounds[0] or high > bounds[1]:
+        raise RepeatedAppend(f"positions {low} to {high} are of an append that did not finish: repeat that one first")
+    return rows
 
 
 def write_events(changes: DataFrame, now: str, path: str, ledger: DataFrame | None = None, env: str | None = None,
@@ -354,11 +412,28 @@ def write_events(changes: DataFrame, now: str, path: str, ledger: DataFrame | No
                  segment_width: int = DEFAULT_SEGMENT_WIDTH, partition: tuple[str, int] | None = None,
                  mode: str = "append") -> None:
     """S5 as a write job: the rows of :func:`append_events` written to ``path`` (optionally into
-    one partition, e.g. the ingest batch, replaced on replay with ``mode="overwrite"``)."""
+    one partition, e.g. the ingest batch, replaced on replay with ``mode="overwrite"``).
+
+    May be repeated after any failure, and after success (see :func:`finish_and_write`). The batch's own rows
+    take no part in the comparison with stored events, and a repeat keeps the first attempt's time of insertion,
+    so it ends with the rows, links and roots of one undisturbed run.
+    """
+    spark = changes.sparkSession
     events = prepare_events(changes, now, env)
+    here = None if _replaces(partition, mode) else read_table(spark, path)
+    bounds = arrival_bounds(events) if here is not None or (chain and ledger is not None) else None
+    if here is not None and bounds[0] is not None:
+        own = _within(here, bounds)
+        first = own.agg(F.min("inserted_at")).first()[0]
+        if first is not None:  # a repeat
+            end = roots.committed_end(spark, path)[1] if chain else None
+            unfinished = own if end is None else own.filter(F.col("arrival_seq") > end)
+            now = unfinished.agg(F.min("inserted_at")).first()[0] or now
+            events = prepare_events(changes, now, env)
+            others = own.join(events.select("arrival_seq"), "arrival_seq", "left_anti")
+            ledger = here.filter(~F.col("arrival_seq").between(*bounds)).unionByName(others.select(*here.columns))
     tail = ledger_tail(ledger, events) if ledger is not None else None
     kept = collapse_repeats(events, tail, bucket_width, keep_bucket=True)
-    bounds = arrival_bounds(events) if (chain and ledger is not None) else None
     finish_and_write(kept, path, ledger, chain, segment_width, partition, mode, bounds)
 
 

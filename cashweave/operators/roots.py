@@ -1,23 +1,31 @@
 """Chain of append roots: what every append wrote, linked to the append before it.
 
-Each append adds one entry per chain segment it wrote to (first and last position, row count, last
-hash) to ``<ledger>_entries`` and one row to ``<ledger>_roots``: a digest over its entries, hashed
-together with the previous root. Both tables only ever grow; nothing is derived from rows that an
-earlier append stored, so rows deleted since then show in any later check, and so does an entry that is
-changed or taken away.
+Each append adds the tree of its rows to ``<ledger>_nodes`` (see ``merkle``), one entry per chain segment it wrote
+to (first and last position, row count, last hash) to ``<ledger>_entries`` and one row to ``<ledger>_roots``: a
+digest over its entries, hashed together with the tree and the previous root, and the mountain range of all
+trees so far. The root row is written last: an append without it did not finish. All tables only ever
+grow; nothing is derived from rows that an earlier append stored, so rows deleted since then show in any later
+check, and so does an entry that is changed or taken away.
 """
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cashweave.functions import hashing
+from cashweave.operators import merkle
 from cashweave.operators.windows import seq_range
+from cashweave.tables import read_table
 
 ENTRIES = ("root_seq long, segment long, first_seq long, last_seq long, rows long, last_hash string, "
            "entry_hash string")
-ROOTS = "root_seq long, entries long, digest string, prev_root string, root string"
+_PEAKS = "array<struct<height:int,hash:string>>"
+ROOTS = ("root_seq long, entries long, digest string, prev_root string, root string, leaf long, first_seq long, last_seq long, "
+         f"rows long, top int, tree string, peaks {_PEAKS}, merged {_PEAKS}, mountain string")
 #: Segments whose entries are digested together first, so that no task meets all of them.
 GROUP = 4096
 
@@ -57,42 +65,58 @@ def digests(entries: DataFrame) -> DataFrame:
     return grouped.groupBy("root_seq").agg(F.sum("_n").alias("entries"), joined("_d", "_g").alias("digest"))
 
 
-def append_root(spark: SparkSession, path: str, written: DataFrame, root_seq: int, segment_width: int,
-                previous: str | None) -> None:
-    """Record one append: its entries from the rows it wrote, then its root. Replaying it replaces both."""
-    entries_path, roots_path = _paths(path)
+def write_entries(written: DataFrame, path: str, root_seq: int, segment_width: int) -> DataFrame:
+    """Store one append's entries, made from the rows it wrote; returns them as stored."""
+    base = f"{_paths(path)[0]}/append={root_seq}"
     entries = segment_entries(written, segment_width).withColumn("root_seq", F.lit(root_seq).cast("long")).withColumn(
         "entry_hash", _entry_hash())
-    columns = [c.split()[0] for c in ENTRIES.split(", ")]
-    entries.select(*columns).write.mode("overwrite").parquet(f"{entries_path}/append={root_seq}")
-    own = spark.read.schema(ENTRIES).parquet(f"{entries_path}/append={root_seq}")
-    digests(own).select("root_seq", "entries", "digest", F.lit(previous).cast("string").alias("prev_root"),
-                        hashing.sha256_parts(F.lit(previous), F.col("digest")).alias("root")) \
-        .write.mode("overwrite").parquet(f"{roots_path}/append={root_seq}")
-
-
-def newest_root(roots: DataFrame | None, before: int | None = None) -> tuple[int, str | None]:
-    """(root_seq, root) of the last append (before ``before``); (-1, None) for the first. One row is read back."""
-    if roots is None:
+    entries.select(*[c.split()[0] for c in ENTRIES.split(", ")]).write.mode("overwrite").parquet(base)
+    return written.sparkSession.read.schema(ENTRIES).parquet(base)
+
+
+def write_root(spark: SparkSession, path: str, entries: DataFrame, tree: tuple[int, str, int, int, int], root_seq: int) -> None:
+    """Store one append's root row, which commits it. The row before it is the only one read back."""
+    known = read_table(spark, _paths(path)[1])
+    before = None if known is None else read_roots(spark, path).filter(F.col("root_seq") < root_seq).orderBy(
+        F.col("root_seq").desc()).select("root", "leaf", "peaks").first()
+    previous = before and before["root"]
+    own = digests(entries).first()
+    top, tree_hash, rows, first, last = tree
+    peaks = [(p["height"], p["hash"]) for p in before["peaks"]] if before and before["peaks"] else []
+    leaf = before["leaf"] + 1 if before and before["leaf"] is not None else 0
+    peaks, merged = merkle.add_peak(peaks, tree_hash)
+    root = hashlib.sha256("|".join([previous or "", own["digest"], tree_hash]).encode()).hexdigest()
+    spark.createDataFrame([(root_seq, own["entries"], own["digest"], previous, root, leaf, first, last, rows, top, tree_hash,
+                            peaks, merged, merkle.mountain_hash(leaf + 1, peaks))], ROOTS).coalesce(1) \
+        .write.mode("overwrite").parquet(f"{_paths(path)[1]}/append={root_seq}")
+
+
+def append_root(spark: SparkSession, path: str, written: DataFrame, root_seq: int, segment_width: int) -> None:
+    """Record one append from the rows it wrote: its tree, its entries, then its root. Replaying it replaces all three."""
+    tree = merkle.write_nodes(spark, path, written, root_seq)
+    if tree is not None:  # an append without rows leaves no trace
+        write_root(spark, path, write_entries(written, path, root_seq, segment_width), tree, root_seq)
+
+
+def committed_end(spark: SparkSession, path: str) -> tuple[int, int | None]:
+    """(root_seq, last position) of the appends that finished; (-1, None) without any."""
+    if read_table(spark, _paths(path)[1]) is None:
         return -1, None
-    rows = roots if before is None else roots.filter(F.col("root_seq") < before)
-    got = rows.agg(F.max_by(F.struct("root_seq", "root"), "root_seq").alias("x")).first()["x"]
-    return (-1, None) if got is None else (got["root_seq"], got["root"])
+    got = read_roots(spark, path).agg(F.max("root_seq"), F.max("last_seq")).first()
+    return (-1, None) if got[0] is None else (got[0], got[1])
 
 
 def verify_roots(ledger: DataFrame, entries: DataFrame, roots: DataFrame, segment_width: int) -> DataFrame:
     """One row: do the stored rows still bear out every entry, and the entries every root?
 
     ``segments_mismatched`` counts entries whose range holds other rows than were written (any deletion: the
-    head or tail of a segment, a page, a whole segment), ``rows_uncovered`` rows no entry knows, ``roots_broken``
-    appends whose digest or link fails. Narrow columns only: one join on the segment.
+    head or tail of a segment, a page, a whole segment), ``rows_uncovered`` rows no entry knows, ``rows_repeated`` rows
+    at a position that an earlier row has, ``entries_overlapping`` entries that begin before the one before them in their segment ends,
+    ``roots_broken`` appends whose digest or link fails. Narrow columns only: one join on the segment; distinct
+    positions are counted in bitmaps, so rows are not shuffled for them.
     """
-    seg = seq_range("arrival_seq", segment_width)
-    rows = ledger.filter(F.col("ledger_hash").isNotNull()).select("arrival_seq", "ledger_hash", seg.alias("segment"))
-    ranges = entries.select(F.col("segment").alias("_s"), "root_seq", F.col("first_seq").alias("_a"),
-                            F.col("last_seq").alias("_b"))
-    placed = rows.join(ranges, (F.col("segment") == F.col("_s")) & F.col("arrival_seq").between(F.col("_a"), F.col("_b")),
-                       "left")
+    rows = ledger.filter(F.col("ledger_hash").isNotNull()).select("arrival_seq", "ledger_hash")
+    placed = merkle.of_append(rows, entries, segment_width)
     now = segment_entries(placed.select("root_seq", "arrival_seq", "ledger_hash"), segment_width, "root_seq")
     now = now.withColumn("_now", _entry_hash()).select(F.col("root_seq").alias("_r"), F.col("segment").alias("_s"), "_now",
                                                       F.col("rows").alias("_rows"))
@@ -101,6 +125,11 @@ def verify_roots(ledger: DataFrame, entries: DataFrame, roots: DataFrame, segmen
     segments = both.agg(F.count("entry_hash").alias("segments"), F.count_if(bad).alias("segments_mismatched"),
                         F.min(F.when(bad, F.col("segment"))).alias("first_bad_segment"),
                         F.coalesce(F.sum(F.when(F.col("entry_hash").isNull(), F.col("_rows"))), F.lit(0)).alias("rows_uncovered"))
+    in_bits = rows.groupBy(F.bitmap_bucket_number("arrival_seq").alias("_bucket")).agg(
+        F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("arrival_seq"))).alias("_distinct"), F.count(F.lit(1)).alias("_rows"))
+    repeated = in_bits.agg(F.coalesce(F.sum(F.col("_rows") - F.col("_distinct")), F.lit(0)).alias("rows_repeated"))
+    before = F.max("last_seq").over(Window.partitionBy("segment").orderBy("first_seq", "last_seq").rowsBetween(Window.unboundedPreceding, -1))
+    overlapping = entries.select((F.col("first_seq") <= before).alias("_o")).agg(F.count_if("_o").alias("entries_overlapping"))
     # Every root must link to the one before it by number, and digest the entries stored for it.
     # One row an append: the window never sees ledger rows.
     linked = roots.withColumn("_before", F.lag("root").over(Window.orderBy("root_seq")))
@@ -108,9 +137,11 @@ def verify_roots(ledger: DataFrame, entries: DataFrame, roots: DataFrame, segmen
         F.col("root_seq").alias("_q"), F.col("digest").alias("_digest"))
     checked = linked.join(found, F.col("root_seq") == F.col("_q"), "full_outer")
     broken = ~(F.col("digest").eqNullSafe(F.col("_digest")) & F.col("prev_root").eqNullSafe(F.col("_before"))
-               & F.col("root").eqNullSafe(hashing.sha256_parts(F.col("prev_root"), F.col("digest"))))
+               & F.col("root").eqNullSafe(hashing.sha256_parts(F.col("prev_root"), F.col("digest"), F.col("tree"))))
     chain = checked.agg(F.count(F.lit(1)).alias("roots"), F.count_if(broken).alias("roots_broken"))
-    both = segments.unionByName(chain, allowMissingColumns=True)
+    both = segments
+    for one in (repeated, overlapping, chain):
+        both = both.unionByName(one, allowMissingColumns=True)
     both = both.agg(*[F.max(c).alias(c) for c in both.columns])
-    return both.withColumn("ok", (F.col("segments_mismatched") == 0) & (
-        F.col("rows_uncovered") == 0) & (F.col("roots_broken") == 0))
+    faults = ("segments_mismatched", "rows_uncovered", "rows_repeated", "entries_overlapping", "roots_broken")
+    return both.withColumn("ok", reduce(lambda a, b: a & b, [F.col(c) == 0 for c in faults]))

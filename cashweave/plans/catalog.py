@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cashweave.operators import audit, details, dimensions, observations, privacy_jobs, reports, roots, state
+from cashweave.operators import audit, details, dimensions, merkle, observations, privacy_jobs, reports, roots, state
 from cashweave.operators import ledger as ledger_ops
 from cashweave.plans import oracle
 from cashweave.session import checkpoint_dir, tune
 from cashweave.sources import fixtures, legacy
+from cashweave.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,12 +35,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     read it from a stored table, as a production report job reads the ingested ledger,
     instead of rebuilding it per branch. Column pruning and filter pushdown apply to the read.
     """
-    import uuid
-
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = _table_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def l1_stored_ledger(spark: SparkSession, sf_dir: str, chain: bool = False) -> DataFrame:
@@ -198,20 +196,72 @@ def q_events_by_item(spark, sf_dir):
 
 
 def q_append_only_audit(spark, sf_dir):
+    """Two versions of a ledger by their trees, and the two appends against one append of everything."""
+    changes = fixtures.l1_changes(spark, sf_dir)
+    cut = changes.agg(F.max("arrival_seq")).first()[0] // 2
+    first, now = changes.filter(F.col("arrival_seq") < cut), fixtures.FIXTURE_NOW
+    before, after, single = (_table_path(spark, f"audit-{n}") for n in ("before", "after", "single"))
+    for path in (before, after):
+        ledger_ops.write_events(first, now=now, path=path)
+    ledger_ops.write_events(changes.filter(F.col("arrival_seq") >= cut), now=now, path=after, ledger=spark.read.parquet(after))
+    ledger_ops.write_events(changes, now=now, path=single)
+    versions = audit.compare_versions(spark, before, after)
+    report = versions.select((F.col("rows_changed") + F.col("rows_deleted") + F.col("rows_moved") + F.col("rows_duplicated")).alias(
+        "rows_changed_or_lost"), "append_only", "appends_equal", F.col("rows_added").alias("added_rows"))
+    diff = merkle.difference(*[merkle.tree_of(spark.read.parquet(p)) for p in (single, after)]).agg(
+        F.count(F.lit(1)).alias("differs_from_single_batch"))
+    return audit.combine_one_row(report, diff)
+
+
+def q_append_retry(spark, sf_dir):
+    """L1 in two appends: each dies once behind its rows, is repeated later, and is then sent a third time.
+
+    The rows are those of one undisturbed run, with the first attempt's time of insertion; ``verified`` tells
+    that roots, trees and rows agree.
+    """
+    path, width = _table_path(spark, "l1-retry"), ledger_ops.DEFAULT_SEGMENT_WIDTH
     changes = fixtures.l1_changes(spark, sf_dir)
     cut = changes.agg(F.max("arrival_seq")).first()[0] // 2
-    # Two appends, each written as the ingest job would write it; then the audit of the two versions.
-    before = stored(ledger_ops.append_events(changes.filter(F.col("arrival_seq") < cut), now=fixtures.FIXTURE_NOW),
-                    "audit-before")
-    new = stored(ledger_ops.append_events(changes.filter(F.col("arrival_seq") >= cut), now=fixtures.FIXTURE_NOW,
-                                          ledger=before), "audit-batch2")
-    after = before.unionByName(new)
-    one_shot = ledger_ops.append_events(changes, now=fixtures.FIXTURE_NOW)
-    report = audit.append_only_audit(before, after)
-    diff = after.exceptAll(one_shot).agg(F.count(F.lit(1)).alias("differs_from_single_batch"))
-    sizes = audit.combine_one_row(before.agg(F.count(F.lit(1)).alias("before_rows")),
-                                  after.agg(F.count(F.lit(1)).alias("after_rows")))
-    return audit.combine_one_row(report.select("rows_changed_or_lost", "append_only"), diff, sizes)
+    for part in (changes.filter(F.col("arrival_seq") <= cut), changes.filter(F.col("arrival_seq") > cut)):
+        rows = ledger_ops.append_events(part, now=fixtures.FIXTURE_NOW, ledger=read_table(spark, path))
+        rows.write.mode("append").parquet(path)  # the attempt that dies before its entries and root
+        for later in ("2024-03-01T00:00:00Z", "2024-04-01T00:00:00Z"):
+            ledger_ops.write_events(part, now=later, path=path, ledger=spark.read.parquet(path))
+    led, entries = spark.read.parquet(path), roots.read_entries(spark, path)
+    sound = roots.verify_roots(led, entries, roots.read_roots(spark, path), width).first()["ok"] and merkle.damage(
+        led, merkle.read_nodes(spark, path), entries, width).isEmpty()
+    return led.select("arrival_seq", "transaction_id", "event_type", "supersedes_seq", "inserted_at", "event_identity",
+                      "ledger_hash", F.lit(sound).alias("verified"))
+
+
+def q_ledger_tree(spark, sf_dir):
+    """Every node of the trees of L1's two appends."""
+    path, _, _ = _written_ledger(spark, sf_dir, ledger_ops.DEFAULT_SEGMENT_WIDTH)
+    return merkle.read_nodes(spark, path).select("root_seq", "level", F.col("index").alias("node"), "rows", "hash")
+
+
+def q_event_proof(spark, sf_dir):
+    """The newest event of every transaction proved against its append's tree, with the hashes read for it."""
+    width = ledger_ops.DEFAULT_SEGMENT_WIDTH
+    path, led, _ = _written_ledger(spark, sf_dir, width)
+    newest = led.groupBy("transaction_id").agg(F.max("arrival_seq").alias("arrival_seq"))
+    return merkle.event_proofs(led, newest, merkle.read_nodes(spark, path), roots.read_entries(spark, path),
+                               roots.read_roots(spark, path), width)
+
+
+def q_ledger_diff(spark, sf_dir):
+    """L1 damaged after the fact, and what its trees say of each position: removals deleted, modified rows changed,
+    pending ones doubled, large amounts moved."""
+    width = ledger_ops.DEFAULT_SEGMENT_WIDTH
+    path, led, _ = _written_ledger(spark, sf_dir, width)
+    kind = F.when(F.col("event_type") == "removed", "gone").when(F.col("event_type") == "modified", "edited").when(
+        F.col("pending") == 1, "twice").when(F.col("amount") > oracle.LARGE_AMOUNT, "shifted").otherwise("kept")
+    marked = led.withColumn("_kind", kind)
+    bad = marked.filter("_kind <> 'gone'").withColumn("payload_hash", F.when(F.col("_kind") == "edited", F.lit("0" * 64)).otherwise(
+        F.col("payload_hash"))).withColumn("arrival_seq", F.when(F.col("_kind") == "shifted", F.col("arrival_seq") + oracle.SHIFT).otherwise(
+            F.col("arrival_seq")))
+    bad = bad.unionByName(marked.filter("_kind = 'twice'")).drop("_kind")
+    return merkle.damage(bad, merkle.read_nodes(spark, path), roots.read_entries(spark, path), width)
 
 
 def q_backfill_complete(spark, sf_dir):
@@ -439,11 +489,15 @@ def q_backfill_plan(spark, sf_dir):
     return dimensions.plan_backfills(fixtures.it1_items(spark, sf_dir), bf, today=oracle.TODAY)
 
 
-def _written_ledger(spark, sf_dir, segment_width):
-    """L1 appended by the ingest job in two batches; returns (path, ledger)."""
+def _table_path(spark, name):
     import uuid
 
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/l1-written-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def _written_ledger(spark, sf_dir, segment_width):
+    """L1 appended by the ingest job in two batches; returns (path, ledger, last position of the first)."""
+    path = _table_path(spark, "l1-written")
     changes = fixtures.l1_changes(spark, sf_dir)
     cut = changes.agg(F.max("arrival_seq")).first()[0] // 2
     first = changes.filter(F.col("arrival_seq") <= cut)
@@ -606,6 +660,10 @@ def _registry() -> dict[str, Query]:
         "content_hash_check": q_content_hash_check,
         "events_by_item": q_events_by_item,
         "append_only_audit": q_append_only_audit,
+        "append_retry": q_append_retry,
+        "ledger_tree": q_ledger_tree,
+        "event_proof": q_event_proof,
+        "ledger_diff": q_ledger_diff,
         "backfill_complete": q_backfill_complete,
         "backfill_state": q_backfill_state,
         "connection_environment": q_connection_environment,
