@@ -29,6 +29,8 @@ CACHE_LENGTH = 64
 #: Documents encoded together.
 BATCH = 256
 # ASCII marks that are a pre-token of their own between letters and a space or the end.
+# Fixed value: the pattern of the public tokenizer for which texts are cut at spaces.
+SPACED_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'")
 
 
@@ -77,6 +79,24 @@ class RankQueue:
         return sorted(self.buckets.pop(rank))
 
 
+def portable(pattern: str) -> str:
+    """``pattern`` with ``\\s`` and ``\\S`` as Unicode white space, which Python's classes exceed by four control characters."""
+    out, at, depth = [], 0, 0
+    while at < len(pattern):
+        two = pattern[at:at + 2]
+        if two in ("\\s", "\\S"):
+            inverse = two == "\\S"
+            out.append(f"[^{WHITE}]" if inverse else WHITE if depth else f"[{WHITE}]")
+        elif two[:1] == "\\":
+            out.append(two)
+        else:
+            depth += (two[:1] == "[") - (two[:1] == "]" and depth > 0)
+            out.append(two[:1])
+            at -= 1
+        at += 2
+    return "".join(out)
+
+
 class Codec:
     """Encoder and decoder of one rank table; ids are 4-byte little-endian in ``bytes``."""
 
@@ -92,8 +112,10 @@ class Codec:
             if len(token) == 2:
                 self.pairs[token[0] << 8 | token[1]] = rank
         self.single = np.array([ranks.get(bytes([b]), 0) for b in range(256)], np.uint32)
-        pattern = pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
-        self.split = regex.compile(pattern).findall
+        # The cut at spaces and the chunks of letters that need no pattern are right for this pattern alone.
+        self.short_cuts = pattern == SPACED_WORDS
+        found = regex.compile(portable(pattern), regex.V1).finditer
+        self.split = lambda text: [m.group() for m in found(text) if m.end() > m.start()]
         white = regex.compile(f"[{WHITE}]")
         self.white = frozenset(c for c in map(chr, range(0x3001)) if white.match(c))
         self.queue = RankQueue(len(self.vocab))
@@ -178,7 +200,9 @@ class Codec:
 
     def _cut(self, text: str) -> list[str]:
         """Cut a text before every space that a non-space follows: such a space always starts a
-        pre-token of the listed patterns, so chunks can be encoded apart."""
+        pre-token of SPACED_WORDS, so chunks can be encoded apart. For another pattern its matches are the chunks."""
+        if not self.short_cuts:
+            return self.split(text)
         parts, white = text.split(" "), self.white
         chunks = parts[:1]
         for part in parts[1:]:
@@ -195,6 +219,9 @@ class Codec:
             if not chunk:
                 cuts[chunk] = ()
                 continue
+            if not self.short_cuts:
+                cuts[chunk] = (chunk,)
+                continue
             body = chunk[1:] if chunk[0] == " " else chunk
             if body.isalpha():
                 cuts[chunk] = (chunk,)
@@ -235,8 +262,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, key: str = "doc_id", text:
     """Ids of every whole text, and with ``decode`` the bytes that the ids stand for.
 
     Returns ``key``, ``token_ids`` (binary, 4 bytes an id, little-endian) and ``decoded`` (binary).
-    ``ranks`` names the rank file, which every executor must be able to open; ``pattern`` splits
-    texts before the merges. NULL and empty texts have no ids; repeated rows are encoded each;
+    ``ranks`` names the rank file, which every executor must be able to open; ``pattern``, any regular
+    expression that both libraries read alike, splits texts before the merges. Very long texts are encoded whole. NULL and empty texts have no ids; repeated rows are encoded each;
     an empty table gives an empty result; other columns are ignored. Map-only: no shuffle.
     """
     rows = pick(docs, key, text)

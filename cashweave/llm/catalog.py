@@ -9,14 +9,19 @@ from cashweave.llm import (
     token_store, warc)
 from cashweave.llm.common import scratch, table
 
-#: Folder of the public tokenizers' files.
-TOKENIZERS = "/opt/tokenizers"
 #: id that ends a document in the token store.
 END_ID = 2
 #: Key of the surrogates in these queries over synthetic data; a real corpus needs a secret one.
 PII_KEY = b"synthetic corpus"
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def pattern() -> str:
     import public_tokenizers
 
@@ -41,7 +46,7 @@ def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
-    token_store.write_store(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", path, END_ID)
+    token_store.write_store(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), path, END_ID)
     return token_store.read_documents(spark, path)
 
 
@@ -58,7 +63,7 @@ def op7_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return byte_bpe.digests(byte_bpe.encode(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", pattern()))
+    return byte_bpe.digests(byte_bpe.encode(docs, tokenizer("byte_bpe_50k.tiktoken"), pattern()))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ of its own, so a lost or repeated attempt leaves a file that no manifest row nam
 from __future__ import annotations
 
 import functools
+import json
 import math
 import struct
 import uuid
@@ -155,11 +156,29 @@ class WordTable:
             todo, at = todo[left], (at[left] + np.uint64(1)) & self.mask
 
 
+# How a tokenizer must normalise and cut texts for its words to be encoded apart.
+WORD_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+
+
+def word_wise(spec: dict) -> bool:
+    """May words be encoded apart? Told from a tokenizer's file: its steps, word ends, and added tokens that begin as SPECIAL."""
+    model = spec["model"]
+    return (all(spec.get(k) == v for k, v in WORD_STEPS.items()) and model.get("type") == "BPE" and not model.get("dropout")
+            and model.get("end_of_word_suffix") == "</w>" and spec.get("truncation") is None and all(
+                t["content"].encode().startswith(SPECIAL) and not t["normalized"] and not t["lstrip"] for t in spec["added_tokens"]))
+
+
 class WordEncoder:
-    """Ids of whole texts for a tokenizer that drops white space between its pre-tokens.
+    """Ids of whole texts, by words for a tokenizer that drops white space between its pre-tokens (:func:`word_wise`).
 
-    Its normaliser and pre-tokenizer never look across white space and fold case, so a text's ids are those of
-    its words side by side; the tokenizers library sees each distinct word once, and a table by word hashes
+    Any other tokenizer gets whole texts. The normaliser of a word-wise one
+    and its pre-tokenizer never look across white space and fold case, so a text's ids are those of its words side by side; the tokenizers library sees each distinct word once, and a table by word hashes
     gives the ids of a whole batch. A word of letters and trailing marks is two pre-tokens, which are looked
     up apart. Texts that may hold the string of a special token go to the library whole.
     """
@@ -171,6 +190,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = word_wise(json.loads(self.tokenizer.to_str()))
         self.type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65_536 else np.dtype("<u4")
         self.table, self.parts = WordTable(self.type), Cache(CACHED_PARTS)
         vocab = self.tokenizer.get_vocab()
@@ -220,8 +240,11 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of the texts one after the other, each with ``end_id`` after it, ids of each text)."""
-        hashes, counts, data, start, end = wordvec.located(texts)
-        if SPECIAL in data.tobytes():
+        whole = not self.by_words
+        if not whole:
+            hashes, counts, data, start, end = wordvec.located(texts)
+            whole = SPECIAL in data.tobytes()
+        if whole:
             found = [np.array([*self.tokenizer.encode(t or "", add_special_tokens=False).ids, end_id], self.type)
                      for t in texts.to_pylist()]
             return np.concatenate(found), np.array(list(map(len, found)))
@@ -256,7 +279,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int, key: st
     """Encode every whole text and write the store at ``path``; returns the stored manifest.
 
     ``end_id`` ends each document. Documents lie in ascending order of ``key`` (an integer), NULL
-    first, rows with equal keys by text. NULL and empty texts have the end id alone. An
+    first, rows with equal keys by text. Very long texts are encoded whole, alone in their piece. NULL and empty texts have the end id alone. An
     empty table writes a manifest without rows. Other columns are ignored. One range shuffle of the
     texts; ids never cross the network.
     """
