@@ -39,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text (4-byte little-endian), with their digests and those of the decoded bytes."""
-    encoded = byte_bpe.encode(docs, f"{catalog.TOKENIZERS}/byte_bpe_50k.tiktoken", catalog.pattern())
+    encoded = byte_bpe.encode(docs, catalog.tokenizer("byte_bpe_50k.tiktoken"), catalog.pattern())
     return encoded.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids",
                           F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
