@@ -26,6 +26,8 @@ from cashweave.llm.common import pick, read_ranges, write_once
 REVISIT_BYTES = 0
 #: Ranges up to this far apart are read together, up to so many bytes at once.
 GAP_BYTES, RANGE_BYTES = 64 << 10, 8 << 20
+#: Bytes of archives a reading task gets, and tasks at most (then each gets more).
+TASK_BYTES, MOST_TASKS = 16 << 20, 100_000
 #: Date written in every record, so that reruns give equal bytes.
 WRITTEN = "2024-01-01T00:00:00Z"
 # Fixed values of the WARC 1.1 standard.
@@ -159,10 +161,14 @@ def coalesced(rows, gap: int = GAP_BYTES, most: int = RANGE_BYTES):
 
 
 def read_records(selected: DataFrame, path: str, payload: bool = True) -> DataFrame:
-    """The records that rows of an index (all of it, or a selection by URL, digest, ...) point to."""
+    """The records that rows of an index (all of it, or a selection by URL, digest, ...) point to.
+
+    Tasks are dealt by the bytes of archives they read, not by the size of the index.
+    """
     schema = RECORD if payload else T.StructType(RECORD.fields[:-1])
-    rows = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions(
-        "file", "offset")
+    places = selected.select("file", "offset", "length")
+    size = places.agg(F.sum("length")).first()[0] or 0
+    rows = places.repartitionByRange(min(MOST_TASKS, 1 + size // TASK_BYTES), "file", "offset").sortWithinPartitions("file", "offset")
 
     def run(batches):
         for batch in batches:
