@@ -33,10 +33,27 @@ LOOK = 64
 BLOCK = 512
 
 
-def terms(text: Column) -> Column:
-    """The terms of a text, A-Z in lower case."""
-    lowered = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(lowered, NO_TERM), lambda w: w != "")
+def _split(text: Column) -> Column:
+    return F.array_remove(F.split(text, NO_TERM), "")
+
+
+def bag(text: Column, lang: Column) -> Column:
+    """The terms of a text, A-Z and nothing else in lower case, each behind its language and U+0000.
+
+    ``lower`` does that for ASCII: for a whole ASCII text at once, for the terms of others one by one, and only terms
+    beyond ASCII need the slower letter-by-letter form.
+    """
+    text = F.coalesce(text, F.lit(""))
+
+    def lowered(term):
+        return F.when(F.octet_length(term) == F.length(term), F.lower(term)).otherwise(
+            F.translate(term, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+    def named(term):
+        return F.concat(lang, F.lit("\0"), term)
+
+    return F.when(F.octet_length(text) == F.length(text), F.transform(_split(F.lower(text)), named)).otherwise(
+        F.transform(_split(text), lambda t: named(lowered(t))))
 
 
 def _spread(term: Column, n: int) -> Column:
@@ -49,12 +66,39 @@ def _hashed(bag: Column, n: int, k: int) -> Column:
 
 
 def _passes(bags: DataFrame, min_df: int) -> int:
-    """Passes that keep each vocabulary near PASS_TERMS, from the exact count of one in LOOK terms."""
-    part = bags.select(F.explode(F.array_distinct(_hashed(F.col("bag"), LOOK, 0))).alias("t"))
-    kept = part.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df).count()
+    """Passes that keep each vocabulary near PASS_TERMS: one in LOOK terms is counted, over all documents."""
+    part = bags.select(F.explode("bag").alias("t")).filter(_spread(F.col("t"), LOOK) == 0)
+    kept = part.groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_df).count()
     return max(1, math.ceil(1.2 * kept * LOOK / PASS_TERMS))
 
 
+def _sums(vectors: DataFrame) -> DataFrame:
+    """(source, cell, n): sums of sparse vectors (source, indices, values) by source.
+
+    A batch's non-zero cells are summed where they lie, as one sort of (source, cell) numbers; the partial sums are
+    added up after a shuffle of narrow rows.
+    """
+    schema = T.StructType.fromDDL("source string, cell int, n long")
+
+    def run(batches):
+        for batch in batches:
+            cells, values = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (1, 2))
+            if not len(cells):
+                continue
+            names = batch.column(0).dictionary_encode()
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            owner = np.repeat(names.indices.to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+            keys = owner << 32 | cells
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            total = np.add.reduceat(values[order].astype(np.int64), first)
+            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(keys[first] >> 32)), pa.array((keys[first] & 0xFFFFFFFF).astype(np.int32)),
+                                              pa.array(total)], names=schema.names)
+
+    return vectors.mapInArrow(run, schema).groupBy("source", "cell").agg(F.sum("n").alias("n"))
+
+
 def group_counts(docs: DataFrame, min_df: int = MIN_DF, text: str = "text", lang: str = "lang",
                  source: str = "source") -> tuple[DataFrame, DataFrame]:
     """(lang, source, term, n) with n > 0 over kept terms, and (lang, source) of every group that occurs; both stored.
@@ -66,8 +110,7 @@ def group_counts(docs: DataFrame, min_df: int = MIN_DF, text: str = "text", lang
     """
     rows = pick(docs, lang, source, text).select(
         F.coalesce(lang, F.lit("")).alias("lang"), F.coalesce(source, F.lit("")).alias("source"), F.col(text).alias("text"))
-    bags = stored(rows.select("lang", "source", F.transform(
-        terms(F.col("text")), lambda t: F.concat(F.col("lang"), F.lit("\0"), t)).alias("bag")), "divergence-bags")
+    bags = stored(rows.select("lang", "source", bag(F.col("text"), F.col("lang")).alias("bag")), "divergence-bags")
     groups = stored(bags.select("lang", "source").distinct(), "divergence-groups")
     passes, out = _passes(bags, min_df), None
     for k in range(passes):
@@ -76,9 +119,7 @@ def group_counts(docs: DataFrame, min_df: int = MIN_DF, text: str = "text", lang
         path = scratch(docs.sparkSession, "divergence-model")
         model.write().save(path)
         words = docs.sparkSession.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("cell", "word"))
-        cells = model.transform(part).select("source", F.unwrap_udt("vector").alias("v")).select(
-            "source", F.explode(F.arrays_zip("v.indices", "v.values")).alias("c"))
-        sums = cells.groupBy("source", F.col("c.indices").alias("cell")).agg(F.sum("c.values").cast("long").alias("n"))
+        sums = _sums(model.transform(part).select("source", F.unwrap_udt("vector").alias("v")).select("source", "v.indices", "v.values"))
         cut = F.length("word") - F.locate("\0", F.reverse("word")) + 1  # place of the last U+0000
         got = stored(sums.join(words, "cell").select(
             F.substring("word", F.lit(1), cut - 1).alias("lang"), "source",
