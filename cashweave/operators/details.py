@@ -17,6 +17,7 @@ from cashweave.operators.windows import DEFAULT_WIDTH, salted_row_number
 
 MAX_LIMIT = 2000
 
+# Columns of the detail view in its order, and the names its JSON columns expand to.
 DETAIL_COLUMNS = (
     "transaction_id", "date", "authorized_date", "datetime", "authorized_datetime", "name", "merchant_name",
     "original_description", "amount", "iso_currency_code", "unofficial_currency_code", "pending", "removed",

@@ -329,9 +329,10 @@ def finish_and_write(kept: DataFrame, path: str, ledger: DataFrame | None = None
     """
     spark = kept.sparkSession
     rows = with_identity(kept)
-    root_seq, end = roots.committed_end(spark, path) if chain else (-1, None)
+    before = roots.newest_root(spark, path, partition[1] if partition else None) if chain else None
+    end = before and before["last_seq"]
     pending = None
-    here = None if _replaces(partition, mode) else read_table(spark, path)
+    here = None if _replaces(partition, mode) else read_table(spark, path, schemas.LEDGER)
     if here is not None:
         bounds = bounds or arrival_bounds(kept)
         if bounds[0] is None:
@@ -376,16 +377,19 @@ def finish_and_write(kept: DataFrame, path: str, ledger: DataFrame | None = None
         out.write.mode(mode).parquet(path)
     if not chain:
         return
-    written = read_table(spark, path)
+    written = read_table(spark, path, schemas.LEDGER)
     if written is None:  # an empty first batch
         return
     if partition is not None:
+        if partition[0] not in written.columns:  # an empty first batch
+            return
         written = written.filter(F.col(partition[0]) == partition[1])
     elif end is not None:
         written = written.filter(F.col("arrival_seq") > end)  # pruned by Parquet statistics
     narrow = written.filter(F.col("ledger_hash").isNotNull()).select(
         "arrival_seq", "event_identity", "payload_hash", "inserted_at", "ledger_hash")
-    roots.append_root(spark, path, narrow, partition[1] if partition else root_seq + 1, segment_width)
+    root_seq = partition[1] if partition else before["root_seq"] + 1 if before else 0
+    roots.append_root(spark, path, narrow, root_seq, segment_width, before)
 
 
 def _replaces(partition: tuple[str, int] | None, mode: str) -> bool:
@@ -420,13 +424,14 @@ def write_events(changes: DataFrame, now: str, path: str, ledger: DataFrame | No
     """
     spark = changes.sparkSession
     events = prepare_events(changes, now, env)
-    here = None if _replaces(partition, mode) else read_table(spark, path)
+    here = None if _replaces(partition, mode) else read_table(spark, path, schemas.LEDGER)
     bounds = arrival_bounds(events) if here is not None or (chain and ledger is not None) else None
     if here is not None and bounds[0] is not None:
         own = _within(here, bounds)
         first = own.agg(F.min("inserted_at")).first()[0]
         if first is not None:  # a repeat
-            end = roots.committed_end(spark, path)[1] if chain else None
+            before = roots.newest_root(spark, path) if chain else None
+            end = before and before["last_seq"]
             unfinished = own if end is None else own.filter(F.col("arrival_seq") > end)
             now = unfinished.agg(F.min("inserted_at")).first()[0] or now
             events = prepare_events(changes, now, env)

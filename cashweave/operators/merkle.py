@@ -95,25 +95,21 @@ def _folder(path: str, root_seq: int) -> str:
     return f"{path.rstrip('/')}_nodes/append={root_seq}"
 
 
-def write_nodes(spark: SparkSession, path: str, written: DataFrame, root_seq: int) -> tuple[int, str, int, int, int] | None:
-    """Store the tree of one append: (level, hash, rows, first and last position) of its top; None without rows.
+def write_nodes(spark: SparkSession, path: str, written: DataFrame, root_seq: int, first: int, last: int) -> tuple[int, str]:
+    """Store the tree of one append, whose ledger rows ``written`` are; returns level and hash of its top.
 
-    ``written`` are the append's ledger rows. Replaying it replaces the tree. A round a factor of 65,536 positions.
+    Replaying it replaces the tree. A round a factor of 65,536 positions between ``first`` and ``last``.
     """
-    first, last = written.agg(F.min("arrival_seq"), F.max("arrival_seq")).first()
-    if first is None:
-        return None
     top = LEVELS
     while first >> BITS * top != last >> BITS * top:
         top += 1
     now = leaves(written, F.lit(root_seq))
     for level in range(0, top, LEVELS):
         base = f"{_folder(path, root_seq)}/part={level}"
-        own = grow(now, level).filter(F.col("level") <= top)
-        own.sortWithinPartitions("level", "index").write.mode("overwrite").parquet(base)
+        grow(now, level).filter(F.col("level") <= top).sortWithinPartitions("level", "index").write.mode("overwrite").parquet(base)
         now = spark.read.schema(NODES).parquet(base).filter(F.col("level") == level + LEVELS)
-    peak = read_nodes(spark, path).filter((F.col("append") == root_seq) & (F.col("level") == top)).select("hash", "rows").first()
-    return top, peak["hash"], peak["rows"], first, last
+    peak = spark.read.schema(NODES).parquet(base).filter(F.col("level") == top).select("hash").first()
+    return top, peak["hash"]
 
 
 def read_nodes(spark: SparkSession, path: str) -> DataFrame:

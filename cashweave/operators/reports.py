@@ -73,6 +73,13 @@ def monthly_cashflow(active: DataFrame, months_back: int | None = None, today=No
         _total(F.when(amount > 0, amount).otherwise(nothing), scale).alias("outflow"),
         F.count(F.lit(1)).alias("transaction_count"),
     )
+    return fill_months(totals, months_back, today, by, scale)
+
+
+def fill_months(totals: DataFrame, months_back: int | None = None, today=None, by: tuple[str, ...] = (),
+                scale: int = 2) -> DataFrame:
+    """Every month of the range, from ``totals`` (``_m``, inflow, outflow, transaction_count) of the months that have rows."""
+    keys = [F.col(c) for c in by]
     if months_back is not None and months_back > 0:
         end = F.trunc(F.lit(_as_date(today)), "month")
         start = scalars.month_floor_minus(_as_date(today), months_back - 1)
@@ -140,6 +147,11 @@ def top_merchants(active: DataFrame, direction: str = "outflow", limit: int = 10
         F.max(F.struct(F.col("date").isNotNull().alias("has_date"), F.col("date"),
                        F.col("state_event_id"))).alias("_first_seen"),
     )
+    return rank_merchants(per, limit)
+
+
+def rank_merchants(per: DataFrame, limit: int = 10) -> DataFrame:
+    """O3: the ``limit`` largest of ``per`` (merchant, amount, transaction_count, _first_seen), ranked."""
     w = Window.orderBy(F.col("amount").desc(), F.col("_first_seen").desc())
     # Global order over the per-label totals (one row per label); a top-k keeps it to `limit` rows.
     top = per.orderBy(F.col("amount").desc(), F.col("_first_seen").desc()).limit(max(limit, 0))

@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cashweave.functions import hashing
@@ -55,14 +55,18 @@ def segment_entries(rows: DataFrame, segment_width: int, *keys: str) -> DataFram
 
 
 def digests(entries: DataFrame) -> DataFrame:
-    """(root_seq, entries, digest): entry hashes in segment order, digested by groups and then together."""
+    """(root_seq, entries, digest, rows, first_seq, last_seq): entry hashes in segment order, digested by groups and then together."""
     def joined(value, order):
         return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value))),
                                                lambda x: x[value]), "|"), 256)
 
+    def ends(rows, first, last):
+        return F.sum(rows).alias("rows"), F.min(first).alias("first_seq"), F.max(last).alias("last_seq")
+
     grouped = entries.groupBy("root_seq", seq_range("segment", GROUP).alias("_g")).agg(
-        joined("entry_hash", "segment").alias("_d"), F.count(F.lit(1)).alias("_n"))
-    return grouped.groupBy("root_seq").agg(F.sum("_n").alias("entries"), joined("_d", "_g").alias("digest"))
+        joined("entry_hash", "segment").alias("_d"), F.count(F.lit(1)).alias("_n"), *ends("rows", "first_seq", "last_seq"))
+    return grouped.groupBy("root_seq").agg(F.sum("_n").alias("entries"), joined("_d", "_g").alias("digest"),
+                                           *ends("rows", "first_seq", "last_seq"))
 
 
 def write_entries(written: DataFrame, path: str, root_seq: int, segment_width: int) -> DataFrame:
@@ -74,36 +78,33 @@ def write_entries(written: DataFrame, path: str, root_seq: int, segment_width: i
     return written.sparkSession.read.schema(ENTRIES).parquet(base)
 
 
-def write_root(spark: SparkSession, path: str, entries: DataFrame, tree: tuple[int, str, int, int, int], root_seq: int) -> None:
-    """Store one append's root row, which commits it. The row before it is the only one read back."""
-    known = read_table(spark, _paths(path)[1])
-    before = None if known is None else read_roots(spark, path).filter(F.col("root_seq") < root_seq).orderBy(
-        F.col("root_seq").desc()).select("root", "leaf", "peaks").first()
+def write_root(spark: SparkSession, path: str, own: Row, top: int, tree: str, root_seq: int, before: Row | None) -> None:
+    """Store one append's root row, which commits it. ``own`` is its digest, ``before`` the root row before it."""
     previous = before and before["root"]
-    own = digests(entries).first()
-    top, tree_hash, rows, first, last = tree
     peaks = [(p["height"], p["hash"]) for p in before["peaks"]] if before and before["peaks"] else []
     leaf = before["leaf"] + 1 if before and before["leaf"] is not None else 0
-    peaks, merged = merkle.add_peak(peaks, tree_hash)
-    root = hashlib.sha256("|".join([previous or "", own["digest"], tree_hash]).encode()).hexdigest()
-    spark.createDataFrame([(root_seq, own["entries"], own["digest"], previous, root, leaf, first, last, rows, top, tree_hash,
-                            peaks, merged, merkle.mountain_hash(leaf + 1, peaks))], ROOTS).coalesce(1) \
+    peaks, merged = merkle.add_peak(peaks, tree)
+    root = hashlib.sha256("|".join([previous or "", own["digest"], tree]).encode()).hexdigest()
+    spark.createDataFrame([(root_seq, own["entries"], own["digest"], previous, root, leaf, own["first_seq"], own["last_seq"], own["rows"],
+                            top, tree, peaks, merged, merkle.mountain_hash(leaf + 1, peaks))], ROOTS).coalesce(1) \
         .write.mode("overwrite").parquet(f"{_paths(path)[1]}/append={root_seq}")
 
 
-def append_root(spark: SparkSession, path: str, written: DataFrame, root_seq: int, segment_width: int) -> None:
-    """Record one append from the rows it wrote: its tree, its entries, then its root. Replaying it replaces all three."""
-    tree = merkle.write_nodes(spark, path, written, root_seq)
-    if tree is not None:  # an append without rows leaves no trace
-        write_root(spark, path, write_entries(written, path, root_seq, segment_width), tree, root_seq)
+def append_root(spark: SparkSession, path: str, written: DataFrame, root_seq: int, segment_width: int, before: Row | None) -> None:
+    """Record one append from the rows it wrote: its entries, its tree, then its root. Replaying it replaces all three."""
+    own = digests(write_entries(written, path, root_seq, segment_width)).first()
+    if own is not None:  # an append without rows leaves no root
+        top, tree = merkle.write_nodes(spark, path, written, root_seq, own["first_seq"], own["last_seq"])
+        write_root(spark, path, own, top, tree, root_seq, before)
 
 
-def committed_end(spark: SparkSession, path: str) -> tuple[int, int | None]:
-    """(root_seq, last position) of the appends that finished; (-1, None) without any."""
-    if read_table(spark, _paths(path)[1]) is None:
-        return -1, None
-    got = read_roots(spark, path).agg(F.max("root_seq"), F.max("last_seq")).first()
-    return (-1, None) if got[0] is None else (got[0], got[1])
+def newest_root(spark: SparkSession, path: str, before: int | None = None) -> Row | None:
+    """The root row of the last append that finished (before number ``before``); None for the first. One row is read back."""
+    known = read_table(spark, _paths(path)[1], ROOTS)
+    if known is None:
+        return None
+    rows = known if before is None else known.filter(F.col("root_seq") < before)
+    return rows.orderBy(F.col("root_seq").desc()).drop("append", "merged").first()
 
 
 def verify_roots(ledger: DataFrame, entries: DataFrame, roots: DataFrame, segment_width: int) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cashweave.operators import audit, details, dimensions, merkle, observations, privacy_jobs, reports, roots, state
+from cashweave.operators import audit, details, dimensions, merkle, observations, privacy_jobs, refresh, reports, roots, state
 from cashweave.operators import ledger as ledger_ops
 from cashweave.plans import oracle
 from cashweave.session import checkpoint_dir, tune
@@ -187,6 +187,12 @@ def q_verify_hash_chain(spark, sf_dir):
     return audit.verify_hash_chain(l1_ledger(spark, sf_dir, chain=True))
 
 
+def q_verify_hash_chain_limited(spark, sf_dir):
+    """The bounded check of the newest 2,000 events, found by the appends' entries."""
+    path, led, _ = _written_ledger(spark, sf_dir, ledger_ops.DEFAULT_SEGMENT_WIDTH)
+    return audit.verify_hash_chain(led, limit=2000, entries=roots.read_entries(spark, path))
+
+
 def q_content_hash_check(spark, sf_dir):
     return audit.content_hash_check(l1_ledger(spark, sf_dir))
 
@@ -195,6 +201,27 @@ def q_events_by_item(spark, sf_dir):
     return audit.events_by_item(l1_ledger(spark, sf_dir))
 
 
+def q_report_refresh(spark, sf_dir):
+    """L1 in four appends; after each the kept totals take in the appended rows; then both reports from them."""
+    path, base = _table_path(spark, "refresh-ledger"), _table_path(spark, "refresh-kept")
+    changes = fixtures.l1_changes(spark, sf_dir)
+    top = changes.agg(F.max("arrival_seq")).first()[0]
+    for n in range(4):
+        part = changes.filter(F.floor(F.col("arrival_seq") * 4 / (top + 1)) == n)
+        known = read_table(spark, path)
+        ledger_ops.write_events(part, now=fixtures.FIXTURE_NOW, path=f"{path}", ledger=known, chain=False,
+                                partition=("append", n), mode="overwrite")
+        new = spark.read.parquet(path).filter(F.col("append") == n)
+        kept = refresh.refresh(spark, base, n, new)
+    none = F.lit(None)
+    months = refresh.monthly_cashflow(kept).select(
+        F.lit("months").alias("report"), F.col("month").alias("item"), "inflow", "outflow", "transaction_count", none.cast("int").alias("rank"))
+    merchants = refresh.top_merchants(kept, "outflow", 10, oracle.MONTHS_BACK, oracle.TODAY).select(
+        F.lit("merchants").alias("report"), F.col("merchant").alias("item"), none.cast("decimal(38,2)").alias("inflow"),
+        F.col("amount").alias("outflow"), "transaction_count", "rank")
+    return months.unionByName(merchants)
+
+
 def q_append_only_audit(spark, sf_dir):
     """Two versions of a ledger by their trees, and the two appends against one append of everything."""
     changes = fixtures.l1_changes(spark, sf_dir)
@@ -657,10 +684,12 @@ def _registry() -> dict[str, Query]:
         "diagnostics_long": q_diagnostics_long,
         "integrity_report": q_integrity_report,
         "verify_hash_chain": q_verify_hash_chain,
+        "verify_hash_chain_limited": q_verify_hash_chain_limited,
         "content_hash_check": q_content_hash_check,
         "events_by_item": q_events_by_item,
         "append_only_audit": q_append_only_audit,
         "append_retry": q_append_retry,
+        "report_refresh": q_report_refresh,
         "ledger_tree": q_ledger_tree,
         "event_proof": q_event_proof,
         "ledger_diff": q_ledger_diff,

@@ -6,10 +6,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The Parquet table at ``path``, or None if nothing was ever written there; other errors are raised."""
+def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
+    """The Parquet table at ``path``, or None if nothing was ever written there; other errors are raised.
+
+    A given ``schema`` saves the job that reads one from the files; partition columns are added to it.
+    """
     try:
-        return spark.read.parquet(path)
+        return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
