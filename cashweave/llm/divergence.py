@@ -100,8 +100,8 @@ def _sums(vectors: DataFrame) -> DataFrame:
 
 
 def group_counts(docs: DataFrame, min_df: int = MIN_DF, text: str = "text", lang: str = "lang",
-                 source: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(lang, source, term, n) with n > 0 over kept terms, and (lang, source) of every group that occurs; both stored.
+                 source: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lang, source, term, n) with n > 0 over kept terms, (lang, source) of every group that occurs, (lang, size) kept terms.
 
     A term is fitted together with its language, behind U+0000, which no term holds: one CountVectorizer so keeps the
     vocabulary of every language apart in one pass, with document frequencies by language. The model's
@@ -112,7 +112,7 @@ def group_counts(docs: DataFrame, min_df: int = MIN_DF, text: str = "text", lang
         F.coalesce(lang, F.lit("")).alias("lang"), F.coalesce(source, F.lit("")).alias("source"), F.col(text).alias("text"))
     bags = stored(rows.select("lang", "source", bag(F.col("text"), F.col("lang")).alias("bag")), "divergence-bags")
     groups = stored(bags.select("lang", "source").distinct(), "divergence-groups")
-    passes, out = _passes(bags, min_df), None
+    passes, out, sizes = _passes(bags, min_df), None, None
     for k in range(passes):
         part = bags.select("source", "bag") if passes == 1 else bags.select("source", _hashed(F.col("bag"), passes, k).alias("bag"))
         model = CountVectorizer(inputCol="bag", outputCol="vector", minDF=float(min_df), vocabSize=WHOLE).fit(part)
@@ -121,18 +121,22 @@ def group_counts(docs: DataFrame, min_df: int = MIN_DF, text: str = "text", lang
         words = docs.sparkSession.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("cell", "word"))
         sums = _sums(model.transform(part).select("source", F.unwrap_udt("vector").alias("v")).select("source", "v.indices", "v.values"))
         cut = F.length("word") - F.locate("\0", F.reverse("word")) + 1  # place of the last U+0000
-        got = stored(sums.join(words, "cell").select(
-            F.substring("word", F.lit(1), cut - 1).alias("lang"), "source",
-            F.substring("word", cut + 1, F.length("word")).alias("term"), "n"), "divergence-counts")
-        out = got if out is None else out.unionByName(got)
-    return out, groups
+        words = words.select("cell", F.substring("word", F.lit(1), cut - 1).alias("lang"),
+                             F.substring("word", cut + 1, F.length("word")).alias("term"))
+        got = stored(sums.join(words, "cell").select("lang", "source", "term", "n"), "divergence-counts")
+        size = words.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+        out, sizes = (got, size) if out is None else (out.unionByName(got), sizes.unionByName(size))
+    return out, groups, sizes.groupBy("lang").agg(F.sum("size").alias("size"))
 
 
 def _share(n, total, size) -> Column:
-    """1 + floor(SCALE * (n + PRIOR) / (total + PRIOR * size)) in whole numbers."""
-    over = F.lit(SCALE).cast("decimal(10,0)") * (n + F.lit(PRIOR)).cast("decimal(18,0)")
-    under = (total + PRIOR * size).cast("decimal(18,0)")
-    return F.lit(1).cast("long") + F.call_function("div", over, under)
+    """1 + floor(SCALE * (n + PRIOR) / (total + PRIOR * size)), exact in long integers up to 9 * 10**13 terms.
+
+    The division goes in two steps with the remainder of the first; an overflow would fail, not round.
+    """
+    steps, rest = 100_000, SCALE // 100_000
+    under, over = total + PRIOR * size, (n + PRIOR) * F.lit(steps).cast("long")
+    return 1 + F.call_function("div", over, under) * rest + F.call_function("div", (over % under) * rest, under)
 
 
 def _overlaps(terms_of: DataFrame) -> DataFrame:
@@ -182,23 +186,29 @@ def audit(docs: DataFrame, min_df: int = MIN_DF, top: int = TOP, text: str = "te
     empty result; other columns are ignored. Windows run within a language's list of sources, and within a
     source's terms cut to ``top`` before the shuffle.
     """
-    counts, groups = group_counts(docs, min_df, text, lang, source)
+    counts, groups, sizes = group_counts(docs, min_df, text, lang, source)
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    of_lang = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
-    sizes = of_lang.groupBy("lang").agg(F.count(F.lit(1)).alias("size"), F.sum("lang_n").alias("lang_total"))
-    size, total = F.coalesce("size", F.lit(0)).cast("long"), F.coalesce("total", F.lit(0)).cast("long")
-    known = stored(
-        groups.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
-        .select("lang", "source", size.alias("size"), total.alias("total"), F.coalesce("lang_total", F.lit(0)).cast("long").alias("lang_total"),
-                (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).alias("at"))
-        .withColumn("none", F.when(F.col("size") > 0, _share(F.lit(0).cast("long"), F.col("total"), F.col("size"))).otherwise(F.lit(0).cast("long"))),
-        "divergence-sources")
-    cells = stored(counts.join(known, ["lang", "source"]).select(
-        "lang", "source", "term", "n", "at", "none", "lang_total", "size", _share(F.col("n"), F.col("total"), F.col("size")).alias("p")), "divergence-cells")
+    of_lang = totals.groupBy("lang").agg(F.sum("total").alias("lang_total"))
+
+    def number(c):
+        return F.coalesce(c, F.lit(0)).cast("long").alias(c)
+
+    known = groups.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").join(of_lang, "lang", "left").select(
+        "lang", "source", number("size"), number("total"), number("lang_total"),
+        (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).alias("at"))
+    known = stored(known.withColumn("none", F.when(F.col("size") > 0, _share(F.lit(0).cast("long"), F.col("total"), F.col("size")))
+                                    .otherwise(F.lit(0).cast("long"))), "divergence-sources")
+    # One row a term, with the sources that have it: as many at most as the language has.
+    cells = counts.join(known, ["lang", "source"]).select(
+        "lang", "term", "n", "lang_total", "size", F.struct("at", _share(F.col("n"), F.col("total"), F.col("size")).alias("p"), "none").alias("item"))
+    by_term = stored(cells.groupBy("lang", "term").agg(
+        F.collect_list("item").alias("items"), F.sum("n").alias("lang_n"), F.max("lang_total").alias("lang_total"), F.max("size").alias("size")).select(
+        "lang", "term", "items", _share(F.col("lang_n"), F.col("lang_total"), F.col("size")).alias("q")), "divergence-terms")
+    each = by_term.select("lang", "term", "q", F.explode("items").alias("i")).select("lang", "term", "q", "i.*")
 
     # Distance of a and b: every kept term once with neither, then what a's terms and b's terms change to that each
     # for itself, by how often each probability occurs, then what the terms of both change to the sum of the two.
-    one = cells.groupBy("lang", "at", "none", "p").agg(F.count(F.lit(1)).alias("k")).select(
+    one = each.groupBy("lang", "at", "none", "p").agg(F.count(F.lit(1)).alias("k")).select(
         "lang", F.col("at").alias("x"), F.col("none").alias("x0"), "p", "k")
     other = known.select("lang", F.col("at").alias("y"), F.col("none").alias("y0"))
     alone = one.join(other, "lang").filter("x <> y").select(
@@ -208,7 +218,7 @@ def audit(docs: DataFrame, min_df: int = MIN_DF, top: int = TOP, text: str = "te
     left = known.select("lang", F.col("at").alias("a"), F.col("none").alias("a0"), "size")
     neither = left.join(other.toDF("lang", "b", "b0"), "lang").filter("a < b").select(
         "lang", "a", "b", (F.col("size") * F.abs(F.col("a0") - F.col("b0"))).alias("value"))
-    items = cells.groupBy("lang", "term").agg(F.collect_list(F.struct("at", "p", "none")).alias("items")).filter(F.size("items") > 1)
+    items = by_term.filter(F.size("items") > 1)
     blocks = F.array_distinct(F.transform("items", lambda x: F.floor(x["at"] / BLOCK).cast("int")))
     both = _overlaps(items.select("lang", F.explode(blocks).alias("block"), "items").sortWithinPartitions("lang", "block"))
     half = neither.unionByName(alone).unionByName(both).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
@@ -218,9 +228,8 @@ def audit(docs: DataFrame, min_df: int = MIN_DF, top: int = TOP, text: str = "te
     by_value = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(by_value).alias("rank"))
 
-    q = _share(F.col("lang_n"), F.col("lang_total"), F.col("size"))
-    marks = cells.join(of_lang, ["lang", "term"]).select(
-        "lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - q).alias("value")).filter("value > 0")
+    marks = each.filter("p > q").join(named.toDF("lang", "at", "source"), ["lang", "at"]).select(
+        "lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     marks = marks.withColumn("rank", F.row_number().over(by_value)).filter(F.col("rank") <= top)
     return pairs.unionByName(marks)
 
