@@ -7,7 +7,8 @@ strings of their shape, which keeps letters letters and digits digits, and valid
 as it was, and maps no string to itself; digits of any script are read as numbers and written back in
 their own script. Given names are permuted within their gender and script, family names become invented
 ones of the same script; a name's parts are mapped one by one, so "Ms Lind" and "Karin Lind" still
-agree. A corpus-wide check finds entities that share a surrogate or keep their own value and moves all
+agree, and a name found in full counts wherever its text repeats a part of it. Names are known by a title, an
+address ("My name is") or a listed given name; an unlisted name with none of them is not found. A corpus-wide check finds entities that share a surrogate or keep their own value and moves all
 but the most frequent one on to the next draw.
 """
 
@@ -30,7 +31,7 @@ from cashweave.llm.common import pick, slices, stored
 #: Redrawn surrogates up to this many are handed to every task; beyond it they are joined.
 BROADCAST_ROWS = 20_000
 MAX_DRAWS = 50
-TYPES = ("email", "iban", "ip6", "ip", "ssn", "phone", "card", "given", "family")
+TYPES = ("email", "iban", "ip6", "ip", "ssn", "phone", "card", "given", "family", "initial")
 
 # Given names by script and gender, and the syllables of invented family names: our own choice.
 GIVEN = {
@@ -65,7 +66,9 @@ GIVEN = {
         "Stephan Stéphane Stephen Steve Steven Stewart Stuart Sven Ted Terence Terrence Terry Theo Theodore Thierry "
         "Thorsten Tim Timothy Tobias Todd Tom Tomas Tomasz Tommy Tony Torsten Travis Trevor Tristan Tyler Udo Uwe "
         "Victor Vincent Vincenzo Vladimir Volker Walter Warren Wayne Werner Wilhelm Willem Wojciech Xavier Yann "
-        "Yannick Yusuf Yves Zachary").split(),
+        "Yannick Yusuf Yves Zachary Aarav Ajay Akira Amit Anil Arjun Ashok Bao Chidi Deepak Emeka Femi Haruto Hiroshi "
+        "Jianguo Jiahao Kavi Kenji Kofi Kwame Mahesh Manoj Minh Mukesh Naveen Obinna Oluwaseun Praveen Rahul Rajesh "
+        "Ramesh Ravi Rohan Sandeep Satoshi Suresh Takashi Tuan Vijay Vikram Weimin Xiaoming Yuto Zhiwei Wei").split(),
     ("latin", "f"): (
         "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Karin Ursula Sabine Monika Nathalie Isabelle Camille "
         "Carmen Dolores Paula Margaret Abigail Adele Adriana Agnes Agnieszka Aisha Alejandra Alessandra Alexandra "
@@ -96,7 +99,9 @@ GIVEN = {
         "Sonia Sonja Sophia Sophie Stacey Stacy Stefanie Stella Stephanie Susana Susanna Susanne Suzanne Svetlana "
         "Sylvia Sylvie Tamara Tania Tanya Tara Tatiana Teresa Teresita Tessa Theresa Tiffany Tina Tracey Tracy Ulrike "
         "Ursel Ute Valentina Valeria Valerie Vanessa Vera Veronica Veronika Véronique Vicky Victoria Viktoria Vivian "
-        "Viviane Wanda Wendy Wilhelmina Winifred Xenia Yolanda Yvette Yvonne Zoe Zoë").split(),
+        "Viviane Wanda Wendy Wilhelmina Winifred Xenia Yolanda Yvette Yvonne Zoe Zoë Adaeze Aiko Akiko Amara Ananya "
+        "Anjali Ayesha Chiamaka Deepa Divya Folake Haruka Hui Kavita Keiko Lakshmi Linh Meera Mei Meiling Naoko Neha "
+        "Ngozi Nneka Nisha Pooja Priya Priyanka Sakura Shreya Sunita Thandiwe Xiaoli Yan Yoko Yuki Zainab").split(),
     ("cyrillic", "m"): (
         "Иван Дмитрий Сергей Андрей Николай Павел Александр Алексей Анатолий Антон Артём Борис Вадим Валерий Василий "
         "Виктор Виталий Владимир Вячеслав Геннадий Георгий Григорий Даниил Денис Евгений Егор Игорь Илья Кирилл "
@@ -118,24 +123,64 @@ SYLLABLES = {
     "latin": [c + v for c in "bdfgklmnprstv" for v in ("a", "e", "i", "o", "u", "an", "er", "on")],
     "cyrillic": [c + v for c in "бвгдклмнпрст" for v in ("а", "е", "и", "о", "ов", "ин")],
     "greek": [c + v for c in "βγδκλμνπρστ" for v in ("α", "ε", "ι", "ο", "ου")],
+    "arabic": [c + v for c in "بتدرزسفقكلمن" for v in ("ا", "و", "ي", "اد", "ان", "ير")],
+    "han": list("文明华建国志伟强军平东海林春秋山川江河云雪梅兰竹菊芳丽娜静敏慧玲燕红玉珍秀英安宁康福瑞祥和"),
 }
-TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Mme", "Mlle", "Monsieur", "Madame", "Señor",
-          "Señora", "Sra", "Srta", "господин", "госпожа", "κύριος", "κυρία")
+TITLES = ("Mr", "Mrs", "Ms", "Miss", "Sir", "Dr", "Prof", "Professor", "Herr", "Frau", "Mme", "Mlle", "Monsieur",
+          "Madame", "Señor", "Señora", "Sra", "Srta", "господин", "госпожа", "κύριος", "κυρία")
+# Words that a person's name follows.
+CUES = ("My name is", "my name is", "Dear", "Mein Name ist", "mein Name ist", "Me llamo", "me llamo", "Je m'appelle",
+        "je m'appelle", "Меня зовут", "меня зовут")
+PARTICLES = "de del della da di do dos du la las los le van von der den ter ten zu bin ibn bint al el".split()
+# Capitalised words that follow a name without being part of it, and those behind a cue that name nobody.
+NOT_NAMES = frozenset((
+    "The This That These Those There Then And But Or Not In On At To From Of For By With As If When While After Before "
+    "He She It We They You His Her Our Their Its Is Was Are Were Has Had Will Would Can Could May Said Says "
+    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April June July August "
+    "September October November December University College School Institute Street Road Avenue Hospital Company "
+    "Corporation Foundation Museum Airport Bank Hotel Award Prize Inc Ltd Corp GmbH "
+    "Sir Madam Madame Customer Customers Colleague Colleagues Friend Friends All Team Reader Readers Editor Editors "
+    "Mom Dad Mother Father Lord God Santa Diary Valued Member Members Students Parents Hiring Manager").split())
+# Given names that are words of other use: in capitals alone they start no name.
+WORDS_TOO = frozenset(("Max Mark Guy Kim Per Ole Roman Dean Dora Drew Grace Iris Jasmine Joy Hazel Holly Ida Ava Mason "
+                       "Victor Bella Mercedes Rosario Luc Liv Mia Jack Rick Rob Will Bill Art Ray Rose Ruby Lily Molly "
+                       "Dolores Pilar Paris Yan Bao Mei Hui Wei Angel Gene Earl Norm Cliff Ana Eva Ann Ian Don").split())
 
 _GENDER = {name: key for key, names in GIVEN.items() for name in names}
+# Spellings of given names, as written and in capitals, with the name itself.
+_SPELT = {name.upper(): name for name in _GENDER if len(name) > 2 and name not in WORDS_TOO} | {n: n for n in _GENDER}
 _CAP = r"[A-ZÀ-ÖØ-ÞĀ-ŽА-ЯЁΆΈ-ΏΑ-Ω][A-Za-zÀ-ÖØ-öø-žА-Яа-яЁёΆΈ-ώ'’-]{1,30}"
-NAME = re.compile(rf"(?:(?<!\w)(?:{'|'.join(TITLES)})\.?\x20(?P<titled>{_CAP}(?:\x20{_CAP})?))"
-                  rf"|(?:(?<!\w)(?P<full>(?:{'|'.join(_GENDER)})\x20{_CAP}))(?!\w)")
-# Where a title or a given name starts: by first letter, so that a text is skipped at the speed of a character set.
+_INITIAL = r"[A-ZА-Я]\.(?:-?[A-ZА-Я]\.)*"
+_PARTICLE = rf"(?:(?:{'|'.join(PARTICLES)})\x20){{1,3}}"
+_TITLE = rf"(?:{'|'.join(map(re.escape, TITLES))})\.?\x20"
+# A title (or several) or a cue or a given name, and the words that may belong to the name.
+NAME = re.compile(
+    rf"(?<!\w)(?:(?P<title>(?:(?:{'|'.join(CUES)})\x20)?(?:{_TITLE})+(?:{_PARTICLE})?)"
+    rf"|(?P<cue>(?:{'|'.join(CUES)})\x20)|(?={'|'.join(_SPELT)}))"
+    rf"(?P<name>(?:{_INITIAL}\x20?){{0,3}}{_CAP}(?:\x20(?:{_PARTICLE})?(?:{_INITIAL}|{_CAP})){{0,6}})(?!\w)")
+WORD = re.compile(rf"{_INITIAL}|{_CAP}|[^\W\d_]+")
+LONE = re.compile(r"[^\W\d_][^\W\d_'’-]*(?:['’-][^\W\d_]+)*")
+_OWNER = re.compile(r"(?:['’][sS]?|-)$")
+# Scripts without capitals: a form of address beside the name says what it is.
+ADDRESSED = re.compile(
+    r"(?<!\w)(?:السيدة|السيد|الدكتورة|الدكتور|الأستاذة|الأستاذ)\x20(?P<ar>[\u0621-\u064A]{2,20}(?:\x20[\u0621-\u064A]{2,20})?)(?!\w)"
+    r"|(?P<han>[王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许邓韩冯曹彭曾萧田董潘袁蔡蒋余于杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石]"
+    r"[\u4E00-\u9FFF]{1,2})(?=先生|女士|小姐|教授|医生|博士|老师)")
+_NO_CAPITALS = re.compile(r"(?:السيد|الدكتور|الأستاذ)|(?:先生|女士|小姐|教授|医生|博士|老师)")
+# Where a title, a cue or a given name starts: by first letter, so that a text is skipped at the speed of a
+# character set.
 _STARTS = {}
-for _word in (*TITLES, *_GENDER):
+for _word in (*TITLES, *CUES, *_SPELT):
     _STARTS.setdefault(_word[0], []).append(_word[1:])
 START = re.compile("|".join(rf"{c}(?<!\w{c})(?:{'|'.join(rest)})(?=\.?\x20)" for c, rest in _STARTS.items()))
+# Alphabets whose letters a surrogate of an address replaces, each among themselves: first letter, size.
+ALPHABETS = {"a": 26, "A": 26, "à": 23, "ø": 7, "а": 32, "α": 25}
+_MAIL = "A-Za-zÀ-ÖØ-Þà-öø-þА-Яа-яΑ-ΡΣ-Ωα-ω"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _HEX = r"[0-9A-Fa-f]{1,4}"
 _V4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 MARKED = re.compile("|".join((
-    r"(?P<email>(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z]))",
+    rf"(?P<email>(?<![\w.%+-])[{_MAIL}0-9._%+-]{{1,64}}@(?:[{_MAIL}0-9-]{{1,63}}\.){{1,8}}[{_MAIL}]{{2,24}}(?![{_MAIL}]))",
     r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w))",
     rf"(?P<ip6>(?<!\w)(?<![0-9A-Fa-f:]:)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{6}}{_V4}"
     rf"|(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:(?:{_HEX}:){{0,5}}{_V4}|{_HEX}(?::{_HEX}){{0,6}})?)(?!\w|:[\w:]|\.\d))",
@@ -216,7 +261,19 @@ _NAT64 = ipaddress.IPv6Network("64:ff9b::/96")
 
 def script_of(word: str) -> str:
     first = next((c for c in word if c.isalpha()), "a")
-    return "cyrillic" if "Ѐ" <= first <= "ӿ" else "greek" if "Ͱ" <= first <= "Ͽ" else "latin"
+    for name, low, high in (("cyrillic", "Ѐ", "ӿ"), ("greek", "Ͱ", "Ͽ"), ("arabic", "\u0600", "\u06ff"),
+                            ("han", "\u4e00", "\u9fff")):
+        if low <= first <= high:
+            return name
+    return "latin"
+
+
+def letter(c: str) -> tuple[int, int]:
+    """(code point of the first letter, size) of the alphabet of ``c``; (-1, 0) for what is in none."""
+    if c.isascii():
+        first = "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else ""
+        return (ord(first), 26) if first else (-1, 0)
+    return next(((ord(f), n) for f, n in ALPHABETS.items() if ord(f) <= ord(c) < ord(f) + n), (-1, 0))
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
@@ -243,27 +300,103 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 continue
             out.append((m.start(), end, kind, value))
             at = end
-    at, taken = 0, list(out)
+    names = people(text, out)
+    if names:
+        out = sorted(out + names)
+    return out
+
+
+def name_parts(m: re.Match) -> list[tuple[int, int, str, str]]:
+    """(start, end, type, canonical) of the words of one match of ``NAME`` that are part of the name.
+
+    Initials and listed given names come first, then at most two family names; particles between them
+    stay. A name without a title starts with a listed given name and needs one more word; in a name that starts in capitals all
+    parts are in capitals.
+    """
+    out, families, base, titled = [], 0, m.start("name"), bool(m["title"] or m["cue"])
+    known = False
+    for w in WORD.finditer(m["name"]):
+        word = w[0]
+        if word in PARTICLES:
+            continue
+        if word[-1] == ".":
+            if families:
+                break
+            out += [(base + w.start() + i, base + w.start() + i + 1, "initial", c.lower())
+                    for i, c in enumerate(word) if c.isalpha()]
+            continue
+        plain_word = _OWNER.sub("", word)
+        if plain_word in NOT_NAMES or plain_word in TITLES or len(plain_word) < 2:
+            break
+        if out and not titled and m["name"].split(" ", 1)[0].isupper() and not plain_word.isupper():
+            break
+        span = (base + w.start(), base + w.start() + len(plain_word))
+        given = _SPELT.get(plain_word)
+        last = plain_word != word
+        if given and not families and not (last and known):
+            out.append((*span, "given", given))
+            known = True
+        else:
+            out.append((*span, "family", plain_word.lower()))
+            families += 1
+        if last or families == 2:
+            break
+    words = [x for x in out if x[2] != "initial"]
+    if words and not families and (len(words) > 1 or m["title"]):  # "Mr James", "Mary Rose": the last name is a family's
+        k = out.index(words[-1])
+        out[k] = (*out[k][:2], "family", m.string[out[k][0]:out[k][1]].lower())
+        families = 1
+    return out if words and (titled or families) else []
+
+
+def people(text: str, taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """The names in a text outside the spans of ``taken`` (in order).
+
+    A given or family name found in full counts wherever the text repeats it by itself with a capital, unless the text
+    also has it as a common word in small letters.
+    """
+    found, at = [], 0
     while start := START.search(text, at):
         m = NAME.match(text, start.start())
-        if not m:
-            at = start.end()
+        parts = name_parts(m) if m else []
+        found += parts
+        at = parts[-1][1] if parts else start.end()
+    if _NO_CAPITALS.search(text):
+        for m in ADDRESSED.finditer(text):
+            at = m.start(m.lastgroup)
+            for part in m[m.lastgroup].split(" "):
+                found.append((at, at + len(part), "family", part))
+                at += len(part) + 1
+    if not found:
+        return []
+    known = {}
+    for a, b, kind, value in found:
+        if kind != "initial" and b - a > 2:
+            for spelt in (text[a:b], text[a:b].title(), text[a:b].upper()):
+                if spelt.isupper() and value in WORDS_TOO and not text[a:b].isupper():
+                    continue
+                if known.get(spelt, ("",))[0] != "given":
+                    known[spelt] = (kind, value)
+    blocked = sorted(taken + found)
+    small, lone, k = set(), [], 0
+    for m in LONE.finditer(text):
+        while k < len(blocked) and blocked[k][1] <= m.start():
+            k += 1
+        if k < len(blocked) and blocked[k][0] < m.end():
             continue
-        group = "titled" if m.group("titled") else "full"
-        at = m.start(group)
-        parts = m.group(group).split(" ")
-        if group == "titled" and len(parts) == 2 and parts[0] not in _GENDER and not parts[1][0].isupper():
-            parts = parts[:1]
-        for k, part in enumerate(parts):
-            kind = "given" if k == 0 and len(parts) == 2 and part in _GENDER else "family"
-            span = (at, at + len(part))
-            if not any(a < span[1] and span[0] < b for a, b, *_ in taken):
-                out.append((*span, kind, part if kind == "given" else part.lower()))
-            at += len(part) + 1
-        at = m.end()
-    if len(out) > len(taken):
-        out.sort()
-    return out
+        word = _OWNER.sub("", m[0])
+        if word in known:
+            lone.append((m.start(), m.start() + len(word), *known[word]))
+        elif word.islower():
+            small.add(word)
+    lone = [x for x in lone if script_of(text[x[0]:x[1]]) in ("arabic", "han") or text[x[0]:x[1]].lower() not in small]
+    out, k = [], 0
+    for x in sorted(found):
+        while k < len(taken) and taken[k][1] <= x[0]:
+            k += 1
+        if (k == len(taken) or x[1] <= taken[k][0]) and (not out or out[-1][1] <= x[0]):
+            out.append(x)
+    return out + lone
 
 
 class Surrogates:
@@ -320,15 +453,17 @@ class Surrogates:
         return out
 
     def shaped(self, text: str, tweak: str, keep: set[int] = frozenset()) -> str:
-        """Permute the ASCII letters and all decimal digits of ``text``, each digit within its script, among
+        """Permute the letters of ``ALPHABETS`` and all decimal digits of ``text``, each within its alphabet, among
         strings of its shape; ``keep`` stays."""
         at, values, sizes, first = [], [], [], []
         for i, c in enumerate(text):
-            base = ord("a") if "a" <= c <= "z" else ord("A") if "A" <= c <= "Z" else zero(c)
+            base, size = letter(c)
+            if base < 0:
+                base, size = zero(c), 10
             if base >= 0 and i not in keep:
                 at.append(i)
                 first.append(base)
-                sizes.append(26 if c.isascii() and c.isalpha() else 10)
+                sizes.append(size)
                 values.append(ord(c) - base)
         if not at:
             return text
@@ -389,10 +524,12 @@ class Surrogates:
         if kind == "ip":
             base = max(map(zero, original))
             return "".join(chr(base + int(c)) if c.isdigit() else c for c in surrogate)
-        if kind in ("ip6", "given"):
+        if kind == "ip6":
             return surrogate
-        if kind == "family":
-            return surrogate.upper() if original.isupper() and len(original) > 2 else surrogate.capitalize()
+        if kind in ("given", "family"):
+            if original.isupper() and len(original) > 2:
+                return surrogate.upper()
+            return surrogate if kind == "given" else surrogate.capitalize()
         source = iter(c for c in surrogate if c.isalnum())
         out = []
         for c in original:
@@ -471,7 +608,8 @@ def replace(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "te
 
     One entity has one surrogate in all rows, other entities have others. NULL and empty texts stay as they
     are; repeated rows are replaced alike; an empty table gives an empty result; a column of the input
-    named pii_counts is kept and the counts come last. Texts are read twice and not shuffled, unless
+    named pii_counts is kept and the counts come last. Very long texts are searched whole, in time that grows with their
+    length; Arrow batches are cut by bytes. Texts are read twice and not shuffled, unless
     more than ``broadcast_rows`` entities needed another draw: then the texts that hold one are
     joined with their draws.
     """
