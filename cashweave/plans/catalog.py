@@ -428,6 +428,24 @@ def q_backfill_job(spark, sf_dir):
         F.count(F.lit(1)).alias("items"), F.coalesce(F.sum("inserted_event_count"), F.lit(0)).alias("events"))
 
 
+def q_backfill_windows(spark, sf_dir):
+    """R1's orders as history in windows of 200 days: the first run loses its connection behind the second window, the
+    second run starts at the third."""
+    import uuid
+
+    from cashweave.streaming import backfill
+
+    base = f"{checkpoint_dir(spark).rstrip('/')}/backfill-{uuid.uuid4().hex}"
+    items, history = fixtures.it1_items(spark, sf_dir), fixtures.r1_changes(spark, sf_dir)
+    lost = history.withColumn("item_id", F.when(
+        F.col("payload.date") >= oracle.LOST_FROM, F.raise_error(F.lit("connection lost")).cast("string")).otherwise(F.col("item_id")))
+    for name, rows in (("run 1", lost), ("run 2", history)):
+        backfill.run_backfill(spark, items, rows, f"{base}/ledger", f"{base}/status", name, "2001-08-01", window_days=200)
+    return backfill.read_windows(spark, f"{base}/status").filter("state = 'done'").groupBy(
+        F.col("at").alias("run"), "start_date", "end_date").agg(
+        F.count(F.lit(1)).alias("items"), F.sum("inserted_event_count").alias("events"))
+
+
 def q_stream_ingest_stateful(spark, sf_dir):
     """The same landed pages through the state-store ingest (keyed dedup state per id)."""
     from cashweave.streaming import stateful
@@ -715,6 +733,7 @@ def _registry() -> dict[str, Query]:
         "sync_totals": q_sync_totals,
         "ingest_runs": q_ingest_runs,
         "backfill_job": q_backfill_job,
+        "backfill_windows": q_backfill_windows,
         "stream_ingest_stateful": q_stream_ingest_stateful,
         "history_range": q_history_range,
         "report_delivery": q_report_delivery,
