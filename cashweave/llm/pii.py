@@ -8,7 +8,8 @@ as it was, and maps no string to itself; digits of any script are read as number
 their own script. Given names are permuted within their gender and script, family names become invented
 ones of the same script; a name's parts are mapped one by one, so "Ms Lind" and "Karin Lind" still
 agree, and a name found in full counts wherever its text repeats a part of it. Names are known by a title, an
-address ("My name is") or a listed given name; an unlisted name with none of them is not found. A corpus-wide check finds entities that share a surrogate or keep their own value and moves all
+address ("My name is") or a listed given name; an unlisted name with none of them is not found. A
+corpus-wide check finds entities that share a surrogate or keep their own value and moves all
 but the most frequent one on to the next draw.
 """
 
@@ -608,8 +609,8 @@ def replace(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "te
 
     One entity has one surrogate in all rows, other entities have others. NULL and empty texts stay as they
     are; repeated rows are replaced alike; an empty table gives an empty result; a column of the input
-    named pii_counts is kept and the counts come last. Very long texts are searched whole, in time that grows with their
-    length; Arrow batches are cut by bytes. Texts are read twice and not shuffled, unless
+    named pii_counts is kept and the counts come last. Very long texts are searched whole, in time that grows with
+    their length; one text at a time is searched. Texts are read twice and not shuffled, unless
     more than ``broadcast_rows`` entities needed another draw: then the texts that hold one are
     joined with their draws.
     """
