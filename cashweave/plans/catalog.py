@@ -460,8 +460,10 @@ def _open_ledger(spark, sf_dir):
     from cashweave import schemas
     from cashweave.sources import pages as page_src
 
-    lines = fixtures.open_pages(spark, sf_dir).select(F.from_json("value", schemas.CHANGE_PAGE).alias("p")).select("p.*")
-    return stored(ledger_ops.append_events(page_src.explode_pages(lines), now=fixtures.FIXTURE_NOW, chain=False), "open-ledger")
+    lines = stored(fixtures.open_pages(spark, sf_dir), "open-pages").select(F.from_json("value", schemas.CHANGE_PAGE).alias("p")).select("p.*")
+    path = _table_path(spark, "open-ledger")
+    ledger_ops.write_events(page_src.explode_pages(lines), now=fixtures.FIXTURE_NOW, path=path, chain=False)
+    return spark.read.parquet(path)
 
 
 def q_open_payload(spark, sf_dir):
