@@ -64,27 +64,43 @@ def prepare_events(changes: DataFrame, now: str | None, env: str | None = None)
     ``None`` uses ``current_timestamp()``, which a streaming query fixes per micro-batch from its
     offset log, so a replayed batch gets the same stamp.
     """
-    ptype_raw = changes.schema["payload"].dataType
-    stripped = privacy.strip_secrets(F.col("payload"), ptype_raw)
-    ptype = privacy.stripped_type(ptype_raw)
-    df = changes.withColumn("payload", stripped)
-    is_open = "payload_json" in changes.columns
-    if is_open:
-        df = df.withColumn("_open", privacy.canonical_open_json(F.col("payload_json")))
-    p = F.col("payload")
+    keyed, raw = keyed_events(changes)
+    return typed_events(keyed, raw, now, env)
 
-    def opt(name: str, default: Column) -> Column:
-        return F.col(name) if name in changes.columns else default
 
-    tid = p.getField("transaction_id").cast("string")
-    klass = scalars.event_class(F.col("event_type"))
+def keyed_events(changes: DataFrame) -> tuple[DataFrame, Column]:
+    """What :func:`collapse_repeats` compares, beside the stripped payload, and the expression of its canonical text.
+
+    The rows that are shuffled and sorted carry the payload once; :func:`typed_events` spells its text and its
+    columns (several times its size) for the rows that are kept, where they then are.
+    """
+    ptype_raw = changes.schema["payload"].dataType
+    ptype = privacy.stripped_type(ptype_raw)
+    given = {"arrival_seq": F.col("arrival_seq").cast("long"), "event_type": F.col("event_type"),
+             "item_id": F.col("item_id").cast("string"), "payload": privacy.strip_secrets(F.col("payload"), ptype_raw)}
+    given |= {n: F.col(n) for n in ("batch_id", "cursor_fingerprint", "received_at", "env") if n in changes.columns}
+    if "payload_json" in changes.columns:
+        given["_open"] = privacy.canonical_open_json(F.col("payload_json"))
+    df = changes.select(*[c.alias(n) for n, c in given.items()])
+    p, klass = F.col("payload"), scalars.event_class(F.col("event_type"))
     removal_fields = [f for f in schemas.REMOVAL_PAYLOAD.fieldNames() if f in ptype.fieldNames()]
     removal_type = T.StructType([ptype[f] for f in removal_fields])
     removal_struct = F.struct(*[p.getField(f).alias(f) for f in removal_fields])
-    canonical = F.when(klass == "removed", hashing.canonical_json(removal_struct, removal_type)) \
+    raw = F.when(klass == "removed", hashing.canonical_json(removal_struct, removal_type)) \
         .otherwise(hashing.canonical_json(p, ptype))
-    if is_open:
-        canonical = F.coalesce(F.col("_open"), canonical)
+    if "_open" in given:
+        raw = F.coalesce(F.col("_open"), raw)
+    df = df.select("*", klass.alias("event_class"), p.getField("transaction_id").cast("string").alias("transaction_id"),
+                   hashing.payload_hash(raw).alias("payload_hash"))
+    return df.filter(F.coalesce(F.col("transaction_id"), F.lit("")) != ""), raw
+
+
+def typed_events(keyed: DataFrame, raw: Column, now: str | None, env: str | None = None) -> DataFrame:
+    """The ledger's columns of rows from :func:`keyed_events`, with what :func:`collapse_repeats` has added to them."""
+    ptype, p, is_open = keyed.schema["payload"].dataType, F.col("payload"), "_open" in keyed.columns
+
+    def opt(name: str, default: Column) -> Column:
+        return F.col(name) if name in keyed.columns else default
 
     def text(name: str) -> Column:
         return _field(p, ptype, name, T.StringType()).cast("string")
@@ -100,11 +116,11 @@ def prepare_events(changes: DataFrame, now: str | None, env: str | None = None)
 
     pending = _field(p, ptype, "pending", T.BooleanType())
     cols = {
-        "arrival_seq": F.col("arrival_seq").cast("long"),
+        "arrival_seq": F.col("arrival_seq"),
         "event_type": F.col("event_type"),
-        "event_class": klass,
-        "transaction_id": tid,
-        "item_id": F.col("item_id").cast("string"),
+        "event_class": F.col("event_class"),
+        "transaction_id": F.col("transaction_id"),
+        "item_id": F.col("item_id"),
         "batch_id": opt("batch_id", F.lit(None).cast("string")),
         "cursor_fingerprint": opt("cursor_fingerprint", F.lit(None).cast("string")),
         "txn_date": scalars.safe_date(_field(p, ptype, "date", T.StringType())),
@@ -114,7 +130,7 @@ def prepare_events(changes: DataFrame, now: str | None, env: str | None = None)
         "amount": scalars.as_float(_field(p, ptype, "amount", T.DoubleType())),
         "pending": F.when(pending.isNull(), F.lit(None).cast("int"))
         .otherwise(F.when(pending.cast("boolean"), 1).otherwise(0)),
-        "raw_json": canonical,
+        "raw_json": raw,
         "received_at": opt("received_at", F.lit(None).cast("string")),
         "inserted_at": _stamp(now),
         "env": opt("env", F.lit(env).cast("string")),
@@ -125,9 +141,8 @@ def prepare_events(changes: DataFrame, now: str | None, env: str | None = None)
         cols[name] = text(name)
     for src, dst in _JSON_FIELDS.items():
         cols[dst] = as_json(src)
-    out = df.select(*[c.alias(n) for n, c in cols.items()])
-    out = out.withColumn("payload_hash", hashing.payload_hash(F.col("raw_json")))
-    return out.filter(F.coalesce(F.col("transaction_id"), F.lit("")) != "")
+    cols |= {n: F.col(n) for n in ("payload_hash", "supersedes_seq", "_b") if n in keyed.columns}
+    return keyed.select(*[c.alias(n) for n, c in cols.items()])
 
 
 def collapse_repeats(events: DataFrame, tail: DataFrame | None = None,
@@ -302,9 +317,9 @@ def append_events(changes: DataFrame, now: str, ledger: DataFrame | None = None,
     ``ledger`` is the stored ledger (None for the first batch). Counts of inserted and
     duplicate rows are ``count()`` of the result and of ``changes`` minus it.
     """
-    events = prepare_events(changes, now, env)
+    events, raw = keyed_events(changes)
     tail = ledger_tail(ledger, events) if ledger is not None else None
-    kept = with_identity(collapse_repeats(events, tail, bucket_width, keep_bucket=chain))
+    kept = with_identity(typed_events(collapse_repeats(events, tail, bucket_width, keep_bucket=chain), raw, now, env))
     if chain:
         seeds = chain_seeds(ledger, kept, segment_width, arrival_bounds(events)) if ledger is not None else None
         kept = with_chain(kept, seeds, segment_width)
@@ -454,17 +469,17 @@ def write_events(changes: DataFrame, now: str, path: str, ledger: DataFrame | No
     so it ends with the rows, links and roots of one undisturbed run.
     """
     # Payloads are hashed once for all decisions and once more for the rows written.
-    events = prepare_events(changes, now, env)
+    events, raw = keyed_events(changes)
     held = [events.select(*KEYS).persist(StorageLevel.MEMORY_AND_DISK)]
     try:
-        _write(events, held, now, path, ledger, env, chain, bucket_width, segment_width, partition, mode)
+        _write(events, raw, held, now, path, ledger, env, chain, bucket_width, segment_width, partition, mode)
     finally:
         for one in held:
             one.unpersist()
 
 
-def _write(events: DataFrame, held: list[DataFrame], now: str, path: str, ledger: DataFrame | None, env: str | None,
-           chain: bool, bucket_width: int, segment_width: int, partition: tuple[str, int] | None, mode: str) -> None:
+def _write(events: DataFrame, raw: Column, held: list[DataFrame], now: str, path: str, ledger: DataFrame | None,
+           env: str | None, chain: bool, bucket_width: int, segment_width: int, partition: tuple[str, int] | None, mode: str) -> None:
     """:func:`write_events` with the batch's persisted keys in ``held``, to which what is persisted here is added."""
     spark, keys = events.sparkSession, held[0]
     here = None if _replaces(partition, mode) else read_table(spark, path, schemas.LEDGER)
@@ -477,14 +492,13 @@ def _write(events: DataFrame, held: list[DataFrame], now: str, path: str, ledger
             end = before and before["last_seq"]
             unfinished = own if end is None else own.filter(F.col("arrival_seq") > end)
             now = unfinished.agg(F.min("inserted_at")).first()[0] or now
-            events = events.withColumn("inserted_at", F.lit(now))
             others = own.join(keys.select("arrival_seq"), "arrival_seq", "left_anti")
             ledger = here.filter(~F.col("arrival_seq").between(*bounds)).unionByName(others.select(*here.columns))
     tail = None
     if ledger is not None:
         tail = ledger_tail(ledger, keys).persist(StorageLevel.MEMORY_AND_DISK)
         held.append(tail)
-    kept = collapse_repeats(events, tail, bucket_width, keep_bucket=True, keys=keys)
+    kept = typed_events(collapse_repeats(events, tail, bucket_width, keep_bucket=True, keys=keys), raw, now, env)
     narrow = collapse_repeats(keys, tail, bucket_width, keep_bucket=True).withColumn("inserted_at", _stamp(now))
     finish_and_write(kept, path, ledger, chain, segment_width, partition, mode, bounds, narrow)
 

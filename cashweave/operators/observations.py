@@ -6,7 +6,7 @@ a balance that returns to an earlier value is not recorded again (as in the refe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,35 +26,30 @@ def append_account_observations(readings: DataFrame, now: str, stored: DataFrame
     identity (first reading wins), minus identities already in ``stored``.
     """
     atype_raw = readings.schema["account"].dataType
-    acc = privacy.strip_secrets(F.col("account"), atype_raw)
     atype = privacy.stripped_type(atype_raw)
-    has_inst_id = "institution_id" in readings.columns
-    has_inst_name = "institution_name" in readings.columns
-    inst_id = F.col("institution_id") if has_inst_id else F.lit(None).cast("string")
-    inst_name = F.col("institution_name") if has_inst_name else F.lit(None).cast("string")
+    optional = [n for n in ("institution_id", "institution_name", "env") if n in readings.columns]
+    # The stripped account travels as it is; its text and columns are spelt for the first reading of each identity.
+    keyed = readings.select(F.col("observation_seq").cast("long").alias("observation_seq"), "item_id",
+                            privacy.strip_secrets(F.col("account"), atype_raw).alias("account"), *optional)
+    acc = F.col("account")
 
     # The hashed record: the stripped account payload with the item and institution merged in.
-    fields = [(f.name, acc.getField(f.name), f.dataType) for f in atype.fields]
-    fields.append(("item_id", F.col("item_id"), T.StringType()))
-    rec_fields = {n: (c, t) for n, c, t in fields}
-    record_type = T.StructType([T.StructField(n, t, True) for n, (_, t) in rec_fields.items()])
-    base = F.struct(*[c.alias(n) for n, (c, _) in rec_fields.items()])
-    text_plain = hashing.canonical_json(base, record_type)
-    # Institution keys are merged only when given (non-empty), so the record has them only then.
-    ext_type = T.StructType(record_type.fields + [T.StructField("institution_id", T.StringType()),
-                                                  T.StructField("institution_name", T.StringType())])
-    ext = F.struct(*[c.alias(n) for n, (c, _) in rec_fields.items()], inst_id.alias("institution_id"),
-                   inst_name.alias("institution_name"))
-    id_only_type = T.StructType(record_type.fields + [T.StructField("institution_id", T.StringType())])
-    id_only = F.struct(*[c.alias(n) for n, (c, _) in rec_fields.items()], inst_id.alias("institution_id"))
-    name_only_type = T.StructType(record_type.fields + [T.StructField("institution_name", T.StringType())])
-    name_only = F.struct(*[c.alias(n) for n, (c, _) in rec_fields.items()], inst_name.alias("institution_name"))
-    given_id = F.coalesce(inst_id, F.lit("")) != ""
-    given_name = F.coalesce(inst_name, F.lit("")) != ""
-    text = (F.when(given_id & given_name, hashing.canonical_json(ext, ext_type))
-            .when(given_id, hashing.canonical_json(id_only, id_only_type))
-            .when(given_name, hashing.canonical_json(name_only, name_only_type))
-            .otherwise(text_plain))
+    record = {f.name: (acc.getField(f.name), f.dataType) for f in atype.fields}
+    record["item_id"] = (F.col("item_id"), T.StringType())
+
+    def record_text(*more: str) -> Column:
+        fields = [(n, c, t) for n, (c, t) in record.items()] + [(n, F.col(n), T.StringType()) for n in more]
+        return hashing.canonical_json(F.struct(*[c.alias(n) for n, c, _ in fields]),
+                                      T.StructType([T.StructField(n, t, True) for n, _, t in fields]))
+
+    # Institution keys are merged only when given (non-empty), so the record has them only then. Without the
+    # columns there is one form of the record: building the other three takes the driver seconds.
+    given = {n: F.coalesce(F.col(n), F.lit("")) != "" for n in ("institution_id", "institution_name") if n in optional}
+    text = record_text()
+    for n, is_given in given.items():
+        text = F.when(is_given, record_text(n)).otherwise(text)
+    if len(given) == 2:
+        text = F.when(given["institution_id"] & given["institution_name"], record_text(*given)).otherwise(text)
 
     bal = acc.getField("balances") if "balances" in atype.fieldNames() else F.lit(None)
 
@@ -64,12 +59,18 @@ def append_account_observations(readings: DataFrame, now: str, stored: DataFrame
     def a(name: str):
         return acc.getField(name).cast("string") if name in atype.fieldNames() else F.lit(None).cast("string")
 
-    rows = readings.select(
-        F.col("observation_seq").cast("long").alias("observation_seq"),
+    def institution(name: str) -> Column:
+        return F.when(given[name], F.col(name)) if name in given else F.lit(None).cast("string")
+
+    keyed = keyed.filter(F.coalesce(a("account_id"), F.lit("")) != "").withColumn("payload_hash", hashing.payload_hash(text))
+    keyed = keyed.withColumn("observation_identity", hashing.observation_identity(
+        F.col("item_id").cast("string"), a("account_id"), F.col("payload_hash")))
+    first = insert_if_absent(keyed, stored, "observation_identity", "observation_seq").select(
+        "observation_seq", "observation_identity", "payload_hash",
         a("account_id").alias("account_id"),
         F.col("item_id").cast("string").alias("item_id"),
-        F.when(given_id, inst_id).alias("institution_id"),
-        F.when(given_name, inst_name).alias("institution_name"),
+        institution("institution_id").alias("institution_id"),
+        institution("institution_name").alias("institution_name"),
         a("name").alias("name"), a("official_name").alias("official_name"), a("type").alias("type"),
         a("subtype").alias("subtype"), a("mask").alias("mask"),
         b("iso_currency_code", "string").alias("iso_currency_code"),
@@ -79,11 +80,7 @@ def append_account_observations(readings: DataFrame, now: str, stored: DataFrame
         F.lit(SOURCE).alias("source"),
         text.alias("raw_json"),
         F.lit(now).alias("observed_at"),
-        (F.col("env") if "env" in readings.columns else F.lit(env).cast("string")).alias("env"),
+        (F.col("env") if "env" in optional else F.lit(env).cast("string")).alias("env"),
         F.lit(schemas.APP_VERSION).alias("app_version"),
-    ).filter(F.coalesce(F.col("account_id"), F.lit("")) != "")
-    rows = rows.withColumn("payload_hash", hashing.payload_hash(F.col("raw_json")))
-    rows = rows.withColumn("observation_identity", hashing.observation_identity(
-        F.col("item_id"), F.col("account_id"), F.col("payload_hash")))
-    first = insert_if_absent(rows, stored, "observation_identity", "observation_seq")
+    )
     return first.select(*[F.col(f.name).cast(f.dataType) for f in schemas.OBSERVATION.fields])

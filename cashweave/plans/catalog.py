@@ -171,12 +171,13 @@ def q_diagnostics_long(spark, sf_dir):
 
 def q_integrity_report(spark, sf_dir):
     led = l1_stored_ledger(spark, sf_dir)
-    accts = ob1_accounts(spark, sf_dir)
+    obs = ob1_observations(spark, sf_dir)
+    accts = state.account_latest_state(obs)
     items = fixtures.it1_items(spark, sf_dir)
     runs = fixtures.sr1_runs(spark, sf_dir)
     inputs = {"items": items, "accounts": fixtures.lg1_legacy_accounts(spark, sf_dir),
               "transactions": fixtures.lg1_legacy_transactions(spark, sf_dir), "transaction_events": led,
-              "account_observations": ob1_observations(spark, sf_dir), "sync_runs": runs,
+              "account_observations": obs, "sync_runs": runs,
               "backfill_state": fixtures.bf1_backfill_log(spark, sf_dir)}
     views = {"transaction_latest_state": None, "transaction_current_state": None,
              "transaction_active_state": None, "account_latest_state": accts}
