@@ -1,8 +1,8 @@
 """Source divergence audit: how differently the sources of a language use its words.
 
 A ``CountVectorizer`` of Spark ML fits each language's vocabulary (terms in ``min_df`` of its documents, no other bound on
-its size) and turns documents into exact sparse count vectors; sums of these vectors by (language, source) are the
-groups' counts. Distances between the groups of a language are evaluated from non-zero counts only.
+its size) and turns the terms of a source's documents into exact sparse vectors; sums of these vectors by (language,
+source) are the groups' counts. Distances between the groups of a language are evaluated from non-zero counts only.
 All probabilities are whole numbers of 10**9 shares, so nothing depends on the order of a sum.
 """
 
@@ -12,6 +12,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +20,8 @@ from pyspark.sql import types as T
 
 from cashweave.llm.common import pick, scratch, stored
 
-#: A term is a run of letters: A-Z, a-z and everything beyond ASCII.
-NO_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: A term is a run of letters: A-Z, a-z and everything beyond ASCII. What each byte becomes in a term, 0 where it ends one.
+LETTERS = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], np.uint8)
 MIN_DF, PRIOR, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: The largest vocabSize there is: the vocabulary is never cut.
 WHOLE = 2 ** 31 - 1
@@ -29,31 +30,98 @@ WHOLE = 2 ** 31 - 1
 PASS_TERMS = 1_000_000
 #: One in so many terms is counted beforehand to tell the number of passes.
 LOOK = 64
+#: Bytes of texts whose terms are counted together before they are vectors, about; a longer text is alone.
+PIECE = 8_000_000
 #: Sources whose distances to all others one accumulator holds.
 BLOCK = 512
 
 
-def _split(text: Column) -> Column:
-    return F.array_remove(F.split(text, NO_TERM), "")
+def _terms(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All terms of the texts one after another (A-Z and nothing else in lower case) and the number of each text.
 
-
-def bag(text: Column, lang: Column) -> Column:
-    """The terms of a text, A-Z and nothing else in lower case, each behind its language and U+0000.
-
-    ``lower`` does that for ASCII: for a whole ASCII text at once, for the terms of others one by one, and only terms
-    beyond ASCII need the slower letter-by-letter form.
+    Bytes are looked at: in UTF-8 those of 0x80 and beyond all belong to code points that are no separators.
     """
-    text = F.coalesce(text, F.lit(""))
-
-    def lowered(term):
-        return F.when(F.octet_length(term) == F.length(term), F.lower(term)).otherwise(
-            F.translate(term, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-
-    def named(term):
-        return F.concat(lang, F.lit("\0"), term)
+    ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1]
+    data = text.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]] if data else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    low = LETTERS[data]
+    of_term = low != 0
+    first, last = of_term.copy(), of_term.copy()
+    first[1:] &= ~of_term[:-1]
+    last[:-1] &= ~of_term[1:]
+    filled = ends[1:] > ends[:-1]
+    for edge, at in ((first, ends[:-1][filled]), (last, ends[1:][filled] - 1)):
+        edge[at] = of_term[at]  # no term goes on into the next text
+    first, last = np.flatnonzero(first), np.flatnonzero(last)
+    places = np.zeros(len(first) + 1, np.int64)
+    np.cumsum(last + 1 - first, out=places[1:])
+    terms = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(places), pa.py_buffer(low[of_term]))
+    return terms, np.diff(np.searchsorted(first, ends))
+
+
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
+
+
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers begins."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+
+
+def bags(rows: DataFrame) -> DataFrame:
+    """(lang, source, terms, n, counted) of rows (lang, source, text): a row a document with its distinct terms, and, for each
+    some PIECE bytes of texts, rows by (lang, source, n) with the terms that occur n times there.
+
+    Each term stands behind its language and U+0000. ``terms`` has what document frequencies need, ``counted`` every
+    occurrence, as a term and how often; the other columns are NULL.
+    """
+    schema = T.StructType.fromDDL("lang string, source string, terms array<string>, n long, counted array<string>")
 
-    return F.when(F.octet_length(text) == F.length(text), F.transform(_split(F.lower(text)), named)).otherwise(
-        F.transform(_split(text), lambda t: named(lowered(t))))
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(2).cast(pa.large_string())
+            ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else None
+            at = 0
+            while at < len(texts):
+                till = max(at + 1, int(np.searchsorted(ends, ends[at] + PIECE, "right")) - 1)
+                yield from piece(*(batch.column(k).slice(at, till - at).cast(pa.string()).dictionary_encode() for k in (0, 1)), texts.slice(at, till - at))
+                at = till
+
+    def piece(langs, sources, texts):
+        terms, sizes = _terms(texts)
+        terms = terms.dictionary_encode()
+        lang, source = (x.indices.to_numpy().astype(np.int64) for x in (langs, sources))
+        count = max(1, len(terms.dictionary))
+        keys = np.sort(np.repeat(np.arange(len(texts)), sizes) * count + terms.indices.to_numpy())
+        first = _runs(keys)
+        n, doc, term = np.diff(np.append(first, len(keys))), keys[first] // count, keys[first] % count
+        pairs, named = np.unique(lang[doc] * count + term, return_inverse=True)
+        names = pc.binary_join_element_wise(langs.dictionary.take(pa.array(pairs // count)),
+                                            terms.dictionary.take(pa.array(pairs % count)).cast(pa.string()), "\0")
+        bag = _lists(np.bincount(doc, minlength=len(texts)), names.take(pa.array(named)))
+        yield rows_of(langs.dictionary_decode(), sources.dictionary_decode(), bag, None, None)
+
+        keys = source[doc] * len(names) + named  # a name tells its language
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = _runs(keys)
+        if not len(first):
+            return
+        n, source, named = np.add.reduceat(n[order], first), keys[first] // len(names), keys[first] % len(names)
+        lang = pairs[named] // count
+        order = np.lexsort((n, source, lang))
+        n, source, lang, named = (x[order] for x in (n, source, lang, named))
+        first = np.union1d(np.union1d(_runs(n), _runs(source)), _runs(lang))
+        bag = _lists(np.diff(np.append(first, len(n))), names.take(pa.array(named)))
+        yield rows_of(langs.dictionary.take(pa.array(lang[first])), sources.dictionary.take(pa.array(source[first])), None, pa.array(n[first]), bag)
+
+    def rows_of(lang, source, *others):
+        types = (pa.list_(pa.string()), pa.int64(), pa.list_(pa.string()))
+        others = [pa.nulls(len(lang), t) if x is None else x for x, t in zip(others, types, strict=True)]
+        return pa.RecordBatch.from_arrays([lang, source, *others], names=schema.names)
+
+    return rows.select("lang", "source", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
 def _spread(term: Column, n: int) -> Column:
@@ -65,15 +133,15 @@ def _hashed(bag: Column, n: int, k: int) -> Column:
     return F.filter(bag, lambda t: _spread(t, n) == k)
 
 
-def _passes(bags: DataFrame, min_df: int) -> int:
+def _passes(documents: DataFrame, min_df: int) -> int:
     """Passes that keep each vocabulary near PASS_TERMS: one in LOOK terms is counted, over all documents."""
-    part = bags.select(F.explode("bag").alias("t")).filter(_spread(F.col("t"), LOOK) == 0)
+    part = documents.select(F.explode("terms").alias("t")).filter(_spread(F.col("t"), LOOK) == 0)
     kept = part.groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_df).count()
     return max(1, math.ceil(1.2 * kept * LOOK / PASS_TERMS))
 
 
 def _sums(vectors: DataFrame) -> DataFrame:
-    """(source, cell, n): sums of sparse vectors (source, indices, values) by source.
+    """(source, cell, n): sums of sparse vectors (source, n, indices, values), n times each, by source.
 
     A batch's non-zero cells are summed where they lie, as one sort of (source, cell) numbers; the partial sums are
     added up after a shuffle of narrow rows.
@@ -82,17 +150,18 @@ def _sums(vectors: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            cells, values = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (1, 2))
+            cells, values = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (2, 3))
             if not len(cells):
                 continue
             names = batch.column(0).dictionary_encode()
-            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            sizes = np.diff(batch.column(2).offsets.to_numpy())
             owner = np.repeat(names.indices.to_numpy(zero_copy_only=False).astype(np.int64), sizes)
             keys = owner << 32 | cells
             order = np.argsort(keys, kind="stable")
             keys = keys[order]
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            total = np.add.reduceat(values[order].astype(np.int64), first)
+            values = values.astype(np.int64) * np.repeat(batch.column(1).to_numpy(), sizes)
+            total = np.add.reduceat(values[order], first)
             yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(keys[first] >> 32)), pa.array((keys[first] & 0xFFFFFFFF).astype(np.int32)),
                                               pa.array(total)], names=schema.names)
 
@@ -104,22 +173,27 @@ def group_counts(docs: DataFrame, min_df: int = MIN_DF, text: str = "text", lang
     """(lang, source, term, n) with n > 0 over kept terms, (lang, source) of every group that occurs, (lang, size) kept terms.
 
     A term is fitted together with its language, behind U+0000, which no term holds: one CountVectorizer so keeps the
-    vocabulary of every language apart in one pass, with document frequencies by language. The model's
+    vocabulary of every language apart in one pass, with document frequencies by language: it is fitted on each
+    document's distinct terms. It then turns the terms of a source that occur n times in a piece of the table into one
+    vector, which counts n times: so a frequent term is looked up once a piece, not at each occurrence. The model's
     vocabulary is written as a table, the vectors' non-zero cells are summed by source with partial sums before
     the shuffle; no dense vector is ever made.
     """
     rows = pick(docs, lang, source, text).select(
         F.coalesce(lang, F.lit("")).alias("lang"), F.coalesce(source, F.lit("")).alias("source"), F.col(text).alias("text"))
-    bags = stored(rows.select("lang", "source", bag(F.col("text"), F.col("lang")).alias("bag")), "divergence-bags")
-    groups = stored(bags.select("lang", "source").distinct(), "divergence-groups")
-    passes, out, sizes = _passes(bags, min_df), None, None
+    both = stored(bags(rows), "divergence-bags")
+    documents, counted = both.filter("terms IS NOT NULL"), both.filter("counted IS NOT NULL")
+    groups = stored(documents.select("lang", "source").distinct(), "divergence-groups")
+    passes, out, sizes = _passes(documents, min_df), None, None
     for k in range(passes):
-        part = bags.select("source", "bag") if passes == 1 else bags.select("source", _hashed(F.col("bag"), passes, k).alias("bag"))
-        model = CountVectorizer(inputCol="bag", outputCol="vector", minDF=float(min_df), vocabSize=WHOLE).fit(part)
+        def part(c, k=k):
+            return (F.col(c) if passes == 1 else _hashed(F.col(c), passes, k)).alias("bag")
+        model = CountVectorizer(inputCol="bag", outputCol="vector", minDF=float(min_df), vocabSize=WHOLE).fit(documents.select(part("terms")))
         path = scratch(docs.sparkSession, "divergence-model")
         model.write().save(path)
         words = docs.sparkSession.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("cell", "word"))
-        sums = _sums(model.transform(part).select("source", F.unwrap_udt("vector").alias("v")).select("source", "v.indices", "v.values"))
+        vectors = model.transform(counted.select("source", "n", part("counted"))).select("source", "n", F.unwrap_udt("vector").alias("v"))
+        sums = _sums(vectors.select("source", "n", "v.indices", "v.values"))
         cut = F.length("word") - F.locate("\0", F.reverse("word")) + 1  # place of the last U+0000
         words = words.select("cell", F.substring("word", F.lit(1), cut - 1).alias("lang"),
                              F.substring("word", cut + 1, F.length("word")).alias("term"))
