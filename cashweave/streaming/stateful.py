@@ -81,7 +81,8 @@ def _fold(pdf, state):
     import numpy as np
     import pandas as pd
 
-    stored = pd.DataFrame(dict(zip(_NARROW.names, state, strict=True)) if state else {c: [] for c in _NARROW.names}).set_index(_ID)
+    # Without a state the empty columns would be of doubles, which round positions beyond 2**53.
+    stored = pd.DataFrame(dict(zip(_NARROW.names, state or ([],) * 4, strict=True))).astype({_SEQ: "int64"}).set_index(_ID)
     pdf, first, same = _runs(pdf)
     heads = pdf[first]
     known = stored.reindex(heads[_ID])
