@@ -252,7 +252,7 @@ def q_append_retry(spark, sf_dir):
     cut = changes.agg(F.max("arrival_seq")).first()[0] // 2
     for part in (changes.filter(F.col("arrival_seq") <= cut), changes.filter(F.col("arrival_seq") > cut)):
         rows = ledger_ops.append_events(part, now=fixtures.FIXTURE_NOW, ledger=read_table(spark, path))
-        rows.write.mode("append").parquet(path)  # the attempt that dies before its entries and root
+        rows.write.mode("append").option("compression", "zstd").parquet(path)  # the attempt that dies before its entries and root
         for later in ("2024-03-01T00:00:00Z", "2024-04-01T00:00:00Z"):
             ledger_ops.write_events(part, now=later, path=path, ledger=spark.read.parquet(path))
     led, entries = spark.read.parquet(path), roots.read_entries(spark, path)
